@@ -54,9 +54,11 @@ def contains_join(a: DataFrame, b: DataFrame, text: str, part: str, priority: li
     """
     sizes = [r[0] for r in b.select(F.length(part)).distinct().collect() if r[0]]
     keyed = a.withColumn("_id", F.xxhash64(*a.columns))
-    grams = keyed.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes
-    ])))).alias(part)).distinct()
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
+        return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    grams = keyed.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*map(runs, sizes))))).alias(part)).distinct()
     first = best_per_key(grams.join(b, part), ["_id"], [F.col(c) for c in priority])
     return keyed.join(first, "_id", "left").drop("_id")
 

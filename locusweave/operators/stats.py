@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .profiles import pearson
 
@@ -46,7 +47,7 @@ def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     return one.crossJoin(F.broadcast(ties)).select("n", "groups", F.try_divide("h0", 1 - F.col("ties") / (F.col("n") * F.col("n") * F.col("n") - F.col("n"))).alias("h"), "u")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """C4: two-sided Fisher exact p of 2x2 tables."""
     def one(a: int, b: int, c: int, d: int) -> float:
