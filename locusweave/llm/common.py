@@ -20,6 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows an Arrow batch than Spark's 10,000: with whole texts in the rows, a task's Python memory is
+    a few batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computed once and kept in the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

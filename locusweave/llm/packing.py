@@ -23,7 +23,7 @@ from .common import cut, written
 #: The id that ends a document.
 END = 2
 #: Distinct words whose ids a task keeps.
-CACHE = 600_000
+CACHE = 400_000
 
 
 class _Ids(dict):

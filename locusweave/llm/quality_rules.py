@@ -20,7 +20,7 @@ from .common import cut, rolling, word_hashes, written
 ORDER = 4
 SYMBOLS = "#*$%&|<>"
 #: Units handled at once inside a task; bounds the working memory whatever the batch holds.
-UNITS = 1 << 21
+UNITS = 1 << 19
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, units long, log_prob double"
 
 
