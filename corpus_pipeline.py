@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusweave.llm import mixing, packing, quality_rules, simhash_dedup, suffix_dedup
-from locusweave.llm.common import written
+from locusweave.llm.common import small_batches, written
 
 #: SQL can't express perplexity models, SimHash or tokenizers; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -18,16 +18,19 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality rules reject."""
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each near-duplicate group."""
+    small_batches(spark)
     return simhash_dedup.keep_one(docs, simhash_dedup.near_groups(docs, words=4, radius=4))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated 400-byte strings; n_chars follows, no row goes."""
+    small_batches(spark)
     got = suffix_dedup.remove_repeats(docs, width=400).withColumn("text", F.col("_d.kept_text"))
     return got.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
@@ -39,6 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 1024 tokens."""
+    small_batches(spark)
     return packing.pack(docs, capacity=1024)
 
 
