@@ -91,19 +91,19 @@ def merge_overlaps(df: DataFrame, part: list[str], order: list[str], label: str,
 
     The open match grows, so this is a fold over the part's matches (a part's matches, not its rows).
     """
-    m = F.struct(*order, F.col(label).alias("l"), F.col(items).alias("i"), F.col(end).alias("e"))
-    kind = df.select(F.struct(F.col(label).alias("l"), F.col(items).alias("i"), F.col(end).alias("e")).alias("x")).schema["x"].dataType.simpleString()
+    m = F.struct(*order, F.col(label).alias("_label"), F.col(items).alias("_items"), F.col(end).alias("_end"))
+    kind = df.select(F.struct(F.col(label).alias("_label"), F.col(items).alias("_items"), F.col(end).alias("_end")).alias("x")).schema["x"].dataType.simpleString()
     seq = df.groupBy(*part).agg(F.array_sort(F.collect_list(m)).alias("ms"))
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (last["l"] == x["l"]) & (F.size(last["i"]) >= overlap) & (F.slice(x["i"], 1, overlap) == F.slice(last["i"], -overlap, overlap))
-        grown = F.struct(last["l"].alias("l"), F.array_union(last["i"], x["i"]).alias("i"), F.greatest(last["e"], x["e"]).alias("e"))
-        new = F.struct(x["l"].alias("l"), x["i"].alias("i"), x["e"].alias("e"))
+        fits = (F.size(acc) > 0) & (last["_label"] == x["_label"]) & (F.size(last["_items"]) >= overlap) & (F.slice(x["_items"], 1, overlap) == F.slice(last["_items"], -overlap, overlap))
+        grown = F.struct(last["_label"].alias("_label"), F.array_union(last["_items"], x["_items"]).alias("_items"), F.greatest(last["_end"], x["_end"]).alias("_end"))
+        new = F.struct(x["_label"].alias("_label"), x["_items"].alias("_items"), x["_end"].alias("_end"))
         return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
 
-    folded = seq.select(*part, F.explode(F.aggregate("ms", F.lit([]).cast(f"array<{kind}>"), lambda a, x: F.coalesce(step(a, x), F.concat(a, F.array(F.struct(x["l"].alias("l"), x["i"].alias("i"), x["e"].alias("e"))))))).alias("m"))
-    return folded.select(*part, F.col("m.l").alias(label), F.col("m.i").alias(items), F.col("m.e").alias(end))
+    folded = seq.select(*part, F.explode(F.aggregate("ms", F.lit([]).cast(f"array<{kind}>"), lambda a, x: F.coalesce(step(a, x), F.concat(a, F.array(F.struct(x["_label"].alias("_label"), x["_items"].alias("_items"), x["_end"].alias("_end"))))))).alias("m"))
+    return folded.select(*part, F.col("m._label").alias(label), F.col("m._items").alias(items), F.col("m._end").alias(end))
 
 
 def random_groups(df: DataFrame, part: list[str], item: str, size: int, n: int, seed: int = 42) -> DataFrame:
