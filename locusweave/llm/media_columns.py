@@ -124,18 +124,21 @@ class MediaWriter(DataSourceArrowWriter):
                     for name, text in zip(batch["name"].to_pylist(), batch["text"]):
                         archive.writestr(zipfile.ZipInfo(f"{k}/{name}"), to_png(payload_of(text.as_py())))
                         k += 1
+        if not k:  # a task without rows leaves no archive
+            fs.delete_file(path)
+            return _Archive("", 0)
         return _Archive(path, fs.get_file_info(path).size)
 
     def commit(self, messages: list[_Archive | None]) -> None:
         fs, root = pafs.FileSystem.from_uri(self.root)
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps([[m.path, m.size] for m in messages if m]).encode())
+            out.write(json.dumps([[m.path, m.size] for m in messages if m and m.size]).encode())
 
     def abort(self, messages: list[_Archive | None]) -> None:
         fs, _ = pafs.FileSystem.from_uri(self.root)
         for m in messages:
-            if m:
+            if m and m.size:
                 fs.delete_file(m.path)
 
 
