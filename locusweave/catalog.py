@@ -284,11 +284,11 @@ def a_symmetric_scores(t):
     return rel.symmetric(h, "x", "y", "cents")
 
 
-@query("""SELECT user_id, count(*)::BIGINT AS n, count(DISTINCT event_type)::BIGINT AS kinds, round(count(*) FILTER (event_type IN ('click', 'view')) / count(*), 6) AS rate, epoch_us(max(ts)) - epoch_us(min(ts)) AS span, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(count(*) * 1e12 / (epoch_us(max(ts)) - epoch_us(min(ts))), 6) AS density FROM events GROUP BY 1 HAVING count(*) > 1""")
+@query("""SELECT user_id, count(*)::BIGINT AS n, count(DISTINCT event_type)::BIGINT AS kinds, round(count(*) FILTER (event_type IN ('click', 'view')) / count(*), 6) AS rate, epoch_us(max(ts)) - epoch_us(min(ts)) AS span, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(count(*) * 1e12 / (epoch_us(max(ts)) - epoch_us(min(ts))), 6) AS density FROM events GROUP BY 1 HAVING count(*) > 1""")
 def a_axis_statistics(t):
     span = micros("max(ts)") - micros("min(ts)")
     return t("events").groupBy("user_id").agg(
-        F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"), r6(F.count_if(F.col("event_type").isin("click", "view")) / F.count("*")).alias("rate"), span.alias("span"), r6(F.avg("value")).alias("mean"),
+        F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"), r6(F.count_if(F.col("event_type").isin("click", "view")) / F.count("*")).alias("rate"), span.alias("span"), F.round(F.avg("value"), 9).alias("mean"),
         r6(F.percentile("value", F.lit(0.5))).alias("median"), r6(F.try_divide(F.count("*") * F.lit(1e12), span)).alias("density"),
     ).where("n > 1")
 
