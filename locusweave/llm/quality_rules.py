@@ -172,7 +172,8 @@ def with_metrics(docs: DataFrame, model: PerplexityModel, text_col: str, name: s
         out["units"], out["log_prob"] = units, logp
         return out
 
-    return docs.withColumn(name, measure(F.col(text_col), model.lang))
+    # Else Spark pushes conditions on the counts below a join as a second call, and a task holds two workers.
+    return docs.withColumn(name, measure.asNondeterministic()(F.col(text_col), model.lang))
 
 
 def _by_table(docs: DataFrame, model: PerplexityModel, id_col: str, text_col: str) -> DataFrame:
