@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import maps
 from .functions import sequences as seq
-from .operators import features, graph, nulls, profiles, stats
+from .operators import features, graph, nulls, profiles, reports, stats
 from .operators import relational as rel
 from .operators import windows as win
 
@@ -584,3 +585,82 @@ def n_empirical_p(t):
     pairs_ = moved.withColumn("prev", F.lag("event_type").over(win.Window.partitionBy("user_id", "iter").orderBy("idx"))).where("prev = event_type")
     p = nulls.empirical_p(pairs_.groupBy("iter").agg(F.count("*").alias("n")), 2000.0)
     return p.select(*[r6(c).alias(c) for c in p.columns])
+
+
+# Reports and count profiles
+
+
+@query("""WITH r AS (SELECT l_orderkey, p_type AS c, p_type || '.' || p_brand AS s, l_partkey * 1000.0 AS a, (l_partkey + l_quantity) * 1000.0 AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
+  g AS (SELECT l_orderkey, count(DISTINCT c)::BIGINT AS n_classes, count(DISTINCT s)::BIGINT AS n_subclasses, round(((max(b) - min(a)) / 1000)::DOUBLE, 6) AS size_kbp FROM r GROUP BY l_orderkey)
+  SELECT *, size_kbp < 50 AS is_small FROM g WHERE n_classes >= 2 AND n_subclasses >= 3""")
+def p_diverse_groups(t):
+    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_orderkey", F.concat_ws(".", "p_type", "p_brand").alias("code"), (F.col("l_partkey") * 1000.0).alias("a"), ((F.col("l_partkey") + F.col("l_quantity")) * 1000.0).alias("b")
+    )
+    return reports.diverse_groups(rows, ["l_orderkey"], "code", "a", "b").withColumn("size_kbp", r6("size_kbp"))
+
+
+@query("""WITH c AS (SELECT o_custkey, CASE WHEN contains(o_orderpriority, 'HIGH') OR contains(o_orderpriority, 'URGENT') OR NOT (contains(o_orderpriority, 'LOW') OR contains(o_orderpriority, 'MEDIUM')) THEN 1 ELSE 0 END AS h FROM orders),
+  g AS (SELECT o_custkey, sum(h)::BIGINT AS n_high, sum(1 - h)::BIGINT AS n_low FROM c GROUP BY o_custkey)
+  SELECT *, round(n_high / (n_high + n_low), 6) AS score, n_high / (n_high + n_low) > 0.75 AS is_reliable FROM g""")
+def p_reliability(t):
+    rows = t("orders").withColumn("c", reports.keyword_class("o_orderpriority", ["HIGH", "URGENT", "LOW", "MEDIUM"]))
+    return reports.reliability(rows, "o_custkey", "c", ["HIGH", "URGENT"], ["LOW", "MEDIUM"]).withColumn("score", r6("score"))
+
+
+@query("""WITH c AS (SELECT event_type, regexp_extract_all(props, '"k": ([0-9]+)', 1) AS ks FROM events)
+  SELECT event_type, count(*)::BIGINT AS n_rows, (count(*) FILTER (len(ks) > 0))::BIGINT AS n_coded, round((count(*) FILTER (len(ks) > 0)) / count(*), 6) AS rate,
+    (SELECT count(DISTINCT k) FROM (SELECT unnest(d.ks) AS k FROM c d WHERE d.event_type = c.event_type))::BIGINT AS n_codes FROM c GROUP BY event_type""")
+def a_code_rates(t):
+    return reports.code_rates(t("events"), "event_type", "props", '"k": ([0-9]+)').withColumn("rate", r6("rate"))
+
+
+@query("""SELECT event_type, code, count(*)::BIGINT AS n FROM (SELECT event_type, unnest(regexp_extract_all(props, '"k": ([0-9]+)', 1)) AS code FROM events) GROUP BY ALL""")
+def a_code_distribution(t):
+    return reports.code_distribution(t("events"), "event_type", "props", '"k": ([0-9]+)')
+
+
+@query("""WITH o AS (SELECT l_returnflag, l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY ALL)
+  SELECT l_returnflag, count(*)::BIGINT AS n_rows, (SELECT count(DISTINCT l_suppkey) FROM lineitem l WHERE l.l_returnflag = o.l_returnflag)::BIGINT AS n_items, round(avg(n), 6) AS mean_size FROM o GROUP BY l_returnflag""")
+def a_sweep_summary(t):
+    rows = t("lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.collect_set("l_suppkey").alias("items"))
+    return reports.sweep_summary(rows, "l_returnflag", "items").withColumn("mean_size", r6("mean_size"))
+
+
+@query("SELECT l_suppkey, round(median(l_extendedprice / l_discount), 6) AS median FROM lineitem WHERE l_discount <> 0 GROUP BY l_suppkey")
+def a_median_rank(t):
+    ratio = F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(F.try_divide("l_extendedprice", "l_discount"))
+    return reports.median_rank(t("lineitem").withColumn("ratio", ratio), "l_suppkey", "ratio").withColumn("median", r6("median"))
+
+
+@query("""WITH g AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL)
+  SELECT (SELECT count(*) FROM events)::BIGINT AS n_rows, (SELECT count(*) FROM g)::BIGINT AS n_groups, (SELECT round(avg(value), 6) FROM events) AS mean, (SELECT round(stddev_samp(value), 6) FROM events) AS sd,
+    event_type AS commonest, n::BIGINT AS n_commonest FROM g ORDER BY n DESC, event_type LIMIT 1""")
+def c_summary_report(t):
+    return reports.summary_report(t("events"), "event_type", "value").withColumns({"mean": r6("mean"), "sd": r6("sd")})
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+  u AS (SELECT a.user_id, b.event_type FROM (SELECT DISTINCT user_id FROM c) a JOIN c b ON b.user_id = a.user_id OR b.user_id = a.user_id + 1 WHERE a.user_id + 1 IN (SELECT user_id FROM c) GROUP BY ALL),
+  p AS (SELECT u.user_id, coalesce(x.n, 0) AS x, coalesce(y.n, 0) AS y FROM u LEFT JOIN c x ON x.user_id = u.user_id AND x.event_type = u.event_type LEFT JOIN c y ON y.user_id = u.user_id + 1 AND y.event_type = u.event_type),
+  s AS (SELECT user_id, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy, count(*) * sum(x * y) - sum(x) * sum(y) AS cxy, count(*) * sum(x * x) - sum(x) * sum(x) AS cxx, count(*) * sum(y * y) - sum(y) * sum(y) AS cyy FROM p GROUP BY user_id)
+  SELECT user_id, round(xy / sqrt(xx * yy), 6) AS cosine, round(CASE WHEN cxx = 0 OR cyy = 0 THEN 0 ELSE greatest(0, cxy / sqrt(cxx * cyy)) END, 6) AS pearson FROM s""")
+def f_profile_similarity(t):
+    counts = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    held = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("a"))
+    after = held.select((F.col("user_id") - 1).alias("user_id"), F.col("a").alias("b"))
+    return held.join(after, "user_id").select("user_id", r6(maps.cosine("a", "b")).alias("cosine"), r6(maps.clipped_pearson("a", "b")).alias("pearson"))
+
+
+@query("""SELECT event_id, (props::JSON->>'k')::DOUBLE AS k FROM events""")
+def f_parse_dict(t):
+    cell = F.regexp_replace("props", '"', "'")
+    return t("events").withColumn("cell", cell).select("event_id", maps.parse_dict("cell")["k"].alias("k"))
+
+
+@query("""SELECT l_returnflag AS feature, round(avg(l_discount), 6) AS pr_auc, 'individual' AS model_type, NULL::BIGINT AS n FROM lineitem GROUP BY ALL
+  UNION ALL SELECT l_linestatus, round(avg(l_tax), 6), 'combined', count(*) FROM lineitem GROUP BY ALL""")
+def m_collate(t):
+    one = t("lineitem").groupBy(F.col("l_returnflag").alias("feature")).agg(r6(F.avg("l_discount")).alias("test_pr_auc"))
+    many = t("lineitem").groupBy(F.col("l_linestatus").alias("feature")).agg(r6(F.avg("l_tax")).alias("test_pr_auc"), F.count("*").alias("n"))
+    return reports.collate({"individual": one, "combined": many})
