@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import maps
 from .functions import sequences as seq
-from .operators import features, graph, nulls, profiles, reports, stats
+from .operators import enzymes, features, graph, motifs, nulls, profiles, reports, stats
 from .operators import relational as rel
 from .operators import windows as win
 
@@ -664,3 +664,91 @@ def m_collate(t):
     one = t("lineitem").groupBy(F.col("l_returnflag").alias("feature")).agg(r6(F.avg("l_discount")).alias("test_pr_auc"))
     many = t("lineitem").groupBy(F.col("l_linestatus").alias("feature")).agg(r6(F.avg("l_tax")).alias("test_pr_auc"), F.count("*").alias("n"))
     return reports.collate({"individual": one, "combined": many})
+
+
+REGULATORY_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{family}' AS motif_family, '{p}' AS pattern, regexp_extract_all(s, '{r}') AS hits, regexp_split_to_array(s, '{r}') AS gaps FROM u"
+    for family, ps in motifs.REGULATORY.items() for p in ps for r in ["".join(seq.IUPAC.get(c, c) for c in p)]
+)
+
+
+@query(f"""WITH u AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents), f AS ({REGULATORY_SQL}), i AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM f)
+  SELECT doc_id, motif_family, pattern, (length(array_to_string(gaps[1:k], '')) + length(array_to_string(hits[1:k - 1], '')))::BIGINT AS position, hits[k] AS matched_sequence FROM i""")
+def a_regulatory_hits(t):
+    letters = t("documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("s"))
+    return motifs.regulatory_hits(letters, "doc_id", "s").withColumn("position", F.col("position").cast("long"))
+
+
+PAIRED = """WITH h AS (SELECT c_nationkey AS g, o_custkey AS m, o_orderstatus AS r, o_orderpriority AS t, count(*)::DOUBLE AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+  m AS (SELECT DISTINCT g, m FROM h), p AS (SELECT a.g, a.m AS x, b.m AS y FROM m a JOIN m b ON a.g = b.g AND a.m < b.m),
+  z AS (SELECT DISTINCT p.g, x, y, r, t FROM p JOIN h ON h.m = x OR h.m = y WHERE r IN ('O', 'F')),
+  v AS (SELECT z.*, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM z LEFT JOIN h a ON a.m = x AND a.r = z.r AND a.t = z.t LEFT JOIN h b ON b.m = y AND b.r = z.r AND b.t = z.t),
+  s AS (SELECT x, y, r, avg((na > 0 AND nb > 0)::INT) AS sim, count(*) * sum(na * nb) - sum(na) * sum(nb) AS c, count(*) * sum(na * na) - sum(na) * sum(na) AS ca, count(*) * sum(nb * nb) - sum(nb) * sum(nb) AS cb FROM v GROUP BY x, y, r),
+  f AS (SELECT x, y, r, sim, CASE WHEN ca = 0 OR cb = 0 THEN 0 ELSE greatest(0, c / sqrt(ca * cb)) END AS cor FROM s),
+  q AS (SELECT p.g, coalesce(n.sim, 0) AS ns, coalesce(n.cor, 0) AS nc, coalesce(d.sim, 0) AS ds, coalesce(d.cor, 0) AS dc FROM p LEFT JOIN f n ON n.x = p.x AND n.y = p.y AND n.r = 'O' LEFT JOIN f d ON d.x = p.x AND d.y = p.y AND d.r = 'F')"""
+
+
+def promoters(t) -> DataFrame:
+    """Customers stand for promoters of a nation, order states for regions, priorities for motifs."""
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(PAIRED + """ SELECT k.g AS c_nationkey, k.n_motifs, a.* EXCLUDE (g) FROM (SELECT g, count(DISTINCT t) FILTER (r IN ('O', 'F'))::BIGINT AS n_motifs FROM h GROUP BY g) k
+  LEFT JOIN (SELECT g, round(avg(ns), 6) AS mean_near_similarity, round(avg(ds), 6) AS mean_far_similarity, round(avg(nc), 6) AS mean_near_correlation, round(avg(dc), 6) AS mean_far_correlation FROM q GROUP BY g) a ON a.g = k.g""")
+def a_promoter_similarity(t):
+    got = motifs.promoter_similarity(promoters(t), "c_nationkey", "o_custkey", "o_orderstatus", "o_orderpriority", "O", "F")
+    return got.select("c_nationkey", "n_motifs", *[r6(c).alias(c) for c in got.columns[2:]])
+
+
+@query(PAIRED + """, w AS (SELECT g, 100 * (0.7 * ns + 0.3 * ds) AS s, 100 * (0.7 * nc + 0.3 * dc) AS c FROM q),
+  a AS (SELECT g, count(*) AS k, avg(s) AS s, avg(c) AS c, stddev_samp(s) AS ss, stddev_samp(c) AS cs FROM w GROUP BY g), n AS (SELECT g, count(*) AS n FROM m GROUP BY g)
+  SELECT n.g AS c_nationkey, n.n::BIGINT AS num_promoters, coalesce(k, 0)::BIGINT AS num_comparisons, round(coalesce(s, 0), 2) AS similarity_score, round(coalesce(c, 0), 2) AS correlation_score, round(ss, 2) AS similarity_std, round(cs, 2) AS correlation_std,
+    CASE WHEN k > 0 THEN round(1 - 0.2 * abs(n.n - 5) / greatest(n.n, 5), 3) END AS size_adjustment_factor, CASE WHEN k >= 10 THEN 1.0::DOUBLE WHEN k >= 6 THEN 0.95 WHEN k >= 3 THEN 0.85 WHEN k > 0 THEN 0.7 END AS comparison_weight,
+    CASE WHEN k IS NULL THEN NULL WHEN ss > 20 THEN 0.9::DOUBLE WHEN ss > 15 THEN 0.95 ELSE 1 END AS std_adjustment_factor, CASE WHEN k IS NULL THEN NULL WHEN cs > 20 THEN 0.9::DOUBLE WHEN cs > 15 THEN 0.95 ELSE 1 END AS correlation_adjustment_factor,
+    CASE WHEN k IS NULL THEN 'Insufficient sequences' WHEN s >= 70 THEN 'Very High Similarity' WHEN s >= 50 THEN 'High Similarity' WHEN s >= 30 THEN 'Moderate Similarity' WHEN s >= 15 THEN 'Low Similarity' ELSE 'Very Low Similarity' END AS similarity_category,
+    CASE WHEN k IS NULL THEN 'Insufficient sequences' WHEN c >= 70 THEN 'Very High Correlation' WHEN c >= 50 THEN 'High Correlation' WHEN c >= 30 THEN 'Moderate Correlation' WHEN c >= 15 THEN 'Low Correlation' ELSE 'Very Low Correlation' END AS correlation_category
+  FROM n LEFT JOIN a ON a.g = n.g""")
+def a_similarity_report(t):
+    return motifs.similarity_report(promoters(t), "c_nationkey", "o_custkey", "o_orderstatus", "o_orderpriority", "O", "F")
+
+
+CODE = "concat_ws('.', p_size % 7, p_partkey % 15, '1', p_partkey)"
+
+
+@query(f"""WITH e AS (SELECT p_partkey, {CODE} AS code FROM part), r AS (SELECT unnest({enzymes.SIGNATURE_CODES}) AS ref, 's' AS side UNION ALL SELECT unnest({enzymes.TAILORING_CODES}), 't'),
+  v AS (SELECT p_partkey, sum(p) FILTER (side = 's') AS s, sum(p) FILTER (side = 't') AS t FROM (SELECT p_partkey, side, CASE WHEN split_part(code, '.', 1) = split_part(ref, '.', 1) THEN 0.5::DOUBLE ELSE 0 END
+    + CASE WHEN split_part(code, '.', 1) = split_part(ref, '.', 1) AND split_part(code, '.', 2) = split_part(ref, '.', 2) THEN 2 ELSE 0 END AS p FROM e, r) GROUP BY ALL)
+  SELECT p_partkey, CASE WHEN s + t < 0.5 THEN NULL WHEN s / (s + t) > 0.65 THEN 'signature' WHEN t / (s + t) > 0.65 THEN 'tailoring' ELSE 'mixed' END AS classification,
+    round(CASE WHEN s + t < 0.5 THEN NULL WHEN greatest(s, t) / (s + t) > 0.65 THEN greatest(s, t) / (s + t) * 0.6 ELSE 0.3 END, 6) AS confidence FROM v""")
+def f_code_vote(t):
+    voted = t("part").withColumn("code", F.expr(CODE)).withColumn("vote", enzymes.code_vote("code"))
+    return voted.select("p_partkey", "vote.classification", r6("vote.confidence").alias("confidence"))
+
+
+EVIDENCE = "CASE event_id % 3 WHEN 0 THEN 'signature' WHEN 1 THEN 'tailoring' ELSE 'mixed' END"
+
+
+@query(f"""WITH s AS (SELECT user_id, coalesce(sum(abs(value)) FILTER (l = 'signature'), 0) AS s, coalesce(sum(abs(value)) FILTER (l = 'tailoring'), 0) AS t, sum(abs(value)) AS n FROM (SELECT user_id, value, {EVIDENCE} AS l FROM events) GROUP BY user_id),
+  r AS (SELECT user_id, n, s / n AS s, t / n AS t FROM s)
+  SELECT user_id, CASE WHEN n = 0 THEN 'unknown' WHEN s > 0.6 THEN 'signature' WHEN t > 0.6 THEN 'tailoring' WHEN s > t AND s > 0.4 THEN 'signature' WHEN t > s AND t > 0.4 THEN 'tailoring' ELSE 'mixed' END AS result,
+    round(CASE WHEN n = 0 THEN 0 WHEN s > 0.6 THEN s WHEN t > 0.6 THEN t WHEN s > t AND s > 0.4 THEN s * 0.85 WHEN t > s AND t > 0.4 THEN t * 0.85 ELSE greatest(s, t, 1 - s - t) END, 6) AS confidence FROM r""")
+def f_consensus(t):
+    seen = t("events").select("user_id", F.expr(EVIDENCE).alias("label"), F.abs("value").alias("sure"))
+    return enzymes.consensus(seen, "user_id", "label", "sure").withColumn("confidence", r6("confidence"))
+
+
+DOMAIN = "CASE p_partkey % 5 WHEN 0 THEN 'PKS ' WHEN 1 THEN 'Methyl ' WHEN 2 THEN 'kinase ' WHEN 3 THEN 'Acyltransferase ' ELSE '' END || p_type"
+LINE_CODE = "CASE WHEN l_linenumber = 6 THEN 'UNKNOWN' ELSE concat_ws('.', 2, l_linenumber, 1, l_suppkey) END"
+
+
+@query(f"""WITH c AS (SELECT l_returnflag, l_suppkey::VARCHAR AS protein, {LINE_CODE} AS code FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY l_orderkey, l_linenumber) = 1),
+  d AS (SELECT (p_partkey % 70)::VARCHAR AS protein, {DOMAIN} AS d FROM part), k AS (SELECT protein, d, regexp_matches(lower(d), '{"|".join(enzymes.SIGNATURE_WORDS)}') AS s, regexp_matches(lower(d), '{"|".join(enzymes.TAILORING_WORDS)}') AS t FROM d),
+  a AS (SELECT protein, string_agg(d, ',' ORDER BY d) AS domains, coalesce(string_agg(d, ',' ORDER BY d) FILTER (s), '') AS signature_domains, coalesce(string_agg(d, ',' ORDER BY d) FILTER (t AND NOT s), '') AS tailoring_domains FROM k GROUP BY protein),
+  j AS (SELECT c.*, coalesce(domains, '') AS domains, coalesce(signature_domains, '') AS signature_domains, coalesce(tailoring_domains, '') AS tailoring_domains FROM c LEFT JOIN a ON a.protein = c.protein)
+  SELECT *, CASE WHEN starts_with(code, '2.1.1.') OR contains(lower(domains), 'methyl') THEN 'tailoring' WHEN starts_with(code, '2.3.1.') OR contains(lower(domains), 'synth') THEN 'signature' ELSE 'unknown' END AS enzyme_class,
+    round(0.5 + CASE WHEN code <> 'UNKNOWN' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN signature_domains <> '' AND tailoring_domains <> '' THEN 0.3::DOUBLE WHEN signature_domains <> '' OR tailoring_domains <> '' THEN 0.2 ELSE 0 END, 6) AS confidence_score FROM j""")
+def j_domain_codes(t):
+    codes = t("lineitem").select("l_returnflag", F.col("l_suppkey").cast("string").alias("protein"), F.expr(LINE_CODE).alias("code"), F.struct("l_orderkey", "l_linenumber").alias("place"))
+    held = t("part").select((F.col("p_partkey") % 70).cast("string").alias("protein"), F.expr(DOMAIN).alias("d"))
+    got = enzymes.integrate(codes, held, "l_returnflag", "protein", "code", "d", "place")
+    return got.withColumns({c: joined(c) for c in ("domains", "signature_domains", "tailoring_domains")} | {"confidence_score": r6("confidence_score")})
