@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.llm import mixing, packing, quality_rules, simhash_dedup, suffix_dedup
+from locusweave.llm import mixing, near_copies, packing, quality_rules, simhash_dedup, suffix_dedup
 from locusweave.llm.common import small_batches, written
 
 #: SQL can't express perplexity models, SimHash or tokenizers; tests hold the stages against brute force.
@@ -23,9 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each near-duplicate group."""
+    """One document, the one with the smallest id, of each group joined by resemblance 0.8 or more of 5-word shingles."""
     small_batches(spark)
-    return simhash_dedup.keep_one(docs, simhash_dedup.near_groups(docs, words=4, radius=4))
+    return simhash_dedup.keep_one(docs, near_copies.near_copies(docs, words=5, least=0.8))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

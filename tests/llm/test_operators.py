@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusweave.llm import chat_format, html_text, media_columns, mixing, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filters
+from locusweave.llm import chat_format, html_text, media_columns, mixing, near_copies, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk string, _k1 string, id string"
 RND = random.Random(11)
@@ -90,6 +90,41 @@ def test_simhash(docs, none):
     assert set(zero) == {"0" * 16}
 
 
+@pytest.mark.parametrize("held", [2_000_000, 600])
+def test_near_copies(spark, none, held):
+    """Pairs planted at resemblance 0.7 to 0.95 fall together exactly from 0.8 on, and so does the pipeline's stage."""
+    import corpus_pipeline
+
+    rnd, rows = random.Random(5), []
+    for at in range(60):
+        words = [f"v{rnd.randrange(5000)}" for _ in range(rnd.choice([24, 60, 250, 900]))]
+        rows.append((2 * at, " ".join(words)))
+        for k in rnd.sample(range(len(words)), max(1, int(len(words) * rnd.uniform(0.004, 0.036)))):
+            words[k] = f"n{at}"
+        rows.append((2 * at + 1, " ".join(words).upper()))
+    rows += [(200, "the line " * 90), (201, "the line " * 9), (202, None), (203, " "), (204, "one two"), (205, "ONE  two"), (None, rows[0][1])]
+
+    def bag(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [bag(t) for _, t in rows]
+    root, near = list(range(len(rows))), []
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            near += [alike] * (0.8 <= alike < 0.95)
+            if alike >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert len(near) >= 10 and len(set(root)) > 62
+    told = {k: min(rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None) for i, (k, _) in enumerate(rows)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df, tile=16, held=held).collect()} == told
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()]
+    assert sorted(k for k in kept if k is not None) == sorted(set(told.values()))
+    assert near_copies.near_copies(none).count() == 0
+
+
 def test_quality(docs, none):
     a = quality_rules.quality(docs).collect()
     b = quality_rules.quality(docs, most_sent=0).collect()
