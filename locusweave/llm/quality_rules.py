@@ -190,11 +190,12 @@ def _by_table(docs: DataFrame, model: PerplexityModel, id_col: str, text_col: st
     return rows.join(model.table, ["lang", "gram"]).groupBy("k1", "k2", "lang").agg(F.sum(F.col("times") * F.col("logp")).alias("table_prob"))
 
 
-def bands(scored: DataFrame, width: float = 6.0, least: float = 0.35) -> DataFrame:
-    """(lang, low, high) of log perplexity: median -/+ max(least, width * 1.4826 * MAD).
+def bands(scored: DataFrame, width: float = 6.0) -> DataFrame:
+    """(lang, low, high) of log perplexity: median -/+ width * 1.4826 * MAD, the language's own spread alone.
 
     Both medians come from a histogram in steps of 0.001 over all documents with 20 words or more, so a
-    language with most of the rows is only counted, never collected.
+    language with most of the rows is only counted, never collected; the MAD is taken a step wider, as the
+    histogram can't tell less. Under 20 such documents tell no spread: no band, so none is rejected by it.
     """
 
     def median(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -206,8 +207,9 @@ def bands(scored: DataFrame, width: float = 6.0, least: float = 0.35) -> DataFra
     base = scored.where("n_words >= 20 and log_ppl is not null").groupBy("lang", F.round("log_ppl", 3).alias("x")).agg(F.count("*").alias("times"))
     mid = median(base, F.col("x"), "mid")
     mad = median(base.join(mid, "lang"), F.abs(F.col("x") - F.col("mid")), "mad")
-    half = F.greatest(F.lit(least), F.lit(width * 1.4826) * F.col("mad"))
-    return mid.join(mad, "lang").select("lang", (F.col("mid") - half).alias("low"), (F.col("mid") + half).alias("high"))
+    half = F.lit(width * 1.4826) * (F.col("mad") + 0.001)
+    enough = base.groupBy("lang").agg(F.sum("times").alias("docs")).where("docs >= 20").select("lang")
+    return mid.join(mad, "lang").join(enough, "lang").select("lang", (F.col("mid") - half).alias("low"), (F.col("mid") + half).alias("high"))
 
 
 def _judged(df: DataFrame, band: DataFrame) -> DataFrame:

@@ -135,6 +135,20 @@ def test_quality(docs, none):
     assert quality_rules.keep_good(docs).count() == sum(r["kept"] for r in a)
 
 
+def test_quality_rejects_planted_junk(spark):
+    """Texts filled with symbols fall out of their language's own band, clean ones and a language of few texts stay."""
+    rnd = random.Random(8)
+    parts = "an er in on th re at en nd ti es or te of ed is it al ar st".split()
+    clean = [" ".join("".join(rnd.choices(parts, k=rnd.randrange(1, 5))) for _ in range(rnd.randrange(400, 500))) for _ in range(120)]
+    junk = [" ".join(w + "".join(rnd.choices("#$%&*|", k=2)) * (i % 3 == 0) for i, w in enumerate(c.split())) for c in clean[:4]]
+    rows = [(i, c, "en") for i, c in enumerate(clean)] + [(1000 + i, c, "en") for i, c in enumerate(junk)] + [(2000, clean[5], "xx"), (2001, junk[0], "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.quality(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {k for k, r in got.items() if not r["kept"]} == set(range(1000, 1004))
+    assert {r["doc_id"] for r in quality_rules.keep_good(df).collect()} == {k for k, r in got.items() if r["kept"]}
+
+
 def test_kneser_ney_sums_to_one(spark):
     text = spark.createDataFrame([("abcabdabcabe" * 9,)], "t string")
     model = quality_rules.kneser_ney(quality_rules.gram_counts(text, "t", F.lit("x")))
