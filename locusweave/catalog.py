@@ -581,9 +581,10 @@ def n_shuffled_enrichment(t):
 @query()
 def n_empirical_p(t):
     g = genes(t)
-    moved = nulls.permute(g, ["event_type"], ["user_id"], "idx", 20)
-    pairs_ = moved.withColumn("prev", F.lag("event_type").over(win.Window.partitionBy("user_id", "iter").orderBy("idx"))).where("prev = event_type")
-    p = nulls.empirical_p(pairs_.groupBy("iter").agg(F.count("*").alias("n")), 2000.0)
+    moved = nulls.permute(g, ["event_type"], ["user_id"], "idx", 200)
+    prev = lambda d, part: d.withColumn("prev", F.lag("event_type").over(win.Window.partitionBy(*part).orderBy("idx")))
+    n = F.count_if(F.col("prev") == F.col("event_type")).alias("n")
+    p = nulls.empirical_p(prev(moved, ["user_id", "iter"]).groupBy("iter").agg(n), prev(g, ["user_id"]).agg(n))
     return p.select(*[r6(c).alias(c) for c in p.columns])
 
 

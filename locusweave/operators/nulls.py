@@ -23,11 +23,12 @@ def enrichment(real: DataFrame, shuffled: DataFrame, key: list[str]) -> DataFram
     return out.withColumn("enrichment", F.when(F.col("mean_shuffled") == 0, F.lit(float("inf"))).otherwise(F.col("n") / F.col("mean_shuffled")))
 
 
-def empirical_p(shuffled: DataFrame, real: float, value: str = "n") -> DataFrame:
-    """Moments and quantiles of the shuffled counts, z, and one- and two-sided empirical p of `real`."""
-    base = shuffled.crossJoin(F.broadcast(shuffled.agg(F.avg(value).alias("_m"))))
+def empirical_p(shuffled: DataFrame, real: DataFrame, value: str = "n") -> DataFrame:
+    """Moments and quantiles of the shuffled counts, z, and one- and two-sided empirical p of `value` in the one row of `real`."""
+    base = shuffled.crossJoin(F.broadcast(shuffled.agg(F.avg(value).alias("_m")))).crossJoin(F.broadcast(real.select(F.col(value).alias("_real"))))
+    real = F.col("_real")
     return base.agg(
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.percentile(value, F.lit(0.25)).alias("q25"), F.percentile(value, F.lit(0.75)).alias("q75"), F.try_divide(F.lit(real) - F.avg(value), F.stddev_pop(value)).alias("z"),
-        (F.count_if(F.col(value) >= real) / F.count("*")).alias("p_one"), (F.count_if(F.abs(F.col(value) - F.col("_m")) >= F.abs(F.lit(real) - F.col("_m"))) / F.count("*")).alias("p_two"),
+        F.percentile(value, F.lit(0.25)).alias("q25"), F.percentile(value, F.lit(0.75)).alias("q75"), F.try_divide(F.first(real) - F.avg(value), F.stddev_pop(value)).alias("z"),
+        (F.count_if(F.col(value) >= real) / F.count("*")).alias("p_one"), (F.count_if(F.abs(F.col(value) - F.col("_m")) >= F.abs(real - F.col("_m"))) / F.count("*")).alias("p_two"),
     )

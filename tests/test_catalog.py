@@ -70,3 +70,13 @@ def test_permutation_keeps_labels(spark):
     got = nulls.permute(df, ["v"], ["s"], "id", 2)
     for it in (1, 2):
         assert sorted(r["v"] for r in got.where(f"iter = {it}").collect()) == sorted(r["v"] for r in df.collect())
+
+
+def test_empirical_p_of_the_table(spark):
+    """The observed count is the table's own, the null 200 shuffles."""
+    rows = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "ts", "event_id", "event_type").collect()
+    rows.sort(key=lambda r: (r["user_id"], r["ts"], r["event_id"]))
+    real = sum(a["user_id"] == b["user_id"] and a["event_type"] == b["event_type"] for a, b in zip(rows, rows[1:]))
+    got = catalog.QUERIES["n_empirical_p"](spark, SF).first()
+    assert abs(got["z"] - (real - got["mean"]) / got["sd"]) < 1e-4
+    assert abs(got["p_one"] * 200 - round(got["p_one"] * 200)) < 1e-3 and abs(got["p_two"] * 200 - round(got["p_two"] * 200)) < 1e-3
