@@ -10,6 +10,9 @@ found none. Heights come from the counts per size, at most one row for each size
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,9 +29,22 @@ END = 2
 CACHE = 400_000
 
 
+def _added(path: str) -> list[dict]:
+    """Added tokens of the tokenizer's JSON beside the ranks file; none where there is no such file."""
+    told = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(told):
+        return []
+    with open(told, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+        raise ValueError(f"{told}: added tokens that take in or ask for what stands beside them")
+    return tokens
+
+
 class _Ids(dict):
     """Packed ids of ' ' + word, filled on demand. Cutting before a space that stands between two
-    other characters never changes the ids, so a text is the sum of its words."""
+    other characters never changes the ids, so a text is the sum of its words. Added tokens in a text are cut
+    out first and have ids of their own."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -36,6 +52,8 @@ class _Ids(dict):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.coder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in _added(path)}
+        self.at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def packed(self, text: str) -> bytes:
         return np.asarray(self.coder.encode_ordinary(text), "<u4").tobytes()
@@ -47,6 +65,11 @@ class _Ids(dict):
         return ids
 
     def of(self, text: str) -> bytes:
+        if self.at is None or not self.at.search(text):
+            return self.plain(text)
+        return b"".join([self.added[t] if k % 2 else self.plain(t) for k, t in enumerate(self.at.split(text))])
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         first, *words = text.split(" ")

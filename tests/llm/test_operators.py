@@ -195,6 +195,19 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_added_tokens():
+    """Ids of texts that hold added tokens literally equal those of `tokenizers` in its default setting."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    for t in ("a <|endoftext|> b", end, end * 2, f"one two{end}three  four \n{end}", f" {end} ", "<|endoftext| >", f"<{end}|>", "plain words", ""):
+        ids = np.frombuffer(packing.token_ids(t, *packing.default_tokenizer()), "<u4").tolist()
+        assert ids == coder.encode(t, add_special_tokens=False).ids, t
+
+
 def test_chat(spark):
     rows = [(c, t, r, x) for c in (1, None, 3) for t, r, x in ((0, "system", "be \\kind ### x"), (1, "user", "a </turn>\n b"), (2, "assistant", "w " * 300), (2, None, None), (3, "assistant", "\\### Assistant: </turn> ok"))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(2)
