@@ -1,10 +1,11 @@
 """Best-fit packing in bulk-synchronous rounds.
 
-A round range-sorts the gaps of the open sequences (documents are range-sorted once), sweeps both in order
-of falling size and lets every document take the closest gap before it that no larger document took. Read
-as brackets, a gap opens and a document closes: pairs are the neighbours at one nesting height, and ranks
-within a size settle which document meets which gap. Gaps are then updated, and sequences opened for what
-found none. Heights come from the counts per size, at most one row for each size up to the capacity.
+Spark range-sorts the documents by falling size and ranks those of one size. A round takes the documents of the
+next size, all at once: each looks for its successor among the sorted gaps, the least gap that holds it, ranks
+settle which document meets which gap, the gaps are updated, and sequences are opened for what found none. Gaps
+that were made alike stay alike, so a round sweeps runs of equal gaps: their number is bounded by the capacity,
+never by the rows, and the result is that of sequential best-fit decreasing. Every task then sweeps its sorted
+documents along the granted ranks.
 """
 
 from __future__ import annotations
@@ -14,19 +15,22 @@ import json
 import os
 import re
 import zlib
+from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import written
 
 #: The id that ends a document.
 END = 2
-#: Distinct words whose ids a task keeps.
-CACHE = 400_000
+#: Text cut before spaces and line ends keeps its ids only where white space stands alone.
+CROWDED = r"[ \n][\s\x0b\x1c-\x1f\x85\p{Z}]|[\s\x0b\x1c-\x1f\x85\p{Z}][ \n]|\A[\s\x0b\x1c-\x1f\x85\p{Z}]|[\s\x0b\x1c-\x1f\x85\p{Z}]\z"
 
 
 def _added(path: str) -> list[dict]:
@@ -41,51 +45,66 @@ def _added(path: str) -> list[dict]:
     return tokens
 
 
-class _Ids(dict):
-    """Packed ids of ' ' + word, filled on demand. Cutting before a space that stands between two
-    other characters never changes the ids, so a text is the sum of its words. Added tokens in a text are cut
-    out first and have ids of their own."""
+class _Ids:
+    """Ids of texts. Cutting before a space or line end that stands alone never changes the ids, so a batch is
+    tokenized as its distinct words. Added tokens in a text are cut out first and have ids of their own."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.coder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in _added(path)}
+        self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)
+        self.opens[[i for b, i in ranks.items() if b[:1] in (b" ", b"\n")]] = True
+        self.added = {t["content"]: t["id"] for t in _added(path)}
         self.at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
-    def packed(self, text: str) -> bytes:
-        return np.asarray(self.coder.encode_ordinary(text), "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = ids = self.packed(" " + word)
-        return ids
-
-    def of(self, text: str) -> bytes:
+    def of(self, text: str) -> list[int]:
         if self.at is None or not self.at.search(text):
-            return self.plain(text)
-        return b"".join([self.added[t] if k % 2 else self.plain(t) for k, t in enumerate(self.at.split(text))])
-
-    def plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *words = text.split(" ")
-        if first[-1:].isspace() or not all(words) or any(w[-1].isspace() for w in words[:-1]):
-            return self.packed(text)  # a space beside other white space: not cut
-        return self.packed(first) + b"".join([self[w] for w in words])
+            return self.encode(text)
+        return [i for k, t in enumerate(self.at.split(text)) for i in ([self.added[t]] if k % 2 else self.encode(t))]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of each text's ids)."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, CROWDED)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        words = pc.split_pattern(pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n"), " ")
+        n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(n_words)
+        flat = words.flatten().dictionary_encode()
+        place, kinds = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+        # An empty word stands only where a text is empty or not cut, as its first; firsts get ids of their own.
+        told = self.encode((" " + " ".join(w or "-" for w in kinds)).replace(" \n", "\n")) if kinds else []
+        starts = np.flatnonzero(self.opens[np.asarray(told, np.int64)])
+        if len(starts) != len(kinds):
+            raise ValueError("words and ids do not agree")
+        firsts = [self.of(t.as_py()) if w else self.encode(kinds[k]) for t, w, k in zip(texts, whole.to_pylist(), place[ends - n_words].tolist())]
+        sizes = np.fromiter(map(len, firsts), np.int64, len(firsts))
+        pool = np.fromiter((i for x in (told, *firsts) for i in x), np.uint32, len(told) + int(sizes.sum()))
+        begin = np.concatenate((starts, len(told) + np.cumsum(sizes) - sizes))
+        length = np.concatenate((np.diff(starts, append=len(told)), sizes))
+        place[ends - n_words] = len(kinds) + np.arange(len(firsts))
+        many = length[place]
+        upto = np.cumsum(many)
+        ids = pool[np.repeat(begin[place] - (upto - many), many) + np.arange(int(many.sum()))]
+        return ids, np.diff(np.concatenate(([0], upto))[np.concatenate(([0], ends))])
 
 
 _CODERS: dict[str, _Ids] = {}
 
 
-def token_ids(text: str, path: str, pattern: str) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit numbers."""
+def _coder(path: str, pattern: str) -> _Ids:
     if path not in _CODERS:
         _CODERS[path] = _Ids(path, pattern)
-    return _CODERS[path].of(text)
+    return _CODERS[path]
+
+
+def token_ids(text: str, path: str, pattern: str) -> bytes:
+    """The text's ids as little-endian unsigned 32-bit numbers."""
+    return _coder(path, pattern).batch(pa.array([text]))[0].astype("<u4").tobytes()
 
 
 def default_tokenizer() -> tuple[str, str]:
@@ -103,128 +122,104 @@ def pieces(docs: DataFrame, *, capacity: int = 1024, tokenizer: tuple[str, str]
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
     end = np.asarray([END], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(path, pattern)
+        for batch in batches:
+            ids, counts = coder.batch(batch.column("text"))
+            raw, at = ids.astype("<u4").tobytes(), 0
             rows, who = [], []
-            for at, text in enumerate(pdf["text"]):
-                ids = token_ids(text or "", path, pattern) + end
-                n = len(ids) // 4
-                start, length, k = 0, (n - 1) % capacity + 1, 0
+            for k, n in enumerate((counts + 1).tolist()):
+                mine, at = raw[at : at + 4 * n - 4] + end, at + 4 * n - 4
+                start, length, piece = 0, (n - 1) % capacity + 1, 0
                 while start < n:
-                    part = ids[4 * start : 4 * (start + length)]
-                    rows.append((k, start, length, zlib.crc32(part), *[part] * with_ids))
-                    who.append(at)
-                    start, length, k = start + length, capacity, k + 1
-            out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-            out.insert(0, "id", pdf["id"].to_numpy()[who])
-            yield out
+                    part = mine[4 * start : 4 * (start + length)]
+                    rows.append((piece, start, length, zlib.crc32(part), *[part] * with_ids))
+                    who.append(k)
+                    start, length, piece = start + length, capacity, piece + 1
+            cols = list(zip(*rows)) or [()] * (4 + with_ids)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(who, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def _ranked(rows: DataFrame, key: str, size: str) -> tuple[DataFrame, dict[int, int]]:
-    """`rows` with their rank among those of equal size, and the count of each size, by one range sort.
+def _ranked(rows: DataFrame, length: str, key: str) -> tuple[DataFrame, dict[tuple[int, int], int], dict[int, int]]:
+    """`rows` sorted by falling length over range partitions with their place _at, the rank at which each (partition,
+    length) starts less its first place, and the count of each length.
 
-    Sizes with many rows spread over partitions; what the driver sees is a row for each partition and each
-    size that starts in it.
+    Ties are dealt by the hash of `key`, so a length with most of the rows spreads over partitions. What the driver
+    sees is a row for each partition and each length that starts in it.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(rows.repartitionByRange(n, F.col(size).desc(), key).sortWithinPartitions(F.col(size).desc(), key).withColumn("at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(2**33 - 1)
-    runs = sorted((r["part"], -r["size"], r["first"], r["n"]) for r in placed.groupBy(part.alias("part"), F.col(size).alias("size")).agg(F.min(place).alias("first"), F.count("*").alias("n")).collect())
-    counts: dict[int, int] = {}
-    shifts = []
-    for p, minus, first, n in runs:
-        shifts.append((p, -minus, counts.get(-minus, 0) - first))
-        counts[-minus] = counts.get(-minus, 0) + n
-    table = rows.sparkSession.createDataFrame(shifts, "part long, size long, shift long")
-    ranked = placed.withColumn("part", part).join(F.broadcast(table.withColumnRenamed("size", size)), ["part", size])
-    return ranked.select(key, size, (place + F.col("shift")).alias("rank")), counts
-
-
-def _sweep(gaps: dict[int, int], docs: dict[int, int]) -> tuple[dict[int, int], dict[int, tuple[int, int]], dict[int, int]]:
-    """Heights at which each gap size starts, (height above, matched) of each document size, gaps after it."""
-    base, met, stack, after, depth = {}, {}, [], {}, 0
-    for size in sorted(set(gaps) | set(docs), reverse=True):
-        if n := gaps.get(size, 0):
-            base[size] = depth
-            stack.append([size, n])
-            depth += n
-        if m := min(docs.get(size, 0), depth):
-            met[size] = (depth, m)
-            depth -= m
-            while m:
-                take = min(m, stack[-1][1])
-                after[stack[-1][0] - size] = after.get(stack[-1][0] - size, 0) + take
-                stack[-1][1] -= take
-                m -= take
-                if not stack[-1][1]:
-                    stack.pop()
-    for size, n in stack:
-        after[size] = after.get(size, 0) + n
-    return base, met, after
+    order = [F.col(length).desc(), F.xxhash64(key)]
+    placed = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("_at", 33).alias("part"), F.col("_at").bitwiseAND(2**33 - 1)
+    runs = placed.groupBy(part, F.col(length).alias("size")).agg(F.min(place).alias("first"), F.count("*").alias("n")).collect()
+    counts: dict[int, int] = defaultdict(int)
+    shifts: dict[tuple[int, int], int] = {}
+    for r in sorted(runs, key=lambda r: r["part"]):
+        shifts[r["part"], r["size"]] = counts[r["size"]] - r["first"]
+        counts[r["size"]] += r["n"]
+    return placed, shifts, counts
+
+
+def matched(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Grants (size, rank, sequence, each, offset), in order of size and rank: documents of `size` from `rank` on
+    fill the sequences from `sequence` on, `each` of them in one, from `offset` on.
+
+    One round for each size. `gaps` holds runs (gap, first sequence, how many) in order.
+    """
+    gaps: list[tuple[int, int, int]] = []
+    grants, opened = [], 0
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            at = bisect_left(gaps, (size,))
+            if at < len(gaps):
+                gap, first, n = gaps.pop(at)
+            else:
+                gap, first, n = capacity, opened, -(-left // (capacity // size))
+                opened += n
+            each = gap // size
+            full, rest = divmod(min(left, n * each), each)
+            grants.append((size, rank, first, each, capacity - gap))
+            used = full + (rest > 0)
+            for g, f, m in ((gap - each * size, first, full), (gap - rest * size, first + full, int(rest > 0)), (gap, first + used, n - used)):
+                if m and g:
+                    insort(gaps, (g, f, m))
+            rank, left = rank + full * each + rest, left - full * each - rest
+    return sorted(grants)
 
 
 def best_fit(items: DataFrame, *, capacity: int = 1024, key: str = "pid", length: str = "length") -> DataFrame:
-    """(key, sequence_id, offset): every item placed whole into sequences of at most `capacity`.
+    """`items` with their sequence_id and offset: every item placed whole into sequences of at most `capacity`.
 
-    Keys are unique numbers; lengths lie in 1..capacity. A sequence is named by the key of its first item.
+    Lengths lie in 1..capacity; keys tell ties apart and need not be unique.
     """
-    spark = items.sparkSession
-    ranked, left = _ranked(items.select(F.col(key).alias("pid"), F.col(length).cast("long").alias("length")), "pid", "length")
-    ranked = written(ranked, "items")
-    used = dict.fromkeys(left, 0)
-    placed: list[DataFrame] = []
-    gaps: DataFrame | None = None
-
-    def take(table: list[tuple[int, int, int, int]]) -> DataFrame:
-        """The items whose ranks the table grants: (length, from, to, height above)."""
-        told = spark.createDataFrame(table, "length long, low long, high long, top long")
-        return ranked.join(F.broadcast(told), "length").where("rank >= low and rank < high").select("pid", "length", (F.col("top") - 1 - F.col("rank") + F.col("low")).alias("height"))
-
-    def opened(grant: dict[int, int]) -> DataFrame:
-        """Sequences whose first items are the next ones of the granted sizes."""
-        seeds = take([(s, used[s], used[s] + n, 0) for s, n in grant.items() if n])
-        for s, n in grant.items():
-            used[s], left[s] = used[s] + n, left[s] - n
-        placed.append(seeds.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-        return seeds.select(F.col("pid").alias("seq"), (capacity - F.col("length")).alias("gap")).where("gap > 0")
-
-    gaps = opened({s: n for s, n in left.items() if 2 * s > capacity})
-    while any(left.values()):
-        open_, counts = _ranked(gaps, "seq", "gap")
-        before = sum(left.values())
-        base, met, after = _sweep(counts, {s: n for s, n in left.items() if n})
-        if met:
-            docs = take([(s, used[s], used[s] + m, top) for s, (top, m) in met.items()]).select("height", F.col("length").alias("size"), F.lit(1).alias("is_doc"), F.col("pid").alias("id"))
-            starts = F.broadcast(spark.createDataFrame(list(base.items()), "gap long, base long"))
-            holes = open_.join(starts, "gap").select((F.col("base") + F.col("rank")).alias("height"), F.col("gap").alias("size"), F.lit(0).alias("is_doc"), F.col("seq").alias("id"))
-            side = Window.partitionBy("height").orderBy(F.col("size").desc(), "is_doc")
-            # Gap and document take turns at a height, so a group has two rows for each size at most.
-            met_rows = docs.unionByName(holes).select("*", F.lag(F.struct("id", "size")).over(side).alias("hole"), F.lead("size").over(side).alias("next"), F.lead("is_doc").over(side).alias("next_doc"))
-            met_rows = cut(met_rows)
-            placed.append(met_rows.where("is_doc = 1").select(F.col("id").alias("pid"), F.col("hole.id").alias("sequence_id"), (capacity - F.col("hole.size")).alias("offset")))
-            gaps = met_rows.where("is_doc = 0").select(F.col("id").alias("seq"), (F.col("size") - F.when(F.col("next_doc") == 1, F.col("next")).otherwise(0)).alias("gap")).where("gap > 0")
-            for s, (_, m) in met.items():
-                used[s], left[s] = used[s] + m, left[s] - m
-        rest = {s: n for s, n in left.items() if n}
-        if rest:
-            volume, least = sum(s * n for s, n in rest.items()), min(rest)
-            free = sum(s * n for s, n in after.items() if s >= least)
-            need = -(-max(0, volume - free) // capacity)
-            if before - sum(rest.values()) < 0.02 * before:
-                need = -(-volume // capacity)
-            grant: dict[int, int] = {}
-            for s in sorted(rest, reverse=True):
-                grant[s] = min(rest[s], need)
-                need -= grant[s]
-            if any(grant.values()):
-                gaps = gaps.unionByName(opened(grant))
-    out = placed[0]
-    for more in placed[1:]:
-        out = out.unionByName(more)
-    return out.withColumnRenamed("pid", key)
+    placed, shifts, counts = _ranked(items, length, key)
+    if counts and not 1 <= min(counts) <= max(counts) <= capacity:
+        raise ValueError(f"lengths from {min(counts)} to {max(counts)} for a capacity of {capacity}")
+    grants = np.array(matched(counts, capacity), np.int64).reshape(-1, 5)
+    wide = np.int64(1) << 40  # of ranks of one size
+    starts = grants[:, 0] * wide + grants[:, 1]
+    tops = np.array(sorted((p * wide + s, x) for (p, s), x in shifts.items()), np.int64).reshape(-1, 2)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, size = batch.column("_at").to_numpy(), batch.column(length).to_numpy().astype(np.int64)
+            rank = (at & (2**33 - 1)) + tops[np.searchsorted(tops[:, 0], (at >> 33) * wide + size), 1]
+            _, low, first, each, offset = grants[np.searchsorted(starts, size * wide + rank, side="right") - 1].T
+            k = rank - low
+            kept = [i for i, n in enumerate(batch.schema.names) if n != "_at"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in kept), pa.array(first + k // each), pa.array(offset + k % each * size)],
+                names=[*(batch.schema.names[i] for i in kept), "sequence_id", "offset"],
+            )
+
+    schema = items.schema.add("sequence_id", "long").add("offset", "long")
+    return placed.mapInArrow(sweep, schema)
 
 
 def pack(docs: DataFrame, *, capacity: int = 1024, tokenizer: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -235,4 +230,4 @@ def pack(docs: DataFrame, *, capacity: int = 1024, tokenizer: tuple[str, str] |
     """
     cut_up = pieces(docs, capacity=capacity, tokenizer=tokenizer, id_col=id_col, text_col=text_col, with_ids=with_ids)
     rows = written(cut_up.withColumn("pid", F.monotonically_increasing_id()), "pieces")
-    return rows.join(best_fit(rows.select("pid", "length"), capacity=capacity), "pid").drop("pid").withColumnRenamed("id", id_col)
+    return best_fit(rows, capacity=capacity).drop("pid").withColumnRenamed("id", id_col)
