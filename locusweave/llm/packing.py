@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .common import written
 
 #: The id that ends a document.
 END = 2
+#: Text that is tokenized at once inside a task; has no part in the result.
+BYTES = 8 << 20
 #: Text cut before spaces and line ends keeps its ids only where white space stands alone.
 CROWDED = r"[ \n][\s\x0b\x1c-\x1f\x85\p{Z}]|[\s\x0b\x1c-\x1f\x85\p{Z}][ \n]|\A[\s\x0b\x1c-\x1f\x85\p{Z}]|[\s\x0b\x1c-\x1f\x85\p{Z}]\z"
 
@@ -75,15 +78,16 @@ class _Ids:
         n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(n_words)
         flat = words.flatten().dictionary_encode()
-        place, kinds = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+        place, kinds = flat.indices.to_numpy().astype(np.int64), flat.dictionary
         # An empty word stands only where a text is empty or not cut, as its first; firsts get ids of their own.
-        told = self.encode((" " + " ".join(w or "-" for w in kinds)).replace(" \n", "\n")) if kinds else []
-        starts = np.flatnonzero(self.opens[np.asarray(told, np.int64)])
+        line = pc.binary_join(pa.ListArray.from_arrays([0, len(kinds)], pc.if_else(pc.equal(kinds, ""), "-", kinds)), " ")[0].as_py()
+        told = np.array(self.encode((" " + line).replace(" \n", "\n")) if line else [], np.uint32)
+        starts = np.flatnonzero(self.opens[told])
         if len(starts) != len(kinds):
             raise ValueError("words and ids do not agree")
-        firsts = [self.of(t.as_py()) if w else self.encode(kinds[k]) for t, w, k in zip(texts, whole.to_pylist(), place[ends - n_words].tolist())]
+        firsts = [self.of(t) if w else self.encode(t) for t, w in zip(pc.if_else(whole, texts, kinds.take(pa.array(place[ends - n_words]))).to_pylist(), whole.to_pylist())]
         sizes = np.fromiter(map(len, firsts), np.int64, len(firsts))
-        pool = np.fromiter((i for x in (told, *firsts) for i in x), np.uint32, len(told) + int(sizes.sum()))
+        pool = np.concatenate((told, np.fromiter(chain.from_iterable(firsts), np.uint32, int(sizes.sum()))))
         begin = np.concatenate((starts, len(told) + np.cumsum(sizes) - sizes))
         length = np.concatenate((np.diff(starts, append=len(told)), sizes))
         place[ends - n_words] = len(kinds) + np.arange(len(firsts))
@@ -93,6 +97,19 @@ class _Ids:
         return ids, np.diff(np.concatenate(([0], upto))[np.concatenate(([0], ends))])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to BYTES: words repeat more often in a larger one."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 _CODERS: dict[str, _Ids] = {}
 
 
@@ -124,7 +141,7 @@ def pieces(docs: DataFrame, *, capacity: int = 1024, tokenizer: tuple[str, str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
-        for batch in batches:
+        for batch in _gathered(batches):
             ids, counts = coder.batch(batch.column("text"))
             raw, at = ids.astype("<u4").tobytes(), 0
             rows, who = [], []
