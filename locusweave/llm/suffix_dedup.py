@@ -4,6 +4,7 @@ Anchors (the least hash of the k-grams of a window, so equal windows hold equal
 stand for runs of neighbouring window starts. Windows can only be equal under anchors with equal k-grams,
 so Spark groups anchors by k-gram and drops the lone ones; within a group the suffixes at the anchors are
 sorted deep-shallow, and equal windows follow from common prefixes to the right and left of the anchors.
+One sort tells windows of several widths.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import rolling, written
 
-GRAM = 128
+GRAM = 80
 #: Groups of more distinct contexts than this are settled window by window over all executors.
 WIDE = 4096
 BYTES = 1 << 20
@@ -108,9 +109,9 @@ def deep_shallow(strings: list[bytes], shallow: int = 160) -> list[int]:
     return out
 
 
-def equal_windows(lefts: list[bytes], rights: list[bytes], width: int) -> list[list[tuple[int, int]]]:
-    """For each member of a k-gram group, the ranges (from, to) of distances L such that the window of
-    `width` bytes that starts L before its anchor equals that of another member.
+def equal_runs(lefts: list[bytes], rights: list[bytes], least: int) -> list[list[tuple[int, int]]]:
+    """For each member of a k-gram group, pairs (left, right) of lengths: so many bytes before and after its
+    anchor stand around another member's too. Only pairs of `least` bytes or more in all.
 
     `lefts` are the contexts before the anchors, reversed. Members merge along the sorted lefts, longest
     common context first; in each merged set a member need only meet its neighbours in the order of the
@@ -119,10 +120,10 @@ def equal_windows(lefts: list[bytes], rights: list[bytes], width: int) -> list[l
     found: list[list[tuple[int, int]]] = [[] for _ in lefts]
 
     def meet(x: int, y: int, left: int) -> None:
-        least = width - common(rights[x], rights[y])
-        if least <= left:
-            found[x].append((least, left))
-            found[y].append((least, left))
+        right = common(rights[x], rights[y])
+        if left + right >= least:
+            found[x].append((left, right))
+            found[y].append((left, right))
 
     if len(lefts) == 2:
         meet(0, 1, common(lefts[0], lefts[1]))
@@ -178,9 +179,9 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors_of(texts: list[bytes], width: int, gram: int) -> pd.DataFrame:
-    """One row per anchor of texts of at least `width` bytes: text, at, lo, hi (places in the text; the
-    windows that start in lo..hi have it), gram hash and context hash."""
+def anchors_of(texts: list[bytes], width: int, gram: int, reach: int) -> pd.DataFrame:
+    """One row per anchor of texts of at least `width` bytes: text, at, lo and hi (its context, `reach` bytes to
+    both sides as far as the text goes), gram hash and hash of the context and the anchor's place in it."""
     whole = b"".join(texts)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.cumsum(sizes) - sizes
@@ -191,11 +192,11 @@ def anchors_of(texts: list[bytes], width: int, gram: int) -> pd.DataFrame:
     starts = np.arange(len(who)) - np.repeat(np.cumsum(sizes - width + 1) - (sizes - width + 1), sizes - width + 1) + begins[who]
     at = low[starts]
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (who[1:] != who[:-1]))))
-    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    lo, hi, at, who = starts[first], starts[last], at[first], who[first]
-    digest = xxhash.xxh3_64_intdigest
-    context = np.fromiter((digest(whole[i : j + width], seed=a - i) for i, j, a in zip(lo.tolist(), hi.tolist(), at.tolist())), np.uint64, len(lo))
+    at, who = at[first], who[first]
     base = begins[who]
+    lo, hi = np.maximum(at - reach, base), np.minimum(at + reach, base + sizes[who])
+    digest = xxhash.xxh3_64_intdigest
+    context = np.fromiter((digest(whole[i:j], seed=a - i) for i, j, a in zip(lo.tolist(), hi.tolist(), at.tolist())), np.uint64, len(lo))
     return pd.DataFrame({
         "who": who, "at": (at - base).astype(np.int32), "lo": (lo - base).astype(np.int32), "hi": (hi - base).astype(np.int32),
         "kh": h[at].view(np.int64), "cd": context.view(np.int64),
@@ -206,16 +207,23 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def remove_repeats(docs: DataFrame, *, width: int = 400, gram: int = GRAM, wide: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with a struct column _d: n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+def remove_repeats(
+    docs: DataFrame, *, width: int = 400, also: tuple[int, ...] = (), gram: int = GRAM, wide: int = WIDE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """`docs` with a struct column _d: n_bytes, n_removed, n_spans, kept_sha256, kept_text, also_removed.
 
     Removed is each byte covered by a string of `width` bytes that also starts anywhere else in the table,
-    the same text included. Null text: empty. Texts under `width` bytes lose nothing; repeated rows are
-    copies of each other. kept_text drops what is left of characters that a span cuts.
+    the same text included; also_removed counts what would go at each of the further widths `also`, found by the
+    same sort. Null text: empty. Texts under the least width lose nothing; repeated rows are copies of each other.
+    kept_text drops what is left of characters that a span cuts.
 
-    Rows with one id and text share a key, and so their spans; a k-gram of one context is counted, not
-    gathered, so copies cost one row however many there are.
+    Anchors are those of the least width, contexts reach as far as the greatest: a longer window holds an anchor of
+    each shorter one in it. Rows with one id and text share a key, and so their spans; a k-gram of one context is
+    counted, not gathered, so copies cost one row however many there are.
     """
+    widths = (width, *also)
+    least, reach = min(widths), max(widths)
+    gram = min(gram, least)
     keyed = docs.withColumns({"_k1": F.xxhash64(id_col), "_k2": F.xxhash64(text_col)})
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +231,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, gram: int = GRAM, wide:
             texts, rows, size = [], [], 0
 
             def out() -> pd.DataFrame:
-                got = anchors_of(texts, width, gram)
+                got = anchors_of(texts, least, gram, reach)
                 at = np.asarray(rows)[got.pop("who").to_numpy()]
                 got.insert(0, "k2", pdf["_k2"].to_numpy()[at])
                 got.insert(0, "k1", pdf["_k1"].to_numpy()[at])
@@ -231,7 +239,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, gram: int = GRAM, wide:
 
             for k, text in enumerate(pdf["text"]):
                 raw = _raw(text)
-                if len(raw) >= width:
+                if len(raw) >= least:
                     texts.append(raw)
                     rows.append(k)
                     size += len(raw)
@@ -242,13 +250,18 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, gram: int = GRAM, wide:
                 yield out()
 
     place = "k1 long, k2 long, at int, lo int, hi int, kh long, cd long"
-    anchors = written(keyed.select("_k1", "_k2", F.col(text_col).alias("text")).mapInPandas(find, place), "anchors")
+    every = written(keyed.select("_k1", "_k2", F.col(text_col).alias("text")).mapInPandas(find, place), "anchors")
+    # Most k-grams stand alone; only the others are grouped by context.
+    again = every.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
+    anchors = written(every.join(again, "kh", "left_semi"), "repeated-anchors")
     contexts = anchors.groupBy("kh", "cd").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one"))
     kinds = contexts.withColumn("kinds", F.count("*").over(Window.partitionBy("kh")))
     shared = written(kinds.where("n > 1 or kinds > 1").select("kh", "cd", "n", "kinds", "one.*"), "shared")
 
     # Contexts found twice or more: all their windows repeat, wherever they stand.
-    twice = anchors.join(shared.where("n > 1").select("kh", "cd"), ["kh", "cd"]).select("k1", "k2", F.col("lo").alias("from"), (F.col("hi") + width).alias("to"))
+    fits = F.explode(F.array(*[F.struct(F.lit(i).alias("w"), F.lit(w).alias("size")) for i, w in enumerate(widths)]))
+    twice = anchors.join(shared.where("n > 1").select("kh", "cd"), ["kh", "cd"]).select("k1", "k2", fits.alias("f"), F.col("lo").alias("from"), F.col("hi").alias("to"))
+    twice = twice.where("to - from >= f.size").select("k1", "k2", "f.w", "from", "to")
 
     several = shared.where("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("kh", "n", "kinds", "at", "lo", "hi")).alias("_a"))
     several = several.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
@@ -259,12 +272,12 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, gram: int = GRAM, wide:
             for k1, k2, text, held in zip(pdf["_k1"], pdf["_k2"], pdf[text_col], pdf["_a"]):
                 raw = _raw(text)
                 for a in held:
-                    rows.append((a["kh"], k1, k2, a["at"], a["lo"], a["hi"], a["n"], a["kinds"], raw[a["lo"] : a["at"]][::-1], raw[a["at"] : a["hi"] + width]))
-            yield pd.DataFrame(rows, columns=["kh", "k1", "k2", "at", "lo", "hi", "n", "kinds", "lefts", "rights"])
+                    rows.append((a["kh"], k1, k2, a["at"], a["lo"], a["n"], a["kinds"], raw[a["lo"] : a["at"]][::-1], raw[a["at"] : a["hi"]]))
+            yield pd.DataFrame(rows, columns=["kh", "k1", "k2", "at", "lo", "n", "kinds", "lefts", "rights"])
 
     # All columns stay, so both joins with the texts read one shuffle of them.
     context = keyed.join(several.hint("shuffle_hash"), ["_k1", "_k2"]).mapInPandas(
-        slices, "kh long, k1 long, k2 long, at int, lo int, hi int, n long, kinds long, lefts binary, rights binary"
+        slices, "kh long, k1 long, k2 long, at int, lo int, n long, kinds long, lefts binary, rights binary"
     )
     wide_ones = shared.where(F.col("kinds") > wide).limit(1).count() > 0
     narrow = context.where(F.col("kinds") <= wide) if wide_ones else context
@@ -272,15 +285,15 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, gram: int = GRAM, wide:
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
 
-        def told() -> list[tuple[int, int, int, int]]:
+        def told() -> list[tuple[int, int, int, int, int]]:
             rows = list({(m.lefts, m.rights): m for m in held}.values())
             if len(rows) < 2:
                 return []
-            got = equal_windows([m.lefts for m in rows], [m.rights for m in rows], width)
             spans = []
-            for m, ranges in zip(rows, got):
-                if m.n == 1 and ranges:
-                    spans += [(m.k1, m.k2, i, j) for i, j in merged([(m.at - high, m.at - low + width) for low, high in ranges])]
+            for m, runs in zip(rows, equal_runs([m.lefts for m in rows], [m.rights for m in rows], least)):
+                if m.n == 1 and runs:
+                    for k, w in enumerate(widths):
+                        spans += [(m.k1, m.k2, k, i, j) for i, j in merged([(m.at - left, m.at + right) for left, right in runs if left + right >= w])]
             return spans
 
         for pdf in batches:
@@ -290,50 +303,56 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, gram: int = GRAM, wide:
                     out += told()
                     held.clear()
                 held.append(row)
-            yield pd.DataFrame(out, columns=["k1", "k2", "from", "to"])
+            yield pd.DataFrame(out, columns=["k1", "k2", "w", "from", "to"])
         if held:
-            yield pd.DataFrame(told(), columns=["k1", "k2", "from", "to"])
+            yield pd.DataFrame(told(), columns=["k1", "k2", "w", "from", "to"])
 
-    span = "k1 long, k2 long, from int, to int"
-    near = narrow.drop("kinds").repartition("kh").sortWithinPartitions("kh").mapInPandas(settle, span)
+    span = "k1 long, k2 long, w int, from int, to int"
+    near = narrow.drop("kinds", "lo").repartition("kh").sortWithinPartitions("kh").mapInPandas(settle, span)
     spans = twice.unionByName(near)
     if wide_ones:
-        spans = spans.unionByName(_by_window(context.where(F.col("kinds") > wide), width))
+        spans = spans.unionByName(_by_window(context.where(F.col("kinds") > wide), widths, span))
 
-    per_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "to")).alias("_s")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    per_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("w", "from", "to")).alias("_s")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, also_removed array<long>")
     def apply(text: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
         for t, s in zip(text, found):
             raw = _raw(t)
-            gone = merged([(x["from"], x["to"]) for x in s]) if s is not None else []
+            per = [merged([(x["from"], x["to"]) for x in s if x["w"] == k]) if s is not None else [] for k in range(len(widths))]
+            gone = per[0]
             edges = [0, *(e for x in gone for e in x), len(raw)]
             kept = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2])) if gone else raw
-            rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if gone else t))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if gone else t, [sum(j - i for i, j in x) for x in per[1:]]))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "also_removed"])
 
     joined = keyed.join(per_doc.hint("shuffle_hash"), ["_k1", "_k2"], "left")
     return joined.select(*docs.columns, apply(F.col(text_col), F.col("_s")).alias("_d"))
 
 
-def _by_window(context: DataFrame, width: int) -> DataFrame:
-    """Spans of the contexts of very frequent k-grams: every window is counted by digest and place, partial
-    counts first, so no group is gathered."""
+def _by_window(context: DataFrame, widths: tuple[int, ...], span: str) -> DataFrame:
+    """Spans of the contexts of very frequent k-grams: every window that holds the anchor is counted by digest and
+    place, partial counts first, so no group is gathered."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for m in pdf.itertuples(index=False):
-                raw = m.lefts[::-1] + m.rights
-                digests = [xxhash.xxh3_64_intdigest(raw[i : i + width]) - 2**63 for i in range(m.hi - m.lo + 1)]
-                yield pd.DataFrame({"kh": m.kh, "ahead": np.arange(m.at - m.lo, m.at - m.hi - 1, -1, dtype=np.int32), "w": digests, "k1": m.k1, "k2": m.k2, "n": m.n, "from": np.arange(m.lo, m.hi + 1, dtype=np.int32)})
-
-    rows = written(context.mapInPandas(windows, "kh long, ahead int, w long, k1 long, k2 long, n long, from int"), "windows")
-    often = rows.groupBy("kh", "ahead", "w").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    return rows.where("n = 1").join(often, ["kh", "ahead", "w"]).select("k1", "k2", "from", (F.col("from") + width).alias("to"))
-
-
-def digests(docs: DataFrame, *, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    got = remove_repeats(docs.select(id_col, text_col), width=width, id_col=id_col, text_col=text_col)
-    return got.select(id_col, "_d.n_bytes", "_d.n_removed", "_d.n_spans", "_d.kept_sha256")
+                raw, ahead = m.lefts[::-1] + m.rights, len(m.lefts)
+                for k, w in enumerate(widths):
+                    first, last = max(0, ahead - w + 1), min(ahead, len(raw) - w)
+                    digests = [xxhash.xxh3_64_intdigest(raw[i : i + w]) - 2**63 for i in range(first, last + 1)]
+                    at = np.arange(first, max(first, last + 1), dtype=np.int32)
+                    yield pd.DataFrame({"kh": m.kh, "size": k, "ahead": ahead - at, "digest": digests, "k1": m.k1, "k2": m.k2, "n": m.n, "from": m.lo + at})
+
+    rows = written(context.mapInPandas(windows, "kh long, size int, ahead int, digest long, k1 long, k2 long, n long, from int"), "windows")
+    often = rows.groupBy("kh", "size", "ahead", "digest").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    length = F.element_at(F.array(*map(F.lit, widths)), F.col("size") + 1)
+    return rows.where("n = 1").join(often, ["kh", "size", "ahead", "digest"]).select("k1", "k2", F.col("size").alias("w"), "from", (F.col("from") + length).alias("to"))
+
+
+def digests(docs: DataFrame, *, width: int = 400, passage: int = 240, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage_bytes: those in repeated
+    strings of `passage` bytes, a few words under fifty."""
+    got = remove_repeats(docs.select(id_col, text_col), width=width, also=(passage,), id_col=id_col, text_col=text_col)
+    return got.select(id_col, "_d.n_bytes", "_d.n_removed", "_d.n_spans", "_d.kept_sha256", F.col("_d.also_removed")[0].alias("n_passage_bytes"))

@@ -47,17 +47,24 @@ def test_suffix_sort():
 @pytest.mark.parametrize("wide", [4096, 1])
 def test_suffix_dedup(docs, none, wide):
     raw = [(t or "").encode() for _, t, *_ in ROWS]
-    seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+
+    def removed(width):
+        seen = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
+        for b in raw:
+            gone = bytearray(len(b))
+            for i in range(len(b) - width + 1):
+                if seen[b[i : i + width]] > 1:
+                    gone[i : i + width] = b"\1" * width
+            yield gone
+
     told = []
-    for (k, *_), b in zip(ROWS, raw):
-        gone = bytearray(len(b))
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
+    for (k, *_), b, gone, *more in zip(ROWS, raw, removed(400), removed(240), removed(900)):
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        told.append((str(k), len(b), sum(gone), bytes(b"\0" + gone).count(b"\0\1"), hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.remove_repeats(docs, wide=wide).select("doc_id", "_d.*").collect()
-    assert sorted((str(r[0]), r[1], r[2], r[3], r[4]) for r in got) == sorted(told)
+        told.append((str(k), len(b), sum(gone), bytes(b"\0" + gone).count(b"\0\1"), hashlib.sha256(kept).hexdigest(), *map(sum, more)))
+    got = suffix_dedup.remove_repeats(docs, wide=wide, also=(240, 900)).select("doc_id", "_d.*").collect()
+    assert sorted((str(r[0]), r[1], r[2], r[3], r[4], *r["also_removed"]) for r in got) == sorted(told)
+    plain = suffix_dedup.digests(docs).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in plain) == sorted(t[:-1] for t in told)
     assert suffix_dedup.digests(none).count() == 0
 
 
