@@ -29,9 +29,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated 400-byte strings; n_chars follows, no row goes."""
+    """Texts without their repeated strings of 240 bytes, a few words under fifty; n_chars follows, no row goes."""
     small_batches(spark)
-    got = suffix_dedup.remove_repeats(docs, width=400).withColumn("text", F.col("_d.kept_text"))
+    got = suffix_dedup.remove_repeats(docs, width=240, gram=96).withColumn("text", F.col("_d.kept_text"))
     return got.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
