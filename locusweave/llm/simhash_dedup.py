@@ -102,7 +102,8 @@ def near_links(fps: DataFrame, *, radius: int = 4, tile: int = 8192, bits: int =
     ).select("cell", "part", "cell2", "part2")
     right = tiles.select(F.col("cell").alias("cell2"), F.col("part").alias("part2"), F.col("fps").alias("fps2"))
     work = pairs.join(tiles, ["cell", "part"]).join(right, ["cell2", "part2"])
-    work = work.select(((F.col("cell") == F.col("cell2")) & (F.col("part") == F.col("part2"))).alias("same"), "fps", "fps2")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = work.select(((F.col("cell") == F.col("cell2")) & (F.col("part") == F.col("part2"))).alias("same"), "fps", "fps2").repartition(n)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

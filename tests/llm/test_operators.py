@@ -126,14 +126,65 @@ def test_near_copies(spark, none, held):
     assert near_copies.near_copies(none).count() == 0
 
 
-def test_quality(docs, none):
-    a = quality_rules.quality(docs).collect()
-    b = quality_rules.quality(docs, most_sent=0).collect()
-    key = lambda r: (str(r["doc_id"]), r["n_words"], r["kept"], round(r["perplexity"] or 0, 3))
-    assert sorted(map(key, a)) == sorted(map(key, b)) and len(a) == len(ROWS)
-    assert sum(r["n_words"] for r in a) == sum(len((t or "").encode().split()) for _, t, *_ in ROWS)
-    assert quality_rules.quality(none).count() == 0
-    assert quality_rules.keep_good(docs).count() == sum(r["kept"] for r in a)
+def base_counts(text):
+    """The contract of op7 by plain loops: words, their characters, symbols, repeated lines, words in repeated windows."""
+    cut_at = {" ", *map(chr, range(9, 14))}
+    words, lines, again = [[]], set(), 0
+    for c in text or "":
+        words.append([]) if c in cut_at else words[-1].append(c)
+    words = ["".join(w) for w in words if w]
+    for line in (text or "").split("\n"):
+        if any(c not in cut_at for c in line):
+            again += line in lines
+            lines.add(line)
+    runs = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    marked = {i + k for i, r in enumerate(runs) if runs.count(r) > 1 for k in range(8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), again, len(marked)
+
+
+def kneser_ney(texts, order):
+    """Modified Kneser-Ney by plain dictionaries: log probability of every unit after its order - 1 predecessors."""
+    padded = [(0,) * (order - 1) + tuple(int.from_bytes(x[i : i + 2], "little") for i in range(0, len(x), 2)) for x in ((t or "").encode("utf-16-le") for t in texts)]
+    tables = [Counter(u[i : i + order] for u in padded for i in range(len(u) - order + 1))]
+    for k in range(order - 1, 0, -1):
+        tables.append(Counter(g[1:] for g in tables[-1]))
+    p = {}
+    for table in reversed(tables):
+        c = Counter(table.values())
+        cuts = [min(k - 0.05, max(0.05, k - (k + 1) * c[1] / (c[1] + 2 * c[2]) * c[k + 1] / c[k])) if c[k] and c[1] + 2 * c[2] else 0.5 for k in (1, 2, 3)]
+        new = {}
+        for g, n in table.items():
+            near = {h: m for h, m in table.items() if h[:-1] == g[:-1]}
+            rest = sum(cuts[min(m, 3) - 1] for m in near.values()) / sum(near.values())
+            new[g] = (n - cuts[min(n, 3) - 1]) / sum(near.values()) + rest * (p[g[1:]] if p else 1 / len(near))
+        p = new
+    return [[float(np.log(p[u[i : i + order]])) for i in range(len(u) - order + 1)] for u in padded]
+
+
+@pytest.mark.parametrize("slice_", [1 << 20, 800])
+def test_quality(docs, none, monkeypatch, slice_):
+    monkeypatch.setattr(quality_rules, "SLICE", slice_)
+    got = quality_rules.quality(docs).collect()
+    told = Counter((str(k), *base_counts(t)) for k, t, *_ in ROWS)
+    assert Counter((str(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == told
+    assert all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) for r in got)
+    assert not any(r["base_failed"] and r["kept"] for r in got)
+    assert quality_rules.quality(none).count() == 0 and quality_rules.keep_good(none).count() == 0
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns and Counter(map(str, (r["doc_id"] for r in kept.collect()))) == Counter(str(r["doc_id"]) for r in got if r["kept"])
+
+
+def test_perplexity_by_brute_force(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choices(["aba", "bab", "ab", "cä", "d\U0001F600"], k=n)) for n in (30, 25, 40, 3)] + [None, ""]
+    df = spark.createDataFrame([(i, t, "q" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(2)
+    got = {r["doc_id"]: r for r in quality_rules.quality(df).collect()}
+    for side in (0, 1):
+        mine = [i for i in range(len(texts)) if i % 2 == side]
+        for order, column in ((4, "perplexity"), (3, "perplexity_short")):
+            for i, logs in zip(mine, kneser_ney([texts[i] for i in mine], order)):
+                told = round(float(np.exp(-np.mean(logs))), 4) if logs else None
+                assert got[i][column] == told or abs(got[i][column] - told) < 2e-4, (i, column)
 
 
 def test_quality_rejects_planted_junk(spark):
@@ -146,7 +197,7 @@ def test_quality_rejects_planted_junk(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in quality_rules.quality(df).collect()}
     assert not any(r["base_failed"] for r in got.values())
-    assert {k for k, r in got.items() if not r["kept"]} == set(range(1000, 1004))
+    assert {k for k, r in got.items() if not r["kept"]} == set(range(1000, 1004)), {k: r['perplexity_short'] for k, r in got.items()}
     assert {r["doc_id"] for r in quality_rules.keep_good(df).collect()} == {k for k, r in got.items() if r["kept"]}
 
 
