@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint(eager=True)
+from ..shared import cut
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -23,9 +16,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     star); edges never outnumber the input and the rounds grow with the logarithm of a component's size.
     A node's neighbours are only aggregated to their minimum, so a hub needs no group in memory.
     """
-    pair = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+    pair = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")))
     nodes = pair.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
-    links = _cut(pair.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = cut(pair.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,7 +26,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        links = _cut(small.select("x.*").where("a <> b").distinct())
+        links = cut(small.select("x.*").where("a <> b").distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
