@@ -31,7 +31,7 @@ from .common import written
 #: The id that ends a document.
 END = 2
 #: Text that is tokenized at once inside a task; has no part in the result.
-BYTES = 8 << 20
+BYTES = 4 << 20
 #: Text cut before spaces and line ends keeps its ids only where white space stands alone.
 CROWDED = r"[ \n][\s\x0b\x1c-\x1f\x85\p{Z}]|[\s\x0b\x1c-\x1f\x85\p{Z}][ \n]|\A[\s\x0b\x1c-\x1f\x85\p{Z}]|[\s\x0b\x1c-\x1f\x85\p{Z}]\z"
 

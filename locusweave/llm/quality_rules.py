@@ -122,7 +122,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         d = [F.coalesce(F.greatest(F.lit(0.05), F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"c{i + 1}"), F.col(f"c{i}"))), F.lit(0.5)) for i in (1, 2, 3)]
         cc = cc.select("lang", *[F.least(x, F.lit(i - 0.05)).alias(f"d{i}") for i, x in enumerate(d, 1)])
         context = F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long")
-        level = level.withColumn("ctx", context).join(cc, "lang")
+        level = level.withColumn("ctx", context).join(F.broadcast(cc), "lang")  # a row for each language
         cut_off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = level.withColumn("off", cut_off)
         rest = level.groupBy("lang", "ctx").agg(F.sum("n").alias("all"), F.sum("off").alias("left"), F.count("*").alias("kinds"))

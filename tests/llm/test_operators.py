@@ -291,13 +291,36 @@ def test_urls(spark):
     assert got[8] == ("good.net", "", None, "allow") and got[9][2:] == (None, "allow") and got[10][2:] == ("com/fr/", "allow")
 
 
+@pytest.mark.parametrize("page, told", [
+    ('<article><p class="notice">x<p>real text</p><p>more</p></article>', "real text\nmore"),
+    ('<article><h2 id="related-work">Related work</h2><p>a</p></article>', "Related work\na"),
+    ('<article><p>See <a class="social-link">the paper</a> now.</p></article>', "See the paper now."),
+    ('<article><div class="content-menu-free">kept</div><div class="cookie-notice">gone</div><div id="comments"><p>gone</p></div></article>', "kept"),
+    ('<article><div class="ad">never closed<p>lost</article><p>after</p>', "after"),
+    ('<article><ul><li class="promo">gone<li>kept</ul><p>a &lt;b&gt; &amp; c&nbsp;d</p><!-- x --><script>y</script></article>', "kept\na <b> & c d"),
+    ('<body><nav>m</nav><main>one<br>two<form>f</form></main><footer>z</footer>', "one\ntwo"),
+    ("<p>" + "long line " * 50_000 + "</p>", ("long line " * 50_000).strip()),
+    ("plain", "plain"), ("", ""), ("<", "<"), ("<article></article><p>out</p>", "out"),
+])
+def test_html_blocks(page, told):
+    assert "\n".join(html_text.blocks(page)[1]) == told
+
+
 def test_html(spark):
     site = "<body><div><p>Site name</p><p>{}</p><p>Call us</p></div>"
-    rows = [(i, f"http://h/{i}", site.format(f"Own text {i} &amp; more words of page {i}")) for i in range(4)]
-    rows += [(10, None, "<nav>m</nav><article><h1>T</h1><p>a<b>b</b>\n c&nbsp;d<br>e</article><footer>f"), (11, "u", None), (12, "u", "<p>x")]
-    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert [got[i] for i in range(4)] == [f"Own text {i} & more words of page {i}" for i in range(4)]
-    assert got[10] == "T\nab c d\ne" and got[11] == "" and got[12] == "x"
+    own = "Own text {} &amp; more words of page {}"
+    rows = [(i, f"http://h/{i:02}", site.format(own.format(i, i)), "x") for i in range(40)]
+    rows += [(100, None, "<nav>m</nav><article><h1>T</h1><p>a<b>b</b>\n c&nbsp;d<br>e</article><footer>f", "x"), (101, "u", None, None), (102, "u", "<p>x", "y")]
+    rows += [(103, "http://same/1", "<p>copy</p>", "z")] * 2 + [(None, "http://lone/", "<p>lone</p>", "z")]
+    # Columns that the operator has itself stand beside; results hang neither on partitions nor on chunks.
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumns({"host": F.lit(1), "rank": F.lit("r"), "chunk": F.lit("c")})
+    for parts, chunk in ((1, 512), (7, 3), (3, 1)):
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(df.repartition(parts), chunk=chunk).collect()}
+        assert [got[i] for i in range(40)] == [f"Own text {i} & more words of page {i}" for i in range(40)]
+        assert (got[100], got[101], got[102], got[103], got[None]) == ("T\nab c d\ne", "", "x", "copy", "lone")
+    assert html_text.main_text(df).count() == len(rows)
+    none = html_text.main_text(df.limit(0))
+    assert none.columns == ["page_id", "url", "text", "n_chars"] and none.count() == 0
 
 
 def test_media(docs, none, spark, tmp_path):
