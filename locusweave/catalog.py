@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import maps
 from .functions import sequences as seq
-from .operators import enzymes, features, graph, motifs, nulls, profiles, reports, stats
+from .operators import enzymes, features, genome, graph, motifs, nulls, profiles, reports, stats
 from .operators import relational as rel
 from .operators import windows as win
 
@@ -318,15 +318,15 @@ def a_class_table(t):
     return f.select("feature", *[r6(c).alias(c) for c in ("mean_a", "mean_b", "sd_a", "sd_b", "median_a", "median_b", "diff", "fold")])
 
 
-@query("""WITH m AS (SELECT l_suppkey, string_agg(DISTINCT l_returnflag, '&' ORDER BY l_returnflag) AS combo FROM lineitem WHERE l_quantity > 48 GROUP BY 1) SELECT combo, count(*)::BIGINT AS n FROM m GROUP BY 1""")
+@query("""WITH m AS (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '&' ORDER BY o_orderpriority) AS combo FROM orders GROUP BY 1) SELECT combo, count(*)::BIGINT AS n FROM m GROUP BY 1""")
 def u_membership_breakdown(t):
-    return rel.membership_breakdown(t("lineitem").where("l_quantity > 48"), "l_suppkey", "l_returnflag")
+    return rel.membership_breakdown(t("orders"), "o_custkey", "o_orderpriority")
 
 
 @query()
 def a_set_cover(t):
-    h = t("lineitem").where("l_partkey % 10 = 0").select((F.col("l_suppkey") % 25).alias("db"), "l_partkey")
-    out = rel.set_cover(h, "db", "l_partkey", 8)
+    h = t("lineitem").select((F.col("l_suppkey") % 25).alias("db"), "l_partkey")
+    out = rel.set_cover(h, "db", "l_partkey")
     return h.sparkSession.createDataFrame([(i, s, n) for i, (s, n) in enumerate(out)], "step int, db long, added long")
 
 
@@ -347,10 +347,7 @@ def p_tertiles(t):
 
 @query("""SELECT p_partkey, p_brand, p_type, (row_number() OVER (ORDER BY TRY_CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT), p_brand, p_partkey))::BIGINT AS pos FROM part""")
 def p_natural_order(t):
-    n = F.regexp_replace("p_brand", r"\D", "").try_cast("long").alias("n")
-    ranked = t("part").select("p_partkey", "p_brand", "p_type", n)
-    counts = win.Window.orderBy("n", "p_brand", "p_partkey")
-    return ranked.withColumn("pos", F.row_number().over(counts).cast("long")).drop("n")
+    return genome.natural_order(t("part").select("p_partkey", "p_brand", "p_type"), "p_brand", ["p_partkey"])
 
 
 @query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.f, b.f) AS f, a.n1::BIGINT AS n1, b.n2::BIGINT AS n2, coalesce(a.f <> b.f, false) AS f_differs FROM (SELECT l_suppkey AS k, max(l_returnflag) AS f, count(*) AS n1 FROM lineitem WHERE l_quantity > 49 GROUP BY 1) a FULL JOIN (SELECT l_suppkey AS k, min(l_returnflag) AS f, count(*) AS n2 FROM lineitem WHERE l_quantity < 2 GROUP BY 1) b ON a.k = b.k""")
@@ -428,10 +425,10 @@ def f_names_and_percent(t):
 
 def cells(t) -> DataFrame:
     li = t("lineitem").select((F.col("l_partkey") % 25).alias("gene"), F.col("l_suppkey").alias("org"), "l_extendedprice")
-    return profiles.matrix(li.where("org <= 40"), "gene", "org", "l_extendedprice", floor=20000.0)
+    return profiles.matrix(li, "gene", "org", "l_extendedprice", floor=20000.0)
 
 
-CELLS = """h AS (SELECT l_partkey % 25 AS gene, l_suppkey AS org, max(l_extendedprice) AS v FROM lineitem WHERE l_suppkey <= 40 GROUP BY ALL), c0 AS (SELECT gene, org, CASE WHEN v < 20000 THEN 0 ELSE v END AS v FROM h),
+CELLS = """h AS (SELECT l_partkey % 25 AS gene, l_suppkey AS org, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL), c0 AS (SELECT gene, org, CASE WHEN v < 20000 THEN 0 ELSE v END AS v FROM h),
   rows_ AS (SELECT gene FROM c0 GROUP BY 1 HAVING count(*) FILTER (v > 0) >= floor(0.2 * (SELECT count(DISTINCT org) FROM c0))), c AS (SELECT r.gene, o.org, coalesce(c0.v, 0) AS value FROM rows_ r CROSS JOIN (SELECT DISTINCT org FROM c0) o LEFT JOIN c0 ON c0.gene = r.gene AND c0.org = o.org)"""
 
 
@@ -476,26 +473,34 @@ def y_largest_place(t):
     return profiles.largest_place(li, "l_suppkey", "place", "l_partkey", "l_partkey")
 
 
-EDGES = "e AS (SELECT DISTINCT o_custkey AS src, o_custkey + o_orderkey % 3 + 1 AS dst FROM orders WHERE o_totalprice > 420000)"
+#: Scores over the threshold of G1 are edges; every node counts.
+LEAST = 420_000.0
+EDGES = f"p AS (SELECT o_custkey AS src, o_custkey + o_orderkey % 3 + 1 AS dst, o_totalprice AS score FROM orders), e AS (SELECT DISTINCT src, dst FROM p WHERE score > {LEAST}), v AS (SELECT src AS node FROM p UNION SELECT dst FROM p)"
+
+
+def scored_graph(t) -> tuple[DataFrame, DataFrame]:
+    p = t("orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 3 + 1).alias("dst"), F.col("o_totalprice").alias("score"))
+    edges, nodes = graph.threshold_edges(p, "src", "dst", "score", LEAST)
+    return edges.select("src", "dst").distinct(), nodes
 
 
 @query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS a, dst AS z FROM e UNION SELECT dst, src FROM e), w AS (SELECT a AS node, a AS seen FROM b UNION SELECT w.node, b.z FROM w JOIN b ON b.a = w.seen) SELECT node, min(seen) AS component FROM w GROUP BY 1""")
 def g_components(t):
-    e = t("orders").where("o_totalprice > 420000").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 3 + 1).alias("dst")).distinct()
-    return graph.components(e)
+    return graph.components(scored_graph(t)[0])
 
 
-@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS a, dst AS z FROM e UNION SELECT dst, src FROM e), w AS (SELECT a AS node, a AS seen FROM b UNION SELECT w.node, b.z FROM w JOIN b ON b.a = w.seen), c AS (SELECT node, min(seen) AS component FROM w GROUP BY 1), d AS (SELECT dst AS node, count(DISTINCT src) AS deg FROM e GROUP BY 1),
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS a, dst AS z FROM e UNION SELECT dst, src FROM e), w AS (SELECT a AS node, a AS seen FROM b UNION SELECT w.node, b.z FROM w JOIN b ON b.a = w.seen), c AS (SELECT v.node, coalesce(min(seen), v.node) AS component FROM v LEFT JOIN w ON w.node = v.node GROUP BY v.node), d AS (SELECT dst AS node, count(DISTINCT src) AS deg FROM e GROUP BY 1),
   r AS (SELECT c.*, row_number() OVER (PARTITION BY component ORDER BY coalesce(deg, 0) DESC, c.node) AS rk, count(*) OVER (PARTITION BY component) AS size FROM c LEFT JOIN d ON c.node = d.node) SELECT component, size::BIGINT AS size, node AS representative FROM r WHERE rk = 1""")
 def g_representatives(t):
-    e = t("orders").where("o_totalprice > 420000").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 3 + 1).alias("dst")).distinct()
-    return graph.representatives(e, e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    return graph.representatives(*scored_graph(t))
 
 
-@query()
+@query("""WITH h AS (SELECT l_orderkey % 300 AS a, l_suppkey % 20 AS b, l_linenumber % 3 AS qa, l_partkey % 6 AS qb, max(l_extendedprice) AS w FROM lineitem GROUP BY ALL), s AS (SELECT a, count(DISTINCT qa) AS na FROM h GROUP BY 1),
+  f AS (SELECT a, b, na FROM h JOIN s USING (a) GROUP BY a, b, na HAVING count(DISTINCT qa) = na AND count(DISTINCT qb) >= na), r AS (SELECT h.*, na, dense_rank() OVER (PARTITION BY a, b ORDER BY qa) AS k FROM h JOIN f USING (a, b))
+  SELECT x.a, x.b, x.na::BIGINT AS n, round(max(x.w + coalesce(y.w, 0) + coalesce(z.w, 0)), 2) AS score FROM r x LEFT JOIN r y ON y.a = x.a AND y.b = x.b AND y.k = 2 AND y.qb <> x.qb
+  LEFT JOIN r z ON z.a = x.a AND z.b = x.b AND z.k = 3 AND z.qb <> x.qb AND z.qb <> y.qb WHERE x.k = 1 AND (x.na < 2 OR y.qb IS NOT NULL) AND (x.na < 3 OR z.qb IS NOT NULL) GROUP BY ALL""")
 def g_match_pairs(t):
-    li = t("lineitem").where("l_partkey % 4 = 0")
-    h = li.select((F.col("l_orderkey") % 300).alias("a"), (F.col("l_suppkey") % 20).alias("b"), (F.col("l_linenumber") % 3).alias("qa"), (F.col("l_partkey") % 6).alias("qb"), "l_extendedprice")
+    h = t("lineitem").select((F.col("l_orderkey") % 300).alias("a"), (F.col("l_suppkey") % 20).alias("b"), (F.col("l_linenumber") % 3).alias("qa"), (F.col("l_partkey") % 6).alias("qb"), "l_extendedprice")
     return graph.match_pairs(h, "a", "b", "qa", "qb", "l_extendedprice").withColumn("score", F.round("score", 2))
 
 
@@ -753,3 +758,6 @@ def j_domain_codes(t):
     held = t("part").select((F.col("p_partkey") % 70).cast("string").alias("protein"), F.expr(DOMAIN).alias("d"))
     got = enzymes.integrate(codes, held, "l_returnflag", "protein", "code", "d", "place")
     return got.withColumns({c: joined(c) for c in ("domains", "signature_domains", "tailoring_domains")} | {"confidence_score": r6("confidence_score")})
+
+
+from . import catalog_flows  # noqa: E402, F401  registers its queries

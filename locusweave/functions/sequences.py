@@ -42,8 +42,12 @@ def translate_dna(seq: Column, to_stop: bool = False) -> Column:
 
 
 def motif_regex(motif: str) -> str:
-    """regular expression of an IUPAC motif."""
-    return "".join(IUPAC[c] for c in motif.upper())
+    """regular expression of an IUPAC motif; brackets and what stands in them stay."""
+    out, held = [], False
+    for c in motif.upper():
+        held = c == "[" or held and c != "]"
+        out.append(c if held or c == "]" else IUPAC[c])
+    return "".join(out)
 
 
 def motif_counts(seq: Column, families: dict[str, list[str]]) -> Column:
@@ -68,7 +72,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def clean_list(text: Column) -> Column:
     """items of a comma list without brackets, quotes, blanks and empties."""
-    return F.filter(F.transform(F.split(F.translate(text, "[]'\"", ""), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.translate(text, "[]'\"", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def genome_name(path: Column) -> Column:

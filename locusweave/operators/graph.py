@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,33 +19,63 @@ def threshold_edges(scores: DataFrame, a: str, b: str, score: str, least: float)
 
 
 def _assign(weights: np.ndarray) -> float:
-    """Greatest sum of a one-to-one choice of a column for every row, over column subsets (few rows)."""
-    best = {0: 0.0}
-    for row in weights:
-        ahead: dict[int, float] = {}
-        for used, total in best.items():
-            for j in np.flatnonzero(np.isfinite(row)):
-                if not used >> int(j) & 1:
-                    key = used | 1 << int(j)
-                    ahead[key] = max(ahead.get(key, -np.inf), total + float(row[j]))
-        best = ahead
-    return max(best.values(), default=np.nan)
+    """Greatest sum of a one-to-one choice of a column for every row: shortest augmenting paths with potentials,
+    rows * rows * columns steps. -inf bars a cell; nan if no choice is left."""
+    n, m = weights.shape
+    bar = np.isfinite(weights)
+    far = 1.0 + 2 * n * np.abs(weights[bar]).max(initial=0.0)
+    cost = np.where(bar, -weights, far)
+    u, v = np.zeros(n), np.zeros(m)
+    row_of = np.full(m, -1)
+    for i in range(n):
+        least, via, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, col = i, -1
+        while row >= 0:
+            gap = cost[row] - u[row] - v
+            base = 0.0 if col < 0 else least[col]
+            better = ~done & (gap + base < least)
+            least[better], via[better] = gap[better] + base, col
+            col = int(np.argmin(np.where(done, np.inf, least)))
+            done[col] = True
+            row = row_of[col]
+        short = least[col]
+        seen = done & (np.arange(m) != col)
+        u[row_of[seen]] += short - least[seen]
+        v[seen] -= short - least[seen]
+        u[i] += short
+        while col >= 0:
+            before = via[col]
+            row_of[col] = i if before < 0 else row_of[before]
+            col = before
+    cols = np.flatnonzero(row_of >= 0)
+    got = weights[row_of[cols], cols]
+    return float(got.sum()) if np.isfinite(got).all() else float("nan")
 
 
 def match_pairs(hits: DataFrame, a: str, b: str, qa: str, qb: str, weight: str) -> DataFrame:
     """(a, b, n, score): greatest-weight matching of a's items into b's; pairs where an item has no
-    hit, or more items than partners stand, are left out before any group is formed. Clusters are small."""
+    hit, or more items than partners stand, are left out before any group is formed. A group
+    is one pair of clusters: items of one by items of the other, polynomial work."""
     best = hits.groupBy(a, b, qa, qb).agg(F.max(weight).alias("w"))
     size = hits.groupBy(a).agg(F.count_distinct(qa).alias("na"))
     fit = best.groupBy(a, b).agg(F.count_distinct(qa).alias("n"), F.count_distinct(qb).alias("m")).join(size, a).where("n = na and m >= n").select(a, b)
     kinds = dict(best.dtypes)
 
-    def settle(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index=qa, columns=qb, values="w").to_numpy(float)
-        score = _assign(np.where(np.isnan(grid), -np.inf, grid))
-        return pd.DataFrame([(key[0], key[1], len(grid), score)]) if np.isfinite(score) else pd.DataFrame(columns=range(4))
-
-    return best.join(fit, [a, b]).groupBy(a, b).applyInPandas(settle, f"{a} {kinds[a]}, {b} {kinds[b]}, n long, score double")
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for x, y, cells in zip(pdf["_a"], pdf["_b"], pdf["cells"]):
+                rows, i = np.unique([c["qa"] for c in cells], return_inverse=True)
+                cols, j = np.unique([c["qb"] for c in cells], return_inverse=True)
+                grid = np.full((len(rows), len(cols)), -np.inf)
+                grid[i, j] = [c["w"] for c in cells]
+                score = _assign(grid)
+                if np.isfinite(score):
+                    out.append((x, y, len(rows), score))
+            yield pd.DataFrame(out, columns=["_a", "_b", "n", "score"])
+
+    cells = best.join(fit, [a, b]).groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.collect_list(F.struct(F.col(qa).alias("qa"), F.col(qb).alias("qb"), F.col("w").cast("double").alias("w"))).alias("cells"))
+    return cells.mapInPandas(settle, f"_a {kinds[a]}, _b {kinds[b]}, n long, score double").toDF(a, b, "n", "score")
 
 
 def homology_edges(pairs: DataFrame, sizes: DataFrame, a: str, b: str, node: str, size: str) -> DataFrame:

@@ -31,6 +31,19 @@ def weights(model: PipelineModel, features: list[str]) -> list[tuple[str, float,
     return [(features[i], coef[i], order.index(i) + 1) for i in range(len(coef))]
 
 
+def intercept(model: PipelineModel) -> float:
+    """M2."""
+    return float(model.stages[-1].intercept)
+
+
+def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Rows with the model's probability of class 1 as `score`."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(df).withColumn("score", vector_to_array("probability")[1])
+    return out.select(*df.columns, "score")
+
+
 def boosted(df: DataFrame, features: list[str], label: str, folds: int = 3, seed: int = 42) -> PipelineModel:
     """M8: gradient-boosted trees over imputed features and missing flags, depth chosen by cross-validation."""
     flagged = with_flags(df, features)

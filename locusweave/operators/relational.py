@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first k rows of every key in the given order."""
@@ -69,15 +71,19 @@ def overlap_assignment(left: DataFrame, right: DataFrame, item: str, left_key: s
     return best_per_key(shared, [left_key], [F.col(right_key)])
 
 
-def set_cover(df: DataFrame, source: str, item: str, most: int = 1000) -> list[tuple[str, int]]:
-    """Sources in greedy order with the items each adds. One distributed count per source."""
-    left, out = df.select(source, item).distinct(), []
-    while len(out) < most:
+def set_cover(df: DataFrame, source: str, item: str, most: int | None = None) -> list[tuple[str, int]]:
+    """Sources in greedy order with the items each adds, ties to the least name, until all are covered (or `most`).
+
+    One distributed count for each source taken. What is left is written once a step, so plans do not grow; a source
+    is taken whole, and only its items are looked up.
+    """
+    left, out = cut(df.select(source, item).distinct()), []
+    while most is None or len(out) < most:
         top = left.groupBy(source).agg(F.count("*").alias("n")).orderBy(F.desc("n"), source).first()
         if top is None:
             return out
         out.append((top[0], top[1]))
-        left = left.join(left.where(F.col(source) == top[0]).select(item), item, "left_anti")
+        left = cut(left.join(left.where(F.col(source) == top[0]).select(item), item, "left_anti"))
     return out
 
 

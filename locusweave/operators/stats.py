@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .profiles import pearson
-
-
-def average_rank(value: str, part: list[str]) -> Column:
-    """Rank with ties averaged."""
-    w = Window.partitionBy(*part)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*part, value)) - 1) / 2
+from .ranking import average_ranks, numbered, running_total
 
 
 def corr_with_target(df: DataFrame, features: list[str], target: str, method: str = "pearson") -> DataFrame:
@@ -23,7 +17,10 @@ def corr_with_target(df: DataFrame, features: list[str], target: str, method: st
     long = df.unpivot([target], features, "feature", "v").where(F.col("v").isNotNull() & F.col(target).isNotNull()).withColumnRenamed(target, "t")
     x, y = "v", "t"
     if method == "spearman":
-        long = long.withColumns({"rv": average_rank("v", ["feature"]), "rt": average_rank("t", ["feature"])})
+        for c in (x, y):
+            ranks = running_total(long.groupBy("feature", c).agg(F.count("*").alias("_k")), [F.col("feature"), F.col(c)], F.col("_k"), "_upto")
+            # Places count from the table's first row on; a feature's own offset does not change a correlation.
+            long = long.join(ranks.select("feature", c, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(f"r{c}")), ["feature", c])
         x, y = "rv", "rt"
     return long.groupBy("feature").agg(F.count("*").alias("n"), pearson(x, y).alias("r")).where("n >= 3")
 
@@ -38,8 +35,10 @@ def bh(df: DataFrame, p: str, family: list[str]) -> DataFrame:
 
 def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: Kruskal-Wallis H (tie-corrected), groups, and n; with two groups also Mann-Whitney U of the least-named."""
-    ranked = df.select(group, value, average_rank(value, []).alias("rk"))
-    ties = df.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    ranks = average_ranks(df, value)
+    ranked = df.select(group, value).join(ranks.withColumnRenamed("rank", "rk"), value)
+    t = F.col("times").cast("double")
+    ties = ranks.agg(F.sum(t * t * t - t).alias("ties"))
     per = ranked.groupBy(group).agg(F.count("*").alias("n"), F.sum("rk").alias("r"))
     n = F.sum("n")
     h = 12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)
@@ -47,17 +46,22 @@ def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     return one.crossJoin(F.broadcast(ties)).select("n", "groups", F.try_divide("h0", 1 - F.col("ties") / (F.col("n") * F.col("n") * F.col("n") - F.col("n"))).alias("h"), "u")
 
 
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+
+
 @F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """C4: two-sided Fisher exact p of 2x2 tables."""
-    def one(a: int, b: int, c: int, d: int) -> float:
-        n, r, k = a + b + c + d, a + b, a + c
-        lf = math.lgamma
-        log = lambda x: lf(r + 1) + lf(n - r + 1) + lf(k + 1) + lf(n - k + 1) - lf(n + 1) - lf(x + 1) - lf(r - x + 1) - lf(k - x + 1) - lf(n - r - k + x + 1)
-        at = log(a)
-        return min(1.0, sum(math.exp(v) for x in range(max(0, r + k - n), min(r, k) + 1) if (v := log(x)) <= at + 1e-7))
-
-    return pd.Series([one(*map(int, t)) for t in zip(a, b, c, d)])
+    """C4: two-sided Fisher exact p of 2x2 tables: the tables of equal margins that are no likelier, summed."""
+    t = np.stack([x.to_numpy(np.int64) for x in (a, b, c, d)])
+    n, rows, cols = t.sum(axis=0), t[0] + t[1], t[0] + t[2]
+    lf = _log_factorials(int(n.max(initial=0)))
+    out = np.empty(t.shape[1])
+    for i, (n_, r, k, at) in enumerate(zip(n, rows, cols, t[0])):
+        x = np.arange(max(0, r + k - n_), min(r, k) + 1)
+        log = lf[r] + lf[n_ - r] + lf[k] + lf[n_ - k] - lf[n_] - lf[x] - lf[r - x] - lf[k - x] - lf[n_ - r - k + x]
+        out[i] = min(1.0, np.exp(log[log <= log[at - x[0]] + 1e-7]).sum())
+    return pd.Series(out)
 
 
 def fisher(df: DataFrame, item: str, flag: Column) -> DataFrame:
@@ -71,8 +75,11 @@ def fisher(df: DataFrame, item: str, flag: Column) -> DataFrame:
 
 def split(df: DataFrame, key: str, label: str, holdout: Column, ratio: float = 0.3, seed: int = 42) -> DataFrame:
     """M1: part = validation for held-out rows, else test or train, stratified by label in seeded hash order."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    rest = df.where(~holdout).withColumn("part", F.when(F.percent_rank().over(order) < ratio, "test").otherwise("train"))
+    order = [F.col(label), F.col("_h"), F.col(key)]
+    rest = numbered(df.where(~holdout).withColumn("_h", F.xxhash64(F.lit(seed), key)), order, "_pos")
+    ends = rest.groupBy(label).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    share = F.coalesce(F.try_divide(F.col("_pos") - F.col("_first"), F.col("_n") - 1), F.lit(0.0))
+    rest = rest.join(ends, label).withColumn("part", F.when(share < ratio, "test").otherwise("train")).select(*df.columns, "part")
     return rest.unionByName(df.where(holdout).withColumn("part", F.lit("validation")))
 
 
@@ -82,15 +89,23 @@ def curve(df: DataFrame, score: str, label: str) -> DataFrame:
     Rows are counted per score first, so the running sums see one row per distinct score.
     """
     per = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    c = per.select(score, F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(every).alias("np"), F.sum("q").over(every).alias("nq"))
+    down = running_total(running_total(per, [F.desc(score)], F.col("p"), "tp"), [F.desc(score)], F.col("q"), "fp")
+    c = down.select(score, "tp", "fp").crossJoin(F.broadcast(per.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))))
     c = c.withColumns({"fn": F.col("np") - F.col("tp"), "tn": F.col("nq") - F.col("fp"), "precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "np"), "fpr": F.try_divide("fp", "nq")})
     d = lambda x: F.col(x).cast("double")
     mcc = F.try_divide(d("tp") * d("tn") - d("fp") * d("fn"), F.sqrt((d("tp") + d("fp")) * (d("tp") + d("fn")) * (d("tn") + d("fp")) * (d("tn") + d("fn"))))
     return c.withColumns({"f1": 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), "youden": F.col("recall") - F.col("fpr"), "mcc": F.coalesce(mcc, F.lit(0.0))}).drop("np", "nq")
 
 
+def thresholds(points: DataFrame, score: str) -> DataFrame:
+    """M3, M4: (criterion, threshold, value): the score that maximises F1, Youden's index, balanced accuracy and the
+    geometric mean of recall and specificity; the greatest score on ties."""
+    spec = 1 - F.col("fpr")
+    told = points.withColumns({"balanced": (F.col("recall") + spec) / 2, "geometric": F.sqrt(F.col("recall") * spec)})
+    long = told.unpivot([score], ["f1", "youden", "balanced", "geometric"], "criterion", "value").where("value is not null")
+    return long.groupBy("criterion").agg(F.max(F.struct(F.round("value", 9).alias("value"), F.col(score).alias("s"))).alias("b")).select("criterion", F.col("b.s").alias("threshold"), "b.value")
+
+
 def areas(points: DataFrame, score: str) -> DataFrame:
     """M3: ROC and PR areas by trapezoids from (0, 0) and (0, 1)."""
     w = Window.orderBy(F.desc(score))

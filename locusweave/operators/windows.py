@@ -5,9 +5,14 @@ Axis: rows of a partition (`part`) in an explicit order. All operators are lazy
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+from .ranking import running_total
+
 
 def number_rows(df: DataFrame, part: list[str], order: list[str], name: str = "idx") -> DataFrame:
     """1-based position before any filter, so rows without a label still use up width."""
@@ -64,22 +69,35 @@ def first_per_set(df: DataFrame, set_col: str, scope: list[str], order: list[str
     return df.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
 
 
-def drop_strict_subsets(df: DataFrame, key: str, set_col: str, *, earlier: str | None = None) -> DataFrame:
+def drop_strict_subsets(df: DataFrame, key: str, set_col: str, *, earlier: str | None = None, depth: int = 4) -> DataFrame:
     """Rows whose set is no strict subset of another row's (`earlier`: no subset of an earlier one's).
 
-    Equal sets are compared once, and a set is looked up only among those that hold its rarest element.
+    Distinct sets, in order of rising element frequency, make prefixes of up to `depth` elements. Every set looks up
+    which of these prefixes it holds, one element at a time, so no pair of sets is formed before `depth` rare
+    elements agree; sets of up to `depth` elements are settled by the least order of what holds them. Empty sets stay.
     """
-    sets = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(set_col)).alias("s"), *([F.col(earlier).alias("o")] if earlier else []))
-    sets = sets.groupBy("s").agg(F.min("o").alias("o")) if earlier else sets.select("s").distinct()
-    items = sets.select("s", F.explode("s").alias("e"), *(["o"] if earlier else []))
+    sets = df.select(F.array_sort(F.array_distinct(set_col)).alias("s"), F.col(earlier or key).alias("o"))
+    sets = sets.groupBy("s").agg(F.min("o").alias("o"))
+    items = sets.select("s", F.explode("s").alias("e"), "o")
     often = items.groupBy("e").agg(F.count("*").alias("f"))
-    rare = items.join(often, "e").groupBy("s").agg(F.min_by("e", F.struct("f", "e")).alias("e"))
-    small = rare.join(sets, "s")
-    big = items.select("e", F.col("s").alias("t"), *([F.col("o").alias("p")] if earlier else []))
-    inside = (F.size("s") < F.size("t")) & (F.size(F.array_except("s", "t")) == 0)
-    covered = small.join(big, "e").where(inside & ((F.col("p") < F.col("o")) if earlier else F.lit(True))).select("s").distinct()
+    ranked = items.join(often, "e").groupBy("s", "o").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("r"))
+    ranked = cut(ranked.select("s", "o", F.transform("r", lambda x: x["e"]).alias("r")))
+    before = (lambda mine, theirs: F.col(theirs) < F.col(mine)) if earlier else lambda mine, theirs: F.lit(True)
+    held = ranked.select("r", "o", F.lit(0).alias("last"), F.slice("r", 1, 0).alias("prefix"))
+    covered = []
+    for k in range(1, depth + 1):
+        wanted = ranked.where(F.size("r") >= k).select(F.slice("r", 1, k).alias("prefix")).distinct()
+        step = held.where(F.col("last") < F.size("r")).withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.size("r"))))
+        held = step.withColumn("prefix", F.concat("prefix", F.array(F.element_at("r", F.col("last"))))).join(wanted, "prefix", "left_semi")
+        over = held.where(F.size("r") > k).groupBy("prefix").agg(F.min("o").alias("p"))
+        covered.append(ranked.where(F.size("r") == k).join(over, ranked["r"] == over["prefix"]).where(before("o", "p")).select("s"))
+    rest = ranked.where(F.size("r") > depth).withColumn("prefix", F.slice("r", 1, depth))
+    other = held.select("prefix", F.col("r").alias("t"), F.col("o").alias("p"))
+    inside = (F.size("r") < F.size("t")) & (F.size(F.array_except("r", "t")) == 0)
+    covered.append(rest.join(other, "prefix").where(inside & before("o", "p")).select("s").distinct())
+    gone = reduce(DataFrame.unionAll, covered)
     keyed = df.withColumn("_s", F.array_sort(F.array_distinct(set_col)))
-    kept = keyed.join(covered, keyed["_s"] == covered["s"], "left_anti")
+    kept = keyed.join(gone, keyed["_s"] == gone["s"], "left_anti")
     if earlier:
         kept = first_per_set(kept, "_s", [], [earlier])
     return kept.drop("_s")
@@ -166,7 +184,7 @@ def tightest_span(df: DataFrame, part: list[str], query: str, start: str, end: s
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
-    """Value and its share of rows at or below, from counts per value."""
+    """Value and its share of rows at or below, from counts per value in range partitions."""
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.withColumn("share", F.sum("n").over(Window.orderBy(value)) / total)
+    total = counts.agg(F.sum("n").alias("_all"))
+    return running_total(counts, [F.col(value)], F.col("n"), "_upto").crossJoin(F.broadcast(total)).withColumn("share", F.col("_upto") / F.col("_all")).drop("_upto", "_all")

@@ -54,7 +54,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_header(df: DataFrame, col: str = "description") -> DataFrame:
     """Gene, cluster, chromosome, start, end, strand from pipe, colon or space headers; null where a form lacks a part."""
-    p = F.transform(F.split(col, r"\|"), F.trim)
+    p = F.transform(F.split(col, r"\|"), lambda x: F.trim(x))
     at = lambda i: F.try_element_at(p, F.lit(i))
     placed = at(3).try_cast("long").isNotNull() & at(4).try_cast("long").isNotNull()
     colon = F.regexp_extract(col, r"chromosome:[^:]*:([^:]+):(\d+):(\d+):(-?1)", 0) != ""

@@ -80,3 +80,80 @@ def test_empirical_p_of_the_table(spark):
     got = catalog.QUERIES["n_empirical_p"](spark, SF).first()
     assert abs(got["z"] - (real - got["mean"]) / got["sd"]) < 1e-4
     assert abs(got["p_one"] * 200 - round(got["p_one"] * 200)) < 1e-3 and abs(got["p_two"] * 200 - round(got["p_two"] * 200)) < 1e-3
+
+
+def test_assignment_by_brute_force():
+    import itertools
+
+    import numpy as np
+
+    from locusweave.operators.graph import _assign
+
+    rng = np.random.default_rng(1)
+    for _ in range(1500):
+        n = int(rng.integers(1, 5))
+        m = int(rng.integers(n, 6))
+        w = rng.integers(-5, 9, (n, m)).astype(float)
+        w[rng.random((n, m)) < 0.25] = -np.inf
+        best = max(sum(w[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))
+        got = _assign(w)
+        assert np.isnan(got) if best == -np.inf else got == best
+
+
+def test_set_cover_by_brute_force(spark):
+    from locusweave.operators import relational
+
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(9), rnd.randrange(40)) for _ in range(90)]
+    left, told = {}, []
+    for s, i in rows:
+        left.setdefault(s, set()).add(i)
+    while any(left.values()):
+        s = min(left, key=lambda k: (-len(left[k]), k))
+        told.append((s, len(left[s])))
+        gone = set(left[s])
+        left = {k: v - gone for k, v in left.items()}
+    df = spark.createDataFrame(rows, "s int, i int")
+    assert relational.set_cover(df, "s", "i") == told
+    assert relational.set_cover(df.limit(0), "s", "i") == []
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_subsets_by_brute_force(spark, depth):
+    rnd = random.Random(7)
+    sets = [sorted(set(rnd.choices(range(9), k=rnd.randrange(1, 8)))) for _ in range(70)]
+    told = [i for i, s in enumerate(sets) if not any(set(s) < set(o) for o in sets)]
+    df = spark.createDataFrame(list(enumerate(sets)), "k int, s array<int>")
+    assert sorted(r["k"] for r in windows.drop_strict_subsets(df, "k", "s", depth=depth).collect()) == told
+    assert windows.drop_strict_subsets(df.limit(0), "k", "s").count() == 0
+
+
+def test_numbered(spark):
+    from locusweave.operators import ranking
+
+    df = spark.createDataFrame([(None, 1), *[(i % 13, i) for i in range(500)]], "a int, b int").repartition(5)
+    got = ranking.numbered(df, [F.col("a"), F.desc("b")]).orderBy("pos").collect()
+    assert [r["pos"] for r in got] == list(range(1, 502))
+    assert [(r["a"], r["b"]) for r in got] == sorted(((r["a"], r["b"]) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, -x[1]))
+    assert ranking.numbered(df.limit(0), [F.col("a")]).count() == 0
+
+
+def test_train_and_rank(spark):
+    from locusweave.plans import flows
+
+    rnd = random.Random(2)
+    rows = [(i, i % 2, rnd.gauss(i % 2, 0.5), rnd.random(), "BGC" if i < 10 else "x") for i in range(400)]
+    a = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "k int, y int, signal double")
+    b = spark.createDataFrame([(r[0], r[3]) for r in rows], "k int, noise double")
+    got = flows.train_and_rank([a, b], "k", "y", F.col("k") < 10)
+    ranked = [r["feature"] for r in got["ranked"].collect()]
+    assert ranked[0] == "signal" and got["areas"].first()["roc_auc"] > 0.85
+    assert abs(dict((n, w) for n, w, _ in got["weights"])["signal"]) > abs(dict((n, w) for n, w, _ in got["weights"])["noise"])
+
+
+def test_read_genome_headers(spark):
+    from locusweave.sources import readers
+
+    df = spark.createDataFrame([("> c1 | g1 | 5 | 9 ",), ("p1 pep chromosome:ASM:chr2:10:20:-1 gene:G7 transcript:T",), ("c3 | g3 | path | src",)], "description string")
+    got = [tuple(r)[1:] for r in readers.parse_header(df).collect()]
+    assert got[1] == ("G7", None, "chr2", 10, 20, "-") and got[0][3:5] == (5, 9) and got[2][:2] == ("g3", "c3")
