@@ -243,8 +243,9 @@ def remove_repeats(docs: DataFrame, *, width: int = 400, gram: int = GRAM, wide:
 
     place = "k1 long, k2 long, at int, lo int, hi int, kh long, cd long"
     every = written(keyed.select("_k1", "_k2", F.col(text_col).alias("text")).mapInPandas(find, place), "anchors")
-    # Most k-grams stand alone; only the others are grouped by context.
-    again = every.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
+    # Most k-grams stand alone; only the others are grouped by context. As a table of its own, so that Spark splits
+    # the join where one k-gram has many rows.
+    again = written(every.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), "repeated-grams")
     anchors = written(every.join(again, "kh", "left_semi"), "repeated-anchors")
     contexts = anchors.groupBy("kh", "cd").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one"))
     kinds = contexts.withColumn("kinds", F.count("*").over(Window.partitionBy("kh")))
