@@ -66,10 +66,11 @@ def repeated_word_windows(
         """(bucket, from, to) of the sorted hashes: a bucket owns one range of hash values."""
         if shift is None:
             return [(0, 0, len(uniq))] if len(uniq) else []
-        edges = np.searchsorted(uniq >> shift, np.arange(n_buckets + 1, dtype=np.uint64))
-        return [(b, int(edges[b]), int(edges[b + 1])) for b in range(n_buckets) if edges[b] < edges[b + 1]]
+        owner = uniq >> shift
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+        return [(int(owner[i]), int(i), int(j)) for i, j in zip(first, [*first[1:], len(owner)])]
 
-    def send(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, _, uniq, _, n = distinct(pdf)
         return pd.DataFrame(
             [(key[0], b, uniq[i:j].tobytes(), np.packbits(n[i:j] > 1).tobytes()) for b, i, j in bounds(uniq)],
@@ -84,7 +85,7 @@ def repeated_word_windows(
         cuts = np.split(again, np.cumsum([len(p) for p in parts])[:-1])
         return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "mask": [np.packbits(x).tobytes() for x in cuts]})
 
-    def remove(key, pdf: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
+    def remove(key: tuple, pdf: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return pd.DataFrame(columns=["id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
         pdf, starts, counts, uniq, back, _ = distinct(pdf)
