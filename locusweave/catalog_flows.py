@@ -84,10 +84,10 @@ def j_pattern_windows(t):
     return genome.pattern_windows(w, "win", "text", part_keys(t), "word", "pathway", 8).select("win", "pathway", "n", F.array_join("patterns", ",").alias("words"))
 
 
-@query("""SELECT c_nationkey, count(*)::BIGINT AS n_clusters, count(DISTINCT c_mktsegment)::BIGINT AS n_labels, round(avg(c_acctbal), 2) AS mean_len, round(quantile_cont(c_acctbal, 0.5), 2) AS median_len, round(stddev_samp(c_acctbal), 2) AS sd_len, round(min(c_acctbal), 2) AS min_len, round(max(c_acctbal), 2) AS max_len,
+@query("""SELECT c_nationkey, count(*)::BIGINT AS n_clusters, count(DISTINCT c_mktsegment)::BIGINT AS n_labels, round(avg(c_custkey * 7 % 1000), 2) AS mean_len, round(quantile_cont((c_custkey * 7 % 1000)::DOUBLE, 0.5), 2) AS median_len, round(stddev_samp(c_custkey * 7 % 1000), 2) AS sd_len, min(c_custkey * 7 % 1000) AS min_len, max(c_custkey * 7 % 1000) AS max_len,
   round(avg(c_custkey % 10), 2) AS mean_genes, round(quantile_cont((c_custkey % 10)::DOUBLE, 0.5), 2) AS median_genes, round(stddev_samp(c_custkey % 10), 2) AS sd_genes, min(c_custkey % 10) AS min_genes, max(c_custkey % 10) AS max_genes FROM customer GROUP BY 1""")
 def a_cluster_stats(t):
-    return summaries.cluster_stats(t("customer").withColumns({"len": F.col("c_acctbal"), "genes": F.col("c_custkey") % 10}), "c_nationkey", "c_mktsegment", "len", "genes")
+    return summaries.cluster_stats(t("customer").withColumns({"len": F.col("c_custkey") * 7 % 1000, "genes": F.col("c_custkey") % 10}), "c_nationkey", "c_mktsegment", "len", "genes")
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, nullif(o_orderkey % 3, 0) AS g1, nullif(o_orderkey % 4, 0) AS g2, nullif(o_orderkey % 5, 0) AS g3 FROM orders) SELECT o_orderkey, (g1 IS NOT NULL)::INT + (g2 IS NOT NULL)::INT + (g3 IS NOT NULL)::INT AS n_filled FROM o""")
