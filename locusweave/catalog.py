@@ -267,6 +267,33 @@ def a_clade_features(t):
     return f.select("c", *[r6(x).alias(x) for x in f.columns[1:]])
 
 
+@query("""WITH d AS (SELECT l_suppkey AS c, l_extendedprice / 499.99 - 120 AS s FROM lineitem), m AS (SELECT c, count(*) AS n, sum(s) AS t, avg(s) AS a, var_pop(s) AS v, stddev_pop(s) AS sd, quantile_cont(s, 0.5) AS q2, quantile_cont(s, 0.25) AS q1, quantile_cont(s, 0.75) AS q3, min(s) AS lo, max(s) AS hi,
+    count(*) FILTER (s < -50) AS b1, count(*) FILTER (s >= -50 AND s < -25) AS b2, count(*) FILTER (s >= -25) AS b3 FROM d GROUP BY c), e AS (SELECT *, CASE WHEN sd > 0 THEN (a + 30) / sd ELSE 0 END AS z FROM m)
+  SELECT c AS name, n::BIGINT AS n, (n * n)::BIGINT AS n_squared, n::BIGINT AS n_comparisons_total, n::BIGINT AS n_comparisons_non_self, n::BIGINT AS total_interactions, round(t, 4) AS sum_scores_all, round(t, 4) AS sum_scores_non_self,
+    round(a, 4) AS mean_score_all, round(a, 4) AS mean_score_non_self, round(a, 4) AS mean_score, round(v, 4) AS var_score_non_self, round(sd, 4) AS std_score_non_self, round(sd, 4) AS std_score, round(q2, 4) AS median_score_non_self, round(q2, 4) AS median_score,
+    round(q1, 4) AS q25_score, round(q3, 4) AS q75_score, round(lo, 4) AS min_score, round(hi, 4) AS max_score, round(b1 / n, 4) AS fraction_strong_binders, round(b2 / n, 4) AS fraction_moderate_binders, round(b3 / n, 4) AS fraction_weak_binders,
+    b1::BIGINT AS high_score_interactions, b2::BIGINT AS medium_score_interactions, b3::BIGINT AS low_score_interactions, round(ln(n), 4) AS log_n, round(sqrt(n), 4) AS sqrt_n, -30.0::DOUBLE AS expected_random, round(a / -30, 4) AS enrichment_score,
+    round(z, 4) AS z_score, round(z, 4) AS effect_size, CASE WHEN n <= 10 THEN 'small' WHEN n <= 50 THEN 'medium' ELSE 'large' END AS size_bin FROM e""")
+def a_docking_table(t):
+    f = features.docking_table(t("lineitem").select(F.col("l_suppkey").alias("c"), (F.col("l_extendedprice") / 499.99 - 120).alias("s")), "c", "s")
+    return f.withColumns({c: F.round(c, 4) for c, kind in f.dtypes if kind == "double"})
+
+
+@query("""WITH d AS (SELECT o_custkey AS c, CASE WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderstatus = 'O' THEN 'failed' ELSE 'skipped' END AS st, (1 + o_orderkey % 17)::DOUBLE AS z, -o_totalprice / 199999 AS s, (o_orderkey % 101) / 100 AS r, CASE WHEN o_orderkey % 3 > 0 THEN 'x' END AS p FROM orders),
+  m AS (SELECT c, count(*) AS n, count(*) FILTER (st = 'success') AS g, count(*) FILTER (st = 'failed') AS f, avg(z) AS z1, stddev_samp(z) AS z2, median(z) AS z3, min(z) AS z4, max(z) AS z5, sum(z) AS tips, avg(s) AS s1, stddev_samp(s) AS s2, median(s) AS s3, min(s) AS s4, max(s) AS s5, avg(r) AS r1, max(r) AS r2, min(r) AS r3, count(p) AS p,
+    count(*) FILTER (st = 'success' AND s > -0.5) AS h, count(*) FILTER (st = 'success' AND s <= -0.5 AND s > -1) AS i, count(*) FILTER (st = 'success' AND s <= -1) AS l FROM d GROUP BY c)
+  SELECT c AS name, n::BIGINT AS n_clades, g::BIGINT AS n_successful, f::BIGINT AS n_failed, round(g / n, 5) AS success_rate, round(z1, 5) AS mean_clade_sizes, round(z2, 5) AS std_clade_sizes, round(z3, 5) AS median_clade_sizes, round(z4, 5) AS min_clade_sizes, round(z5, 5) AS max_clade_sizes, round(tips, 5) AS total_tips, round(tips / n, 5) AS mean_tips_per_clade,
+    round(s1, 5) AS mean_cladepp_score, round(s2, 5) AS std_cladepp_score, round(s3, 5) AS median_cladepp_score, round(s4, 5) AS min_cladepp_score, round(s5, 5) AS max_cladepp_score, round(r1, 5) AS mean_anchor_corr, round(r1, 5) AS std_anchor_corr, round(r2, 5) AS max_anchor_corr, round(r3, 5) AS min_anchor_corr, p::BIGINT AS positive_corr_pairs, round(p / n, 5) AS fraction_positive_corr,
+    round(s1, 5) AS mean_gain_loss_score, round(s2, 5) AS std_gain_loss_score, round(s3, 5) AS median_gain_loss_score, h::BIGINT AS high_quality_clades, i::BIGINT AS medium_quality_clades, l::BIGINT AS low_quality_clades, round(CASE WHEN g > 0 THEN h / g ELSE 0 END, 5) AS fraction_high_quality, round(CASE WHEN g > 0 THEN i / g ELSE 0 END, 5) AS fraction_medium_quality,
+    round(CASE WHEN g > 0 THEN l / g ELSE 0 END, 5) AS fraction_low_quality, CASE WHEN n <= 5 THEN 'small' WHEN n <= 20 THEN 'medium' ELSE 'large' END AS size_bin FROM m""")
+def a_clade_table(t):
+    key, score, share = F.col("o_orderkey"), -F.col("o_totalprice") / 199999, (F.col("o_orderkey") % 101) / 100
+    status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failed").otherwise("skipped")
+    of = {"status": status, "clade_size": (1 + key % 17).cast("double"), "cladepp_score": score, "gain_loss_score": score, "positive_corr_pairs": F.when(key % 3 > 0, "x")}
+    f = features.clade_table(t("orders").select(F.col("o_custkey").alias("c"), *[of.get(c, share).alias(c) for c in features.CLADE]), "c")
+    return f.withColumns({c: F.round(c, 5) for c, kind in f.dtypes if kind == "double"})
+
+
 @query("""WITH e AS (SELECT l_orderkey, (l_linenumber % 6)::VARCHAR || '.' || (l_suppkey % 9)::VARCHAR || '.' || (l_partkey % 5)::VARCHAR || '.' || (l_partkey % 11)::VARCHAR AS c FROM lineitem)
   SELECT l_orderkey, count(DISTINCT split_part(c, '.', 1))::BIGINT AS level1, count(DISTINCT split_part(c, '.', 1) || '.' || split_part(c, '.', 2))::BIGINT AS level2, count(DISTINCT regexp_extract(c, '^[0-9]+[.][0-9]+[.][0-9]+'))::BIGINT AS level3, count(DISTINCT c)::BIGINT AS level4, count(*)::BIGINT AS total FROM e GROUP BY 1""")
 def a_code_levels(t):

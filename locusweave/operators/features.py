@@ -41,6 +41,61 @@ def clade_features(df: DataFrame, cluster: str, score: str, size: str) -> DataFr
     return out.withColumn("consistency", F.when(F.col("mean") > 0, steady).otherwise(0.0)).drop("sd")
 
 
+def docking_table(df: DataFrame, cluster: str, score: str, *, expected: float = -30.0, strong: float = -50.0, weak: float = -25.0) -> DataFrame:
+    """One row of 33 measures per cluster of interaction scores; null scores are no interactions.
+
+    Deviations are those of the whole group (0 for one score); z and effect size are 0 where they are. Counts of
+    up to 10 are small, up to 50 medium. Quantiles are exact, between neighbours by share.
+    """
+    s = F.col(score)
+    n = F.count("*")
+    quantile = lambda q: F.percentile(s, F.lit(q))
+    bands = {"strong": s < strong, "moderate": (s >= strong) & (s < weak), "weak": s >= weak}
+    measured = {
+        "n": n, "sum_scores_all": F.sum(s), "mean_score_all": F.avg(s), "var_score_non_self": F.var_pop(s), "std_score_non_self": F.stddev_pop(s),
+        "median_score_non_self": quantile(0.5), "q25_score": quantile(0.25), "q75_score": quantile(0.75), "min_score": F.min(s), "max_score": F.max(s),
+        **{f"fraction_{b}_binders": F.count_if(c) / n for b, c in bands.items()},
+        **{f"{level}_score_interactions": F.count_if(c) for level, c in zip(("high", "medium", "low"), bands.values())},
+    }
+    per = df.where(s.isNotNull()).groupBy(F.col(cluster).alias("name")).agg(*[c.alias(k) for k, c in measured.items()])
+    effect = ratio(F.col("mean_score_all") - expected, F.nullif(F.col("std_score_non_self"), F.lit(0.0)))
+    return per.withColumns({
+        "n_squared": F.col("n") * F.col("n"), **{k: F.col("n") for k in ("n_comparisons_total", "n_comparisons_non_self", "total_interactions")},
+        "sum_scores_non_self": F.col("sum_scores_all"), **{k: F.col("mean_score_all") for k in ("mean_score_non_self", "mean_score")},
+        "std_score": F.col("std_score_non_self"), "median_score": F.col("median_score_non_self"), "log_n": F.log("n"), "sqrt_n": F.sqrt("n"),
+        "expected_random": F.lit(expected), "enrichment_score": F.col("mean_score_all") / expected, "z_score": effect, "effect_size": effect,
+        "size_bin": F.when(F.col("n") <= 10, "small").when(F.col("n") <= 50, "medium").otherwise("large"),
+    })
+
+
+#: Columns that `clade_table` reads beside the cluster.
+CLADE = ("status", "clade_size", "cladepp_score", "mean_anchor_corr", "std_anchor_corr", "max_anchor_corr", "min_anchor_corr", "positive_corr_pairs", "gain_loss_score")
+
+
+def clade_table(df: DataFrame, cluster: str) -> DataFrame:
+    """One row of 33 measures per cluster from its clades (columns CLADE).
+
+    Quality bands count successful clades: over -0.5 high, over -1 medium, else low; a null score is in none.
+    Shares of no successful clade are 0. Up to 5 clades are small, up to 20 medium.
+    """
+    n, good = F.count("*"), F.col("status") == "success"
+    score = F.col("cladepp_score")
+    quality = {"high": score > -0.5, "medium": (score <= -0.5) & (score > -1.0), "low": score <= -1.0}
+    whole = {"mean": F.avg, "std": F.stddev_samp, "median": lambda c: F.percentile(c, F.lit(0.5)), "min": F.min, "max": F.max}
+    per = df.groupBy(F.col(cluster).alias("name")).agg(
+        n.alias("n_clades"), F.count_if(good).alias("n_successful"), F.count_if(F.col("status") == "failed").alias("n_failed"),
+        *[f(c).alias(f"{k}_{out}") for c, out, ks in (("clade_size", "clade_sizes", list(whole)), ("cladepp_score", "cladepp_score", list(whole)), ("gain_loss_score", "gain_loss_score", ["mean", "std", "median"])) for k, f in whole.items() if k in ks],
+        F.coalesce(F.sum("clade_size"), F.lit(0)).alias("total_tips"), F.avg("mean_anchor_corr").alias("mean_anchor_corr"), F.avg("std_anchor_corr").alias("std_anchor_corr"),
+        F.max("max_anchor_corr").alias("max_anchor_corr"), F.min("min_anchor_corr").alias("min_anchor_corr"), F.count("positive_corr_pairs").alias("positive_corr_pairs"),
+        *[F.count_if(good & c).alias(f"{k}_quality_clades") for k, c in quality.items()],
+    )
+    return per.withColumns({
+        "success_rate": F.col("n_successful") / F.col("n_clades"), "mean_tips_per_clade": F.col("total_tips") / F.col("n_clades"), "fraction_positive_corr": F.col("positive_corr_pairs") / F.col("n_clades"),
+        **{f"fraction_{k}_quality": ratio(F.col(f"{k}_quality_clades"), F.col("n_successful")) for k in quality},
+        "size_bin": F.when(F.col("n_clades") <= 5, "small").when(F.col("n_clades") <= 20, "medium").otherwise("large"),
+    })
+
+
 def code_levels(df: DataFrame, cluster: str, code: str, levels: int = 4) -> DataFrame:
     """Distinct codes at each level of a dotted code, after removing all but digits and dots."""
     clean = F.regexp_replace(code, r"[^\d.]", "")

@@ -77,6 +77,16 @@ def read_blast_tab(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumns({"subject": F.when(full, s[0]).otherwise(F.col("sseqid")), "chromosome": F.coalesce(at(2), F.lit("Unknown")), "start": at(3).try_cast("long"), "end": at(4).try_cast("long"), "strand": at(5), "row_index": at(6).try_cast("long")})
 
 
+def read_short_hits(spark: SparkSession, path: str, least: float = 70.0) -> DataFrame:
+    """(query, subject, identity, length, evalue, bitscore) of 6-column hits with identity `least` or more.
+
+    Rows of fewer fields or with a number that can't be read are left out, further fields ignored.
+    """
+    f = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\t", -1)
+    told = _lines(spark, path).where(F.size(f) >= 6).select(f[0].alias("query"), f[1].alias("subject"), *[f[i].try_cast(kind).alias(c) for i, c, kind in ((2, "identity", "double"), (3, "length", "long"), (4, "evalue", "double"), (5, "bitscore", "double"))], "source_file")
+    return told.dropna(subset=["identity", "length", "evalue", "bitscore"]).where(F.col("identity") >= least)
+
+
 def read_blast_xml(spark: SparkSession, path: str) -> DataFrame:
     """One row per (query, hit) with its first segment; identity and coverage in percent."""
     it = spark.read.format("xml").option("rowTag", "Iteration").schema(XML).load(path)

@@ -157,3 +157,16 @@ def test_read_genome_headers(spark):
     df = spark.createDataFrame([("> c1 | g1 | 5 | 9 ",), ("p1 pep chromosome:ASM:chr2:10:20:-1 gene:G7 transcript:T",), ("c3 | g3 | path | src",)], "description string")
     got = [tuple(r)[1:] for r in readers.parse_header(df).collect()]
     assert got[1] == ("G7", None, "chr2", 10, 20, "-") and got[0][3:5] == (5, 9) and got[2][:2] == ("g3", "c3")
+
+
+def test_cluster_tables_on_nulls(spark):
+    from locusweave.operators import features
+
+    d = spark.createDataFrame([(1, -60.0), (1, None), (2, None)], "c int, s double")
+    got = [r.asDict() for r in features.docking_table(d, "c", "s").collect()]
+    assert len(got) == 1 and len(got[0]) == 33 and got[0]["n"] == 1 and got[0]["z_score"] == 0 and got[0]["fraction_strong_binders"] == 1
+    kinds = ", ".join(f"{c} {'string' if c in ('status', 'positive_corr_pairs') else 'double'}" for c in features.CLADE)
+    one = spark.createDataFrame([(1, *[None] * 9), (1, "success", 4.0, -0.7, *[0.5] * 4, "a-b:1", -0.1)], f"c int, {kinds}")
+    got = [r.asDict() for r in features.clade_table(one, "c").collect()]
+    assert len(got) == 1 and len(got[0]) == 33 and got[0]["n_clades"] == 2 and got[0]["fraction_medium_quality"] == 1 and got[0]["total_tips"] == 4
+    assert features.clade_table(one.limit(0), "c").count() == features.docking_table(d.limit(0), "c", "s").count() == 0

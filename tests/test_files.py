@@ -49,3 +49,9 @@ def test_functions(spark):
         seq.translate_dna(F.col("s")).alias("p"), seq.reverse_complement(seq.reverse_complement(F.col("s"))).alias("same"), F.lit("x").alias("o")
     )
     assert tuple(df.first())[:2] == ("M*X", "ATGTAAGGN")
+
+
+def test_short_hits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("q\ts\t70\t9\t1e-5\t33.5\nq\tt\t69.9\t9\t0\t1\nq\tt\t80\n\nq\tu\tx\t9\t0\t1\n  q\tv\t99.5\t8\t0\t7\tmore\n")
+    got = sorted(tuple(r) for r in readers.read_short_hits(spark, str(tmp_path / "a.txt")).collect())
+    assert got == [("q", "s", 70.0, 9, 1e-5, 33.5, "a.txt"), ("q", "v", 99.5, 8, 0.0, 7.0, "a.txt")]
