@@ -559,6 +559,19 @@ def c_fisher_tables(t):
     return stats.fisher(t("part"), "p_brand", F.col("p_size") > 25).select("p_brand", "a", "b", "c", "d", r6("odds").alias("odds"))
 
 
+@query()
+def c_correlation_report(t):
+    d = t("lineitem").select(F.col("l_quantity").cast("double").alias("l_quantity"), "l_discount", "l_tax", "l_extendedprice")
+    f = stats.correlation_report(d, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return f.withColumns({c: r6(c) for c in ("r", "p", "q")})
+
+
+@query()
+def c_rank_p(t):
+    f = stats.rank_tests(t("part").withColumn("big", F.col("p_size") > 25), "big", "p_retailprice")
+    return f.select("n", "groups", "u", r6("h").alias("h"), r6("p").alias("p"), r6("u_p").alias("u_p"))
+
+
 @query()
 def c_fisher_p(t):
     return stats.fisher(t("part"), "p_brand", F.col("p_size") > 25).select("p_brand", r6("p").alias("p"), "side")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -13,6 +15,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tails import f_tail, t_quantile
+
 
 def logistic(df: DataFrame, features: list[str], label: str, c: float = 1.0) -> PipelineModel:
     """M2: standardise, then logistic regression with an L2 penalty of strength 1 / (c n). Null features drop the row."""
@@ -95,14 +99,33 @@ def grouped(df: DataFrame, features: list[str], k: int = 5, seed: int = 42) -> D
 
 
 def least_squares(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """R2, adjusted R2, AIC and BIC of an ordinary least-squares fit."""
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, target]))
-    s = LinearRegression(labelCol=target, solver="normal").fit(rows).summary
+    """R2, adjusted R2, F with its p, AIC and BIC of an ordinary least-squares fit with an intercept.
+
+    The information criteria are those of the normal likelihood. F and p are null for an exact fit.
+    """
+    model, s = _fitted(df, features, target)
     n, p = s.numInstances, len(features)
-    import math
+    log = n * (math.log(2 * math.pi * s.meanSquaredError) + 1) if s.meanSquaredError > 0 else float("-inf")
+    free = n - p - 1
+    f = s.r2 / p / ((1 - s.r2) / free) if s.r2 < 1 and free > 0 else None
+    told = (n, s.r2, s.r2adj, f, None if f is None else f_tail(f, p, free), log + 2 * (p + 1), log + math.log(n) * (p + 1))
+    return df.sparkSession.createDataFrame([told], "n long, r2 double, r2_adj double, f double, f_p double, aic double, bic double")
 
-    log = n * math.log(s.meanSquaredError) if s.meanSquaredError > 0 else float("-inf")
-    return df.sparkSession.createDataFrame([(n, s.r2, s.r2adj, log + 2 * (p + 1), log + math.log(n) * (p + 1))], "n long, r2 double, r2_adj double, aic double, bic double")
+
+def coefficients(df: DataFrame, features: list[str], target: str, level: float = 0.95) -> DataFrame:
+    """(term, coefficient, error, t, p, low, high) of the fit's terms and its intercept; low to high is the
+    confidence interval of `level`."""
+    model, s = _fitted(df, features, target)
+    reach = t_quantile(level, s.degreesOfFreedom)
+    values = [*model.coefficients.toArray().tolist(), model.intercept]
+    told = [(term, v, e, t, p, v - reach * e, v + reach * e) for term, v, e, t, p in zip([*features, "intercept"], values, s.coefficientStandardErrors, s.tValues, s.pValues)]
+    return df.sparkSession.createDataFrame(told, "term string, coefficient double, error double, t double, p double, low double, high double")
+
+
+def _fitted(df: DataFrame, features: list[str], target: str):
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, target]))
+    model = LinearRegression(labelCol=target, solver="normal").fit(rows)
+    return model, model.summary
 
 
 def forest(df: DataFrame, features: list[str], target: str, folds: int = 5, seed: int = 42) -> tuple[float, list[float]]:

@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from .profiles import pearson
 from .ranking import average_ranks, numbered, running_total
+from .tails import chi_p, correlation_p, normal_p
 
 
 def corr_with_target(df: DataFrame, features: list[str], target: str, method: str = "pearson") -> DataFrame:
@@ -25,6 +26,25 @@ def corr_with_target(df: DataFrame, features: list[str], target: str, method: st
     return long.groupBy("feature").agg(F.count("*").alias("n"), pearson(x, y).alias("r")).where("n >= 3")
 
 
+#: Least size of a correlation for each word, highest first; fixed values.
+EFFECTS = [(0.7, "very large"), (0.5, "large"), (0.3, "medium"), (0.1, "small")]
+
+
+def correlation_report(df: DataFrame, features: list[str], target: str, methods: tuple[str, ...] = ("pearson", "spearman")) -> DataFrame:
+    """(method, feature, n, r, p, q, effect): p two-sided from t with n - 2 degrees, q its Benjamini-Hochberg
+    adjustment over a method's features, effect in words. A constant column has null r, p, q and effect."""
+    told = [corr_with_target(df, features, target, m).withColumn("method", F.lit(m)) for m in methods]
+    out = told[0]
+    for other in told[1:]:
+        out = out.unionByName(other)
+    out = out.withColumn("r", F.nanvl("r", F.lit(None))).withColumn("p", correlation_p("r", F.col("n").cast("double")))
+    adjusted = bh(out.where("p is not null"), "p", ["method"]).unionByName(out.where("p is null").withColumn("q", F.lit(None).cast("double")))
+    effect = F.when(F.col("r").isNull(), None)
+    for least, word in EFFECTS:
+        effect = effect.when(F.abs("r") >= least, word)
+    return adjusted.withColumn("effect", effect.otherwise("negligible")).select("method", "feature", "n", "r", "p", "q", "effect")
+
+
 def bh(df: DataFrame, p: str, family: list[str]) -> DataFrame:
     """Benjamini-Hochberg adjusted p per family."""
     up = Window.partitionBy(*family).orderBy(p)
@@ -34,7 +54,9 @@ def bh(df: DataFrame, p: str, family: list[str]) -> DataFrame:
 
 
 def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One row: Kruskal-Wallis H (tie-corrected), groups, and n; with two groups also Mann-Whitney U of the least-named."""
+    """One row: Kruskal-Wallis H (tie-corrected), groups, n and p; with two groups also Mann-Whitney U of the
+    least-named and its p from the normal limit (ties and continuity corrected), else null p. All values equal: no H."""
+    d = lambda c: F.col(c).cast("double")
     ranks = average_ranks(df, value)
     ranked = df.select(group, value).join(ranks.withColumnRenamed("rank", "rk"), value)
     t = F.col("times").cast("double")
@@ -42,8 +64,12 @@ def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     per = ranked.groupBy(group).agg(F.count("*").alias("n"), F.sum("rk").alias("r"))
     n = F.sum("n")
     h = 12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)
-    one = per.agg(n.alias("n"), F.count("*").alias("groups"), h.alias("h0"), F.min_by(F.col("r") - F.col("n") * (F.col("n") + 1) / 2, group).alias("u"))
-    return one.crossJoin(F.broadcast(ties)).select("n", "groups", F.try_divide("h0", 1 - F.col("ties") / (F.col("n") * F.col("n") * F.col("n") - F.col("n"))).alias("h"), "u")
+    one = per.agg(n.alias("n"), F.count("*").alias("groups"), h.alias("h0"), F.min_by(F.col("r") - F.col("n") * (F.col("n") + 1) / 2, group).alias("u"), F.min_by("n", group).alias("n1"))
+    told = one.crossJoin(F.broadcast(ties)).withColumn("h", F.try_divide("h0", 1 - F.try_divide("ties", d("n") * d("n") * d("n") - d("n"))))
+    mean = d("n1") * (d("n") - d("n1")) / 2
+    sd = F.sqrt(mean / 6 * (d("n") + 1 - F.try_divide("ties", d("n") * (d("n") - 1))))
+    z = F.when(F.col("groups") == 2, F.try_divide(F.greatest(F.abs(F.col("u") - mean) - 0.5, F.lit(0.0)), sd))
+    return told.select("n", "groups", "h", "u", chi_p("h", d("groups") - 1).alias("p"), normal_p(z).alias("u_p"))
 
 
 def _log_factorials(n: int) -> np.ndarray:

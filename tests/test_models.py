@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusweave.functions import maps
-from locusweave.operators import models, reports
+from locusweave.operators import models, reports, stats, tails
 from locusweave.streaming import scans
 
 RND = random.Random(9)
@@ -86,3 +86,62 @@ def test_report_edges(spark):
     none = rows.where("false")
     assert reports.median_rank(none, "k", "v").count() == 0
     assert reports.summary_report(none, "k", "v").first()["n_rows"] == 0
+
+
+@pytest.mark.parametrize("x", [0.0, 0.3, 1.7, 6.0, 25.0])
+def test_tails_in_closed_form(x):
+    near = lambda a, b: abs(a - b) < 1e-9 + 1e-6 * b
+    assert near(tails.t_tail(x, 1), 1 - 2 / np.pi * np.arctan(x)) and near(tails.t_tail(-x, 2), 1 - x / np.sqrt(2 + x * x))
+    assert near(tails.chi_tail(x, 2), np.exp(-x / 2)) and near(tails.chi_tail(x, 4), np.exp(-x / 2) * (1 + x / 2))
+    for under in (1, 7, 5000):
+        assert near(tails.f_tail(x, 2, under), (1 + 2 * x / under) ** (-under / 2))
+        assert near(tails.f_tail(x, 1, under), tails.t_tail(np.sqrt(x), under))
+
+
+def test_quantile_inverts():
+    assert abs(tails.t_quantile(0.95, 10) - 2.2281388) < 1e-6 and abs(tails.t_quantile(0.95, 1e7) - 1.959964) < 1e-5
+
+
+def test_coefficients_against_numpy(table):
+    a = np.array([r[1:4] for r in ROWS])
+    design = np.column_stack((a[:, :2], np.ones(len(a))))
+    beta = np.linalg.lstsq(design, a[:, 2], rcond=None)[0]
+    rest = a[:, 2] - design @ beta
+    error = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * (rest @ rest) / (len(a) - 3))
+    got = {r["term"]: r for r in models.coefficients(table, ["x", "y"], "target").collect()}
+    for i, term in enumerate(("x", "y", "intercept")):
+        assert np.allclose((got[term]["coefficient"], got[term]["error"], got[term]["t"]), (beta[i], error[i], beta[i] / error[i]))
+        assert abs(got[term]["high"] - beta[i] - tails.t_quantile(0.95, len(a) - 3) * error[i]) < 1e-9
+        assert abs(got[term]["p"] - tails.t_tail(got[term]["t"], len(a) - 3)) < 1e-9
+    fit = models.least_squares(table, ["x", "y"], "target").first()
+    assert np.isclose(fit["f"], (((a[:, 2] - a[:, 2].mean()) ** 2).sum() - rest @ rest) / 2 / (rest @ rest / (len(a) - 3)), rtol=1e-6) and fit["f_p"] < 1e-9
+
+
+def test_correlation_report(spark, table):
+    df = table.withColumn("flat", F.lit(1.0))
+    got = {(r["method"], r["feature"]): r for r in stats.correlation_report(df, ["x", "y", "flat"], "target").collect()}
+    a = np.array([r[1:4] for r in ROWS])
+    rank = lambda v: np.argsort(np.argsort(v)).astype(float)
+    for method, of in (("pearson", lambda v: v), ("spearman", rank)):
+        for i, f in enumerate(("x", "y")):
+            r = np.corrcoef(of(a[:, i]), of(a[:, 2]))[0, 1]
+            p = tails.t_tail(r * np.sqrt(298 / (1 - r * r)), 298)
+            assert abs(got[method, f]["r"] - r) < 1e-9 and abs(got[method, f]["p"] - p) < 1e-9
+        assert got[method, "x"]["effect"] == "very large" and got[method, "flat"]["p"] is None and got[method, "flat"]["effect"] is None
+        assert abs(got[method, "y"]["q"] - max(got[method, "y"]["p"], min(1, 2 * min(got[method, f]["p"] for f in "xy")))) < 1e-9
+
+
+def test_rank_tests_by_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(g, rnd.randrange(12) + (g == "b")) for g in "aab" for _ in range(20)]
+    a, b = ([v for g, v in rows if g == k] for k in "ab")
+    u = sum((x > y) + (x == y) / 2 for x in a for y in b)
+    n, counts = len(rows), np.unique([v for _, v in rows], return_counts=True)[1].astype(float)
+    sd = np.sqrt(len(a) * len(b) / 12 * (n + 1 - (counts**3 - counts).sum() / (n * (n - 1))))
+    got = stats.rank_tests(spark.createDataFrame(rows, "g string, v int"), "g", "v").first()
+    z = (abs(u - len(a) * len(b) / 2) - 0.5) / sd
+    assert got["u"] == u and abs(got["u_p"] - tails.t_tail(z, 1e9)) < 1e-6
+    # Two groups: H is the squared deviation without the continuity correction.
+    assert abs(got["h"] - ((u - len(a) * len(b) / 2) / sd) ** 2) < 1e-9 and abs(got["p"] - tails.chi_tail(got["h"], 1)) < 1e-9
+    flat = stats.rank_tests(spark.createDataFrame([("a", 1), ("b", 1)], "g string, v int"), "g", "v").first()
+    assert flat["h"] is None and flat["p"] is None and flat["u_p"] is None
