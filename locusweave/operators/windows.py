@@ -107,11 +107,15 @@ def merge_overlaps(df: DataFrame, part: list[str], order: list[str], label: str,
     """(part, label, items, end) after folding each part's matches in order; one joins the open match
     if the label agrees and its first `overlap` items are the open one's last.
 
-    The open match grows, so this is a fold over the part's matches (a part's matches, not its rows).
+    The open match grows, so this is a fold; a change of label always opens a match, so one fold takes a run of
+    equal labels, not a part. Null labels never join.
     """
+    ordered = Window.partitionBy(*part).orderBy(*order, label, items, end)
+    opens = F.when(F.col(label) == F.lag(label).over(ordered), 0).otherwise(1)
+    df = df.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     m = F.struct(*order, F.col(label).alias("_label"), F.col(items).alias("_items"), F.col(end).alias("_end"))
     kind = df.select(F.struct(F.col(label).alias("_label"), F.col(items).alias("_items"), F.col(end).alias("_end")).alias("x")).schema["x"].dataType.simpleString()
-    seq = df.groupBy(*part).agg(F.array_sort(F.collect_list(m)).alias("ms"))
+    seq = df.groupBy(*part, "_run").agg(F.array_sort(F.collect_list(m)).alias("ms"))
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -120,8 +124,8 @@ def merge_overlaps(df: DataFrame, part: list[str], order: list[str], label: str,
         new = F.struct(x["_label"].alias("_label"), x["_items"].alias("_items"), x["_end"].alias("_end"))
         return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
 
-    folded = seq.select(*part, F.explode(F.aggregate("ms", F.lit([]).cast(f"array<{kind}>"), lambda a, x: F.coalesce(step(a, x), F.concat(a, F.array(F.struct(x["_label"].alias("_label"), x["_items"].alias("_items"), x["_end"].alias("_end"))))))).alias("m"))
-    return folded.select(*part, F.col("m._label").alias(label), F.col("m._items").alias(items), F.col("m._end").alias(end))
+    folded = seq.select(*part, F.explode(F.aggregate("ms", F.lit([]).cast(f"array<{kind}>"), lambda a, x: F.coalesce(step(a, x), F.concat(a, F.array(F.struct(x["_label"].alias("_label"), x["_items"].alias("_items"), x["_end"].alias("_end"))))))).alias("_m"))
+    return folded.select(*part, F.col("_m._label").alias(label), F.col("_m._items").alias(items), F.col("_m._end").alias(end))
 
 
 def random_groups(df: DataFrame, part: list[str], item: str, size: int, n: int, seed: int = 42) -> DataFrame:
@@ -139,18 +143,26 @@ def tumbling_items(df: DataFrame, part: list[str], key: str, size: int) -> DataF
 
 
 def anchored_gap(df: DataFrame, part: list[str], pos: str, max_gap: int, min_size: int = 1) -> DataFrame:
-    """(part, first, last, size) of clusters; a row over `max_gap` after the cluster's first opens one."""
-    seq = df.groupBy(*part).agg(F.array_sort(F.collect_list(F.col(pos).cast("long"))).alias("ps"))
+    """(part, first, last, size) of clusters; a row over `max_gap` after the cluster's first opens one.
+
+    A row over `max_gap` after its predecessor always opens a cluster, so one fold takes a run without such a gap,
+    not a part, and sees each position once with its rows. Null positions are in no cluster.
+    """
+    spots = df.select(*part, F.col(pos).cast("long").alias("_p")).where("_p is not null").groupBy(*part, "_p").agg(F.count("*").alias("_n"))
+    ordered = Window.partitionBy(*part).orderBy("_p")
+    spots = spots.withColumn("_opens", F.when(F.col("_p") - F.lag("_p").over(ordered) <= max_gap, 0).otherwise(1))
+    spots = spots.withColumn("_run", F.sum("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    seq = spots.groupBy(*part, "_run").agg(F.array_sort(F.collect_list(F.struct("_p", "_n"))).alias("ps"))
     kind = "array<struct<first:bigint,last:bigint,size:bigint>>"
 
-    def step(acc: Column, p: Column) -> Column:
+    def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
-        one = F.lit(1).cast("long")
-        same = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["first"].alias("first"), p.alias("last"), (last["size"] + one).alias("size"))))
-        return F.when((F.size(acc) > 0) & (p - last["first"] <= max_gap), same).otherwise(F.concat(acc, F.array(F.struct(p.alias("first"), p.alias("last"), one.alias("size")))))
+        same = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["first"].alias("first"), x["_p"].alias("last"), (last["size"] + x["_n"]).alias("size"))))
+        new = F.struct(x["_p"].alias("first"), x["_p"].alias("last"), x["_n"].alias("size"))
+        return F.when((F.size(acc) > 0) & (x["_p"] - last["first"] <= max_gap), same).otherwise(F.concat(acc, F.array(new)))
 
-    folded = seq.select(*part, F.explode(F.aggregate("ps", F.lit([]).cast(kind), step)).alias("c"))
-    return folded.select(*part, "c.first", "c.last", "c.size").where(F.col("size") >= min_size)
+    folded = seq.select(*part, F.explode(F.aggregate("ps", F.lit([]).cast(kind), step)).alias("_c"))
+    return folded.select(*part, "_c.first", "_c.last", "_c.size").where(F.col("size") >= min_size)
 
 
 def neighbour_gaps(df: DataFrame, part: list[str], order: list[str], start: str, end: str) -> DataFrame:

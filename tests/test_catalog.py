@@ -170,3 +170,21 @@ def test_cluster_tables_on_nulls(spark):
     got = [r.asDict() for r in features.clade_table(one, "c").collect()]
     assert len(got) == 1 and len(got[0]) == 33 and got[0]["n_clades"] == 2 and got[0]["fraction_medium_quality"] == 1 and got[0]["total_tips"] == 4
     assert features.clade_table(one.limit(0), "c").count() == features.docking_table(d.limit(0), "c", "s").count() == 0
+
+
+def test_anchored_gap_by_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(c, rnd.randrange(60)) for c in (1, 2, None) for _ in range(40)]
+    told = []
+    for c in (1, 2, None):
+        open_ = []
+        for p in sorted(p for k, p in rows if k == c):
+            if open_ and p - open_[-1][0] <= 4:
+                open_[-1][1:] = [p, open_[-1][2] + 1]
+            else:
+                open_.append([p, p, 1])
+        told += [(c, *o) for o in open_ if o[2] >= 2]
+    df = spark.createDataFrame([*rows, (1, None)], "c int, p int")
+    got = [tuple(r) for r in windows.anchored_gap(df, ["c"], "p", 4, 2).collect()]
+    assert sorted(got, key=str) == sorted(told, key=str)
+    assert windows.anchored_gap(df.limit(0), ["c"], "p", 4).count() == 0
