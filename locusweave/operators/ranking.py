@@ -1,27 +1,74 @@
-"""Global order without a single task: range partitions, sorted, and the totals of the partitions before."""
+"""Global order without a single task: range partitions, sorted, and the totals of the partitions before.
+
+The partitions' totals stay a table. Their prefix sums have two levels, within blocks of partitions and over the blocks,
+and reach the rows by a join on the partition's number, so neither plan nor driver grows with the partitions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegralType, LongType, StructField, StructType
 
 from ..shared import cut
 
+#: Partitions in a block of the prefix sums.
+BLOCK = 256
 
-def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
-    """`df` with the sum of `value` over all rows up to and with this one in the given total order.
 
-    The driver sees one number for each partition.
+def offsets(totals: DataFrame, part: str, names: list[str], block: int = BLOCK) -> DataFrame:
+    """(part, names): for each partition number the sums over all smaller ones; a row for each partition that has rows."""
+    told = totals.withColumn("_block", F.floor(F.col(part) / block))
+    sums = [F.sum(c).alias(c) for c in names]
+    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = told.groupBy("_block").agg(*sums).select("_block", *[F.sum(c).over(ahead).alias(f"_b{k}") for k, c in enumerate(names)])
+    inside = Window.partitionBy("_block").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    within = told.select(part, "_block", *[F.sum(c).over(inside).alias(f"_w{k}") for k, c in enumerate(names)])
+    both = [(F.coalesce(f"_w{k}", F.lit(0)) + F.coalesce(f"_b{k}", F.lit(0))).alias(c) for k, c in enumerate(names)]
+    return within.join(blocks, "_block").select(part, *both)
+
+
+def running_totals(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """`df` with, for each name, the sum of its value over all rows up to and with this one in the given total order.
+
+    Whole numbers sum as longs, others as doubles; a null counts 0. The rows are sorted once, in as many range
+    partitions as the session shuffles to, and kept in the shared folder, so a recomputed task can't change the order.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = df.withColumn("_v", value).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = cut(sorted_.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
-    upto, before = F.lit(None), None
-    for r in sorted(placed.groupBy("_part").agg(F.sum("_v").alias("v")).collect()):
-        upto = F.when(F.col("_part") == r["_part"], F.lit(before)).otherwise(upto)
-        before = r["v"] if before is None else before + r["v"]
-    within = F.sum("_v").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.withColumn(name, within + F.coalesce(upto, F.lit(0))).drop("_v", "_at", "_part")
+    names = list(values)
+    valued = df.withColumns({f"_v{k}": v for k, v in enumerate(values.values())})
+    whole = [isinstance(valued.schema[f"_v{k}"].dataType, IntegralType) for k in range(len(names))]
+    zero = ["long" if w else "double" for w in whole]
+    valued = valued.withColumns({f"_v{k}": F.coalesce(F.col(f"_v{k}").cast(z), F.lit(0).cast(z)) for k, z in enumerate(zero)})
+    sorted_ = valued.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [0] * len(names)
+        for batch in batches:
+            for k in range(len(names)):
+                at = batch.schema.get_field_index(f"_v{k}")
+                run = np.cumsum(batch.column(at).to_numpy(zero_copy_only=False)) + last[k]
+                last[k] = run[-1] if len(run) else last[k]
+                batch = batch.set_column(at, f"_v{k}", pa.array(run))
+            yield batch
+
+    kinds = [StructField(f"_v{k}", LongType() if w else DoubleType()) for k, w in enumerate(whole)]
+    schema = StructType([*df.schema, *kinds, StructField("_at", LongType())])
+    placed = cut(sorted_.mapInArrow(summed, schema)).withColumn("_part", F.shiftright("_at", 33))
+    ends = placed.groupBy("_part").agg(*[F.max_by(f"_v{k}", "_at").alias(f"_o{k}") for k in range(len(names))])
+    before = offsets(ends, "_part", [f"_o{k}" for k in range(len(names))])
+    # A row for each partition: what is broadcast does not grow with the rows.
+    joined = placed.join(F.broadcast(before), "_part")
+    return joined.select(*df.columns, *[(F.col(f"_v{k}") + F.col(f"_o{k}")).alias(c) for k, c in enumerate(names)])
+
+
+def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """running_totals() of one value."""
+    return running_totals(df, order, {name: value})
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
@@ -29,6 +76,14 @@ def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame
     return running_total(df, order, F.lit(1).cast("long"), name)
 
 
+def numbered_within(df: DataFrame, part: list[str], order: list[Column], name: str = "idx") -> DataFrame:
+    """`df` with its 1-based place within its part, however many rows one part has. Null is a part of its own."""
+    placed = numbered(df, [*map(F.col, part), *order], name)
+    firsts = placed.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(part)]).agg(F.min(name).alias("_first"))
+    joined = placed.join(firsts, [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(part)])
+    return joined.withColumn(name, F.col(name) - F.col("_first") + 1).select(*df.columns, name)
+
+
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """(value, rank, times) of every distinct value: the mean of the places that its rows take."""
     counts = df.groupBy(value).agg(F.count("*").alias("times"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .profiles import pearson
-from .ranking import average_ranks, numbered, running_total
+from .ranking import average_ranks, numbered, running_total, running_totals
 from .tails import chi_p, correlation_p, normal_p
 
 
@@ -110,13 +110,14 @@ def split(df: DataFrame, key: str, label: str, holdout: Column, ratio: float = 0
 
 
 def curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """M3, M4: at each distinct score as threshold: tp, fp, fn, tn, precision, recall, fpr, f1, youden, mcc.
+    """M3, M4: at each distinct score as threshold: tp, fp, fn, tn, precision, recall, fpr, f1, youden, mcc;
+    p and q are the positive and other rows at just this score.
 
     Rows are counted per score first, so the running sums see one row per distinct score.
     """
     per = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    down = running_total(running_total(per, [F.desc(score)], F.col("p"), "tp"), [F.desc(score)], F.col("q"), "fp")
-    c = down.select(score, "tp", "fp").crossJoin(F.broadcast(per.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))))
+    down = running_totals(per, [F.desc(score)], {"tp": F.col("p"), "fp": F.col("q")})
+    c = down.crossJoin(F.broadcast(per.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))))
     c = c.withColumns({"fn": F.col("np") - F.col("tp"), "tn": F.col("nq") - F.col("fp"), "precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "np"), "fpr": F.try_divide("fp", "nq")})
     d = lambda x: F.col(x).cast("double")
     mcc = F.try_divide(d("tp") * d("tn") - d("fp") * d("fn"), F.sqrt((d("tp") + d("fp")) * (d("tp") + d("fn")) * (d("tn") + d("fp")) * (d("tn") + d("fn"))))
@@ -133,10 +134,16 @@ def thresholds(points: DataFrame, score: str) -> DataFrame:
 
 
 def areas(points: DataFrame, score: str) -> DataFrame:
-    """M3: ROC and PR areas by trapezoids from (0, 0) and (0, 1)."""
-    w = Window.orderBy(F.desc(score))
-    lag = lambda c, v: F.coalesce(F.lag(c).over(w), F.lit(v))
-    t = points.select(((F.col("fpr") - lag("fpr", 0.0)) * (F.col("recall") + lag("recall", 0.0)) / 2).alias("roc"), ((F.col("recall") - lag("recall", 0.0)) * (F.col("precision") + lag("precision", 1.0)) / 2).alias("pr"))
+    """M3: ROC and PR areas by trapezoids from (0, 0) and (0, 1).
+
+    A point knows its own counts p and q, so it knows the point before it: no row looks at another.
+    """
+    d = lambda c: F.col(c).cast("double")
+    tp, fp = d("tp") - d("p"), d("fp") - d("q")
+    recall = F.try_divide(tp, d("tp") + d("fn"))
+    fpr = F.try_divide(fp, d("fp") + d("tn"))
+    before = F.coalesce(F.try_divide(tp, tp + fp), F.lit(1.0))
+    t = points.select(((F.col("fpr") - fpr) * (F.col("recall") + recall) / 2).alias("roc"), ((F.col("recall") - recall) * (F.col("precision") + before) / 2).alias("pr"))
     return t.agg(F.sum("roc").alias("roc_auc"), F.sum("pr").alias("pr_auc"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import linear_score
-from ..operators import features, profiles, relational, stats, windows
+from ..operators import features, profiles, ranking, relational, stats, windows
 
 
 def find_clusters(genes: DataFrame, part: list[str], order: list[str], ident: str, label: str, *, width: int, least: int) -> DataFrame:
@@ -76,12 +76,15 @@ def rank_features(table: DataFrame, names: list[str], label: str) -> DataFrame:
 
 
 def feature_areas(long: DataFrame, feature: str, value: str, label: str) -> DataFrame:
-    """(feature, roc_auc): share of (positive, negative) pairs in the right order, ties half, from counts per value."""
-    per = long.groupBy(feature, value).agg(F.count_if(F.col(label) == 1).cast("double").alias("p"), F.count_if(F.col(label) != 1).cast("double").alias("q"))
-    w = windows.Window.partitionBy(feature).orderBy(value)
-    below = per.withColumn("under", F.sum("q").over(w) - F.col("q"))
-    won = below.groupBy(feature).agg(F.sum(F.col("p") * (F.col("under") + F.col("q") / 2)).alias("won"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    return won.select(feature, F.try_divide("won", F.col("np") * F.col("nq")).alias("roc_auc"))
+    """(feature, roc_auc): share of (positive, negative) pairs in the right order, ties half, from counts per value.
+
+    Running counts go through all features in one order; a feature's own start is its least count, taken off in the sum.
+    """
+    per = long.groupBy(feature, value).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    upto = ranking.running_total(per, [F.col(feature), F.col(value)], F.col("q"), "upto")
+    d = lambda c: F.sum(F.col(c).cast("double"))
+    won = F.sum(F.col("p") * (F.col("upto") - F.col("q") / 2)) - d("p") * F.min(F.col("upto") - F.col("q"))
+    return upto.groupBy(feature).agg(F.try_divide(won, d("p") * d("q")).alias("roc_auc"))
 
 
 def train_and_rank(families: list[DataFrame], key: str, label: str, holdout: Column, seed: int = 42) -> dict:
