@@ -127,4 +127,26 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 FROM c
 """
 
-ORACLE_SQL = {"op4_substring_dedup": OP4_SQL, "op11_lexical_search": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
+#: The checksum by its table of 256 remainders; each of 41 shards scores every key, the new one only for grown_shard.
+OP13_SQL = r"""
+WITH RECURSIVE grown(b, k, c) AS (
+  SELECT b, 0, b::BIGINT FROM range(256) AS r(b) UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM grown WHERE k < 8
+), tab AS (SELECT list(c ORDER BY b) AS tab FROM grown WHERE k = 8),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bs,
+    ('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT AS hi, ('0x' || md5(doc_id::VARCHAR)[9:16])::BIGINT AS lo FROM documents
+), r AS (SELECT doc_id, size, hi, lo, xor(list_reduce(bs, lambda a, b: xor(a // 256, tab[(xor(a, b) % 256) + 1]), 4294967295), 4294967295) AS crc FROM d, tab),
+s0 AS (SELECT doc_id, lo, s, (hi + (s + 1) * 506952113) % 4294967296 AS x FROM r, range(41) AS t(s)),
+s1 AS (SELECT doc_id, lo, s, (xor(x, x // 65536) * 2146121005) % 4294967296 AS x FROM s0),
+s2 AS (SELECT doc_id, lo, s, (xor(x, x // 32768) * 1540483477) % 4294967296 AS x FROM s1),
+s3 AS (SELECT doc_id, s, (xor(x, x // 65536) + lo) % 4294967296 AS x FROM s2),
+s4 AS (SELECT doc_id, s, (xor(x, x // 65536) * 2146121005) % 4294967296 AS x FROM s3),
+s5 AS (SELECT doc_id, s, (xor(x, x // 32768) * 1540483477) % 4294967296 AS x FROM s4),
+s6 AS (SELECT doc_id, s, -1 / ln((xor(x, x // 65536) + 0.5) / 4294967296) AS score FROM s5),
+best AS (SELECT doc_id, arg_max(s, (score, -s)) FILTER (s < 40) AS shard, arg_max(s, (score, -s)) AS grown_shard FROM s6 GROUP BY 1)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY hi, lo, doc_id, size, crc) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+FROM r JOIN best USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_substring_dedup": OP4_SQL, "op11_lexical_search": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_sharding": OP13_SQL}
