@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .catalog import DNA, K, S, WIDTH, G, dna, joined, query, r6, spans
 from .functions import regulatory
 from .functions import sequences as seq
-from .operators import genome, graph, profiles, stats, summaries
+from .operators import genome, graph, motifs, profiles, stats, summaries
 from .plans import flows
 from .shared import shared_dir
 from .sources import readers, sinks
@@ -213,6 +213,15 @@ def o2_scan_genomes(t):
     return flows.scan_genomes(parts, ["user_id"], ["ts", "event_id"], "event_id", "event_type", width=WIDTH, least=K).select("user_id", "anchor", "event_type", joined("hits").alias("hits"))
 
 
+@query(f"""WITH g AS (SELECT event_id, event_type, 'f' || (user_id % 4) AS source_file, user_id // 4 % 10 AS chromosome, row_number() OVER (PARTITION BY user_id % 4, user_id // 4 % 10 ORDER BY ts, event_id) AS idx FROM events),
+  grp AS (SELECT a.event_id AS anchor, a.source_file, a.chromosome, a.idx AS pos, b.event_type, list(b.idx ORDER BY b.idx) AS hits FROM g a JOIN g b ON a.source_file = b.source_file AND a.chromosome = b.chromosome AND b.idx BETWEEN a.idx AND a.idx + {WIDTH} GROUP BY ALL HAVING count(*) >= {K}),
+  best AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY len(hits) DESC, hits, event_type) AS rk FROM grp), one AS (SELECT *, row_number() OVER (PARTITION BY source_file, chromosome, event_type, hits ORDER BY pos) AS first FROM best WHERE rk = 1), c AS (SELECT * FROM one WHERE first = 1)
+  SELECT source_file, chromosome, anchor, event_type, array_to_string(hits, ',') AS hits FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.source_file = c.source_file AND d.chromosome = c.chromosome AND d.pos BETWEEN c.pos - {WIDTH} AND c.pos + {WIDTH} AND len(d.hits) > len(c.hits) AND list_has_all(d.hits, c.hits))""")
+def o2_scan_files(t):
+    g = t("events").select("event_id", "event_type", "ts", F.concat(F.lit("f"), F.col("user_id") % 4).alias("source_file"), (F.floor(F.col("user_id") / 4) % 10).alias("chromosome"))
+    return flows.scan_genomes(g, ["chromosome"], ["ts", "event_id"], "event_id", "event_type", width=WIDTH, least=K).select("source_file", "chromosome", "anchor", "event_type", joined("hits").alias("hits"))
+
+
 @query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, org, l_returnflag ORDER BY l_extendedprice DESC, l_suppkey) AS r FROM (SELECT *, l_linenumber % 3 AS org FROM lineitem)), u AS (SELECT *, row_number() OVER (PARTITION BY org, l_returnflag, l_suppkey ORDER BY l_extendedprice DESC, l_partkey) AS q FROM b WHERE r = 1), k AS (SELECT * FROM u WHERE q = 1),
   p AS (SELECT org, l_returnflag, count(*) AS n, max(l_orderkey) - min(l_orderkey) AS span FROM k GROUP BY ALL HAVING count(*) >= 2), z AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY n DESC, l_returnflag) AS rk FROM p), e AS (SELECT org, count(DISTINCT l_partkey) AS nq, count(DISTINCT l_returnflag) AS np FROM k GROUP BY 1)
   SELECT z.org, z.l_returnflag AS place, z.n::BIGINT AS n, nq::BIGINT AS n_queries, np::BIGINT AS n_places, round(z.n / nq, 6) AS share FROM z JOIN e ON z.org = e.org WHERE rk = 1""")
@@ -252,6 +261,24 @@ def o7_separating_codes(t):
     return flows.separating_codes(e, "l_orderkey", "c", labels, "y").withColumn("roc_auc", r6("roc_auc"))
 
 
+@query(f"""WITH {DNA}, w AS (SELECT item_id % 5 AS g, item_id, unnest(range(1, length(s) - 6)) AS pos, s FROM d WHERE length(s) >= 8), k AS (SELECT g, item_id, pos, substr(s, pos, 8) AS word FROM w),
+  seeds AS (SELECT g, word, min(item_id * 100000 + pos) AS first FROM k GROUP BY ALL), m AS (SELECT seeds.g, seeds.word, k.item_id, arg_max(k.word, (8 - hamming(seeds.word, k.word)) * 100000 - k.pos) AS hit FROM seeds JOIN k ON k.g = seeds.g WHERE hamming(seeds.word, k.word) <= 3 GROUP BY ALL),
+  n AS (SELECT g, word, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT g, word, i, substr(hit, i, 1) AS base, count(*) AS c FROM m, range(1, 9) AS r(i) GROUP BY ALL),
+  s AS (SELECT g, word, any_value(n) AS n, round(2 + sum(c / n * log2(c / n)) / 8, 9) AS score FROM p JOIN n USING (g, word) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, first) AS rank FROM s JOIN seeds USING (g, word) WHERE score > 0.3)
+  SELECT g, rank::INTEGER AS rank, word AS motif, n::BIGINT AS n, round(score, 6) AS score FROM o WHERE rank <= 10""")
+def a_consensus_motifs(t):
+    d = dna(t).withColumn("g", F.col("item_id") % 5)
+    return motifs.consensus_motifs(d, "g", "item_id", "s").select("g", "rank", "motif", "n", r6("score").alias("score"))
+
+
+@query("""WITH u AS (SELECT 'p_size' AS feature, p_size::DOUBLE AS x, p_partkey * 7919 % 1009 AS y FROM part UNION ALL SELECT 'p_retailprice', p_retailprice, p_partkey * 7919 % 1009 FROM part), k AS (SELECT feature, x, y, count(*)::HUGEINT AS n FROM u GROUP BY ALL),
+  s AS (SELECT a.feature, sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s, sum(a.n * b.n) FILTER (a.x <> b.x) / 2 AS p, sum(a.n * b.n) FILTER (a.y <> b.y) / 2 AS q FROM k a JOIN k b USING (feature) GROUP BY 1), n AS (SELECT feature, count(*) AS n FROM u GROUP BY 1)
+  SELECT feature, n::BIGINT AS n, round(s / (sqrt(p) * sqrt(q)), 6) AS r FROM s JOIN n USING (feature)""")
+def c_kendall(t):
+    p = t("part").select(F.col("p_size").cast("double").alias("p_size"), "p_retailprice", (F.col("p_partkey") * 7919 % 1009).cast("double").alias("y"))
+    return stats.corr_with_target(p, ["p_size", "p_retailprice"], "y", "kendall").withColumn("r", r6("r"))
+
+
 # Files: a table is written in a format and read back by its reader
 
 

@@ -1,8 +1,11 @@
-"""Motif hits and similarity of motif profiles within groups (survey A16, A17, A21)."""
+"""Motif hits, consensus motifs and similarity of motif profiles within groups (survey A16, A17, A21, A22)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maps
@@ -108,3 +111,54 @@ def similarity_report(df: DataFrame, group: str, member: str, region: str, motif
         found |= {f"{what}_category": level.otherwise(f"Very Low {what.title()}")}
     out = out.withColumns(found)
     return out.withColumns({"num_comparisons": k} | {f"{x}_{y}": F.round(F.coalesce(f"{x}_{y}", F.lit(0.0)) if y == "score" else F.col(f"{x}_{y}"), 2) for x in ("similarity", "correlation") for y in ("score", "std")})
+
+
+def _code(word: str, length: int) -> Column:
+    """A word of A-Z as a long, five bits a letter."""
+    letters = [F.shiftleft(F.ascii(F.substring(word, i + 1, 1)).bitwiseAND(31).cast("long"), 5 * (length - 1 - i)) for i in range(length)]
+    return reduce(Column.__add__, letters)
+
+
+def consensus_motifs(df: DataFrame, group: str, ident: str, seq: str, *, length: int = 8, over: float = 0.6, support: float = 0.3, top: int = 10) -> DataFrame:
+    """(group, rank, motif, length, n, score): the best-conserved words of a group's sequences.
+
+    Every word of a group is a seed. Each of the group's sequences gives its best match: most equal letters, a share over `over`,
+    earliest place. Base frequencies of the matches make a position frequency matrix, and the score is the mean over places
+    of 2 minus their entropy in bits (0 where no match has a base). Scores over `support` rank by size, equal ones by the seed's first place.
+
+    No seed is compared with a window. All ways to keep enough letters of a word and blank the others are an index: a
+    sequence holds for each pattern its earliest window, and seeds look their own patterns up by equality. The pattern with
+    most letters kept that both have tells the share. Cost grows with words x patterns (93 for 5 of 8 letters) and with what is
+    found, a match for each seed and sequence of one group; the keys are patterns, so a large group is spread over the tasks.
+
+    Letters count as upper case; N and anything that is no letter match nothing. `ident` is unique in its group; null groups and sequences
+    and those shorter than `length` have no words. A group without a score over `support` has no row.
+    """
+    if not 1 <= length <= 12:
+        raise ValueError("length must be 1 to 12")
+    least = next(k for k in range(length + 2) if k / length > over)
+    full = [31 << 5 * (length - 1 - i) for i in range(length)]
+    masks = [F.struct(F.lit(k).alias("kept"), F.lit(sum(keep)).cast("long").alias("mask")) for k in range(least, length + 1) for keep in combinations(full, k)]
+    text = F.regexp_replace(F.upper(F.col(seq)), "[^A-Z]", "N")
+    told = df.select(F.col(group).alias("g"), F.col(ident).alias("id"), text.alias("s")).where((F.length("s") >= length) & F.col("g").isNotNull())
+    words = told.select("g", "id", "s", F.explode(F.sequence(F.lit(1), F.length("s") - length + 1)).alias("at")).select("g", "id", "at", F.substring(F.col("s"), F.col("at"), F.lit(length)).alias("word"))
+    words = words.groupBy("g", "id", "word").agg(F.min("at").alias("at")).withColumn("code", _code("word", length))
+    blanked = lambda d: d.withColumn("m", F.explode(F.array(*masks))).withColumns({"kept": F.col("m.kept"), "mask": F.col("m.mask"), "pattern": F.col("code").bitwiseAND(F.col("m.mask"))}).drop("m")
+    index = blanked(words.select("g", "id", "at", "code")).groupBy("g", "mask", "pattern", "id").agg(F.min(F.struct("at", "code")).alias("w"))
+    seeds = words.where(~F.contains("word", F.lit("N"))).groupBy("g", "word", "code").agg(F.min(F.struct("id", "at")).alias("first"))
+    asked = blanked(seeds.select("g", "code", F.col("code").alias("seed"))).select("g", "seed", "kept", "mask", "pattern")
+    met = asked.join(index, ["g", "mask", "pattern"]).groupBy("g", "seed", "id").agg(F.max(F.struct("kept", (-F.col("w.at")).alias("back"), F.col("w.code").alias("match"))).alias("b"))
+    letter = lambda i: F.shiftright(F.col("b.match"), 5 * (length - 1 - i)).bitwiseAND(31)
+    counts = [F.count_if(letter(i) == ord(base) - 64).alias(f"c{i}{base}") for i in range(length) for base in "ACGT"]
+    matrix = met.groupBy("g", "seed").agg(F.count("*").alias("n"), *counts)
+
+    def information(i: int) -> Column:
+        shares = [F.col(f"c{i}{base}") / F.col("n") for base in "ACGT"]
+        bits = sum((F.when(p > 0, p * F.log2(p)).otherwise(0.0) for p in shares[1:]), F.when(shares[0] > 0, shares[0] * F.log2(shares[0])).otherwise(0.0))
+        return F.when(sum(shares[1:], shares[0]) > 0, bits + 2).otherwise(0.0)
+
+    score = reduce(Column.__add__, map(information, range(length))) / length
+    scored = matrix.select("g", "seed", "n", F.round(score, 9).alias("score")).where(F.col("score") > support)
+    ranked = scored.join(seeds.withColumnRenamed("code", "seed"), ["g", "seed"])
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "first"))).where(F.col("rank") <= top)
+    return ranked.select(F.col("g").alias(group), "rank", F.col("word").alias("motif"), F.lit(length).alias("length"), "n", "score")

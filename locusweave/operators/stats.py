@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..shared import cut
 from .profiles import pearson
 from .ranking import average_ranks, numbered, running_total, running_totals
 from .tails import chi_p, correlation_p, normal_p
 
 
 def corr_with_target(df: DataFrame, features: list[str], target: str, method: str = "pearson") -> DataFrame:
-    """(feature, n, r) over pairwise complete rows, three or more; Spearman ranks both sides first."""
+    """(feature, n, r) over pairwise complete rows, three or more; Spearman ranks both sides first, Kendall is tau-b."""
+    if method == "kendall":
+        return kendall(df, features, target).drop("z")
     long = df.unpivot([target], features, "feature", "v").where(F.col("v").isNotNull() & F.col(target).isNotNull()).withColumnRenamed(target, "t")
     x, y = "v", "t"
     if method == "spearman":
@@ -26,18 +33,105 @@ def corr_with_target(df: DataFrame, features: list[str], target: str, method: st
     return long.groupBy("feature").agg(F.count("*").alias("n"), pearson(x, y).alias("r")).where("n >= 3")
 
 
+def inversions(order: np.ndarray, values: np.ndarray, weights: np.ndarray) -> int:
+    """Weight of the pairs with a lower order and a greater value, weights multiplied; pairs equal in either don't count.
+
+    From the values' highest bit down, rows that share the bits above stay together in their order: among them, rows with
+    the bit that come before rows without it are the pairs that this bit tells apart. One pass for each bit.
+    """
+    at = np.lexsort((values, order))  # of equal orders, the lesser value comes first
+    values, weights = np.unique(values, return_inverse=True)[1][at], weights[at]
+    found = 0
+    for bit in reversed(range(int(values.max(initial=0)).bit_length())):
+        above, ones = values >> (bit + 1), (values >> bit & 1).astype(bool)
+        seen = np.cumsum(np.where(ones, weights, 0))
+        starts = np.flatnonzero(np.append(True, above[1:] != above[:-1]))
+        before = np.repeat(seen[starts] - np.where(ones, weights, 0)[starts], np.diff(np.append(starts, len(above))))
+        kind = np.int64 if weights.sum() < 3_000_000_000 else object  # beyond that, products need whole numbers without a bound
+        found += int(((seen - before).astype(kind) * np.where(ones, 0, weights)).sum())
+        at = np.argsort(values >> bit, kind="stable")
+        values, weights = values[at], weights[at]
+    return found
+
+
+def discordant(pairs: DataFrame, by: str, x: str, y: str, n: str, span: int = 64) -> DataFrame:
+    """(by, d): weight of the pairs of rows with a lesser x and a greater y, per group, in n log n.
+
+    `pairs` has each (by, x, y) once with its count. Range partitions in the order of x are blocks; pairs within a block are
+    counted there. For pairs of different blocks only block numbers matter: rows become counts per y and block, range
+    partitions in the order of y count the pairs within them, and what is left are pairs of different partitions on both
+    sides. Those are counts per (partition, block), merged upward `span` partitions at a time. A value that most rows
+    share is one row to a block, and no task sees more than a partition or `span` of them times the blocks.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = pairs.select(F.col(by).alias("f"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(n).cast("long").alias("n"))
+    kinds = f"f {kept.schema['f'].dataType.simpleString()}, d decimal(38,0)"
+
+    def within(order: str, value: str):
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = list(batches)
+            if held and sum(map(len, held)):
+                out = [(f, Decimal(inversions(g[order].to_numpy(), g[value].to_numpy(), g["n"].to_numpy()))) for f, g in pd.concat(held).groupby("f", dropna=False)]
+                yield pd.DataFrame(out, columns=["f", "d"])
+
+        return count
+
+    def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
+        return cut(df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()))
+
+    blocks = ranged(kept, ["f", "x", "y"], "b")
+    told = [blocks.mapInPandas(within("x", "y"), kinds)]
+    crossed = ranged(blocks.groupBy("f", "y", "b").agg(F.sum("n").alias("n")), ["f", "y"], "q")
+    told.append(crossed.select("f", "y", "b", "n").mapInPandas(within("b", "y"), kinds))
+    cells, width = crossed.groupBy("f", "q", "b").agg(F.sum("n").alias("n")), parts
+    while width > 1:
+        count = lambda key, g: pd.DataFrame([(key[0], Decimal(inversions(g["b"].to_numpy(), g["q"].to_numpy(), g["n"].to_numpy())))], columns=["f", "d"])
+        told.append(cells.groupBy("f", F.floor(F.col("q") / span).alias("up")).applyInPandas(count, kinds))
+        cells, width = cells.groupBy("f", F.floor(F.col("q") / span).alias("q"), "b").agg(F.sum("n").alias("n")), -(-width // span)
+    return reduce(DataFrame.unionAll, told).groupBy("f").agg(F.sum("d").alias("d")).withColumnRenamed("f", by)
+
+
+def kendall(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, n, r, z) over pairwise complete rows, three or more: Kendall's tau-b and its normal deviate with ties.
+
+    Pairs are counted by discordant(); ties and their moments come from counts per value. NaN counts as null. A constant
+    side has null r and z. The deviate's variance is the usual one for ties on both sides.
+    """
+    long = df.unpivot([target], features, "feature", "v").withColumnRenamed(target, "t").where("v is not null and t is not null and not isnan(v) and not isnan(t)")
+    pairs = cut(long.groupBy("feature", "v", "t").agg(F.count("*").alias("k")))
+    k = F.col("k").cast("decimal(38,0)").cast("double")
+
+    def ties(*cols: str) -> DataFrame:
+        name = "".join(cols)
+        moments = {f"{name}2": k * (k - 1), f"{name}3": k * (k - 1) * (k - 2), f"{name}5": k * (k - 1) * (2 * k + 5)}
+        return pairs.groupBy("feature", *cols).agg(F.sum("k").alias("k")).groupBy("feature").agg(*[F.sum(m).alias(c) for c, m in moments.items()])
+
+    total = pairs.groupBy("feature").agg(F.sum("k").alias("n"))
+    all_ = total.join(ties("v"), "feature").join(ties("t"), "feature").join(ties("v", "t"), "feature").join(discordant(pairs, "feature", "v", "t", "k"), "feature")
+    n, d = F.col("n").cast("double"), F.col("d").cast("double")
+    whole = n * (n - 1)
+    s = (whole - F.col("v2") - F.col("t2") + F.col("vt2")) / 2 - 2 * d
+    r = F.try_divide(2 * s, F.sqrt((whole - F.col("v2")) * (whole - F.col("t2"))))
+    spread = (whole * (2 * n + 5) - F.col("v5") - F.col("t5")) / 18 + F.col("v2") * F.col("t2") / (2 * whole) + F.col("v3") * F.col("t3") / (9 * whole * (n - 2))
+    told = all_.where("n >= 3").select("feature", "n", r.alias("r"), F.when(r.isNotNull(), F.try_divide(s, F.sqrt(spread))).alias("z"))
+    return told
+
+
 #: Least size of a correlation for each word, highest first; fixed values.
 EFFECTS = [(0.7, "very large"), (0.5, "large"), (0.3, "medium"), (0.1, "small")]
 
 
 def correlation_report(df: DataFrame, features: list[str], target: str, methods: tuple[str, ...] = ("pearson", "spearman")) -> DataFrame:
-    """(method, feature, n, r, p, q, effect): p two-sided from t with n - 2 degrees, q its Benjamini-Hochberg
+    """(method, feature, n, r, p, q, effect): p two-sided from t with n - 2 degrees (Kendall: normal), q its Benjamini-Hochberg
     adjustment over a method's features, effect in words. A constant column has null r, p, q and effect."""
-    told = [corr_with_target(df, features, target, m).withColumn("method", F.lit(m)) for m in methods]
+    told = [
+        kendall(df, features, target).select("feature", "n", "r", normal_p(F.col("z")).alias("p"), F.lit(m).alias("method")) if m == "kendall"
+        else corr_with_target(df, features, target, m).select("feature", "n", F.nanvl("r", F.lit(None)).alias("r")).withColumn("p", correlation_p("r", F.col("n").cast("double"))).withColumn("method", F.lit(m))
+        for m in methods
+    ]
     out = told[0]
     for other in told[1:]:
         out = out.unionByName(other)
-    out = out.withColumn("r", F.nanvl("r", F.lit(None))).withColumn("p", correlation_p("r", F.col("n").cast("double")))
     adjusted = bh(out.where("p is not null"), "p", ["method"]).unionByName(out.where("p is null").withColumn("q", F.lit(None).cast("double")))
     effect = F.when(F.col("r").isNull(), None)
     for least, word in EFFECTS:

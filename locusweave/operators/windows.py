@@ -19,13 +19,18 @@ def number_rows(df: DataFrame, part: list[str], order: list[str], name: str = "i
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
 
 
-def index_windows(df: DataFrame, part: list[str], idx: str, width: int, item: Column, *, inclusive: bool = True) -> DataFrame:
+def index_windows(df: DataFrame, part: list[str], idx: str, width: int, item: Column, *, inclusive: bool = True, stretch: int = 10_000) -> DataFrame:
     """`members` (array of `item`) and `n` of the rows from each anchor to `width` positions on.
 
-    `inclusive` keeps the row exactly `width` on. Needs no join: one range frame per anchor.
+    `inclusive` keeps the row exactly `width` on. A long part is cut into stretches of positions that overlap by the
+    width, so a task holds one stretch whatever the part; needs no join: one range frame per anchor.
     """
-    frame = Window.partitionBy(*part).orderBy(idx).rangeBetween(0, width if inclusive else width - 1)
-    return df.withColumn("members", F.collect_list(item).over(frame)).withColumn("n", F.size("members"))
+    reach, stretch = (width if inclusive else width - 1), max(stretch, width + 1)
+    own = F.floor(F.col(idx) / stretch)
+    seen = F.when(F.col(idx) % stretch < reach, F.array(own, own - 1)).otherwise(F.array(own))
+    frame = Window.partitionBy(*part, "_stretch").orderBy(idx).rangeBetween(0, reach)
+    cut_up = df.withColumn("_stretch", F.explode(seen)).withColumn("members", F.collect_list(item).over(frame))
+    return cut_up.where(F.col("_stretch") == own).withColumn("n", F.size("members")).drop("_stretch")
 
 
 def distance_windows(df: DataFrame, part: list[str], order: list[str], start: str, end: str, max_span: int) -> DataFrame:

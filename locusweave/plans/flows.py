@@ -16,7 +16,7 @@ def find_clusters(genes: DataFrame, part: list[str], order: list[str], ident: st
 
     Genes are numbered first, unlabelled ones too, so they use up width; null labels match nothing.
     """
-    placed = windows.number_rows(genes, part, order)
+    placed = ranking.numbered_within(genes, part, [F.col(c) for c in order])
     seen = windows.index_windows(placed, part, "idx", width, F.struct("idx", label))
     long = seen.where(F.col(label).isNotNull()).select(*part, F.col(ident).alias("anchor"), F.col("idx").alias("at"), F.explode("members").alias("m")).select(*part, "anchor", "at", f"m.{label}", F.col("m.idx").alias("pos"))
     best = windows.shared_label(long.where(F.col(label).isNotNull()), [*part, "anchor", "at"], "pos", label, least)
@@ -36,12 +36,21 @@ def predict_clusters(genes: DataFrame, part: list[str], order: list[str], ident:
     return table.withColumns({"score": score, "missing": missing}).withColumn("is_cluster", F.col("score") >= threshold)
 
 
-def scan_genomes(genomes: list[DataFrame], part: list[str], order: list[str], ident: str, label: str, *, width: int, least: int) -> DataFrame:
-    """O2: many annotated genomes -> one scan partitioned by file and chromosome -> matches that no other holds."""
-    genes = reduce(DataFrame.unionByName, genomes)
-    found = find_clusters(genes, part, order, ident, label, width=width, least=least)
-    named = found.withColumn("_set", F.transform("hits", lambda h: F.concat_ws(":", *part, h.cast("string"))))
-    return windows.drop_strict_subsets(named, "anchor", "_set").drop("_set")
+def scan_genomes(genomes: DataFrame | dict[str, DataFrame] | list[DataFrame], part: list[str], order: list[str], ident: str, label: str, *, width: int, least: int, file: str = "source_file") -> DataFrame:
+    """O2: many annotated genomes -> one scan by file and chromosome -> (file, part, anchor, label, hits, n) that no other holds.
+
+    A table has its genes' `file`, as the readers give it; a dict names its tables, a list numbers them from 0. Files
+    that use the same chromosome names stay apart: places, windows, repeated matches and subsets are all within
+    a file's chromosome, so the result is the union of the files' own scans.
+    """
+    if not isinstance(genomes, DataFrame):
+        named = genomes.items() if isinstance(genomes, dict) else ((str(k), g) for k, g in enumerate(genomes))
+        genomes = reduce(DataFrame.unionByName, [g.withColumn(file, F.lit(name)) for name, g in named])
+    scope = [file, *part]
+    found = find_clusters(genomes, scope, order, ident, label, width=width, least=least)
+    home = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in scope]
+    named = found.withColumn("_home", F.concat_ws("\x1f", *home)).withColumn("_set", F.transform("hits", lambda h: F.concat_ws("\x1f", F.col("_home"), h.cast("string"))))
+    return windows.drop_strict_subsets(named, "anchor", "_set").drop("_set", "_home")
 
 
 def compare_homologs(hits: DataFrame, query: str, organism: str, place: str, subject: str, score: str, start: str, end: str) -> DataFrame:
