@@ -144,7 +144,7 @@ def w_merge_overlaps(t):
 
 @query()
 def w_random_groups(t):
-    g = win.random_groups(t("events"), ["user_id"], "event_id", 4, 20)
+    g = nulls.random_groups(t("events"), ["user_id"], "event_id", 4, 20)
     return g.select("user_id", "draw", joined("items").alias("items"))
 
 
@@ -618,7 +618,7 @@ def n_shuffled_enrichment(t):
     runs = lambda d, by: d.groupBy(*by).agg(F.count("*").alias("n"))
     same = lambda d, part: d.withColumn("prev", F.lag("event_type").over(win.Window.partitionBy(*part).orderBy("idx"))).where("prev = event_type")
     real = runs(same(g, ["user_id"]), ["event_type"])
-    moved = nulls.permute(g, ["event_type"], ["user_id"], "idx", 5)
+    moved = nulls.permute(g, ["event_type"], ["user_id"], "idx", 10)
     shuffled = runs(same(moved, ["user_id", "iter"]), ["iter", "event_type"])
     return nulls.enrichment(real, shuffled, ["event_type"]).select("event_type", "n", r6("mean_shuffled").alias("mean_shuffled"), r6("enrichment").alias("enrichment"))
 
@@ -633,6 +633,14 @@ def n_empirical_p(t):
     return p.select(*[r6(c).alias(c) for c in p.columns])
 
 
+@query()
+def n_random_clusters(t):
+    e = t("events").withColumn("file", F.concat(F.lit("f"), F.col("user_id") % 23))
+    sizes = t("events").groupBy("user_id").agg((F.count("*") % 9).alias("size"))
+    c = nulls.random_clusters(e, "file", "event_id", sizes, target=10_000, valid=F.col("value") > 20)
+    return c.select("sample", "file", "event_id")
+
+
 # Reports and count profiles
 
 

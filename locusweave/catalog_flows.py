@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .catalog import DNA, K, S, WIDTH, G, dna, joined, query, r6, spans
 from .functions import regulatory
 from .functions import sequences as seq
-from .operators import genome, graph, motifs, profiles, stats, summaries
+from .operators import combined, genome, graph, motifs, profiles, stats, summaries
 from .plans import flows
 from .shared import shared_dir
 from .sources import readers, sinks
@@ -279,6 +279,18 @@ def c_kendall(t):
     return stats.corr_with_target(p, ["p_size", "p_retailprice"], "y", "kendall").withColumn("r", r6("r"))
 
 
+@query()
+def m_combined_scores(t):
+    n = lambda pattern: F.regexp_count("text", F.lit(pattern)) / F.greatest(F.length("text"), F.lit(1))
+    marks = t("documents").select("doc_id", F.length("text").cast("double").alias("size"), n("[#*$%&|<>]").alias("symbols"), n("[0-9]").alias("digits"), n("[A-Z]").alias("capitals"), n(r"\s").alias("spaces"), F.when(F.col("source").endswith("0"), None).otherwise(n("\n")).alias("lines"))
+    table = marks.join(t("labels").select("doc_id", "quality", "toxic"), "doc_id")
+    names = ["size", "symbols", "digits", "capitals", "spaces", "lines"]
+    model, _ = combined.train_combined(table, "doc_id", names, "quality", (F.col("toxic") == 1) & (F.col("quality") == 1), trials=2, folds=2)
+    path = _away(table, "combined")
+    model.save(path)  # documents without a label are scored by the model as it is read back
+    return combined.CombinedModel.load(table.sparkSession, path).scored(marks).select("doc_id", r6("score").alias("score"), "missing", "is_cluster")
+
+
 # Files: a table is written in a format and read back by its reader
 
 

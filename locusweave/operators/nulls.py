@@ -1,19 +1,109 @@
-"""Permutation null models (survey N1-N3)."""
+"""Permutation null models and random draws (survey N1-N5, W12).
+
+Rows of a scope have places 0 to n - 1, and a keyed bijection on these places is a permutation that each row computes
+for itself: nothing is shuffled or sorted for each iteration, and drawing k of n rows takes k lookups.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from .ranking import numbered, numbered_within
+
+
+def bijection(place: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """The place, 0 to n - 1, that each key's permutation of n places moves a place to.
+
+    A Feistel network permutes the next power of four; a result beyond n goes through it again until it is within, which
+    it is after under four times on average, and no two places meet since each step is a bijection.
+    """
+    half = np.maximum((np.frexp(np.maximum(n - 1, 0).astype(float))[1] + 1) // 2, 1).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    x, out = place.astype(np.uint64), np.empty(len(place), np.int64)
+    todo, n, key = np.arange(len(place)), n.astype(np.uint64), key.astype(np.int64).view(np.uint64)
+    while len(todo):
+        left, right = x >> half, x & mask
+        for r in range(rounds):
+            h = (right + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64)) ^ key
+            for _ in range(2):
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            left, right = right, left ^ ((h ^ (h >> np.uint64(32))) & mask)
+        x = (left << half) | right
+        done = x < n
+        out[todo[done]] = x[done]
+        todo, x, n, key, half, mask = (v[~done] for v in (todo, x, n, key, half, mask))
+    return out
+
+
+@F.pandas_udf(LongType())
+def moved(place: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+    """bijection() on columns."""
+    return pd.Series(bijection(place.to_numpy(np.int64), n.to_numpy(np.int64), key.to_numpy(np.int64)))
+
+
+def _places(df: DataFrame, scope: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """`df` with `_place` from 0 within its scope, and (scope as _g0, _g1, ..., _n) with the rows of each scope."""
+    placed = numbered_within(df, scope, order, "_place").withColumn("_place", F.col("_place") - 1)
+    return placed, placed.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(scope)]).agg(F.count("*").alias("_n"))
+
+
+def _same(scope: list[str]) -> list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(scope)]
 
 
 def permute(df: DataFrame, cols: list[str], scope: list[str], key: str, iterations: int, seed: int = 42) -> DataFrame:
-    """`iterations` copies of df with `cols` moved as one unit between rows of a scope, by seeded hash order."""
-    runs = df.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    own = Window.partitionBy(*scope, "iter").orderBy(key)
-    drawn = Window.partitionBy(*scope, "iter").orderBy(F.xxhash64(F.lit(seed), "iter", key), key)
-    numbered = runs.withColumns({"_to": F.row_number().over(own), "_from": F.row_number().over(drawn)})
-    moved = numbered.select(*scope, "iter", F.col("_from").alias("_to"), *cols)
-    return numbered.drop("_from", *cols).join(moved, [*scope, "iter", "_to"]).drop("_to")
+    """`iterations` copies of df with `cols` moved as one unit between rows of a scope, a permutation for each (iteration, scope).
+
+    Rows are put in order by `key` once. A copy's row computes which row it takes `cols` from and looks that up; the
+    looked-up side is the table once, hashed, whatever the iterations. Rows of a null scope are a scope.
+    """
+    placed, sizes = _places(df, scope, [F.col(key)])
+    rest = [c for c in df.columns if c not in cols]
+    units = placed.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(scope)], F.col("_place").alias("_from"), *cols)
+    runs = placed.select(*rest, "_place").join(sizes, _same(scope)).withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    asked = runs.withColumn("_from", moved("_place", "_n", F.xxhash64(F.lit(seed), "iter", *scope))).select(*rest, "iter", "_from")
+    return asked.join(units.hint("shuffle_hash"), [*_same(scope), asked["_from"] == units["_from"]]).select(*rest, "iter", *cols)
+
+
+def random_groups(df: DataFrame, part: list[str], item: str, size: int, n: int, seed: int = 42) -> DataFrame:
+    """(part, items, draw): n groups of `size` different rows' items per part, all of them if it has fewer; equal groups
+    stay once, under their first draw. A draw looks up `size` places, however many rows the part has."""
+    placed, sizes = _places(df.select(*part, item), part, [F.col(item)])
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    names = [f"_g{k}" for k in range(len(part))]
+    slots = draws.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), F.col("_n").cast("int")) - 1)))
+    drawn = slots.select(*names, "draw", moved(F.col("_slot").cast("long"), F.col("_n"), F.xxhash64(F.lit(seed), "draw", *names)).alias("_place"))
+    met = drawn.join(placed.withColumnRenamed("_place", "_at"), [*_same(part), F.col("_place") == F.col("_at")])
+    sets = met.groupBy(*part, "draw").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return sets.groupBy(*part, "items").agg(F.min("draw").alias("draw"))
+
+
+def random_clusters(df: DataFrame, file: str, item: str, sizes: DataFrame, size: str = "size", target: int = 10_000, valid: Column | None = None, seed: int = 42) -> DataFrame:
+    """(sample, file, item): `target` random groups, numbered from 1, over all files alike.
+
+    Each file has target div files samples, and the first files by name one more until the target is met. A sample takes its
+    size from the observed `sizes` (those above 0, each row alike) and that many of its file's valid rows without
+    replacement; a sample for which the file has too few is left out, so its number is missing. Null files are no file.
+    """
+    valid = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    named = df.where(F.col(file).isNotNull())
+    files = numbered(named.select(F.col(file).alias("_f")).distinct(), [F.col("_f")], "_rank")
+    total = files.agg(F.count("*").alias("_files"))
+    each, more = F.floor(F.lit(target) / F.col("_files")), F.lit(target) % F.col("_files")
+    quota = files.crossJoin(F.broadcast(total)).withColumn("_quota", (each + F.when(F.col("_rank") <= more, 1).otherwise(0)).cast("int")).where("_quota > 0")
+    first = (F.col("_rank") - 1) * each + F.least(F.col("_rank") - 1, more)
+    samples = quota.select("_f", first.alias("_first"), F.explode(F.sequence(F.lit(1), F.col("_quota"))).alias("_i")).select("_f", (F.col("_first") + F.col("_i")).cast("long").alias("sample"))
+    observed = numbered(sizes.where(F.col(size) > 0).select(F.col(size).cast("int").alias("_size")), [F.col("_size")], "_s")
+    count = observed.agg(F.count("*").alias("_sizes"))
+    sized = samples.crossJoin(F.broadcast(count)).where("_sizes > 0").withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), F.lit("size"), "sample"), F.col("_sizes")) + 1).join(observed, "_s")
+    placed, rows = _places(named.where(valid).select(file, item), [file], [F.col(item)])
+    asked = sized.join(rows.withColumnRenamed("_g0", "_f"), "_f").where("_n >= _size").withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)))
+    drawn = asked.select("sample", "_f", moved(F.col("_slot").cast("long"), F.col("_n"), F.xxhash64(F.lit(seed), "sample")).alias("_at"))
+    return drawn.join(placed, (F.col("_f") == F.col(file)) & (F.col("_at") == F.col("_place"))).select("sample", file, item)
 
 
 def enrichment(real: DataFrame, shuffled: DataFrame, key: list[str]) -> DataFrame:

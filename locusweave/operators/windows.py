@@ -133,15 +133,6 @@ def merge_overlaps(df: DataFrame, part: list[str], order: list[str], label: str,
     return folded.select(*part, F.col("_m._label").alias(label), F.col("_m._items").alias(items), F.col("_m._end").alias(end))
 
 
-def random_groups(df: DataFrame, part: list[str], item: str, size: int, n: int, seed: int = 42) -> DataFrame:
-    """N groups of `size` items per part, drawn by seeded hash order; equal sets stay once."""
-    draws = df.select(*part, item).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    w = Window.partitionBy(*part, "draw").orderBy(F.xxhash64(F.lit(seed), "draw", item), item)
-    picked = draws.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= size)
-    sets = picked.groupBy(*part, "draw").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return sets.groupBy(*part, "items").agg(F.min("draw").alias("draw"))
-
-
 def tumbling_items(df: DataFrame, part: list[str], key: str, size: int) -> DataFrame:
     """Window number of each row when every `size` distinct keys in order make a window."""
     return df.withColumn("win", F.floor((F.dense_rank().over(Window.partitionBy(*part).orderBy(key)) - 1) / size))
