@@ -9,8 +9,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..shared import cut
+from . import folds
+from .folds import tightest_span  # noqa: F401  W17
 from .ranking import running_total
 
 
@@ -112,25 +115,11 @@ def merge_overlaps(df: DataFrame, part: list[str], order: list[str], label: str,
     """(part, label, items, end) after folding each part's matches in order; one joins the open match
     if the label agrees and its first `overlap` items are the open one's last.
 
-    The open match grows, so this is a fold; a change of label always opens a match, so one fold takes a run of
-    equal labels, not a part. Null labels never join.
+    The open match grows, so this is a fold: each part is read once in order, and only its open match is kept. Null labels never join.
     """
-    ordered = Window.partitionBy(*part).orderBy(*order, label, items, end)
-    opens = F.when(F.col(label) == F.lag(label).over(ordered), 0).otherwise(1)
-    df = df.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    m = F.struct(*order, F.col(label).alias("_label"), F.col(items).alias("_items"), F.col(end).alias("_end"))
-    kind = df.select(F.struct(F.col(label).alias("_label"), F.col(items).alias("_items"), F.col(end).alias("_end")).alias("x")).schema["x"].dataType.simpleString()
-    seq = df.groupBy(*part, "_run").agg(F.array_sort(F.collect_list(m)).alias("ms"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (last["_label"] == x["_label"]) & (F.size(last["_items"]) >= overlap) & (F.slice(x["_items"], 1, overlap) == F.slice(last["_items"], -overlap, overlap))
-        grown = F.struct(last["_label"].alias("_label"), F.array_union(last["_items"], x["_items"]).alias("_items"), F.greatest(last["_end"], x["_end"]).alias("_end"))
-        new = F.struct(x["_label"].alias("_label"), x["_items"].alias("_items"), x["_end"].alias("_end"))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
-
-    folded = seq.select(*part, F.explode(F.aggregate("ms", F.lit([]).cast(f"array<{kind}>"), lambda a, x: F.coalesce(step(a, x), F.concat(a, F.array(F.struct(x["_label"].alias("_label"), x["_items"].alias("_items"), x["_end"].alias("_end"))))))).alias("_m"))
-    return folded.select(*part, F.col("_m._label").alias(label), F.col("_m._items").alias(items), F.col("_m._end").alias(end))
+    told = StructType([df.schema[label], df.schema[items], df.schema[end]])
+    rows = df.select(*part, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], label, items, end)
+    return folds.folded(rows, part, [*[F.col(f"_o{k}") for k in range(len(order))], label, items, end], [label, items, end], lambda: folds.OverlapFold(overlap), told)
 
 
 def tumbling_items(df: DataFrame, part: list[str], key: str, size: int) -> DataFrame:
@@ -141,24 +130,12 @@ def tumbling_items(df: DataFrame, part: list[str], key: str, size: int) -> DataF
 def anchored_gap(df: DataFrame, part: list[str], pos: str, max_gap: int, min_size: int = 1) -> DataFrame:
     """(part, first, last, size) of clusters; a row over `max_gap` after the cluster's first opens one.
 
-    A row over `max_gap` after its predecessor always opens a cluster, so one fold takes a run without such a gap,
-    not a part, and sees each position once with its rows. Null positions are in no cluster.
+    Rows at one position are counted first; each part is then read once in order, and only its open cluster is kept. Null positions
+    are in no cluster.
     """
     spots = df.select(*part, F.col(pos).cast("long").alias("_p")).where("_p is not null").groupBy(*part, "_p").agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(*part).orderBy("_p")
-    spots = spots.withColumn("_opens", F.when(F.col("_p") - F.lag("_p").over(ordered) <= max_gap, 0).otherwise(1))
-    spots = spots.withColumn("_run", F.sum("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    seq = spots.groupBy(*part, "_run").agg(F.array_sort(F.collect_list(F.struct("_p", "_n"))).alias("ps"))
-    kind = "array<struct<first:bigint,last:bigint,size:bigint>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        same = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["first"].alias("first"), x["_p"].alias("last"), (last["size"] + x["_n"]).alias("size"))))
-        new = F.struct(x["_p"].alias("first"), x["_p"].alias("last"), x["_n"].alias("size"))
-        return F.when((F.size(acc) > 0) & (x["_p"] - last["first"] <= max_gap), same).otherwise(F.concat(acc, F.array(new)))
-
-    folded = seq.select(*part, F.explode(F.aggregate("ps", F.lit([]).cast(kind), step)).alias("_c"))
-    return folded.select(*part, "_c.first", "_c.last", "_c.size").where(F.col("size") >= min_size)
+    told = folds.folded(spots, part, [F.col("_p")], ["_p", "_n"], lambda: folds.GapFold(max_gap), "first long, last long, size long")
+    return told.where(F.col("size") >= min_size)
 
 
 def neighbour_gaps(df: DataFrame, part: list[str], order: list[str], start: str, end: str) -> DataFrame:
@@ -174,23 +151,6 @@ def span_of(df: DataFrame, part: list[str], order: list[str], start: str, end: s
     return far.groupBy(*part).agg(F.max(F.greatest(end, "_e") - F.least(start, "_s")).alias("max_span"))
 
 
-def tightest_span(df: DataFrame, part: list[str], query: str, start: str, end: str) -> DataFrame:
-    """Per part, one hit of every query within the least span: (part, n_queries, from, span).
-
-    For each anchor start, each query's least end among hits from there on; no subset is enumerated.
-    """
-    ahead = Window.partitionBy(*part, query).orderBy(start).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    ends = df.select(*part, query, start, end).withColumn("near", F.min(end).over(ahead))
-    last = df.groupBy(*part).agg(F.count_distinct(query).alias("n_queries"))
-    starts = df.select(*part, F.col(start).alias("from")).distinct()
-    steps = ends.groupBy(*part, query, start).agg(F.min("near").alias("near"))
-    w = Window.partitionBy(*part, query).orderBy(F.col(start).desc())
-    steps = steps.withColumn("above", F.coalesce(F.lag(start, -1).over(w), F.lit(None).cast("long")))
-    hit = starts.join(steps, part).where((F.col("from") <= F.col(start)) & (F.col("above").isNull() | (F.col("from") > F.col("above"))))
-    spans = hit.groupBy(*part, "from").agg(F.count("*").alias("n"), (F.max("near") - F.col("from")).alias("span")).join(last, part).where("n = n_queries")
-    return spans.groupBy(*part, "n_queries").agg(F.min(F.struct("span", "from")).alias("b")).select(*part, "n_queries", "b.from", "b.span")
-
-
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """Value and its share of rows at or below, from counts per value in range partitions."""
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
