@@ -361,3 +361,15 @@ def test_pipeline_stages(spark):
         before, kept = kept, stage(spark, kept, "")
         assert kept.columns == docs.columns and kept.count() > 0
     assert corpus_pipeline.STAGES[-1][1](spark, kept, "").count() >= kept.count()
+
+
+def test_bare_pages_over_many_partitions(spark):
+    text = [" ".join(f"word{k * 31 + i}" for i in range(20)) for k in range(300)]
+    rows = [(k, f"http://h{k % 3}.org/a/{k:04d}", f"<div>menu of h{k % 3}</div><p>{text[k]}</p><div>end of h{k % 3}</div>") for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 5, 1500):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == dict(enumerate(text)), n
