@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import DNA, K, S, WIDTH, G, dna, joined, query, r6, spans
+from .catalog import DNA, K, S, WIDTH, G, dna, genes as seen, joined, micros, query, r6, spans
 from .functions import regulatory
 from .functions import sequences as seq
 from .operators import combined, genome, graph, motifs, profiles, stats, summaries
-from .plans import flows
+from .plans import flows, predictor
 from .shared import shared_dir
 from .sources import readers, sinks
 
@@ -213,6 +213,51 @@ def o2_scan_genomes(t):
     return flows.scan_genomes(parts, ["user_id"], ["ts", "event_id"], "event_id", "event_type", width=WIDTH, least=K).select("user_id", "anchor", "event_type", joined("hits").alias("hits"))
 
 
+#: Sources of the five families, told from events: a gene is paired with itself and the next three of its user.
+SOURCES = f"""{CLUSTERS}, gs AS (SELECT event_id, user_id, idx, value, epoch_us(ts) AS t FROM (SELECT g.*, e.ts AS t0 FROM g JOIN events e USING (event_id))),
+  k0 AS (SELECT user_id || ':' || anchor || ':' || event_type AS candidate, user_id, event_type, hits FROM c), mm AS (SELECT candidate, k0.user_id, event_type, gs.event_id AS gene, gs.idx, gs.t FROM (SELECT *, unnest(hits) AS h FROM k0) k0 JOIN gs ON gs.user_id = k0.user_id AND gs.idx = k0.h),
+  base AS (SELECT candidate, user_id, event_type, array_to_string(list(gene ORDER BY idx), ',') AS genes, min(t) AS "start", max(t) AS "end", count(*) AS n_genes FROM mm GROUP BY ALL),
+  pr AS (SELECT a.event_id AS a, b.event_id AS b, -7 * sqrt(a.value + b.value) AS dock, (a.event_id * 31 + b.event_id * 17) % 101 / 100 AS fold FROM gs a JOIN gs b ON a.user_id = b.user_id AND b.idx BETWEEN a.idx AND a.idx + 3),
+  pw AS (SELECT m.candidate, pr.* FROM pr JOIN mm m ON m.gene = pr.a JOIN mm n ON n.gene = pr.b AND n.candidate = m.candidate),
+  stat AS (SELECT candidate, count(*) AS n, coalesce(avg(dock) FILTER (a <> b), avg(dock)) AS dm, coalesce(quantile_cont(dock, 0.5) FILTER (a <> b), quantile_cont(dock, 0.5)) AS dq, max(dock) AS dx, quantile_cont(dock, 0.75) AS d3, count(*) FILTER (dock < -50) / count(*) AS ds, count(*) FILTER (dock >= -25) / count(*) AS dw, CASE WHEN stddev_samp(dock) > 0 THEN stddev_samp(dock) ELSE 1 END AS dd,
+    coalesce(avg(fold) FILTER (a <> b), avg(fold)) AS fm, coalesce(quantile_cont(fold, 0.5) FILTER (a <> b), quantile_cont(fold, 0.5)) AS fq, max(fold) AS fx, quantile_cont(fold, 0.75) AS f3, count(*) FILTER (fold < 0.3) / count(*) AS fs, count(*) FILTER (fold >= 0.7) / count(*) AS fw, CASE WHEN stddev_samp(fold) > 0 THEN stddev_samp(fold) ELSE 1 END AS fd FROM pw GROUP BY 1),
+  cov AS (SELECT candidate, count(DISTINCT CASE WHEN ok THEN m END) / count(DISTINCT m) AS coverage FROM (SELECT candidate, unnest([a, b]) AS m, a <> b AND fold > 0.5 AS ok FROM pw) GROUP BY 1),
+  cl AS (SELECT candidate, (gene * k) % 97 / 97 AS s, 1 + (gene + k) % 7 AS z FROM mm, range(1, 4) AS r(k) WHERE gene % 4 <> 0),
+  prof AS (SELECT candidate, avg(s) AS mean, sum(s * z) / sum(z) AS weighted, count(*) FILTER (s > 0.8) / count(*) AS o8, count(*) FILTER (s > 0.6) / count(*) AS o6, coalesce(stddev_samp(s), 0) AS sd, max(s) AS mx, coalesce(max(z) FILTER (s > 0.7), 0) / sum(z) AS top FROM cl GROUP BY 1),
+  co AS (SELECT candidate, [gene % 6, gene % 9, gene % 5, gene % 11] AS d FROM mm WHERE gene % 3 <> 0), codes AS (SELECT candidate, count(DISTINCT d[1]) AS l1, count(DISTINCT d[1:2]) AS l2, count(DISTINCT d[1:3]) AS l3, count(DISTINCT d) AS l4, count(*) AS total FROM co GROUP BY 1),
+  hp AS (SELECT candidate, gene, CASE WHEN k % 2 = 0 THEN 'proximal' ELSE 'distal' END AS r, 'm' || (gene * k % 5) AS t, count(*)::DOUBLE AS n FROM mm, range(1, 7) AS r(k) GROUP BY ALL),
+  gp AS (SELECT a.candidate, a.gene AS x, b.gene AS y FROM mm a JOIN mm b ON a.candidate = b.candidate AND a.gene < b.gene), zp AS (SELECT DISTINCT gp.candidate, x, y, r, t FROM gp JOIN hp ON hp.candidate = gp.candidate AND (hp.gene = x OR hp.gene = y)),
+  vp AS (SELECT zp.*, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM zp LEFT JOIN hp a ON a.candidate = zp.candidate AND a.gene = x AND a.r = zp.r AND a.t = zp.t LEFT JOIN hp b ON b.candidate = zp.candidate AND b.gene = y AND b.r = zp.r AND b.t = zp.t),
+  sp AS (SELECT candidate, x, y, r, avg((na > 0 AND nb > 0)::INT) AS sim, count(*) * sum(na * nb) - sum(na) * sum(nb) AS c, count(*) * sum(na * na) - sum(na) * sum(na) AS ca, count(*) * sum(nb * nb) - sum(nb) * sum(nb) AS cb FROM vp GROUP BY ALL),
+  fp AS (SELECT candidate, r, avg(sim) AS sim, avg(CASE WHEN ca = 0 OR cb = 0 THEN 0 ELSE greatest(0, c / sqrt(ca * cb)) END) AS cor FROM sp GROUP BY ALL), np AS (SELECT candidate, count(DISTINCT t) AS n FROM hp GROUP BY 1)"""
+
+
+@query(SOURCES + """, u AS (SELECT base.*, stat.*, coverage, prof.* EXCLUDE (candidate), codes.* EXCLUDE (candidate), np.n AS pn, q.sim AS qs, q.cor AS qc, w.sim AS ws, w.cor AS wc, prof.candidate IS NULL AS no_p, codes.candidate IS NULL AS no_c FROM base JOIN stat USING (candidate) JOIN cov USING (candidate)
+    LEFT JOIN prof USING (candidate) LEFT JOIN codes USING (candidate) JOIN np USING (candidate) LEFT JOIN fp q ON q.candidate = base.candidate AND q.r = 'proximal' LEFT JOIN fp w ON w.candidate = base.candidate AND w.r = 'distal'),
+  z AS (SELECT *, CASE WHEN mean > 0 THEN greatest(0, least(1, 1 - sd / mean)) WHEN mean IS NOT NULL THEN 0 END AS steady, 1 / (1 + exp(-(0.5 * coalesce(l3, 0) - 0.02 * dm + 0.8 * coverage + coalesce(weighted, 0) - 1.2 * coalesce(qs, 0) - 1))) AS score FROM u)
+  SELECT candidate, user_id, event_type, genes, "start", "end", n_genes, n AS docking_n, round(dm, 6) AS docking_mean, round(dq, 6) AS docking_median, round(dx, 6) AS docking_max, round(d3, 6) AS docking_q75, round(ds, 6) AS docking_strong, round(dw, 6) AS docking_weak, round(dd, 6) AS docking_sd, round(dm / -10, 6) AS docking_enrichment, round((dm + 10) / dd, 6) AS docking_z,
+    n AS structure_n, round(fm, 6) AS structure_mean, round(fq, 6) AS structure_median, round(fx, 6) AS structure_max, round(f3, 6) AS structure_q75, round(fs, 6) AS structure_strong, round(fw, 6) AS structure_weak, round(fd, 6) AS structure_sd, round(fm / 0.3, 6) AS structure_enrichment, round((fm - 0.3) / fd, 6) AS structure_z, round(coverage, 6) AS structure_coverage,
+    round(mean, 6) AS profile_mean, round(weighted, 6) AS profile_weighted, round(o8, 6) AS profile_over_08, round(o6, 6) AS profile_over_06, round(mx, 6) AS profile_max, round(top, 6) AS profile_top_share, round(steady, 6) AS profile_consistency, l1 AS codes_level1, l2 AS codes_level2, l3 AS codes_level3, l4 AS codes_level4, total AS codes_total,
+    pn AS promoter_n_motifs, round(qs, 6) AS promoter_mean_near_similarity, round(ws, 6) AS promoter_mean_far_similarity, round(qc, 6) AS promoter_mean_near_correlation, round(wc, 6) AS promoter_mean_far_correlation, no_p::INT + no_c::INT AS families_missing, round(score, 6) AS score, no_p::INT + no_c::INT AS missing, score >= 0.5 AS is_cluster FROM z""")
+def o1_candidate_scores(t):
+    g = t("events").withColumn("t", micros("ts"))
+    placed = seen(t)
+    near = placed.alias("a").join(placed.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & F.col("b.idx").between(F.col("a.idx"), F.col("a.idx") + 3))
+    a, b = F.col("a.event_id"), F.col("b.event_id")
+    pairs = near.select(a.alias("a"), b.alias("b"), (-7 * F.sqrt(F.col("a.value") + F.col("b.value"))).alias("dock"), ((a * 31 + b * 17) % 101 / 100).alias("fold"))
+    gene = t("events").select(F.col("event_id").alias("gene"))
+    each = lambda n: gene.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    clades = each(3).where("gene % 4 <> 0").select("gene", (F.col("gene") * F.col("k") % 97 / 97).alias("score"), (1 + (F.col("gene") + F.col("k")) % 7).alias("size"))
+    codes = gene.where("gene % 3 <> 0").select("gene", F.concat_ws(".", *[F.col("gene") % m for m in (6, 9, 5, 11)]).alias("code"))
+    promoters = each(6).select("gene", F.when(F.col("k") % 2 == 0, "proximal").otherwise("distal").alias("region"), F.concat(F.lit("m"), F.col("gene") * F.col("k") % 5).alias("motif"))
+    weights = {"codes_level3": 0.5, "docking_mean": -0.02, "structure_coverage": 0.8, "profile_weighted": 1.0, "promoter_mean_near_similarity": -1.2}
+    p = predictor.predict(
+        g, ["user_id"], ["ts", "event_id"], "event_id", "event_type", "t", "t", width=WIDTH, least=K, model=(weights, -1.0), docking=pairs.select("a", "b", F.col("dock").alias("score")),
+        structure=pairs.select("a", "b", F.col("fold").alias("score")), clades=clades, codes=codes, promoters=promoters,
+    )
+    return p.withColumns({c: r6(c) for c, kind in p.dtypes if kind == "double"} | {"genes": joined("genes")})
+
+
 @query(f"""WITH g AS (SELECT event_id, event_type, 'f' || (user_id % 4) AS source_file, user_id // 4 % 10 AS chromosome, row_number() OVER (PARTITION BY user_id % 4, user_id // 4 % 10 ORDER BY ts, event_id) AS idx FROM events),
   grp AS (SELECT a.event_id AS anchor, a.source_file, a.chromosome, a.idx AS pos, b.event_type, list(b.idx ORDER BY b.idx) AS hits FROM g a JOIN g b ON a.source_file = b.source_file AND a.chromosome = b.chromosome AND b.idx BETWEEN a.idx AND a.idx + {WIDTH} GROUP BY ALL HAVING count(*) >= {K}),
   best AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY len(hits) DESC, hits, event_type) AS rk FROM grp), one AS (SELECT *, row_number() OVER (PARTITION BY source_file, chromosome, event_type, hits ORDER BY pos) AS first FROM best WHERE rk = 1), c AS (SELECT * FROM one WHERE first = 1)
