@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import maps
 from .functions import sequences as seq
-from .operators import enzymes, features, genome, graph, motifs, nulls, profiles, reports, stats
+from .operators import enzymes, features, genome, graph, motifs, nulls, profiles, reports, stats, summaries
 from .operators import relational as rel
 from .operators import windows as win
 
@@ -323,9 +323,25 @@ def a_axis_statistics(t):
 
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, round(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25), 4) AS iqr, round(stddev_samp(l_extendedprice), 4) AS sd FROM lineitem GROUP BY 1""")
 def a_length_comparison(t):
-    p = F.percentile("l_extendedprice", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.99))))
-    g = t("lineitem").groupBy("l_returnflag").agg(p.alias("p"), F.stddev_samp("l_extendedprice").alias("sd"))
-    return g.select("l_returnflag", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p99"))], F.round(F.col("p")[3] - F.col("p")[1], 4).alias("iqr"), F.round("sd", 4).alias("sd"))
+    g = summaries.length_comparison(t("lineitem"), "l_returnflag", "l_extendedprice", "N")
+    return g.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("p10", "p25", "p50", "p75", "p99", "iqr", "sd")])
+
+
+@query("""WITH g AS (SELECT l_returnflag AS g, avg(l_extendedprice) AS mean, quantile_cont(l_extendedprice, 0.5) AS p50, max(l_extendedprice) AS max, avg(l_extendedprice / l_quantity) AS per_gene, quantile_cont(l_extendedprice, 0.9) AS p90, quantile_cont(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1)
+  SELECT g.g AS l_returnflag, round(g.p90, 4) AS p90, round(g.p95, 4) AS p95, round(g.per_gene, 6) AS per_gene, round(g.mean / n.mean, 6) AS mean_ratio, round(g.p50 / n.p50, 6) AS median_ratio, round(g.max / n.max, 6) AS max_ratio FROM g, g n WHERE n.g = 'N'""")
+def a_length_ratios(t):
+    g = summaries.length_comparison(t("lineitem"), "l_returnflag", "l_extendedprice", "N", "l_quantity")
+    return g.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("p90", "p95")], *[r6(c).alias(c) for c in ("per_gene", "mean_ratio", "median_ratio", "max_ratio")])
+
+
+@query("""WITH d AS (SELECT l_returnflag AS genome, l_linestatus || (l_suppkey % 7) AS chromosome, l_orderkey AS s, l_orderkey + l_partkey AS e, CASE WHEN l_linenumber % 3 > 0 THEN 'x' END AS label FROM lineitem), k AS (SELECT genome, chromosome, count(*) AS n FROM d GROUP BY ALL),
+  m AS (SELECT genome, string_agg(chromosome || '=' || n, ',' ORDER BY chromosome) AS per_chromosome, count(*) AS chromosomes FROM k GROUP BY 1)
+  SELECT genome, count(*)::BIGINT AS genes, count(label)::BIGINT AS annotated, round(count(label) / count(*), 6) AS annotation_rate, max(e) - min(s) AS span, round(avg(e - s + 1), 6) AS mean_length, quantile_cont(e - s + 1, 0.5) AS median_length, any_value(chromosomes)::BIGINT AS chromosomes, any_value(per_chromosome) AS per_chromosome, round(count(*) / (max(e) - min(s)) * 1e6, 6) AS genes_per_mb FROM d JOIN m USING (genome) GROUP BY genome""")
+def a_genome_statistics(t):
+    d = t("lineitem").select(F.col("l_returnflag").alias("genome"), F.concat("l_linestatus", F.col("l_suppkey") % 7).alias("chromosome"), F.col("l_orderkey").alias("s"), (F.col("l_orderkey") + F.col("l_partkey")).alias("e"), F.when(F.col("l_linenumber") % 3 > 0, "x").alias("label"))
+    g = summaries.genome_statistics(d, "genome", "chromosome", "s", "e", "label").drop("density")
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries("per_chromosome")), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return g.withColumns({"per_chromosome": flat} | {c: r6(c) for c in ("annotation_rate", "mean_length", "genes_per_mb")})
 
 
 @query("""SELECT event_type, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import quantiles, with_quantiles
+
 ratio = lambda a, b, other=0.0: F.coalesce(F.try_divide(a, b), F.lit(other))
 
 
@@ -17,11 +19,12 @@ def pair_score_features(df: DataFrame, cluster: str, a: str, b: str, score: str,
     other = F.when(F.col(a) != F.col(b), F.col(score))
     sd = F.stddev_samp(score) if ddof else F.stddev_pop(score)
     out = df.groupBy(cluster).agg(
-        F.count("*").alias("n"), F.coalesce(F.avg(other), F.avg(score)).alias("mean"), F.coalesce(F.percentile(other, F.lit(0.5)), F.percentile(score, F.lit(0.5))).alias("median"),
-        F.max(score).alias("max"), F.percentile(score, F.lit(0.75)).alias("q75"), (F.count_if(F.col(score) < strong) / F.count("*")).alias("strong"),
+        F.count("*").alias("n"), F.coalesce(F.avg(other), F.avg(score)).alias("mean"), F.max(score).alias("max"), (F.count_if(F.col(score) < strong) / F.count("*")).alias("strong"),
         (F.count_if(F.col(score) >= weak) / F.count("*")).alias("weak"), F.coalesce(F.when(sd > 0, sd), F.lit(1.0)).alias("sd"),
     )
-    return out.withColumns({"enrichment": F.col("mean") / baseline, "z": (F.col("mean") - baseline) / F.col("sd")})
+    out = with_quantiles(out, cluster, quantiles(df, [cluster], {"_o": other, "_a": F.col(score)}, [0.5, 0.75]))
+    told = out.withColumns({"median": F.coalesce("_o_0", "_a_0"), "q75": F.col("_a_1"), "enrichment": F.col("mean") / baseline, "z": (F.col("mean") - baseline) / F.col("sd")})
+    return told.select(cluster, "n", "mean", "median", "max", "q75", "strong", "weak", "sd", "enrichment", "z")
 
 
 def match_coverage(df: DataFrame, cluster: str, a: str, b: str, score: str, least: float) -> DataFrame:
@@ -49,15 +52,16 @@ def docking_table(df: DataFrame, cluster: str, score: str, *, expected: float =
     """
     s = F.col(score)
     n = F.count("*")
-    quantile = lambda q: F.percentile(s, F.lit(q))
     bands = {"strong": s < strong, "moderate": (s >= strong) & (s < weak), "weak": s >= weak}
     measured = {
         "n": n, "sum_scores_all": F.sum(s), "mean_score_all": F.avg(s), "var_score_non_self": F.var_pop(s), "std_score_non_self": F.stddev_pop(s),
-        "median_score_non_self": quantile(0.5), "q25_score": quantile(0.25), "q75_score": quantile(0.75), "min_score": F.min(s), "max_score": F.max(s),
+        "min_score": F.min(s), "max_score": F.max(s),
         **{f"fraction_{b}_binders": F.count_if(c) / n for b, c in bands.items()},
         **{f"{level}_score_interactions": F.count_if(c) for level, c in zip(("high", "medium", "low"), bands.values())},
     }
     per = df.where(s.isNotNull()).groupBy(F.col(cluster).alias("name")).agg(*[c.alias(k) for k, c in measured.items()])
+    per = with_quantiles(per, "name", quantiles(df.withColumn("name", F.col(cluster)), ["name"], {"_s": s}, [0.5, 0.25, 0.75]))
+    per = per.withColumnsRenamed({"_s_0": "median_score_non_self", "_s_1": "q25_score", "_s_2": "q75_score"})
     effect = ratio(F.col("mean_score_all") - expected, F.nullif(F.col("std_score_non_self"), F.lit(0.0)))
     return per.withColumns({
         "n_squared": F.col("n") * F.col("n"), **{k: F.col("n") for k in ("n_comparisons_total", "n_comparisons_non_self", "total_interactions")},
@@ -81,14 +85,16 @@ def clade_table(df: DataFrame, cluster: str) -> DataFrame:
     n, good = F.count("*"), F.col("status") == "success"
     score = F.col("cladepp_score")
     quality = {"high": score > -0.5, "medium": (score <= -0.5) & (score > -1.0), "low": score <= -1.0}
-    whole = {"mean": F.avg, "std": F.stddev_samp, "median": lambda c: F.percentile(c, F.lit(0.5)), "min": F.min, "max": F.max}
+    whole = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     per = df.groupBy(F.col(cluster).alias("name")).agg(
         n.alias("n_clades"), F.count_if(good).alias("n_successful"), F.count_if(F.col("status") == "failed").alias("n_failed"),
-        *[f(c).alias(f"{k}_{out}") for c, out, ks in (("clade_size", "clade_sizes", list(whole)), ("cladepp_score", "cladepp_score", list(whole)), ("gain_loss_score", "gain_loss_score", ["mean", "std", "median"])) for k, f in whole.items() if k in ks],
+        *[f(c).alias(f"{k}_{out}") for c, out, ks in (("clade_size", "clade_sizes", list(whole)), ("cladepp_score", "cladepp_score", list(whole)), ("gain_loss_score", "gain_loss_score", ["mean", "std"])) for k, f in whole.items() if k in ks],
         F.coalesce(F.sum("clade_size"), F.lit(0)).alias("total_tips"), F.avg("mean_anchor_corr").alias("mean_anchor_corr"), F.avg("std_anchor_corr").alias("std_anchor_corr"),
         F.max("max_anchor_corr").alias("max_anchor_corr"), F.min("min_anchor_corr").alias("min_anchor_corr"), F.count("positive_corr_pairs").alias("positive_corr_pairs"),
         *[F.count_if(good & c).alias(f"{k}_quality_clades") for k, c in quality.items()],
     )
+    middle = {"median_clade_sizes": F.col("clade_size"), "median_cladepp_score": score, "median_gain_loss_score": F.col("gain_loss_score")}
+    per = with_quantiles(per, "name", quantiles(df.withColumn("name", F.col(cluster)), ["name"], middle, [0.5])).withColumnsRenamed({f"{m}_0": m for m in middle})
     return per.withColumns({
         "success_rate": F.col("n_successful") / F.col("n_clades"), "mean_tips_per_clade": F.col("total_tips") / F.col("n_clades"), "fraction_positive_corr": F.col("positive_corr_pairs") / F.col("n_clades"),
         **{f"fraction_{k}_quality": ratio(F.col(f"{k}_quality_clades"), F.col("n_successful")) for k in quality},

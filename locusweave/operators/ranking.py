@@ -88,3 +88,35 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """(value, rank, times) of every distinct value: the mean of the places that its rows take."""
     counts = df.groupBy(value).agg(F.count("*").alias("times"))
     return running_total(counts, [F.col(value)], F.col("times"), "_upto").select(value, (F.col("_upto") - (F.col("times") - 1) / 2).alias("rank"), "times")
+
+
+def quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], shares: list[float]) -> DataFrame:
+    """(keys, name_0, name_1, ...): for each value its exact quantiles at `shares` over the rows of each key, between neighbours by share.
+
+    Equal values are counted first; running counts in range partitions tell at which places a value stands, and the values at a
+    quantile's two places are picked by an aggregate. No task holds a group, so a group may be the whole table. Nulls
+    are left out; a key without a value has none, and no row if no value has one. Null keys are keys.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.cast("double").alias("v")) for i, v in enumerate(values.values())]))
+    long = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], each.alias("_x")).select(*names, F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v")).where("_v is not null")
+    counts = long.groupBy(*names, "_i", "_v").agg(F.count("*").alias("_n"))
+    run = running_total(counts, [*map(F.col, names), F.col("_i"), F.col("_v")], F.col("_n"), "_upto")
+    sizes = run.groupBy(*[F.col(n).alias(f"_s{n}") for n in names], F.col("_i").alias("_j")).agg(F.sum("_n").alias("_all"), F.min(F.col("_upto") - F.col("_n")).alias("_start"))
+    met = run.join(sizes, [*[F.col(n).eqNullSafe(F.col(f"_s{n}")) for n in names], F.col("_i") == F.col("_j")])
+    upto, last = F.col("_upto") - F.col("_start"), (F.col("_all") - 1).cast("double")
+    before, picked, told = upto - F.col("_n"), [], []
+    for i, name in enumerate(values):
+        for k, share in enumerate(shares):
+            place, mine = last * share, F.col("_i") == i
+            for side, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+                picked.append(F.max(F.when(mine & (before <= at) & (at < upto), F.col("_v"))).alias(f"_{side}{i}_{k}"))
+            picked.append(F.max(F.when(mine, place)).alias(f"_at{i}_{k}"))
+            lo, hi, at = (F.col(f"_{c}{i}_{k}") for c in ("lo", "hi", "at"))
+            told.append(F.when(F.ceil(at) == F.floor(at), lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(f"{name}_{k}"))
+    return met.groupBy(*names).agg(*picked).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *told)
+
+
+def with_quantiles(df: DataFrame, key: str, told: DataFrame) -> DataFrame:
+    """`df`, a row for each key, beside the columns of quantiles() for that key."""
+    return df.join(told.withColumnRenamed(key, "_qk"), F.col(key).eqNullSafe(F.col("_qk")), "left").drop("_qk")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import cut
+from .ranking import quantiles
 
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
@@ -102,8 +103,9 @@ def category(name: Column, prefixes: dict[str, str], other: str) -> Column:
 
 def tertiles(df: DataFrame, value: str, name: str = "tertile") -> DataFrame:
     """Small, medium or large by the exact 33.33 and 66.67 percentiles."""
-    cut = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_p"))
-    return df.crossJoin(F.broadcast(cut)).withColumn(name, F.when(F.col(value) <= F.col("_p")[0], "small").when(F.col(value) <= F.col("_p")[1], "medium").otherwise("large")).drop("_p")
+    edges = quantiles(df, [], {"_p": F.col(value)}, [1 / 3, 2 / 3])  # one row
+    banded = F.when(F.col(value) <= F.col("_p_0"), "small").when(F.col(value) <= F.col("_p_1"), "medium").otherwise("large")
+    return df.crossJoin(F.broadcast(edges)).withColumn(name, banded).drop("_p_0", "_p_1")
 
 
 def nearest_to(df: DataFrame, value: str, target: float, tie: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import quantiles, with_quantiles
+
 from .relational import best_per_key
 
 
@@ -18,8 +20,49 @@ def code_summary(levels: DataFrame, few: int = 1) -> DataFrame:
 
 def cluster_stats(df: DataFrame, genome: str, label: str, length: str, genes: str) -> DataFrame:
     """Per genome: clusters, distinct labels, and mean, median, sd, least and greatest length and gene count."""
-    per = lambda c: [F.round(f, 2).alias(f"{n}_{c}") for n, f in (("mean", F.avg(c)), ("median", F.median(c)), ("sd", F.stddev_samp(c)), ("min", F.min(c)), ("max", F.max(c)))]
-    return df.groupBy(genome).agg(F.count("*").alias("n_clusters"), F.count_distinct(label).alias("n_labels"), *per(length), *per(genes))
+    per = lambda c: [f(c).alias(f"{n}_{c}") for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    out = df.groupBy(genome).agg(F.count("*").alias("n_clusters"), F.count_distinct(label).alias("n_labels"), *per(length), *per(genes))
+    out = with_quantiles(out, genome, quantiles(df, [genome], {length: F.col(length), genes: F.col(genes)}, [0.5])).withColumnsRenamed({f"{c}_0": f"median_{c}" for c in (length, genes)})
+    return out.select(genome, "n_clusters", "n_labels", *[F.round(f"{n}_{c}", 2).alias(f"{n}_{c}") for c in (length, genes) for n in ("mean", "median", "sd", "min", "max")])
+
+
+#: Shares of the percentiles that lengths are compared by.
+PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
+
+
+def length_comparison(df: DataFrame, group: str, length: str, against: str, genes: str | None = None) -> DataFrame:
+    """Per group: n, mean, sd, min, max, percentiles, iqr, with `genes` the mean length per gene, and mean_ratio, median_ratio and
+    max_ratio, which are the group's over those of the group `against` (null where that is 0 or absent). Null lengths are left out."""
+    told = df.where(F.col(length).isNotNull())
+    measured = {"mean": F.avg(length), "sd": F.stddev_samp(length), "min": F.min(length), "max": F.max(length)}
+    if genes:
+        measured["per_gene"] = F.avg(F.try_divide(length, genes))
+    out = told.groupBy(group).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in measured.items()])
+    out = with_quantiles(out, group, quantiles(told, [group], {"_p": F.col(length)}, [p / 100 for p in PERCENTILES])).withColumnsRenamed({f"_p_{i}": f"p{p}" for i, p in enumerate(PERCENTILES)})
+    base = out.where(F.col(group) == against).select(*[F.col(c).alias(f"_{c}") for c in ("mean", "p50", "max")])
+    out = out.withColumn("iqr", F.col("p75") - F.col("p25")).join(F.broadcast(base), how="left")  # one row at most
+    ratios = {"mean_ratio": ("mean", "_mean"), "median_ratio": ("p50", "_p50"), "max_ratio": ("max", "_max")}
+    return out.withColumns({k: F.try_divide(*v) for k, v in ratios.items()}).drop("_mean", "_p50", "_max")
+
+
+def genome_statistics(df: DataFrame, genome: str, chromosome: str, start: str, end: str, label: str) -> DataFrame:
+    """Per genome: genes, annotated, annotation_rate, span (last end - first start), mean_length, median_length, chromosomes (null is
+    none), per_chromosome (map), density (genes a base of the span) and genes_per_mb.
+
+    Genes are counted per chromosome first; a map entry stands for a chromosome.
+    """
+    long = F.col(end) - F.col(start) + 1
+    per = df.groupBy(genome, chromosome).agg(F.count("*").alias("n"), F.count(label).alias("a"), F.sum(long).alias("l"), F.count(long).alias("m"), F.min(start).alias("s"), F.max(end).alias("e"))
+    named = F.filter(F.collect_list(F.struct(chromosome, "n")), lambda x: x[chromosome].isNotNull())
+    out = per.groupBy(genome).agg(
+        F.sum("n").alias("genes"), F.sum("a").alias("annotated"), (F.max("e") - F.min("s")).alias("span"), F.try_divide(F.sum("l"), F.sum("m")).alias("mean_length"),
+        F.count(chromosome).alias("chromosomes"), F.map_from_entries(F.array_sort(named)).alias("per_chromosome"),
+    )
+    out = with_quantiles(out, genome, quantiles(df, [genome], {"_l": long}, [0.5])).withColumnRenamed("_l_0", "median_length")
+    rate, density = F.try_divide("annotated", "genes"), F.try_divide("genes", "span")
+    return out.withColumns({"annotation_rate": rate, "density": density, "genes_per_mb": density * 1e6}).select(
+        genome, "genes", "annotated", "annotation_rate", "span", "mean_length", "median_length", "chromosomes", "per_chromosome", "density", "genes_per_mb"
+    )
 
 
 def wide_counts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

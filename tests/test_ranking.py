@@ -54,3 +54,29 @@ def test_areas_and_ranked_features(spark):
     got = {r["feature"]: r["roc_auc"] for r in flows.rank_features(df, ["a", "b"], "y").collect()}
     assert got == pytest.approx(told)
     assert stats.areas(stats.curve(df, "a", "y"), "a").first()["roc_auc"] == pytest.approx(told["a"])
+
+
+def test_quantiles(parted):
+    rnd = random.Random(13)
+    rows = [(rnd.choice(["hot"] * 5 + ["a", None]), rnd.choice([None, rnd.randrange(9), rnd.random() * 50]), rnd.randrange(3)) for _ in range(400)] + [("one", 4.0, 1), ("none", None, None)]
+    rows = [(g, None if v is None else float(v), w) for g, v, w in rows]
+    df = parted.createDataFrame(rows, "g string, v double, w int").repartition(3)
+    shares = [0.0, 0.25, 1 / 3, 0.5, 0.99, 1.0]
+
+    def told(values):
+        s, out = sorted(values), []
+        for q in shares:
+            at = (len(s) - 1) * q
+            lo = int(at)
+            hi = min(lo + 1, len(s) - 1)
+            out.append(s[lo] + (s[hi] - s[lo]) * (at - lo))
+        return out
+
+    got = {r["g"]: r for r in ranking.quantiles(df, ["g"], {"v": F.col("v"), "w": F.col("w")}, shares).collect()}
+    assert set(got) == {"hot", "a", None, "one"}
+    for g, r in got.items():
+        for name, at in (("v", 1), ("w", 2)):
+            values = [x[at] for x in rows if x[0] == g and x[at] is not None]
+            assert [r[f"{name}_{k}"] for k in range(len(shares))] == pytest.approx(told(values))
+    whole = ranking.quantiles(df, [], {"v": F.col("v")}, shares).first()
+    assert list(whole) == pytest.approx(told([v for _, v, _ in rows if v is not None]))
