@@ -11,7 +11,7 @@ from .catalog import DNA, K, S, WIDTH, G, dna, genes as seen, joined, micros, qu
 from .functions import regulatory
 from .functions import sequences as seq
 from .operators import combined, genome, graph, motifs, profiles, stats, summaries
-from .plans import flows, predictor
+from .plans import flows, predictor, report
 from .shared import shared_dir
 from .sources import readers, sinks
 
@@ -283,6 +283,46 @@ def o4_statistics_report(t):
     return flows.statistics_report(c, "c_nationkey", "c_mktsegment", ["genes"], "c_acctbal").withColumn("r", F.round("r", 5))
 
 
+GENOMES = """WITH d AS (SELECT s_nationkey AS genome, l_linenumber AS chromosome, l_orderkey AS s, l_orderkey + l_partkey AS e, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS label, CASE WHEN l_returnflag <> 'N' THEN 'K' || lpad((l_partkey % 997)::VARCHAR, 5, '0') ELSE '-' END AS ko FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+  c AS (SELECT c_nationkey AS genome, count(*) AS n_clusters, count(DISTINCT c_mktsegment) AS n_labels, avg(c_custkey * 13 % 1009) AS ml, quantile_cont(c_custkey * 13 % 1009, 0.5) AS ql, max(c_custkey * 13 % 1009) AS xl, avg(c_custkey % 10 + 1) AS ms FROM customer GROUP BY 1),
+  t AS (SELECT genome, count(*) AS genes, count(label) AS annotated, count(label) / count(*) AS annotation_rate, max(e) - min(s) AS span, avg(e - s + 1) AS mean_length, quantile_cont(e - s + 1, 0.5) AS median_length, count(DISTINCT chromosome) AS chromosomes, count(*) / (max(e) - min(s)) * 1e6 AS genes_per_mb,
+    count(DISTINCT ko) FILTER (ko <> '-') AS n_codes, count(*) FILTER (ko <> '-') / count(*) AS code_rate FROM d GROUP BY 1), w AS (SELECT t.*, coalesce(n_clusters, 0) AS n_clusters, coalesce(n_labels, 0) AS n_labels, ml, ql, xl, ms FROM t LEFT JOIN c USING (genome))"""
+
+
+def genome_rows(t) -> DataFrame:
+    """Suppliers' nations stand for genomes, line numbers for chromosomes, customers for clusters."""
+    li = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    label = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    ko = F.when(label.isNotNull(), F.concat(F.lit("K"), F.lpad((F.col("l_partkey") % 997).cast("string"), 5, "0"))).otherwise("-")
+    d = li.select(F.col("s_nationkey").alias("genome"), F.col("l_linenumber").alias("chromosome"), F.col("l_orderkey").alias("s"), (F.col("l_orderkey") + F.col("l_partkey")).alias("e"), label.alias("label"), ko.alias("ko"))
+    c = t("customer").select(F.col("c_nationkey").alias("genome"), "c_mktsegment", (F.col("c_custkey") * 13 % 1009).alias("len"), (F.col("c_custkey") % 10 + 1).alias("size"))
+    return report.genome_table(d, c, genome="genome", chromosome="chromosome", start="s", end="e", label="label", codes="ko", pattern=r"(K\d{5})", cluster_label="c_mktsegment", length="len", size="size")
+
+
+@query(GENOMES + """ SELECT genome, genes::BIGINT AS genes, annotated::BIGINT AS annotated, round(annotation_rate, 6) AS annotation_rate, span, round(mean_length, 6) AS mean_length, median_length, chromosomes::BIGINT AS chromosomes, round(genes_per_mb, 6) AS genes_per_mb, n_codes::BIGINT AS n_codes, round(code_rate, 6) AS code_rate,
+  n_clusters::BIGINT AS n_clusters, n_labels::BIGINT AS n_labels, round(ml, 2) AS cluster_mean_length, ql AS cluster_median_length, xl AS cluster_max_length, round(ms, 2) AS cluster_mean_size FROM w""")
+def o4_genome_table(t):
+    g = genome_rows(t).select("genome", *report.MEASURES, "n_clusters", *[f"cluster_{c}" for c in ("mean_length", "median_length", "max_length", "mean_size")])
+    return g.withColumns({c: r6(c) for c in ("annotation_rate", "mean_length", "genes_per_mb", "code_rate")})
+
+
+@query(GENOMES + """, u AS (UNPIVOT (SELECT genome, n_clusters::DOUBLE AS y, genes::DOUBLE AS genes, annotation_rate, span::DOUBLE AS span, mean_length, n_codes::DOUBLE AS n_codes, chromosomes::DOUBLE AS chromosomes FROM w) ON genes, annotation_rate, span, mean_length, n_codes, chromosomes INTO NAME feature VALUE x),
+  k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2 AS ry FROM u),
+  r AS (SELECT 'pearson' AS method, feature, count(*) AS n, CASE WHEN min(x) < max(x) THEN corr(x, y) END AS r FROM k GROUP BY feature UNION ALL SELECT 'spearman', feature, count(*), CASE WHEN min(x) < max(x) THEN corr(rx, ry) END FROM k GROUP BY feature
+    UNION ALL SELECT 'kendall', a.feature, any_value(c.n), sum(sign(a.x - b.x) * sign(a.y - b.y)) / nullif(sqrt(sum(abs(sign(a.x - b.x)))) * sqrt(sum(abs(sign(a.y - b.y)))), 0) FROM u a JOIN u b ON a.feature = b.feature JOIN (SELECT feature, count(*) AS n FROM u GROUP BY 1) c ON c.feature = a.feature GROUP BY a.feature)
+  SELECT method, feature, n::BIGINT AS n, round(r, 6) AS r, CASE WHEN r IS NULL THEN NULL WHEN abs(r) >= 0.7 THEN 'very large' WHEN abs(r) >= 0.5 THEN 'large' WHEN abs(r) >= 0.3 THEN 'medium' WHEN abs(r) >= 0.1 THEN 'small' ELSE 'negligible' END AS effect FROM r""")
+def o4_genome_correlations(t):
+    told = report.genome_report(genome_rows(t), genome="genome", measures=("genes", "annotation_rate", "span", "mean_length", "n_codes", "chromosomes"), parts=("correlations",))
+    return told["correlations"].select("method", "feature", "n", r6("r").alias("r"), "effect")
+
+
+@query(GENOMES + """, p AS (SELECT quantile_cont(genes, 1.0 / 3) AS a, quantile_cont(genes, 2.0 / 3) AS b FROM w), z AS (SELECT CASE WHEN genes <= a THEN 'small' WHEN genes <= b THEN 'medium' ELSE 'large' END AS size, rank() OVER (ORDER BY n_clusters) + (count(*) OVER (PARTITION BY n_clusters) - 1) / 2 AS rk FROM w, p),
+  n AS (SELECT count(*) AS n FROM w), s AS (SELECT size, count(*) AS k, sum(rk) AS r FROM z GROUP BY 1), ties AS (SELECT sum(k * k * k - k) AS t FROM (SELECT count(*)::DOUBLE AS k FROM w GROUP BY n_clusters))
+  SELECT any_value(n)::BIGINT AS n, count(*)::BIGINT AS groups, round((12 / (any_value(n) * (any_value(n) + 1)) * sum(r * r / k) - 3 * (any_value(n) + 1)) / (1 - any_value(t) / (any_value(n)::DOUBLE ** 3 - any_value(n))), 6) AS h FROM s, n, ties""")
+def o4_genome_sizes(t):
+    return report.genome_report(genome_rows(t), genome="genome", parts=("sizes",))["sizes"].select("n", "groups", r6("h").alias("h"))
+
+
 @query("""WITH s AS (SELECT *, 0.4 * l_extendedprice + 0.3 * l_quantity + 0.3 * l_discount AS c FROM lineitem), r AS (SELECT *, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS z, row_number() OVER (PARTITION BY l_partkey ORDER BY c DESC, l_orderkey, l_linenumber) AS rk FROM s),
   b AS (SELECT l_returnflag, z, floor((dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_partkey) - 1) / 10) AS win FROM r WHERE rk = 1) SELECT l_returnflag, win::BIGINT AS win, count(*)::BIGINT AS n, round(avg(z), 6) AS mean_score FROM b GROUP BY ALL""")
 def o5_best_hit_windows(t):
