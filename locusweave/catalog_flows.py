@@ -11,6 +11,7 @@ from .catalog import DNA, K, S, WIDTH, G, dna, genes as seen, joined, micros, qu
 from .functions import regulatory
 from .functions import sequences as seq
 from .operators import combined, genome, graph, motifs, profiles, stats, summaries
+from .operators import windows as win
 from .plans import flows, predictor, report
 from .shared import shared_dir
 from .sources import readers, sinks
@@ -329,6 +330,28 @@ def o5_best_hit_windows(t):
     return flows.best_hit_windows(t("lineitem"), "l_partkey", "l_extendedprice", "l_quantity", "l_discount", ["l_orderkey", "l_linenumber"], "l_returnflag", 10).withColumn("mean_score", r6("mean_score"))
 
 
+@query("""WITH h AS (SELECT *, CASE WHEN l_tax = 0 THEN 1e-180 ELSE l_tax * 1e-5 END AS e, l_quantity + l_linenumber AS q, max(l_extendedprice) OVER (PARTITION BY l_returnflag) AS top FROM lineitem), s AS (SELECT *, l_extendedprice / top * -log10(e) * (l_extendedprice / l_quantity) * (l_extendedprice / q) * ((100 - l_discount * 100) / 100) * (l_quantity / q) AS c FROM h),
+  z AS (SELECT *, (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w) AS z FROM s WINDOW w AS (PARTITION BY l_returnflag)), r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY z DESC, l_orderkey, l_linenumber) AS rk FROM z),
+  b AS (SELECT l_returnflag, z, floor((dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_partkey) - 1) / 10) AS win FROM r WHERE rk = 1) SELECT l_returnflag, win::BIGINT AS win, count(*)::BIGINT AS n, round(avg(z), 6) AS mean_score, round(max(z), 6) AS best_score FROM b GROUP BY ALL""")
+def o5_normalised_windows(t):
+    h = t("lineitem").withColumns({"e": F.col("l_tax") * 1e-5, "one": F.lit(1), "q": F.col("l_quantity") + F.col("l_linenumber"), "ident": 100 - F.col("l_discount") * 100})
+    w = flows.normalised_hit_windows(h, "l_partkey", ["l_returnflag"], ["l_orderkey", "l_linenumber"], "l_returnflag", 10, evalue="e", bits="l_extendedprice", length="l_quantity", start="one", end="q", identity="ident")
+    return w.withColumns({c: r6(c) for c in ("mean_score", "best_score")})
+
+
+@query(f"""WITH {G}, m AS (SELECT w, a.user_id, a.idx, b.event_type, count(*) AS n FROM range(5, 21) AS r(w), g a JOIN g b ON a.user_id = b.user_id AND b.idx BETWEEN a.idx AND a.idx + w GROUP BY ALL HAVING count(*) >= 3)
+  SELECT w::INTEGER AS width, k::INTEGER AS least, count(DISTINCT (user_id, idx))::BIGINT AS anchors, count(*)::BIGINT AS groups FROM m, range(3, 11) AS r(k) WHERE n >= k AND (k = 3 OR k <= w // 2) GROUP BY ALL""")
+def w_index_sweep(t):
+    return win.index_sweep(seen(t), ["user_id"], "idx", "event_type", list(range(5, 21)))
+
+
+@query(f"""WITH {S}, r AS (SELECT *, row_number() OVER w AS rn, CASE WHEN "end" <= lag("end") OVER w THEN 1 ELSE 0 END AS brk FROM s WINDOW w AS (PARTITION BY user_id ORDER BY "start", event_id)),
+  u AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY "start", event_id) AS run FROM r), m AS (SELECT h, a.user_id, a.rn, b.event_type, count(*) AS n FROM (SELECT unnest([2, 4, 8, 24, 96]) AS h) h, u a JOIN u b ON a.user_id = b.user_id AND a.run = b.run WHERE b.rn = a.rn OR b.rn > a.rn AND b."end" <= a."start" + h * 3600000000 GROUP BY ALL HAVING count(*) >= 2)
+  SELECT h * 3600000000 AS span, 2 AS least, count(*)::BIGINT AS groups, count(DISTINCT (user_id, rn))::BIGINT AS anchors FROM m GROUP BY h""")
+def w_distance_sweep(t):
+    return win.distance_sweep(spans(t), ["user_id"], ["start", "event_id"], "start", "end", "event_type", [h * 3_600_000_000 for h in (2, 4, 8, 24, 96)], 2)
+
+
 AREAS = """, v AS (SELECT feature, x, sum(y) AS p, sum(1 - y) AS q FROM u GROUP BY ALL), w AS (SELECT feature, p, q, sum(q) OVER (PARTITION BY feature ORDER BY x) - q AS under FROM v) SELECT feature, round(sum(p * (under + q / 2)) / (sum(p) * sum(q)), 6) AS roc_auc FROM w GROUP BY 1"""
 
 

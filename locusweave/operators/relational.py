@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,35 @@ def composite(bits: str, identity: str, coverage: str) -> Column:
     return 0.4 * F.col(bits) + 0.3 * F.col(identity) + 0.3 * F.col(coverage)
 
 
+#: Stands for an e-value of 0; fixed value.
+LEAST_EVALUE = 1e-180
+
+
+def product_score(df: DataFrame, scope: list[str], *, evalue: str = "evalue", bits: str = "bitscore", length: str = "length", start: str = "qstart", end: str = "qend", identity: str = "pident", name: str = "composite_score") -> DataFrame:
+    """`df` with the composite score of each hit and `normalised`, the same scaled to [0, 1] within the scope (a constant one: 0).
+
+    The score is bits / greatest bits of the scope x -log10 of the e-value (0 counts as 1e-180, negative ones as 1) x bits / aligned length
+    x bits / query length x identity / 100 x coverage. A hit without length or query has no score and is normalised to 0. The scope's
+    greatest bits and ends of the score come from aggregates, so a scope may be the whole table.
+    """
+    names = [f"_g{k}" for k in range(len(scope))]
+    keys = lambda d: d.groupBy(*[F.col(c).alias(n) for c, n in zip(scope, names)])
+
+    def joined(rows: DataFrame, told: DataFrame) -> DataFrame:
+        if not scope:
+            return rows.crossJoin(F.broadcast(told))  # one row
+        return rows.join(told, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(scope, names)]).drop(*names)
+
+    e = F.when(F.col(evalue) == 0, LEAST_EVALUE).otherwise(F.col(evalue))
+    query = F.col(end) - F.col(start) + 1
+    top = joined(df, keys(df).agg(F.max(bits).alias("_top")))
+    parts = [F.try_divide(bits, "_top"), F.when(e > 0, -F.log10(e)).otherwise(0.0), F.try_divide(bits, length), F.try_divide(F.col(bits), query), F.col(identity) / 100, F.try_divide(F.col(length), query)]
+    scored = top.withColumn(name, reduce(Column.__mul__, parts)).drop("_top")
+    span = keys(scored).agg(F.min(name).alias("_low"), F.max(name).alias("_high"))
+    scaled = F.coalesce(F.try_divide(F.col(name) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    return joined(scored, span).withColumn("normalised", scaled).drop("_low", "_high")
+
+
 def min_max(df: DataFrame, value: str, scope: list[str], name: str) -> DataFrame:
     """Value scaled to [0, 1] within the scope; a constant scope gives 0."""
     w = Window.partitionBy(*scope)
@@ -56,6 +87,8 @@ def contains_join(a: DataFrame, b: DataFrame, text: str, part: str, priority: li
     doesn't match. Rows without a match stay, with nulls.
     """
     sizes = [r[0] for r in b.select(F.length(part)).distinct().collect() if r[0]]
+    if not sizes:  # nothing to find
+        return a.withColumns({c: F.lit(None).cast(b.schema[c].dataType) for c in (part, *[c for c in b.columns if c != part])})
     keyed = a.withColumn("_id", F.xxhash64(*a.columns))
     def runs(n: int) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))

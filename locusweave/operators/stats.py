@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from decimal import Decimal
 from functools import reduce
@@ -147,9 +148,33 @@ def bh(df: DataFrame, p: str, family: list[str]) -> DataFrame:
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(down))).drop("_n", "_r")
 
 
+#: Rows up to which the rank-sum test is exact.
+EXACT = 50
+
+
+def rank_sum_p(ranks: list[int], mine: list[bool]) -> float:
+    """Two-sided exact p of a rank sum: the share of all ways to choose as many of the (doubled, whole) ranks whose sum is at least as
+    far from its mean. Ways are counted by a dynamic programme over size and sum, so ties need no correction."""
+    k, n, total = sum(mine), len(ranks), sum(ranks)
+    ways = [np.zeros(total + 1, object) for _ in range(k + 1)]
+    ways[0][0] = 1
+    for r in ranks:
+        for size in range(k, 0, -1):
+            ways[size][r:] += ways[size - 1][: total + 1 - r]
+    # Twice doubled sums less their mean, times n, are whole numbers.
+    far = abs(n * sum(r for r, m in zip(ranks, mine) if m) - k * total)
+    return float(sum(int(w) for s, w in enumerate(ways[k]) if w and abs(n * s - k * total) >= far)) / math.comb(n, k)
+
+
+@F.pandas_udf(DoubleType())
+def _rank_sum_p(rows: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None else rank_sum_p([int(x["r"]) for x in r], [bool(x["m"]) for x in r]) for r in rows], dtype=float)
+
+
 def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: Kruskal-Wallis H (tie-corrected), groups, n and p; with two groups also Mann-Whitney U of the
-    least-named and its p from the normal limit (ties and continuity corrected), else null p. All values equal: no H."""
+    least-named and its p, exact up to EXACT rows, beyond from the normal limit (ties and continuity corrected); else null p. All values
+    equal: no H and no p."""
     d = lambda c: F.col(c).cast("double")
     ranks = average_ranks(df, value)
     ranked = df.select(group, value).join(ranks.withColumnRenamed("rank", "rk"), value)
@@ -158,12 +183,15 @@ def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     per = ranked.groupBy(group).agg(F.count("*").alias("n"), F.sum("rk").alias("r"))
     n = F.sum("n")
     h = 12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)
-    one = per.agg(n.alias("n"), F.count("*").alias("groups"), h.alias("h0"), F.min_by(F.col("r") - F.col("n") * (F.col("n") + 1) / 2, group).alias("u"), F.min_by("n", group).alias("n1"))
+    one = per.agg(n.alias("n"), F.count("*").alias("groups"), h.alias("h0"), F.min_by(F.col("r") - F.col("n") * (F.col("n") + 1) / 2, group).alias("u"), F.min_by("n", group).alias("n1"), F.min(group).alias("_least"))
     told = one.crossJoin(F.broadcast(ties)).withColumn("h", F.try_divide("h0", 1 - F.try_divide("ties", d("n") * d("n") * d("n") - d("n"))))
     mean = d("n1") * (d("n") - d("n1")) / 2
     sd = F.sqrt(mean / 6 * (d("n") + 1 - F.try_divide("ties", d("n") * (d("n") - 1))))
     z = F.when(F.col("groups") == 2, F.try_divide(F.greatest(F.abs(F.col("u") - mean) - 0.5, F.lit(0.0)), sd))
-    return told.select("n", "groups", "h", "u", chi_p("h", d("groups") - 1).alias("p"), normal_p(z).alias("u_p"))
+    # The ranks of at most EXACT rows are gathered, of more none.
+    few = ranked.crossJoin(F.broadcast(one.where((F.col("n") <= EXACT) & (F.col("groups") == 2)).select("_least"))).agg(F.collect_list(F.struct((2 * F.col("rk")).cast("long").alias("r"), (F.col(group) == F.col("_least")).alias("m"))).alias("_few"))
+    exact = F.when((F.col("n") <= EXACT) & z.isNotNull(), _rank_sum_p(F.when(F.size("_few") > 0, F.col("_few"))))
+    return told.crossJoin(F.broadcast(few)).select("n", "groups", "h", "u", chi_p("h", d("groups") - 1).alias("p"), F.coalesce(exact, normal_p(z)).alias("u_p"))
 
 
 def _log_factorials(n: int) -> np.ndarray:

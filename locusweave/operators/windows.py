@@ -36,12 +36,12 @@ def index_windows(df: DataFrame, part: list[str], idx: str, width: int, item: Co
     return cut_up.where(F.col("_stretch") == own).withColumn("n", F.size("members")).drop("_stretch")
 
 
-def distance_windows(df: DataFrame, part: list[str], order: list[str], start: str, end: str, max_span: int) -> DataFrame:
+def distance_windows(df: DataFrame, part: list[str], order: list[str], start: str, end: str, max_span: int, reach: bool = False) -> DataFrame:
     """(part, anchor, member) position pairs; a window grows while the end rises and stays within
     `max_span` of the anchor's start.
 
     Breaks depend on neighbours only, so runs are numbered first; inside one the pairs join on buckets of
-    the span, two probes per anchor.
+    the span, two probes per anchor. `reach` adds the member's end less the anchor's start (0 for the anchor itself, which is always in).
     """
     w = Window.partitionBy(*part).orderBy(*order)
     runs = df.withColumn("rn", F.row_number().over(w)).withColumn("brk", F.when(F.col(end) <= F.lag(end).over(w), 1).otherwise(0))
@@ -50,8 +50,39 @@ def distance_windows(df: DataFrame, part: list[str], order: list[str], start: st
     a = a.withColumn("bucket", F.explode(F.array(F.col("b0"), F.col("b0") + 1)))
     b = runs.select(*part, "run", "bucket", F.col("rn").alias("member"), F.col(end).alias("to"))
     near = a.join(b, [*part, "run", "bucket"]).where((F.col("member") > F.col("anchor")) & (F.col("to") <= F.col("from") + max_span))
-    alone = runs.select(*part, F.col("rn").alias("anchor"), F.col("rn").alias("member"))
-    return alone.unionByName(near.select(*part, "anchor", "member"))
+    alone = runs.select(*part, F.col("rn").alias("anchor"), F.col("rn").alias("member"), F.lit(0).cast("long").alias("reach"))
+    both = alone.unionByName(near.select(*part, "anchor", "member", (F.col("to") - F.col("from")).cast("long").alias("reach")))
+    return both if reach else both.drop("reach")
+
+
+def _swept(counts: DataFrame, window: str, leasts: dict[int, list[int]]) -> DataFrame:
+    """(window, least, anchors, groups) from (window, anchor, label, n): what each least number of members leaves."""
+    grid = F.create_map(*[x for w, ks in leasts.items() for x in (F.lit(w), F.array(*map(F.lit, ks)))])
+    long = counts.withColumn("least", F.explode(F.filter(F.try_element_at(grid, F.col(window)), lambda k: k <= F.col("n"))))
+    return long.groupBy(window, "least").agg(F.count_distinct("anchor").alias("anchors"), F.count("*").alias("groups"))
+
+
+def index_sweep(df: DataFrame, part: list[str], idx: str, label: str, widths: list[int], first: int = 3) -> DataFrame:
+    """(width, least, anchors, groups) for every width and every least number of genes from `first` to half the width (at least `first`):
+    anchors with a label that so many genes of their window share, and labels in all of them. Windows of the
+    greatest width are made once. A pair without any is left out."""
+    wide = index_windows(df, part, idx, max(widths), F.struct(F.col(idx).alias("i"), F.col(label).alias("l")))
+    anchor = F.struct(*part, F.col(idx).alias("_i"))
+    long = wide.select(anchor.alias("anchor"), F.col(idx).alias("_at"), F.explode("members").alias("m")).where("m.l is not null")
+    long = long.withColumn("width", F.explode(F.filter(F.array(*map(F.lit, widths)), lambda w: F.col("m.i") - F.col("_at") <= w)))
+    counts = long.groupBy("width", "anchor", F.col("m.l").alias("label")).agg(F.count("*").alias("n")).where(F.col("n") >= first)
+    return _swept(counts, "width", {w: list(range(first, max(first, w // 2) + 1)) for w in widths})
+
+
+def distance_sweep(df: DataFrame, part: list[str], order: list[str], start: str, end: str, label: str, spans: list[int], least: int = 3) -> DataFrame:
+    """(span, least, anchors, groups) for every span in base pairs, as index_sweep(). Ends rise within a window, so a narrower one is the
+    beginning of the widest, which is made once."""
+    named = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
+    labels = named.where(F.col(label).isNotNull()).select(*part, F.col("_rn").alias("member"), F.col(label).alias("label"))
+    wide = distance_windows(df, part, order, start, end, max(spans), reach=True).join(labels, [*part, "member"])
+    long = wide.withColumn("span", F.explode(F.filter(F.array(*[F.lit(s).cast("long") for s in spans]), lambda s: F.col("reach") <= s)))
+    counts = long.groupBy("span", F.struct(*part, "anchor").alias("anchor"), "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return _swept(counts.withColumn("span", F.col("span").cast("long")), "span", {s: [least] for s in spans})
 
 
 def shared_label(long: DataFrame, window: list[str], pos: str, label: str, k: int, *, mode: str = "largest") -> DataFrame:

@@ -78,6 +78,13 @@ def best_hit_windows(hits: DataFrame, query: str, bits: str, identity: str, cove
     return numbered.groupBy(by, "win").agg(F.count("*").alias("n"), F.avg("composite").alias("mean_score"))
 
 
+def normalised_hit_windows(hits: DataFrame, query: str, scope: list[str], tie: list[str], by: str, size: int, **columns: str) -> DataFrame:
+    """O5 with the composite score of A23: hits -> product_score() within the scope -> best hit of each query -> tumbling windows of `size` queries."""
+    scored = relational.product_score(hits, scope, **columns)
+    best = relational.best_per_key(scored, [query], [F.desc("normalised"), *map(F.col, tie)])
+    return windows.tumbling_items(best, [by], query, size).groupBy(by, "win").agg(F.count("*").alias("n"), F.avg("normalised").alias("mean_score"), F.max("normalised").alias("best_score"))
+
+
 def rank_features(table: DataFrame, names: list[str], label: str) -> DataFrame:
     """O6, last step: ROC and PR area of every feature as a score for the label, best first. One pass for all features."""
     long = table.unpivot([label], names, "feature", "v").where("v is not null")
