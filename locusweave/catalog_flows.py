@@ -447,3 +447,27 @@ def s_csv_by_key(t):
     path = _away(c, "csv")
     sinks.write_csv(c, path, by=["c_mktsegment"])
     return c.sparkSession.read.option("header", True).csv(path).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("""SELECT 'p' || p_partkey AS gene, 'k' || p_size AS locus_tag, p_name AS product, p_brand || ' ' || p_type AS note, p_partkey AS "start", p_partkey + p_size AS "end", CASE WHEN p_size % 2 = 0 THEN '-' ELSE '+' END AS strand, repeat('MKV', (p_size % 5)::INT) AS translation, 'r' || (p_partkey // 10) AS record, 'o' || (p_partkey // 10 % 3) AS organism, p_partkey // 10 AS cluster_start FROM part""")
+def s_genbank(t):
+    p = t("part").withColumn("r", F.floor(F.col("p_partkey") / 10).cast("long"))
+    pad = " " * 21
+    place = F.concat_ws("..", "p_partkey", F.col("p_partkey") + F.col("p_size"))
+    place = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("complement("), place, F.lit(")"))).otherwise(place)
+    tags = [("gene", F.concat(F.lit("p"), "p_partkey")), ("locus_tag", F.concat(F.lit("k"), "p_size")), ("product", F.col("p_name")), ("note", F.concat_ws(f"\n{pad}", "p_brand", "p_type")), ("translation", F.expr("repeat('MKV', p_size % 5)"))]
+    one = F.concat(F.lit("     CDS             "), place, *[x for k, v in tags for x in (F.lit(f'\n{pad}/{k}="'), v, F.lit('"'))])
+    body = p.groupBy("r").agg(F.array_join(F.collect_list(one), "\n").alias("cds"))
+    text = F.concat(F.lit("LOCUS       r"), "r", F.lit("  9 bp\n  ORGANISM  o"), F.col("r") % 3, F.lit("\nCOMMENT     ##data##\n            Orig. start  :: "), "r", F.lit("\nFEATURES\n"), "cds", F.lit("\nORIGIN\n//"))
+    path = _away(p, "genbank")
+    body.select(text.alias("value")).coalesce(2).write.text(path)
+    return readers.read_genbank(p.sparkSession, path).select("gene", "locus_tag", "product", "note", "start", "end", "strand", "translation", "record", "organism", "cluster_start")
+
+
+@query("""SELECT c_custkey::VARCHAR AS key, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS segment FROM customer""")
+def s_mixed_csvs(t):
+    c = t("customer")
+    path = _away(c, "mixed")
+    c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias(" Key"), F.col("c_name").alias("NAME")).write.option("header", True).option("sep", "\t").csv(path)
+    c.where("c_custkey % 2 = 1").select(F.col("c_mktsegment").alias("Segment"), F.col("c_custkey").alias("key ")).write.mode("append").option("header", True).csv(path)
+    return readers.read_csvs(c.sparkSession, path).select("key", "name", "segment")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 HITS12 = "qseqid string, sseqid string, pident string, length string, mismatch string, gapopen string, qstart string, qend string, sstart string, send string, evalue string, bitscore string"
 XML = (
@@ -140,24 +141,48 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (spark.read.schema(schema) if schema else spark.read).json(path, multiLine=True)
 
 
+GENBANK = "organism string, gene string, locus_tag string, protein_id string, product string, start long, end long, strand string, translation string, note string, functions string, record string, cluster_start long, cluster_end long, source_file string"
+
+
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """(organism, gene, locus_tag, protein_id, product, start, end, strand, translation) of coding features."""
+    """Coding features (GENBANK): their places and the first of each qualifier, the record's organism and name, and the original cluster range
+    from its structured comment.
+
+    A row of the text source is a record, cut at //, so a task holds one record at a time and a file of many is split. Records without
+    a coding feature have no row; what a feature or record does not say is null, a missing translation empty.
+    """
     cds = re.compile(r"^ {5}CDS {13}(.*?)(?=^ {5}\S|^\S|\Z)", re.S | re.M)
+    named = re.compile(r'/(\w+)="((?:[^"]|"")*)"')
+
+    def said(pattern: str, text: str) -> str | None:
+        found = re.search(pattern, text, re.M)
+        return found[1].strip() if found else None
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text in pdf["value"]:
-                who = re.search(r"^  ORGANISM  (.*)$", text, re.M)
+            for text, file in zip(pdf["value"], pdf["source_file"]):
+                who, name = said(r"^  ORGANISM  (.*)$", text), said(r"^LOCUS +(\S+)", text)
+                span = [None if x is None else int(x) for x in (said(rf"^ *Orig\. {side} *:: *[<>]?(\d+)", text) for side in ("start", "end"))]
                 for m in cds.finditer(text):
-                    body = m[1]
-                    place, _, rest = body.partition("/")
-                    spots = [int(x) for x in re.findall(r"\d+", place)]
-                    tag = dict(re.findall(r'/(\w+)="([^"]*)"', "/" + rest))
-                    rows.append((who[1].strip() if who else None, *(tag.get(k) for k in ("gene", "locus_tag", "protein_id", "product")), min(spots, default=None), max(spots, default=None), "-" if "complement" in place else "+", re.sub(r"\s", "", tag.get("translation", ""))))
-            yield pd.DataFrame(rows, columns=["organism", "gene", "locus_tag", "protein_id", "product", "start", "end", "strand", "translation"])
+                    place, _, rest = m[1].partition("/")
+                    spots, tag = [int(x) for x in re.findall(r"\d+", place)], {}
+                    for k, v in named.findall("/" + rest):
+                        tag.setdefault(k, re.sub(r"\s+", " ", v.replace('""', '"')))
+                    rows.append((
+                        who, *(tag.get(k) for k in ("gene", "locus_tag", "protein_id", "product")), min(spots, default=None), max(spots, default=None), "-" if "complement" in place else "+",
+                        tag.get("translation", "").replace(" ", ""), tag.get("note"), tag.get("gene_functions"), name, *span, file,
+                    ))
+            told = pd.DataFrame(rows, columns=[c.split()[0] for c in GENBANK.split(", ")])
+            yield told.astype({c: "Int64" for c in ("start", "end", "cluster_start", "cluster_end")})
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, "organism string, gene string, locus_tag string, protein_id string, product string, start long, end long, strand string, translation string")
+    return _lines(spark, path, "\n//").mapInPandas(parse, GENBANK)
+
+
+def genbank_clusters(features: DataFrame) -> DataFrame:
+    """(cluster, organism, start, end, size) of every file that names an organism other than a dot; cluster is the file's name."""
+    per = features.groupBy("source_file").agg(F.max("organism").alias("organism"), F.min("cluster_start").alias("start"), F.max("cluster_end").alias("end")).where("organism <> '.'")
+    return per.select(F.regexp_replace("source_file", r"\.[^.]*$", "").alias("cluster"), "organism", "start", "end", (F.col("end") - F.col("start")).alias("size"))
 
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
@@ -173,11 +198,28 @@ def read_scores(spark: SparkSession, path: str, label: str = "Best docking score
     return rows.where(F.col("value").contains(label)).select(F.element_at(F.split("p", "/"), -2).alias("cluster"), F.regexp_extract("value", re.escape(label) + r":\s*(-?[\d.]+(?:[eE][-+]?\d+)?)", 1).try_cast("double").alias("score"))
 
 
-def read_csvs(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or tab files with headers, names trimmed and lower-cased, file name kept."""
-    first = spark.read.text(path).first()
-    df = spark.read.csv(path, header=True, sep="\t" if first and "\t" in first[0] else ",", mode="DROPMALFORMED").withColumn("source_file", F.col("_metadata.file_name"))
-    return df.toDF(*[c.strip().lower() for c in df.columns])
+def read_csvs(spark: SparkSession, path: str, bad: str | None = None) -> DataFrame:
+    """Text columns of all CSV and tab files of a folder in one table, names trimmed and lower-cased, `source_file` kept.
+
+    Each file has its own header, and tabs if that holds one. Files of one header are read together; columns that a file lacks are null.
+    Empty files have no row. Lines with too few or too many fields are left out, or kept with the line in column `bad` if that is given. Headers
+    are found by a pass of their own; what reaches the driver is a header for each file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "id").alias("head")).where("trim(head) <> ''")
+    kinds: dict[str, list[str]] = {}
+    for r in heads.collect():
+        kinds.setdefault(r["head"].rstrip("\r"), []).append(r["file"])
+    out = None
+    for head, files in sorted(kinds.items()):
+        sep = "\t" if "\t" in head else ","
+        names = [c.strip().strip('"').lower() for c in head.split(sep)]
+        schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))] + [StructField("_bad", StringType())])
+        rows = spark.read.csv(sorted(files), header=True, sep=sep, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True)
+        rows = rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.col("_bad").alias(bad or "_bad"), F.col("_metadata.file_name").alias("source_file"))
+        rows = rows if bad else rows.where("_bad is null").drop("_bad")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return spark.createDataFrame([], "source_file string") if out is None else out
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:

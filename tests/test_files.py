@@ -55,3 +55,60 @@ def test_short_hits(spark, tmp_path):
     (tmp_path / "a.txt").write_text("q\ts\t70\t9\t1e-5\t33.5\nq\tt\t69.9\t9\t0\t1\nq\tt\t80\n\nq\tu\tx\t9\t0\t1\n  q\tv\t99.5\t8\t0\t7\tmore\n")
     got = sorted(tuple(r) for r in readers.read_short_hits(spark, str(tmp_path / "a.txt")).collect())
     assert got == [("q", "s", 70.0, 9, 1e-5, 33.5, "a.txt"), ("q", "v", 99.5, 8, 0.0, 7.0, "a.txt")]
+
+
+GBK = '''LOCUS       R1  100 bp
+SOURCE      x
+  ORGANISM  Planta una
+COMMENT     ##Data-START##
+            Orig. start  :: 1200
+            Orig. end    :: >4800
+FEATURES             Location/Qualifiers
+     gene            1..30
+                     /gene="not a cds"
+     CDS             complement(join(10..20,30..41))
+                     /gene="abc"
+                     /gene="second"
+                     /note="two
+                     lines, ""quoted"""
+                     /gene_functions="core"
+                     /translation="MK
+                     VL"
+     CDS             50..60
+                     /locus_tag="L2"
+ORIGIN
+        1 acgt
+//
+LOCUS       R2  9 bp
+  ORGANISM  .
+FEATURES
+     CDS             1..9
+//
+LOCUS       R3  9 bp
+ORIGIN
+//
+'''
+
+
+def test_genbank(spark, tmp_path):
+    write(tmp_path / "one.gbk", GBK)
+    write(tmp_path / "dot.gbk", "LOCUS  D\n  ORGANISM  .\nFEATURES\n     CDS             4..8\n//\n")
+    r = readers.read_genbank(spark, str(tmp_path))
+    got = sorted((tuple(x) for x in r.where("source_file = 'one.gbk'").collect()), key=lambda x: (x[11], x[5]))
+    assert got[0] == ("Planta una", "abc", None, None, None, 10, 41, "-", "MKVL", 'two lines, "quoted"', "core", "R1", 1200, 4800, "one.gbk")
+    assert got[1] == ("Planta una", None, "L2", None, None, 50, 60, "+", "", None, None, "R1", 1200, 4800, "one.gbk")
+    assert got[2] == (".", None, None, None, None, 1, 9, "+", "", None, None, "R2", None, None, "one.gbk") and len(got) == 3
+    assert [tuple(x) for x in readers.genbank_clusters(r).collect()] == [("one", "Planta una", 1200, 4800, 3600)]
+
+
+def test_mixed_files(spark, tmp_path):
+    write(tmp_path / "a.csv", " ID ,Start\n1,2\nshort\n3,4,5\n\"x,y\",6\n")
+    write(tmp_path / "b.csv", "id\tName\n7\tn\n")
+    write(tmp_path / "c.csv", " ID ,Start\n8,9\n")
+    write(tmp_path / "empty.csv", "")
+    write(tmp_path / "only_header.csv", "id,zeta\n")
+    got = readers.read_csvs(spark, str(tmp_path))
+    assert set(got.columns) == {"id", "start", "name", "zeta", "source_file"}
+    assert sorted((r["id"], r["start"], r["name"], r["source_file"]) for r in got.collect()) == [("1", "2", None, "a.csv"), ("7", None, "n", "b.csv"), ("8", "9", None, "c.csv"), ("x,y", "6", None, "a.csv")]
+    bad = readers.read_csvs(spark, str(tmp_path), bad="line").where("line is not null").collect()
+    assert sorted(r["line"] for r in bad) == ["3,4,5", "short"]
