@@ -56,7 +56,17 @@ def test_areas_and_ranked_features(spark):
     assert stats.areas(stats.curve(df, "a", "y"), "a").first()["roc_auc"] == pytest.approx(told["a"])
 
 
-def test_quantiles(parted):
+@pytest.mark.parametrize("parts", [1, 60])
+def test_quantiles(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        hold_quantiles(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def hold_quantiles(parted):
     rnd = random.Random(13)
     rows = [(rnd.choice(["hot"] * 5 + ["a", None]), rnd.choice([None, rnd.randrange(9), rnd.random() * 50]), rnd.randrange(3)) for _ in range(400)] + [("one", 4.0, 1), ("none", None, None)]
     rows = [(g, None if v is None else float(v), w) for g, v, w in rows]
