@@ -368,7 +368,7 @@ def test_bare_pages_over_many_partitions(spark):
     rows = [(k, f"http://h{k % 3}.org/a/{k:04d}", f"<div>menu of h{k % 3}</div><p>{text[k]}</p><div>end of h{k % 3}</div>") for k in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    for n in (1, 5, 1500):
+    for n in (1, 5, 600):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
         spark.conf.set("spark.sql.shuffle.partitions", before)
