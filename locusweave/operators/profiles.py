@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 
 def matrix(hits: DataFrame, row: str, col: str, score: str, *, floor: float = 24.6, min_cover: float = 0.2) -> DataFrame:
     """Greatest score per cell, cells under `floor` 0, missing cells 0, rows present in too few columns dropped."""
@@ -59,25 +61,69 @@ def by_clade(long: DataFrame, closure: DataFrame, clade: str, col: str, row: str
     return corr_summary(pair_corr(rows, [clade], row, col, value), [clade]).join(enough, clade)
 
 
-def gain_loss(tips: DataFrame, edges: DataFrame, row: str, tip: str, state: str, depth: int) -> DataFrame:
-    """(a, b, score): shared state changes over all changes of two rows along a tree of (parent, child).
+def tree_heights(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, h) of a (parent, child) tree, tips 0, and the height of its root; one small job for each level."""
+    kids = edges.groupBy("parent").agg(F.count("*").alias("kids"))
+    heights = cut(edges.select(F.col("child").alias("node")).join(edges.select(F.col("parent").alias("node")), "node", "left_anti").select("node", F.lit(0).alias("h")))
+    top = 0
+    while True:
+        known = edges.join(heights, edges["child"] == heights["node"]).groupBy("parent").agg(F.count("*").alias("n"), F.max("h").alias("below"))
+        ready = cut(known.join(kids, "parent").where((F.col("n") == F.col("kids")) & (F.col("below") == top)).select(F.col("parent").alias("node"), F.lit(top + 1).alias("h")))
+        if ready.isEmpty():
+            return heights, top
+        heights, top = cut(heights.unionByName(ready)), top + 1
+
+
+def branch_changes(tips: DataFrame, edges: DataFrame, row: str, tip: str, state: str) -> DataFrame:
+    """(row, child): the branches of a tree of (parent, child) on which a row's state changes, by Fitch's rise of state sets.
+
+    A tip is present where `state` is over 0; tips that a row lacks are absent, tips outside the tree are ignored. A node's set is
+    what the sets of its children share, else all of them; a set of both states counts as absent. Sets are kept as bits, and only
+    for nodes over a present tip: everything else is surely absent. Each child has one parent.
+    """
+    edges = cut(edges.select("parent", "child").distinct())
+    heights, top = tree_heights(edges)
+    branches = cut(edges.join(edges.groupBy("parent").agg(F.count("*").alias("kids")), "parent").join(heights.withColumnRenamed("node", "parent"), "parent"))
+    sets = cut(tips.where(F.col(state) > 0).select(row, F.col(tip).alias("node")).distinct().join(heights.where("h = 0"), "node", "left_semi").select(row, "node", F.lit(2).alias("bits")))
+    for h in range(1, top + 1):
+        below = branches.where(F.col("h") == h).join(sets, F.col("child") == F.col("node")).groupBy(row, "parent").agg(F.bit_and("bits").alias("all"), F.bit_or("bits").alias("any"), F.count("*").alias("n"), F.max("kids").alias("kids"))
+        absent = F.col("n") < F.col("kids")
+        shared = F.when(absent, F.col("all").bitwiseAND(1)).otherwise(F.col("all"))
+        either = F.when(absent, F.col("any").bitwiseOR(1)).otherwise(F.col("any"))
+        sets = cut(sets.unionByName(below.select(row, F.col("parent").alias("node"), F.when(shared > 0, shared).otherwise(either).alias("bits"))))
+    present = sets.select(row, "node", (F.col("bits") == 2).alias("s"))
+    above = present.select(row, F.col("node").alias("parent"), F.col("s").alias("ps")).join(branches.select("parent", "child"), "parent")
+    return above.join(present.withColumnRenamed("node", "child"), [row, "child"], "left").where(F.col("ps") != F.coalesce("s", F.lit(False))).select(row, "child")
+
+
+def shared_changes(changes: DataFrame, row: str) -> DataFrame:
+    """(a, b, shared, total, score): branches on which two rows both change over the changes of both.
+
+    Pairs without a shared branch are not listed: they score 0, or null where neither row changes (change_summary() counts them).
+    """
+    total = changes.groupBy(row).agg(F.count("*").alias("t"))
+    both = changes.withColumnRenamed(row, "a").join(changes.withColumnRenamed(row, "b"), "child").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    told = both.join(total.toDF("a", "ta"), "a").join(total.toDF("b", "tb"), "b").withColumn("total", F.col("ta") + F.col("tb"))
+    return told.select("a", "b", "shared", "total", (F.col("shared") / F.col("total")).alias("score"))
+
+
+def change_summary(pairs: DataFrame, changes: DataFrame, rows: DataFrame, row: str) -> DataFrame:
+    """One row: scored pairs of distinct rows, those that share a branch, the mean and greatest score over all scored pairs.
 
-    States rise level by level, a tie giving 0; `depth` bounds the levels.
+    Pairs that share nothing enter by their number, so none is formed for it.
     """
-    known = tips.select(row, F.col(tip).alias("node"), F.col(state).cast("int").alias("s"))
-    for _ in range(depth):
-        up = edges.join(known, edges["child"] == known["node"]).groupBy(row, "parent").agg(F.sum("s").alias("ones"), F.count("*").alias("n"))
-        kids = edges.groupBy("parent").agg(F.count("*").alias("all"))
-        ready = up.join(kids, "parent").where("n = all").select(row, F.col("parent").alias("node"), F.when(2 * F.col("ones") > F.col("n"), 1).otherwise(0).alias("s"))
-        known = tips.select(row, F.col(tip).alias("node"), F.col(state).cast("int").alias("s")).unionByName(ready)
-    child = known.select(F.col(row).alias("r"), F.col("node").alias("child"), F.col("s").alias("cs"))
-    parent = known.select(F.col(row).alias("r"), F.col("node").alias("parent"), F.col("s").alias("ps"))
-    changes = edges.join(child, "child").join(parent, ["r", "parent"]).where("cs <> ps").select("r", "child", (F.col("cs") - F.col("ps")).alias("d"))
-    total = changes.groupBy("r").agg(F.count("*").alias("t"))
-    other = changes.select(F.col("r").alias("b"), "child", "d")
-    both = changes.withColumnRenamed("r", "a").join(other, ["child", "d"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    ta, tb = total.select(F.col("r").alias("a"), F.col("t").alias("ta")), total.select(F.col("r").alias("b"), F.col("t").alias("tb"))
-    return both.join(ta, "a").join(tb, "b").select("a", "b", (F.col("shared") / (F.col("ta") + F.col("tb"))).alias("score"))
+    two = lambda n: n * (n - 1) / 2
+    moved = changes.agg(F.count_distinct(row).alias("moved"))
+    counts = rows.agg(F.count_distinct(row).alias("rows")).crossJoin(F.broadcast(moved))
+    scored = (two(F.col("rows")) - two(F.col("rows") - F.col("moved"))).cast("long")
+    told = pairs.agg(F.count("*").alias("sharing"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("_sum"), F.max("score").alias("greatest"))
+    one = counts.withColumn("pairs", scored).crossJoin(F.broadcast(told))
+    return one.select("pairs", "sharing", F.try_divide("_sum", "pairs").alias("mean"), F.when(F.col("pairs") > 0, F.coalesce("greatest", F.lit(0.0))).alias("greatest"))
+
+
+def gain_loss(tips: DataFrame, edges: DataFrame, row: str, tip: str, state: str) -> DataFrame:
+    """shared_changes() of the rows' branch_changes()."""
+    return shared_changes(cut(branch_changes(tips, edges, row, tip, state)), row)
 
 
 def reused_once(hits: DataFrame, query: str, place: list[str], subject: str, score: str) -> DataFrame:
