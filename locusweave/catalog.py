@@ -824,4 +824,4 @@ def j_domain_codes(t):
     return got.withColumns({c: joined(c) for c in ("domains", "signature_domains", "tailoring_domains")} | {"confidence_score": r6("confidence_score")})
 
 
-from . import catalog_flows  # noqa: E402, F401  registers its queries
+from . import catalog_flows, catalog_records  # noqa: E402, F401  register their queries

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: IUPAC nucleotide codes.
@@ -112,3 +112,24 @@ def linear_score(features: list[str], weights: list[float], intercept: float) ->
     """Probability of a linear predictor (missing features count 0) and the number missing."""
     z = sum((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * w for f, w in zip(features, weights)), F.lit(float(intercept)))
     return 1 / (1 + F.exp(-z)), sum((F.col(f).isNull().cast("int") for f in features), F.lit(0))
+
+
+#: Parts of an id that name a core enzyme.
+CORE = ["CYP", "PKS", "TPS", "NRPS", "UGT", "ABC"]
+
+
+def has_keyword(ident: Column, words: list[str] = CORE) -> Column:
+    """whether the id, up to its first pipe, holds one of the words in any case."""
+    name = F.upper(F.substring_index(ident, "|", 1))
+    return F.coalesce(F.array_max(F.array(*[name.contains(w.upper()) for w in words])), F.lit(False))
+
+
+def set_relations(a: Column, b: Column) -> dict[str, Column]:
+    """What two arrays share, hold together and what of `a` is missing from `b`, sorted; and whether nothing is missing."""
+    missing = F.array_except(a, b)
+    return {"both": F.array_sort(F.array_intersect(a, b)), "either": F.array_sort(F.array_union(a, b)), "missing": F.array_sort(missing), "subset": F.size(missing) == 0}
+
+
+def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
+    """columns as doubles, null where a text is no number."""
+    return df.withColumns({c: F.col(c).try_cast("double") for c in columns})

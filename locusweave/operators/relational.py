@@ -153,3 +153,10 @@ def coalesced_outer(left: DataFrame, right: DataFrame, keys: list[str], same: li
     for c in same:
         out = out.withColumn(f"{c}_differs", F.coalesce(F.col(c) != F.col(f"{c}__r"), F.lit(False))).withColumn(c, F.coalesce(c, f"{c}__r")).drop(f"{c}__r")
     return out
+
+
+def pairs_within(df: DataFrame, group: list[str], item: str) -> DataFrame:
+    """(group, a, b) of the distinct items of each group, a before b. The output is square in a group's size by definition,
+    so this is for groups of a few items, such as the genes of one candidate; the join spreads groups and splits large ones."""
+    one = df.select(*group, item).distinct()
+    return one.withColumnRenamed(item, "a").join(one.withColumnRenamed(item, "b"), group).where("a < b")

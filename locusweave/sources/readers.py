@@ -189,7 +189,7 @@ def read_flat(spark: SparkSession, path: str) -> DataFrame:
     """(entry, orthology, aaseq, position) of records that end with ///."""
     rec = _lines(spark, path, "///").where(F.col("value").rlike("(?m)^ENTRY"))
     block = lambda k: F.regexp_extract("value", rf"(?ms)^{k}\s+(.*?)(?=^[A-Z]|\z)", 1)
-    return rec.select(F.regexp_extract("value", r"(?m)^ENTRY\s+(\S+)", 1).alias("entry"), F.regexp_extract(block("ORTHOLOGY"), r"(K\d{5})", 1).alias("orthology"), F.regexp_replace(F.regexp_replace(block("AASEQ"), r"\A\d+", ""), r"\s", "").alias("aaseq"), F.trim(block("POSITION")).alias("position"))
+    return rec.select(F.regexp_extract("value", r"(?m)^ENTRY\s+(\S+)", 1).alias("entry"), F.regexp_extract(block("ORTHOLOGY"), r"(K\d{5})", 1).alias("orthology"), F.regexp_replace(F.regexp_replace(block("AASEQ"), r"\A\d+", ""), r"\s", "").alias("aaseq"), F.regexp_replace(block("POSITION"), r"\s+\z", "").alias("position"))
 
 
 def read_scores(spark: SparkSession, path: str, label: str = "Best docking score") -> DataFrame:
