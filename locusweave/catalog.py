@@ -433,7 +433,8 @@ def f_sequence_slices(t):
     return d.select("item_id", seq.reverse_complement(F.col("s")).alias("rc"), seq.subsequence(F.col("s"), F.lit(3), F.lit(10), F.lit("+")).alias("sub"), seq.promoter(F.col("s"), F.lit(11), F.lit(20), strand, 10).alias("prom"), r6(features.composition("s")["gc"]).alias("gc"))
 
 
-@query()
+@query(f"""WITH {DNA}, i AS (SELECT item_id, s, unnest(range(1, length(s)::BIGINT - 1, 3)) AS i FROM d), k AS (SELECT item_id, i, 16 * (strpos('TCAG', substr(s, i, 1)) - 1) + 4 * (strpos('TCAG', substr(s, i + 1, 1)) - 1) + strpos('TCAG', substr(s, i + 2, 1)) AS k FROM i),
+  p AS (SELECT item_id, string_agg(substr('{seq.AMINO}', k::INT, 1), '' ORDER BY i) AS p FROM k GROUP BY 1) SELECT item_id, coalesce(p, '') AS protein, coalesce(split_part(p, '*', 1), '') AS to_stop FROM d LEFT JOIN p USING (item_id)""")
 def f_translate(t):
     return dna(t).select("item_id", seq.translate_dna(F.col("s")).alias("protein"), seq.translate_dna(F.col("s"), True).alias("to_stop"))
 
@@ -588,7 +589,11 @@ def c_rank_p(t):
     return f.select("n", "groups", "u", r6("h").alias("h"), r6("p").alias("p"), r6("u_p").alias("u_p"))
 
 
-@query()
+@query("""WITH t AS (SELECT p_brand, count_if(p_size > 25) AS a, count_if(p_size <= 25) AS b FROM part GROUP BY 1), u AS (SELECT *, sum(a) OVER () - a AS c, sum(b) OVER () - b AS d FROM t),
+  x AS (SELECT *, unnest(range(greatest(0, a - d)::BIGINT, least(a + b, a + c)::BIGINT + 1)) AS x FROM u),
+  l AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS l FROM x),
+  m AS (SELECT *, max(l) FILTER (x = a) OVER (PARTITION BY p_brand) AS own FROM l)
+  SELECT p_brand, round(least(1, sum(exp(l)) FILTER (l <= own + 1e-7)), 6) AS p, CASE WHEN any_value(a * d > b * c) THEN 'in' ELSE 'out' END AS side FROM m GROUP BY 1""")
 def c_fisher_p(t):
     return stats.fisher(t("part"), "p_brand", F.col("p_size") > 25).select("p_brand", r6("p").alias("p"), "side")
 

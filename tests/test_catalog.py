@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -63,6 +64,30 @@ def test_fisher_p(spark):
     assert abs(df.first()["p"] - 0.034965) < 1e-6
 
 
+def test_fisher_by_brute_force(spark):
+    rnd = random.Random(9)
+    tables = [tuple(rnd.randrange(k) for _ in range(4)) for k in (1, 4, 12, 60, 200) for _ in range(12)] + [(0, 0, 3, 4), (90, 1, 2, 80)]
+
+    def told(a, b, c, d):
+        r, k, n = a + b, a + c, a + b + c + d
+        ways = {x: math.comb(r, x) * math.comb(n - r, k - x) for x in range(max(0, r + k - n), min(r, k) + 1)}
+        return sum(w for w in ways.values() if w <= ways[a] * (1 + 1e-7)) / math.comb(n, k)
+
+    df = spark.createDataFrame([(*t, i) for i, t in enumerate(tables)] + [(None, 1, 1, 1, -1)], "a long, b long, c long, d long, i long").coalesce(1)
+    got = {r["i"]: r["p"] for r in df.select("i", stats.fisher_p("a", "b", "c", "d").alias("p")).collect()}
+    assert all(abs(got[i] - told(*t)) < 1e-9 for i, t in enumerate(tables))
+    assert got[-1] is None or math.isnan(got[-1])
+
+
+def test_fisher_in_blocks(monkeypatch):
+    import pandas as pd
+
+    one = [pd.Series([x, y]) for x, y in ((8000, 3), (7000, 9), (7500, 4), (7900, 1))]
+    whole = stats.fisher_p.func(*one)
+    monkeypatch.setattr(stats, "TABLES", 7)
+    assert (abs(stats.fisher_p.func(*one) - whole) < 1e-9).all()
+
+
 def test_permutation_keeps_labels(spark):
     from locusweave.operators import nulls
 
