@@ -338,6 +338,6 @@ def _by_window(context: DataFrame, width: int) -> DataFrame:
 
 
 def digests(docs: DataFrame, *, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (what is left, without the rest of characters that a span cuts)."""
     got = remove_repeats(docs.select(id_col, text_col), width=width, id_col=id_col, text_col=text_col)
-    return got.select(id_col, "_d.n_bytes", "_d.n_removed", "_d.n_spans", "_d.kept_sha256")
+    return got.select(id_col, "_d.n_bytes", "_d.n_removed", "_d.n_spans", "_d.kept_sha256", "_d.kept_text")
