@@ -393,11 +393,11 @@ def p_natural_order(t):
     return genome.natural_order(t("part").select("p_partkey", "p_brand", "p_type"), "p_brand", ["p_partkey"])
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.f, b.f) AS f, a.n1::BIGINT AS n1, b.n2::BIGINT AS n2, coalesce(a.f <> b.f, false) AS f_differs FROM (SELECT l_suppkey AS k, max(l_returnflag) AS f, count(*) AS n1 FROM lineitem WHERE l_quantity > 49 GROUP BY 1) a FULL JOIN (SELECT l_suppkey AS k, min(l_returnflag) AS f, count(*) AS n2 FROM lineitem WHERE l_quantity < 2 GROUP BY 1) b ON a.k = b.k""")
+@query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.f, b.f) AS f, a.n1::BIGINT AS n1, b.n2::BIGINT AS n2, coalesce(a.f <> b.f, false) AS f_differs FROM (SELECT l_suppkey AS k, count(*) % 3 AS f, count(*) AS n1 FROM lineitem GROUP BY 1) a FULL JOIN (SELECT l_partkey + 5 AS k, count(*) % 3 AS f, count(*) AS n2 FROM lineitem GROUP BY 1) b ON a.k = b.k""")
 def j_feature_merge(t):
     li = t("lineitem")
-    a = li.where("l_quantity > 49").groupBy(F.col("l_suppkey").alias("k")).agg(F.max("l_returnflag").alias("f"), F.count("*").alias("n1"))
-    b = li.where("l_quantity < 2").groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_returnflag").alias("f"), F.count("*").alias("n2"))
+    a = li.groupBy(F.col("l_suppkey").alias("k")).agg((F.count("*") % 3).alias("f"), F.count("*").alias("n1"))
+    b = li.groupBy((F.col("l_partkey") + 5).alias("k")).agg((F.count("*") % 3).alias("f"), F.count("*").alias("n2"))
     return rel.coalesced_outer(a, b, ["k"], ["f"])
 
 
@@ -426,9 +426,9 @@ def dna(t) -> DataFrame:
 DNA = "d AS (SELECT item_id, regexp_replace(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'EIOURSLMNDH', 'AATTGGCCAGC'), '[^ACGT]', '', 'g') AS s FROM benchmark)"
 
 
-@query(f"""WITH {DNA} SELECT item_id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc, substr(s, 3, 8) AS sub, CASE WHEN item_id % 2 = 1 THEN reverse(translate(substr(s, 21, 10), 'ACGT', 'TGCA')) ELSE substr(s, 1, 10) END AS prom, round(length(regexp_replace(s, '[^GC]', '', 'g')) / length(s), 6) AS gc FROM d WHERE length(s) >= 40""")
+@query(f"""WITH {DNA} SELECT item_id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc, substr(s, 3, 8) AS sub, CASE WHEN item_id % 2 = 1 THEN reverse(translate(substr(s, 21, 10), 'ACGT', 'TGCA')) ELSE substr(s, 1, 10) END AS prom, round(length(regexp_replace(s, '[^GC]', '', 'g')) / nullif(length(s), 0), 6) AS gc FROM d""")
 def f_sequence_slices(t):
-    d = dna(t).where("length(s) >= 40")
+    d = dna(t)
     strand = F.when(F.col("item_id") % 2 == 1, "-").otherwise("+")
     return d.select("item_id", seq.reverse_complement(F.col("s")).alias("rc"), seq.subsequence(F.col("s"), F.lit(3), F.lit(10), F.lit("+")).alias("sub"), seq.promoter(F.col("s"), F.lit(11), F.lit(20), strand, 10).alias("prom"), r6(features.composition("s")["gc"]).alias("gc"))
 
