@@ -74,23 +74,52 @@ def cross_validated(df: DataFrame, features: list[str], label: str, folds: int =
     return spark.createDataFrame(out, "fold int, roc_auc double, pr_auc double")
 
 
-def incremental(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """M7: PR area as features are added one at a time, on complete cases."""
+def held_out(df: DataFrame, key: str, share: float = 0.3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(rows to fit, rows to judge) by a seeded hash of the key: a row's side does not depend on the others."""
+    judged = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1000)) < int(share * 1000)
+    return df.where(~judged), df.where(judged)
+
+
+def _areas(model: PipelineModel, rows: DataFrame, label: str) -> tuple[float, float]:
+    told = model.transform(rows).cache()
+    areas = tuple(BinaryClassificationEvaluator(labelCol=label, metricName=m).evaluate(told) for m in ("areaUnderROC", "areaUnderPR"))
+    told.unpersist()
+    return areas
+
+
+def single_features(df: DataFrame, key: str, features: list[str], label: str, share: float = 0.3, seed: int = 42) -> DataFrame:
+    """M2: (feature, weight, intercept, n, roc_auc, pr_auc, rank) of a logistic model of each feature alone on its own complete rows,
+    judged on `n` held-out rows and ranked by ROC area, equal ones by name."""
+    fit, judge = held_out(df, key, share, seed)
+    told = []
+    for f in features:
+        model, rows = logistic(fit, [f], label), judge.dropna(subset=[f, label])
+        told.append((f, weights(model, [f])[0][1], intercept(model), rows.count(), *_areas(model, rows, label)))
+    order = sorted(told, key=lambda r: (-r[4], r[0]))
+    return df.sparkSession.createDataFrame([(*r, order.index(r) + 1) for r in told], "feature string, weight double, intercept double, n long, roc_auc double, pr_auc double, rank int")
+
+
+def incremental(df: DataFrame, features: list[str], label: str, key: str | None = None, share: float = 0.3, seed: int = 42) -> DataFrame:
+    """M7: PR area as features are added one at a time, on complete cases.
+
+    With a key, models are judged on the rows held_out() by it; without, on the rows they were fitted on.
+    """
     rows = df.dropna(subset=[*features, label])
-    out = []
-    for k in range(1, len(features) + 1):
-        scored = logistic(rows, features[:k], label).transform(rows)
-        out.append((k, features[k - 1], BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR").evaluate(scored)))
+    fit, judge = held_out(rows, key, share, seed) if key else (rows, rows)
+    out = [(k, features[k - 1], _areas(logistic(fit, features[:k], label), judge, label)[1]) for k in range(1, len(features) + 1)]
     return df.sparkSession.createDataFrame(out, "k int, added string, pr_auc double")
 
 
-def learning_curve(df: DataFrame, key: str, features: list[str], label: str, shares: tuple[float, ...] = (0.25, 0.5, 1.0)) -> DataFrame:
-    """M9: PR area on all rows of models fitted on growing hash samples."""
+def learning_curve(df: DataFrame, key: str, features: list[str], label: str, shares: tuple[float, ...] = (0.25, 0.5, 1.0), holdout: float = 0.3, seed: int = 42) -> DataFrame:
+    """M9: (share, n, train_pr_auc, pr_auc): PR areas of models fitted on growing hash samples of what is not held out, each sample
+    within the next, on the `n` rows fitted and on the held-out rows, which are the same for all."""
+    fit, judge = held_out(df.dropna(subset=[*features, label]), key, holdout, seed)
     out = []
     for s in shares:
-        model = logistic(df.where(F.pmod(F.xxhash64(key), F.lit(1000)) < s * 1000), features, label)
-        out.append((s, BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR").evaluate(model.transform(df.dropna(subset=features)))))
-    return df.sparkSession.createDataFrame(out, "share double, pr_auc double")
+        rows = fit.where(F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(1000)) < int(s * 1000))
+        model = logistic(rows, features, label)
+        out.append((s, rows.count(), _areas(model, rows, label)[1], _areas(model, judge, label)[1]))
+    return df.sparkSession.createDataFrame(out, "share double, n long, train_pr_auc double, pr_auc double")
 
 
 def grouped(df: DataFrame, features: list[str], k: int = 5, seed: int = 42) -> DataFrame:

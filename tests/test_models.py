@@ -33,7 +33,24 @@ def test_folds_and_curves(table):
     assert [r["fold"] for r in got] == [0, 1, 2] and all(r["roc_auc"] > 0.95 for r in got)
     steps = models.incremental(table, ["x", "y"], "label").collect()
     assert [r["added"] for r in steps] == ["x", "y"] and steps[1]["pr_auc"] > steps[0]["pr_auc"]
-    assert models.learning_curve(table, "id", ["x", "y"], "label").count() == 3
+    held = models.incremental(table, ["x", "y"], "label", key="id").collect()
+    assert held[1]["pr_auc"] > held[0]["pr_auc"] and held[1]["pr_auc"] != steps[1]["pr_auc"]
+    curve = models.learning_curve(table, "id", ["x", "y"], "label").collect()
+    fit, judge = models.held_out(table, "id")
+    assert [r["share"] for r in curve] == [0.25, 0.5, 1.0] and curve[0]["n"] < curve[1]["n"] < curve[2]["n"] == fit.count() == len(ROWS) - judge.count()
+    assert all(r["pr_auc"] > 0.9 and r["train_pr_auc"] > 0.9 for r in curve)
+
+
+def test_single_features(table):
+    gaps = table.withColumn("y", F.when(F.col("id") % 4 != 0, F.col("y")))
+    got = {r["feature"]: r for r in models.single_features(gaps, "id", ["y", "x"], "label").collect()}
+    _, judge = models.held_out(gaps, "id")
+    for name, sign in (("x", 1), ("y", -1)):
+        rows = [(sign * r[name], r["label"]) for r in judge.collect() if r[name] is not None]
+        pairs = [(a > b) + 0.5 * (a == b) for a, one in rows if one == 1 for b, other in rows if other == 0]
+        assert got[name]["n"] == len(rows) and got[name]["weight"] * sign > 0
+        assert abs(got[name]["roc_auc"] - sum(pairs) / len(pairs)) < 1e-6
+    assert (got["x"]["rank"], got["y"]["rank"]) == (1, 2)
 
 
 def test_boosted_takes_missing_values(table):
