@@ -222,22 +222,20 @@ def a_composite_score(t):
 
 @query("""WITH m AS (SELECT l_orderkey, l_suppkey, count(*) AS n, avg(l_extendedprice) AS a FROM lineitem GROUP BY ALL) SELECT l_orderkey, l_suppkey, n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, a DESC, l_suppkey) AS rk FROM m) WHERE rk = 1""")
 def a_best_source(t):
-    m = hits(t).groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("a"))
-    return rel.best_per_key(m, ["l_orderkey"], [F.desc("n"), F.desc("a"), F.col("l_suppkey")]).select("l_orderkey", "l_suppkey", "n")
+    return summaries.best_source(hits(t), ["l_orderkey"], "l_suppkey", "l_extendedprice").select("l_orderkey", "l_suppkey", "n")
 
 
 @query("""WITH f AS (SELECT DISTINCT o_orderpriority AS p FROM orders), h AS (SELECT o_custkey, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ALL), a AS (SELECT o_custkey, count(*) AS kinds, sum(n) AS n FROM h GROUP BY 1)
   SELECT a.o_custkey, a.kinds::BIGINT AS kinds, a.n::BIGINT AS n, round(a.kinds / (SELECT count(*) FROM f), 6) AS completeness, coalesce((SELECT string_agg(f.p, '|' ORDER BY f.p) FROM f WHERE f.p NOT IN (SELECT p FROM h WHERE h.o_custkey = a.o_custkey)), '') AS missing FROM a""")
 def a_coverage_report(t):
     o = t("orders").select("o_custkey", "o_orderpriority")
-    every = o.agg(F.array_sort(F.collect_set("o_orderpriority")).alias("every"))
-    c = o.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("has"), F.count("*").alias("n")).crossJoin(F.broadcast(every))
-    return c.select("o_custkey", F.size("has").cast("long").alias("kinds"), "n", r6(F.size("has") / F.size("every")).alias("completeness"), F.array_join(F.array_sort(F.array_except("every", "has")), "|").alias("missing"))
+    got = summaries.coverage_report(o, o, ["o_custkey"], "o_orderpriority")
+    return got.withColumns({"completeness": r6("completeness"), "missing": F.array_join("missing", "|")})
 
 
 @query("""SELECT l_orderkey, (max(l_suppkey) - min(l_suppkey)) AS spread FROM lineitem GROUP BY 1 HAVING max(l_suppkey) > min(l_suppkey)""")
 def a_index_spread(t):
-    return hits(t).groupBy("l_orderkey").agg((F.max("l_suppkey") - F.min("l_suppkey")).alias("spread")).where("spread > 0")
+    return summaries.index_spread(hits(t), ["l_orderkey"], "l_suppkey")
 
 
 PAIRS = "p AS (SELECT l_returnflag || l_linestatus AS c, l_partkey % 50 AS a, l_suppkey % 50 AS b, l_extendedprice / 1000 - 30 AS s FROM lineitem)"
@@ -346,8 +344,7 @@ def a_genome_statistics(t):
 
 @query("""SELECT event_type, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1""")
 def a_value_counts(t):
-    e = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return e.crossJoin(F.broadcast(e.agg(F.sum("n").alias("all")))).select("event_type", "n", r6(F.col("n") / F.col("all")).alias("share"))
+    return summaries.value_counts(t("events"), "event_type").withColumn("share", r6("share"))
 
 
 CLASS = "c AS (SELECT l_returnflag AS k, unnest(['quantity', 'discount', 'tax']) AS feature, unnest([l_quantity, l_discount, l_tax]) AS v FROM lineitem WHERE l_returnflag IN ('A', 'R'))"
@@ -600,7 +597,7 @@ def c_fisher_p(t):
 
 @query("""SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem""")
 def c_trend(t):
-    return t("lineitem").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 3).alias("intercept"))
+    return summaries.trend(t("lineitem"), "l_quantity", "l_extendedprice").select(F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
 
 SCORED = "d AS (SELECT l_orderkey, (l_quantity - 1) / 50 AS s, CASE WHEN l_extendedprice > 30000 THEN 1 ELSE 0 END AS y, l_returnflag AS g FROM lineitem)"

@@ -103,3 +103,42 @@ def span_stats(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
 
     upto = running_total(counts, [F.col("span")], F.col("n"), "upto").crossJoin(F.broadcast(total))
     return upto.where(F.col("upto") > F.floor(F.col("groups") / 2)).groupBy("groups", "least", "greatest", "mean").agg(F.min("span").alias("upper_median"))
+
+
+def best_source(matches: DataFrame, group: list[str], source: str, score: str) -> DataFrame:
+    """A5: per group the source with most matches, then the greatest mean score, then the least name: (group, source, n, mean)."""
+    per = matches.groupBy(*group, source).agg(F.count("*").alias("n"), F.avg(score).alias("mean"))
+    return best_per_key(per, group, [F.desc("n"), F.desc("mean"), F.col(source)])
+
+
+def coverage_report(matches: DataFrame, expected: DataFrame, group: list[str], item: str) -> DataFrame:
+    """(group, kinds, n, completeness, missing): distinct expected items that a group matches, its matches, the share of all
+    expected items and the sorted ones it lacks.
+
+    `expected` has a row per item and is looked up by every group, so it is meant to be a list of one pathway's size, not a corpus.
+    Items outside it count as matches only.
+    """
+    every = expected.agg(F.array_sort(F.collect_set(item)).alias("_every"))
+    per = matches.groupBy(*group).agg(F.collect_set(item).alias("_has"), F.count("*").alias("n")).crossJoin(every)
+    kinds = F.size(F.array_intersect("_every", "_has"))
+    return per.select(*group, kinds.cast("long").alias("kinds"), "n", F.coalesce(F.try_divide(kinds, F.size("_every")), F.lit(0.0)).alias("completeness"), F.array_except("_every", "_has").alias("missing"))
+
+
+def index_spread(df: DataFrame, group: list[str], index: str) -> DataFrame:
+    """(group, spread): greatest less least index of a group, where they differ."""
+    return df.groupBy(*group).agg((F.max(index) - F.min(index)).alias("spread")).where("spread > 0")
+
+
+def value_counts(df: DataFrame, value: str, whole: DataFrame | None = None) -> DataFrame:
+    """(value, n, share): rows of each value over all rows, or over the rows of `whole` of that value (null if it has none)."""
+    n = df.groupBy(value).agg(F.count("*").alias("n"))
+    if whole is None:
+        return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("_all")))).select(value, "n", (F.col("n") / F.col("_all")).alias("share"))
+    of = whole.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_all"))
+    return n.join(of, F.col(value).eqNullSafe(F.col("_v")), "left").select(value, "n", F.try_divide("n", "_all").alias("share"))
+
+
+def trend(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:
+    """(group, n, slope, intercept) of the least-squares line through rows with both values; null for one x."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return both.groupBy(*(group or [])).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
