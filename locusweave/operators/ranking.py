@@ -80,7 +80,7 @@ def numbered_within(df: DataFrame, part: list[str], order: list[Column], name: s
     """`df` with its 1-based place within its part, however many rows one part has. Null is a part of its own."""
     placed = numbered(df, [*map(F.col, part), *order], name)
     firsts = placed.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(part)]).agg(F.min(name).alias("_first"))
-    joined = placed.join(firsts, [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(part)])
+    joined = placed.join(firsts.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(part)])
     return joined.withColumn(name, F.col(name) - F.col("_first") + 1).select(*df.columns, name)
 
 
@@ -103,7 +103,7 @@ def quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], shares:
     counts = long.groupBy(*names, "_i", "_v").agg(F.count("*").alias("_n"))
     run = running_total(counts, [*map(F.col, names), F.col("_i"), F.col("_v")], F.col("_n"), "_upto")
     sizes = run.groupBy(*[F.col(n).alias(f"_s{n}") for n in names], F.col("_i").alias("_j")).agg(F.sum("_n").alias("_all"), F.min(F.col("_upto") - F.col("_n")).alias("_start"))
-    met = run.join(sizes, [*[F.col(n).eqNullSafe(F.col(f"_s{n}")) for n in names], F.col("_i") == F.col("_j")])
+    met = run.join(sizes.hint("merge"), [*[F.col(n).eqNullSafe(F.col(f"_s{n}")) for n in names], F.col("_i") == F.col("_j")])
     upto, last = F.col("_upto") - F.col("_start"), (F.col("_all") - 1).cast("double")
     before, picked, told = upto - F.col("_n"), [], []
     for i, name in enumerate(values):
@@ -119,4 +119,4 @@ def quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], shares:
 
 def with_quantiles(df: DataFrame, key: str, told: DataFrame) -> DataFrame:
     """`df`, a row for each key, beside the columns of quantiles() for that key."""
-    return df.join(told.withColumnRenamed(key, "_qk"), F.col(key).eqNullSafe(F.col("_qk")), "left").drop("_qk")
+    return df.join(told.withColumnRenamed(key, "_qk").hint("merge"), F.col(key).eqNullSafe(F.col("_qk")), "left").drop("_qk")

@@ -1,6 +1,8 @@
 """The whole predictor (survey O1): candidates of a genome, five feature families for each, a model's score.
 
 Families are computed for all candidates at once, each in a grouping by candidate, and meet in one table by its key.
+What several of them read, the members and the pairs within candidates, is kept in the shared folder. Tables of candidates
+and genes grow with the input, so they are merged and never broadcast: a dozen broadcasts at a time fill the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from ..functions.sequences import linear_score
 from ..operators import features, motifs
 from ..operators.combined import CombinedModel
 from ..operators.ranking import numbered_within
+from ..shared import cut
 from .flows import find_clusters
 
 #: Fixed values of the pair families: baseline, scores under which a pair is strong and from which it is weak, and least score of a match.
@@ -29,7 +32,8 @@ def candidates(genes: DataFrame, part: list[str], order: list[str], ident: str,
     keyed = found.withColumn("candidate", key)
     placed = numbered_within(genes, part, [F.col(c) for c in order], "_pos").select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(part)], F.col("_pos"), F.col(ident).alias("gene"), F.col(start).alias("_s"), F.col(end).alias("_e"))
     spots = keyed.select("candidate", *part, label, F.explode("hits").alias("_at"))
-    met = spots.join(placed, [*[F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(part)], F.col("_at") == F.col("_pos")])
+    met = spots.join(placed.hint("merge"), [*[F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(part)], F.col("_at") == F.col("_pos")])
+    met = cut(met.select("candidate", *part, label, "_pos", "gene", "_s", "_e"))
     told = met.groupBy("candidate", *part, label).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "gene"))), lambda x: x["gene"]).alias("genes"), F.min("_s").alias("start"), F.max("_e").alias("end"), F.count("*").alias("n_genes"),
     )
@@ -37,9 +41,9 @@ def candidates(genes: DataFrame, part: list[str], order: list[str], ident: str,
 
 
 def within(members: DataFrame, pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """(candidate, a, b, score): the pairs of which a candidate has both genes, by two joins on the gene."""
-    one = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(score).alias("score")).join(members.withColumnRenamed("gene", "a"), "a")
-    return one.join(members.withColumnRenamed("gene", "b"), ["candidate", "b"]).select("candidate", "a", "b", "score")
+    """(candidate, a, b, score): the pairs of which a candidate has both genes, by two joins on the gene, kept in the shared folder."""
+    one = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(score).alias("score")).join(members.withColumnRenamed("gene", "a").hint("merge"), "a")
+    return cut(one.join(members.withColumnRenamed("gene", "b").hint("merge"), ["candidate", "b"]).select("candidate", "a", "b", "score"))
 
 
 def families(members: DataFrame, *, docking: DataFrame | None = None, structure: DataFrame | None = None, clades: DataFrame | None = None, codes: DataFrame | None = None, promoters: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -48,14 +52,14 @@ def families(members: DataFrame, *, docking: DataFrame | None = None, structure:
     docking, structure: (a, b, score) of gene pairs. clades: (gene, score, size). codes: (gene, code). promoters: (gene, region,
     motif), regions `proximal` and `distal`; null motifs count as a promoter without one.
     """
-    of = lambda d: members.join(d, "gene")
+    of = lambda d: members.join(d.hint("merge"), "gene")
     told = {}
     if docking is not None:
         told["docking"] = features.pair_score_features(within(members, docking, "a", "b", "score"), "candidate", "a", "b", "score", **DOCKING)
     if structure is not None:
         pairs = within(members, structure, "a", "b", "score")
         scores = features.pair_score_features(pairs, "candidate", "a", "b", "score", **STRUCTURE)
-        told["structure"] = scores.join(features.match_coverage(pairs, "candidate", "a", "b", "score", MATCH), "candidate")
+        told["structure"] = scores.join(features.match_coverage(pairs, "candidate", "a", "b", "score", MATCH).hint("merge"), "candidate")
     if clades is not None:
         told["profile"] = features.clade_features(of(clades), "candidate", "score", "size")
     if codes is not None:
@@ -70,7 +74,7 @@ def assembled(found: DataFrame, key: str, told: dict[str, DataFrame]) -> DataFra
     flags = []
     for name, table in told.items():
         named = table.select(key, *[F.col(c).alias(f"{name}_{c}") for c in table.columns if c != key], F.lit(1).alias(f"_has_{name}"))
-        found = found.join(named, key, "left")
+        found = found.join(named.hint("merge"), key, "left")
         flags.append(f"_has_{name}")
     missing = reduce(Column.__add__, [F.isnull(f).cast("int") for f in flags], F.lit(0))
     return found.withColumn("families_missing", missing).drop(*flags)

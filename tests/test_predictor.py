@@ -50,3 +50,17 @@ def test_no_sources_and_no_genes(sources):
     assert {r["families_missing"] for r in plain.collect()} == {0} and {r["score"] for r in plain.collect()} == {0.5}
     assert predicted((genes.limit(0), sources[1]), ({"docking_mean": 1.0}, 0.0)).count() == 0
     assert predictor.families(plain.select("candidate", F.lit("g").alias("gene"))) == {}
+
+
+def test_no_table_of_candidates_is_broadcast(spark):
+    """Tables that grow with the input do not pass through the driver, and the members of candidates are computed once."""
+    from locusweave.plans import predictor
+
+    members = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2)], "candidate string, gene long")
+    codes = spark.createDataFrame([(1, "1.1.1.1"), (2, "1.2.1.1")], "gene long, code string")
+    pairs = spark.createDataFrame([(1, 2, 0.5), (2, 2, 0.1)], "a long, b long, score double")
+    told = predictor.families(members, structure=pairs, codes=codes)
+    found = predictor.assembled(members.select("candidate").distinct(), "candidate", {"codes": told["codes"]})
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["candidate"]: r["codes_level2"] for r in found.collect()} == {"a": 2, "b": 1}
+    assert {r["candidate"]: r["n"] for r in told["structure"].collect()} == {"a": 2, "b": 1}
