@@ -188,10 +188,8 @@ def w_ecdf(t):
 @query(f"""WITH {G}, p AS (SELECT unnest(range(5, 9)) AS w), m AS (SELECT w, a.event_id, b.event_type, count(*) AS n FROM p, g a JOIN g b ON a.user_id = b.user_id AND b.idx BETWEEN a.idx AND a.idx + w GROUP BY ALL HAVING count(*) >= {K})
   SELECT w::BIGINT AS width, count(DISTINCT event_id)::BIGINT AS anchors, count(*)::BIGINT AS groups FROM m GROUP BY 1""")
 def w_parameter_sweep(t):
-    w = win.index_windows(genes(t), ["user_id"], "idx", 8, F.struct("idx", "event_type"))
-    long = w.select("event_id", "idx", F.explode("members").alias("m")).select("event_id", "m.event_type", (F.col("m.idx") - F.col("idx")).alias("off"), F.explode(F.sequence(F.lit(5), F.lit(8))).alias("width")).where("off <= width")
-    hit = long.groupBy("width", "event_id", "event_type").count().where(F.col("count") >= K)
-    return hit.groupBy(F.col("width").cast("long").alias("width")).agg(F.count_distinct("event_id").alias("anchors"), F.count("*").alias("groups"))
+    swept = win.index_sweep(genes(t), ["user_id"], "idx", "event_type", list(range(5, 9)), K).where(F.col("least") == K)
+    return swept.select(F.col("width").cast("long").alias("width"), "anchors", "groups")
 
 
 # Choices, joins and aggregates over hits
@@ -636,18 +634,16 @@ def n_shuffled_enrichment(t):
     runs = lambda d, by: d.groupBy(*by).agg(F.count("*").alias("n"))
     same = lambda d, part: d.withColumn("prev", F.lag("event_type").over(win.Window.partitionBy(*part).orderBy("idx"))).where("prev = event_type")
     real = runs(same(g, ["user_id"]), ["event_type"])
-    moved = nulls.permute(g, ["event_type"], ["user_id"], "idx", 10)
-    shuffled = runs(same(moved, ["user_id", "iter"]), ["iter", "event_type"])
+    shuffled = nulls.permuted_runs(g, "event_type", ["user_id"], "idx", 10).where("n > 0")
     return nulls.enrichment(real, shuffled, ["event_type"]).select("event_type", "n", r6("mean_shuffled").alias("mean_shuffled"), r6("enrichment").alias("enrichment"))
 
 
 @query()
 def n_empirical_p(t):
     g = genes(t)
-    moved = nulls.permute(g, ["event_type"], ["user_id"], "idx", 200)
-    prev = lambda d, part: d.withColumn("prev", F.lag("event_type").over(win.Window.partitionBy(*part).orderBy("idx")))
-    n = F.count_if(F.col("prev") == F.col("event_type")).alias("n")
-    p = nulls.empirical_p(prev(moved, ["user_id", "iter"]).groupBy("iter").agg(n), prev(g, ["user_id"]).agg(n))
+    shuffled = nulls.permuted_runs(g, "event_type", ["user_id"], "idx", 200).groupBy("iter").agg(F.sum("n").alias("n"))
+    prev = g.withColumn("prev", F.lag("event_type").over(win.Window.partitionBy("user_id").orderBy("idx")))
+    p = nulls.empirical_p(shuffled, prev.agg(F.count_if(F.col("prev") == F.col("event_type")).alias("n")))
     return p.select(*[r6(c).alias(c) for c in p.columns])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -69,6 +69,49 @@ def permute(df: DataFrame, cols: list[str], scope: list[str], key: str, iteratio
     return asked.join(units.hint("shuffle_hash"), [*_same(scope), asked["_from"] == units["_from"]]).select(*rest, "iter", *cols)
 
 
+#: Rows of a scope up to which its permutations are made in one task, and rows that such scopes share a task with.
+TOGETHER, SHARE = 1_000_000, 200_000
+
+
+def permuted_runs(df: DataFrame, label: str, scope: list[str], key: str, iterations: int, seed: int = 42) -> DataFrame:
+    """(iter, label, n): in each permutation that permute() makes of the labels, the rows whose predecessor by `key` in the scope has the
+    same label, also where there is none; null labels equal nothing.
+
+    Labels are shuffled once, not once for each permutation: scopes of up to TOGETHER rows meet in groups of SHARE rows, and their
+    rows are moved by bijection() there. Longer scopes go through permute().
+    """
+    names = [f"_p{k}" for k in range(len(scope))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(scope, names)], F.col(label).alias("_label"), F.col(key).alias("_key"))
+    placed = numbered(rows, [*map(F.col, names), F.col("_key")], "_pos")
+    held = placed.groupBy(*[F.col(n).alias(f"_s{n}") for n in names]).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n")).hint("merge")
+    met = placed.join(held, [F.col(n).eqNullSafe(F.col(f"_s{n}")) for n in names])
+    keys = F.transform(F.sequence(F.lit(1), F.lit(iterations)), lambda i: F.xxhash64(F.lit(seed), i, *names))
+    groups = F.greatest(F.lit(1), F.ceil(F.lit(df.count()) / SHARE))
+    few = met.where(F.col("_n") <= TOGETHER).select(F.pmod(F.xxhash64("_first"), groups).alias("_group"), "_label", "_pos", "_first", "_n", F.when(F.col("_pos") == F.col("_first"), keys).alias("_keys"))
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos", ignore_index=True)
+        codes, known = pd.factorize(pdf["_label"])
+        starts = np.flatnonzero((pdf["_pos"] == pdf["_first"]).to_numpy())
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
+        place, n, seeds = np.arange(len(pdf)) - starts[of], pdf["_n"].to_numpy(np.int64), np.stack(pdf["_keys"].iloc[starts].to_list())
+        told = []
+        for i in range(iterations):
+            now = codes[starts[of] + bijection(place, n, seeds[of, i])]
+            same = (now[1:] == now[:-1]) & (place[1:] > 0) & (now[1:] >= 0)
+            told.append(np.bincount(now[1:][same], minlength=len(known)))
+        return pd.DataFrame({"iter": np.repeat(np.arange(1, iterations + 1), len(known)), "_label": np.tile(np.asarray(known, dtype=object), iterations), "n": np.concatenate(told)})
+
+    kind = dict(rows.dtypes)["_label"]
+    told = few.groupBy("_group").applyInPandas(counted, f"iter int, _label {kind}, n long")
+    many = met.where(F.col("_n") > TOGETHER).select(*names, "_label", "_key")
+    if not many.isEmpty():
+        before = F.lag("_label").over(Window.partitionBy(*names, "iter").orderBy("_key"))
+        moved_ = permute(many, ["_label"], names, "_key", iterations, seed).withColumn("_before", before).where("_label is not null")
+        told = told.unionByName(moved_.groupBy("iter", "_label").agg(F.count_if(F.col("_before") == F.col("_label")).alias("n")))
+    return told.groupBy("iter", F.col("_label").alias(label)).agg(F.sum("n").alias("n"))
+
+
 def random_groups(df: DataFrame, part: list[str], item: str, size: int, n: int, seed: int = 42) -> DataFrame:
     """(part, items, draw): n groups of `size` different rows' items per part, all of them if it has fewer; equal groups
     stay once, under their first draw. A draw looks up `size` places, however many rows the part has."""

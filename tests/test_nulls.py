@@ -78,3 +78,21 @@ def test_random_clusters(spark, target):
     if target == 200:
         kept = Counter(len(x) for x in samples.values())
         assert 0.4 < kept[5] / kept[3] * 2 < 1.8 and 90 < len(samples) < 180
+
+
+def test_permuted_runs_are_those_of_permute(spark, monkeypatch):
+    """By either way, with a null scope, null labels, and a scope that has no runs; labels are not copied for each permutation."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from locusweave.operators import nulls
+
+    df = spark.createDataFrame([(None if i % 7 == 0 else i % 3, i, None if i % 11 == 0 else "abc"[i * i % 5 % 3]) for i in range(60)] + [(9, 100, "z")], "u long, k long, t string")
+    moved = nulls.permute(df, ["t"], ["u"], "k", 6).withColumn("p", F.lag("t").over(Window.partitionBy("u", "iter").orderBy("k"))).where("t = p")
+    told = sorted(tuple(r) for r in moved.groupBy("iter", "t").count().collect())
+    for most, share in ((1_000_000, 200_000), (1_000_000, 10), (9, 200_000), (0, 200_000)):
+        monkeypatch.setattr(nulls, "TOGETHER", most)
+        monkeypatch.setattr(nulls, "SHARE", share)
+        got = nulls.permuted_runs(df, "t", ["u"], "k", 6)
+        assert sorted(tuple(r) for r in got.where("n > 0").collect()) == told
+        assert got.groupBy("iter").count().count() == 6
