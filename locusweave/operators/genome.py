@@ -99,6 +99,10 @@ def monomer_id(line: Column, source: str) -> Column:
     return F.when(F.contains(line, F.lit(source)), F.regexp_replace(ident, "-MONOMER|MONOMER|,", ""))
 
 
+#: Letters of a stretch of text that is searched at once.
+STRETCH = 256
+
+
 def _substrings(text: str, sizes: list[int]) -> Column:
     """Structs (at, part) of all substrings of the given lengths."""
     def runs(n: int) -> Column:
@@ -111,13 +115,19 @@ def _substrings(text: str, sizes: list[int]) -> Column:
 def key_hits(df: DataFrame, ident: str, keys: DataFrame, key: str) -> DataFrame:
     """(df's columns, at, key): every key (with a letter in it) that occurs in an id, and where.
 
-    Substrings of the lengths that keys have are looked up by equality; key lengths are few.
+    Substrings of the lengths that keys have are looked up by equality; key lengths are few. A text is cut into stretches of STRETCH letters
+    first, each with the beginning of the next, since a substring is sought from its text's start.
     """
     named = keys.select(F.col(key).alias("_key")).where(F.col("_key").rlike("[A-Za-z]")).distinct()
     sizes = sorted(r[0] for r in named.select(F.length("_key")).distinct().collect())
     if not sizes:
         return df.withColumns({"at": F.lit(None).cast("int"), key: F.lit(None).cast("string")}).limit(0)
-    spots = df.withColumn("_s", F.explode(_substrings(ident, sizes))).withColumns({"at": F.col("_s.at"), "_key": F.col("_s.part")}).drop("_s")
+    pieces = df.withColumn("_pieces", F.regexp_extract_all(ident, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)))
+    ahead = -(-(sizes[-1] - 1) // STRETCH)  # stretches that a key reaches into
+    more = F.substring(F.array_join(F.slice("_pieces", F.col("_i") + 2, F.lit(max(1, ahead))), ""), 1, sizes[-1] - 1)
+    pieces = pieces.select("*", F.posexplode("_pieces").alias("_i", "_piece")).withColumn("_text", F.concat("_piece", more)).withColumn("_own", F.length("_piece")).drop("_pieces", "_piece")
+    found = F.filter(_substrings("_text", sizes), lambda x: x["at"] <= F.col("_own"))
+    spots = pieces.withColumn("_s", F.explode(found)).withColumns({"at": F.col("_s.at") + F.col("_i") * STRETCH, "_key": F.col("_s.part")}).drop("_s", "_i", "_text", "_own")
     return spots.join(named, "_key").withColumnRenamed("_key", key)
 
 
