@@ -89,14 +89,17 @@ def contains_join(a: DataFrame, b: DataFrame, text: str, part: str, priority: li
     sizes = [r[0] for r in b.select(F.length(part)).distinct().collect() if r[0]]
     if not sizes:  # nothing to find
         return a.withColumns({c: F.lit(None).cast(b.schema[c].dataType) for c in (part, *[c for c in b.columns if c != part])})
-    keyed = a.withColumn("_id", F.xxhash64(*a.columns))
+
     def runs(n: int) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
         return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
 
-    grams = keyed.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*map(runs, sizes))))).alias(part)).distinct()
-    first = best_per_key(grams.join(b, part), ["_id"], [F.col(c) for c in priority])
-    return keyed.join(first, "_id", "left").drop("_id")
+    # Each text is sought once; substrings go no further than the join, and a text's first match is kept by a running minimum.
+    texts = a.select(F.col(text).alias("_text")).where("_text is not null").distinct()
+    spots = texts.withColumn(text, F.col("_text")).select("_text", F.explode(F.array_distinct(F.flatten(F.array(*map(runs, sizes))))).alias(part))
+    named = b.withColumn("_order", F.struct(*priority))
+    first = spots.join(named, part).groupBy("_text").agg(F.min_by(F.struct(*[F.col(c) for c in (part, *[c for c in b.columns if c != part])]), "_order").alias("_b"))
+    return a.join(first.hint("merge"), F.col(text) == F.col("_text"), "left").select(*a.columns, "_b.*")
 
 
 def overlap_assignment(left: DataFrame, right: DataFrame, item: str, left_key: str, right_key: str, least: int = 2) -> DataFrame:
