@@ -55,23 +55,26 @@ def distance_windows(df: DataFrame, part: list[str], order: list[str], start: st
     return both if reach else both.drop("reach")
 
 
-def _swept(counts: DataFrame, window: str, leasts: dict[int, list[int]]) -> DataFrame:
-    """(window, least, anchors, groups) from (window, anchor, label, n): what each least number of members leaves."""
-    grid = F.create_map(*[x for w, ks in leasts.items() for x in (F.lit(w), F.array(*map(F.lit, ks)))])
-    long = counts.withColumn("least", F.explode(F.filter(F.try_element_at(grid, F.col(window)), lambda k: k <= F.col("n"))))
-    return long.groupBy(window, "least").agg(F.count_distinct("anchor").alias("anchors"), F.count("*").alias("groups"))
-
-
 def index_sweep(df: DataFrame, part: list[str], idx: str, label: str, widths: list[int], first: int = 3) -> DataFrame:
     """(width, least, anchors, groups) for every width and every least number of genes from `first` to half the width (at least `first`):
     anchors with a label that so many genes of their window share, and labels in all of them. Windows of the
-    greatest width are made once. A pair without any is left out."""
+    greatest width are made once. A pair without any is left out.
+
+    A label's k-th gene in a window tells the least width at which k genes share it, so a window adds one to a count for (k, that width)
+    for each label and one for its least; neither windows nor members are shuffled by width.
+    """
+    most = max(first, max(widths) // 2)
     wide = index_windows(df, part, idx, max(widths), F.struct(F.col(idx).alias("i"), F.col(label).alias("l")))
-    anchor = F.struct(*part, F.col(idx).alias("_i"))
-    long = wide.select(anchor.alias("anchor"), F.col(idx).alias("_at"), F.explode("members").alias("m")).where("m.l is not null")
-    long = long.withColumn("width", F.explode(F.filter(F.array(*map(F.lit, widths)), lambda w: F.col("m.i") - F.col("_at") <= w)))
-    counts = long.groupBy("width", "anchor", F.col("m.l").alias("label")).agg(F.count("*").alias("n")).where(F.col("n") >= first)
-    return _swept(counts, "width", {w: list(range(first, max(first, w // 2) + 1)) for w in widths})
+    held = wide.select(F.col(idx).alias("_at"), F.filter("members", lambda m: m["l"].isNotNull()).alias("held"))
+    kth = lambda m, t: F.size(F.filter(F.slice("held", F.lit(1), t + 1), lambda x: x["l"] == m["l"]))
+    met = held.select(F.transform("held", lambda m, t: F.struct(kth(m, t).alias("k"), (m["i"] - F.col("_at")).cast("int").alias("o"))).alias("met"))
+    met = met.select(F.filter("met", lambda x: x["k"].between(first, most)).alias("met"))
+    least = F.transform(F.sequence(F.lit(first), F.lit(most)), lambda k: F.try_element_at(F.filter("met", lambda x: x["k"] == k), F.lit(1)))
+    both = F.concat(F.transform("met", lambda x: F.struct(x["k"].alias("k"), x["o"].alias("o"), F.lit(0).alias("one"))), F.transform(F.filter(least, lambda x: x.isNotNull()), lambda x: F.struct(x["k"].alias("k"), x["o"].alias("o"), F.lit(1).alias("one"))))
+    counts = met.where(F.size("met") > 0).select(F.inline(both)).groupBy("k", "o", "one").count()
+    grid = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(max(first, w // 2)).alias("top")) for w in widths])
+    told = counts.select("k", "one", "count", F.explode(F.filter(grid, lambda g: (F.col("o") <= g["width"]) & (F.col("k") <= g["top"]))).alias("g"))
+    return told.groupBy("g.width", F.col("k").alias("least")).agg(*[F.coalesce(F.sum(F.when(F.col("one") == x, F.col("count"))), F.lit(0)).alias(c) for c, x in (("anchors", 1), ("groups", 0))])
 
 
 def distance_sweep(df: DataFrame, part: list[str], order: list[str], start: str, end: str, label: str, spans: list[int], least: int = 3) -> DataFrame:
@@ -80,9 +83,13 @@ def distance_sweep(df: DataFrame, part: list[str], order: list[str], start: str,
     named = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
     labels = named.where(F.col(label).isNotNull()).select(*part, F.col("_rn").alias("member"), F.col(label).alias("label"))
     wide = distance_windows(df, part, order, start, end, max(spans), reach=True).join(labels, [*part, "member"])
-    long = wide.withColumn("span", F.explode(F.filter(F.array(*[F.lit(s).cast("long") for s in spans]), lambda s: F.col("reach") <= s)))
-    counts = long.groupBy("span", F.struct(*part, "anchor").alias("anchor"), "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return _swept(counts.withColumn("span", F.col("span").cast("long")), "span", {s: [least] for s in spans})
+    # A row counts for every span at once, so pairs are shuffled once.
+    enough = [(F.count_if(F.col("reach") <= s) >= least).cast("int").alias(f"_{k}") for k, s in enumerate(spans)]
+    counts = wide.groupBy(*part, "anchor", "label").agg(*enough)
+    anchors = counts.groupBy(*part, "anchor").agg(*[f(f"_{k}").alias(f"{n}{k}") for k in range(len(spans)) for f, n in ((F.sum, "g"), (F.max, "a"))])
+    told = anchors.agg(*[F.sum(f"{n}{k}").alias(f"{n}{k}") for k in range(len(spans)) for n in "ga"])
+    rows = F.array(*[F.struct(F.lit(s).cast("long").alias("span"), F.lit(least).alias("least"), F.col(f"a{k}").alias("anchors"), F.col(f"g{k}").alias("groups")) for k, s in enumerate(spans)])
+    return told.select(F.inline(rows)).where("groups > 0")
 
 
 def shared_label(long: DataFrame, window: list[str], pos: str, label: str, k: int, *, mode: str = "largest") -> DataFrame:

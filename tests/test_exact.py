@@ -54,3 +54,51 @@ def test_nothing_to_contain(spark):
     got = relational.contains_join(a, b, "text", "part", ["rank"])
     full = relational.contains_join(a, spark.createDataFrame([("b", 1, "n")], "part string, rank int, name string"), "text", "part", ["rank"])
     assert got.columns == full.columns and sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [("abc", None, None, None), (None, None, None, None)]))
+
+
+def test_files_hold_many_documents(spark, tmp_path, monkeypatch):
+    """A round trip writes no file for each document, and reads all of them."""
+    from locusweave import catalog_records as records
+
+    found = []
+    monkeypatch.setattr(records, "_away", lambda df, name: found.append(str(tmp_path / name)) or found[-1])
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    assert records.s_json(read).count() == read("events").count()
+    assert records.s_blast_xml(read).count() == read("lineitem").count()
+    assert all(len(list(p.rglob("part-*.txt"))) == 1 for p in map(type(tmp_path), found))
+
+
+def test_keys_of_long_texts_by_brute_force(spark):
+    """Keys over the borders of stretches, longer than one, and in a text whose places could not each be sought from its start."""
+    from locusweave.operators import genome
+
+    texts = {1: "ab" * 300 + "xyz" + "ab" * 300, 2: "q" * 255 + "keyword" + "w" * 600, 3: "", 4: None, 5: "short key", 6: "abcd" * 100_000 + "key"}
+    words = ["key", "keyword", "zab", "q" * 250 + "qqqqqk", "w" * 520, "dkey", "12"]
+    df, keys = spark.createDataFrame(list(texts.items()), "i int, s string"), spark.createDataFrame([(w,) for w in words], "w string")
+    told = {(i, k + 1, w) for i, s in texts.items() for w in words if w != "12" and s for k in range(len(s)) if s.startswith(w, k)}
+    got = genome.key_hits(df, "s", keys, "w").select("i", "at", "w").collect()
+    assert len(got) == len(told) and {tuple(r) for r in got} == told
+
+
+def test_sweeps_shuffle_no_row_for_each_width(spark):
+    from locusweave.operators import windows
+
+    df = spark.range(300).selectExpr("id % 2 as u", "cast(id div 2 as int) as i", "if(id % 7 = 0, null, concat('t', id % 3)) as l", "id as s", "id + 3 as e")
+    got = windows.index_sweep(df, ["u"], "i", "l", [5, 9], 2)
+    rows = [r.asDict() for r in df.collect()]
+    for w, k, anchors, groups in got.collect():
+        met = [sum(sum(1 for y in rows if y["u"] == x["u"] and x["i"] <= y["i"] <= x["i"] + w and y["l"] == t) >= k for t in ("t0", "t1", "t2")) for x in rows]
+        assert (anchors, groups) == (sum(m > 0 for m in met), sum(met))
+    assert sorted((w, k) for w, k, *_ in got.collect()) == [(5, 2), (9, 2), (9, 3), (9, 4)][: got.count()]
+    plan = windows.distance_sweep(df, ["u"], ["i"], "s", "e", "l", [10, 20, 40], 2)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Generate explode") == 1  # buckets of the span
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") <= 2
+
+
+def test_texts_are_sought_once_by_contains_join(spark):
+    from locusweave.operators import relational
+
+    a = spark.createDataFrame([(1, "xay"), (2, "xay"), (3, None), (4, "z")], "i int, text string")
+    got = relational.contains_join(a, spark.createDataFrame([("a", 2), ("y", 1)], "part string, rank int"), "text", "part", ["rank"])
+    assert sorted((r["i"], r["part"]) for r in got.collect()) == [(1, "y"), (2, "y"), (3, None), (4, None)]
+    assert "xxhash64" not in got._jdf.queryExecution().analyzed().toString()
