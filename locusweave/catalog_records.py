@@ -89,7 +89,8 @@ def s_blast_xml(t):
     per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*XML_ORDER.split(", "), hit.alias("hit")))).alias("hits"))
     one = tag("Iteration", tag("Iteration_query-def", _lit("q", "l_orderkey")), F.lit("<Iteration_query-len>200</Iteration_query-len>"), tag("Iteration_hits", F.array_join(F.transform("hits", lambda h: h["hit"]), "")))
     path = _away(li, "xml")
-    whole = per.groupBy(F.floor(F.col("l_orderkey") / 100).alias("file")).agg(tag("BlastOutput", tag("BlastOutput_iterations", F.array_join(F.collect_list(one), "\n"))).alias("value"))
+    # Some 50,000 hits to a file, for a file costs as much as many hits.
+    whole = per.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(li.count() // 50_000 + 1)).alias("file")).agg(tag("BlastOutput", tag("BlastOutput_iterations", F.array_join(F.collect_list(one), "\n"))).alias("value"))
     whole.write.partitionBy("file").text(path)
     got = readers.read_blast_xml(li.sparkSession, path)
     return got.withColumns({"hit_no": F.col("hit_no").cast("long"), "identity": r6("identity"), "coverage": r6("coverage")})
@@ -143,7 +144,9 @@ def s_json(t):
     e = t("events").select("user_id", "event_id", "event_type")
     document = F.to_json(F.struct(F.col("user_id").alias("user"), F.collect_list(F.struct("event_id", "event_type")).alias("genes")), {"pretty": "true"})
     path = _away(e, "json")
-    e.groupBy("user_id").agg(document.alias("value")).withColumn("part", F.col("user_id")).select("value", "part").write.partitionBy("part").text(path)
+    # Documents of some 50,000 events to a file, as an array, for a file costs as much as many events.
+    per = e.groupBy("user_id").agg(document.alias("value")).groupBy(F.pmod(F.xxhash64("user_id"), F.lit(e.count() // 50_000 + 1)).alias("part"))
+    per.agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
     got = readers.read_json(e.sparkSession, path, "user long, genes array<struct<event_id: long, event_type: string>>")
     return got.select(F.col("user").alias("user_id"), F.inline("genes"))
 
