@@ -1,10 +1,10 @@
 """HTML extraction by nearest-URL page differencing.
 
-Markup names what it can: what lies in menus, headers, footers, sidebars, forms, adverts, notices and
-comments is dropped, what lies in an article or main element is kept, for pages share lines of their articles
-too: copies, licences, quoted passages. The other lines of a page are
-aligned by longest common subsequence with those of its nearest pages by URL path within the host, and
-lines they share are deleted as the site's.
+The lines of every page are aligned by longest common subsequence with those of its nearest pages by URL path within
+the host, and lines they share are the site's. Markup then checks this exactly: what lies in menus, headers, footers,
+sidebars, forms, adverts, notices and comments is dropped, shared or not, and a shared line within an article or main
+element stays if any of its text is more than a link, for pages share lines of their articles too: copies, licences,
+quoted passages. Shared lines that are links only, and all shared lines of pages without such an element, are deleted.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,30 +52,40 @@ def furniture(names: str) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[bool, list[str]]:
-    """(whether an article or main element frames them, the page's lines outside site furniture).
+def blocks(page: str) -> tuple[bool, list[str], list[tuple[str, bool, bool]]]:
+    """(whether an article or main element frames them, the page's lines outside site furniture, all lines outside furniture
+    in page order with whether they lie in a frame and whether they are links only).
 
     Furniture is told by the kind of a block element and by names that say nothing else; headings and, within a
     frame, inline elements always stay. What is left out ends where its element does, by an end tag or implied.
     """
-    framed: list[str] = []
-    loose: list[str] = []
+    lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
-    inside, skip, depth, at = 0, "", 0, 0
+    plain: list[bool] = []
+    inside, skip, depth, at, link = 0, "", 0, 0, False
 
     def end() -> None:
+        nonlocal link
+        link = False  # one that was never closed ends with its block
         if parts:
             if line := " ".join(html.unescape("".join(parts)).split()):
-                (framed if inside else loose).append(line)
+                lines.append((line, inside > 0, not any(plain)))
             parts.clear()
+            plain.clear()
+
+    def take(text: str) -> None:
+        parts.append(text)
+        plain.append(not link and not text.isspace())
 
     for m in TOKEN.finditer(page):
         if m.start() > at and not skip:
-            parts.append(page[at : m.start()])
+            take(page[at : m.start()])
         at = m.end()
         if not (name := m[3]):
             continue
         name, closing = name.lower(), bool(m[2])
+        if name == "a":
+            link = not closing and "href" in m[4].lower()
         frame = name in ("article", "main")
         if skip:
             if frame and (closing and inside or not closing and skip not in CHROME):
@@ -98,15 +109,16 @@ def blocks(page: str) -> tuple[bool, list[str]]:
             end()
         if frame:
             inside = max(0, inside + (-1 if closing else 1))
-    if not skip:
-        parts.append(page[at:])
+    if not skip and page[at:]:
+        take(page[at:])
     end()
-    return (True, framed) if framed else (False, loose)
+    framed = any(x for _, x, _ in lines)
+    return framed, [x for x, y, _ in lines if y == framed], lines
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+def common_lines(a: list, b: list) -> set[int]:
     """Places of `a` on one longest common subsequence with `b`."""
-    where: dict[str, list[int]] = {}
+    where: dict[object, list[int]] = {}
     for j in range(len(b) - 1, -1, -1):
         where.setdefault(b[j], []).append(j)
     tails: list[int] = []
@@ -127,44 +139,55 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def differenced(lines: list[str], others: list[list[str]], most: float = 0.5) -> list[str]:
-    """`lines` without those shared with a neighbour; one that shares over `most` of the text is a copy of
+def shared_lines(lines: list, sizes: list[int], others: list[list], most: float = 0.5) -> set[int]:
+    """Places of the lines shared with a neighbour; one that shares over `most` of the text is a copy of
     the page and tells nothing about the site."""
     gone: set[int] = set()
-    size = sum(map(len, lines))
+    size = sum(sizes)
     for other in others:
         same = common_lines(lines, other)
-        if sum(len(lines[i]) for i in same) <= most * size:
+        if sum(sizes[i] for i in same) <= most * size:
             gone |= same
-    return [x for i, x in enumerate(lines) if i not in gone]
+    return gone
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk: int = 512) -> DataFrame:
     """(id, url, text, n_chars): the main text of every page, one line a block, whole.
 
-    Null html, or nothing left: empty text. Null urls have the empty host. Pages without a frame are sorted
+    Null html, or nothing left: empty text. Null urls have the empty host. All pages are sorted
     by (host, path, url, id) and compared with the pages before and after them of the same host; a task has a chunk
-    of that order and the page on either side of it. Repeated rows are copies and delete nothing from each other;
-    other columns are ignored.
+    of that order and the page on either side of it. Only 128-bit hashes of the lines go there, and only the places of deleted
+    lines come back to the texts. Repeated rows are copies and delete nothing from each other; other columns are ignored.
     """
     kind = dict(pages.select(F.col(id_col).alias("id")).dtypes)["id"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [blocks(x) if x else (True, []) for x in pdf["html"]]
+            got = [blocks(x) if x else (True, [], []) for x in pdf["html"]]
             yield pd.DataFrame({
                 "id": pdf["id"], "url": pdf["url"], "host": pdf["host"], "path": pdf["path"],
-                "text": ["\n".join(x) if framed else None for framed, x in got], "loose": [None if framed else x for framed, x in got],
+                "lines": [x for _, x, _ in got], "keys": [[xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x, _, _ in told] for _, _, told in got],
+                "sizes": [[len(x) for x, _, _ in told] for _, _, told in got],
+                # A line's place among those of the text if it goes when shared, else -1.
+                "may": [places(framed, told) for framed, _, told in got],
             })
 
+    def places(framed: bool, told: list[tuple[str, bool, bool]]) -> list[int]:
+        out, n = [], 0
+        for _, inside, links in told:
+            out.append(n if inside == framed and (links or not framed) else -1)
+            n += inside == framed
+        return out
+
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = now = None
 
         def out(left, row, right) -> list[tuple]:
             if row.chunk != row.home:  # only seen as a neighbour here
                 return []
-            near = [x.loose for x in (left, right) if x is not None and x.host == row.host and x.chunk == row.chunk]
-            return [(row.id, row.url, "\n".join(differenced(list(row.loose), [list(x) for x in near])))]
+            near = [list(x.keys) for x in (left, right) if x is not None and x.host == row.host and x.chunk == row.chunk]
+            gone = [int(row.may[i]) for i in sorted(shared_lines(list(row.keys), list(row.sizes), near)) if row.may[i] >= 0]
+            return [(row.row, gone)] if gone else []
 
         for pdf in batches:
             rows = []
@@ -172,21 +195,27 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
                 if now is not None:
                     rows += out(before, now, row)
                 before, now = now, row
-            yield pd.DataFrame(rows, columns=["id", "url", "text"])
+            yield pd.DataFrame(rows, columns=["row", "gone"])
         if now is not None:
-            yield pd.DataFrame(out(before, now, None), columns=["id", "url", "text"])
+            yield pd.DataFrame(out(before, now, None), columns=["row", "gone"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
-    parsed = written(rows.mapInPandas(parse, f"id {kind}, url string, host string, path string, text string, loose array<string>"), "blocks")
+    told = rows.mapInPandas(parse, f"id {kind}, url string, host string, path string, lines array<string>, keys array<binary>, sizes array<int>, may array<int>")
+    parsed = written(told.withColumn("row", F.monotonically_increasing_id()), "blocks")
     order = ["host", "path", "url", "id"]
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bare = parsed.where("loose is not null").select(*order, "loose").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    bare = written(bare.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "bare")
-    before = offsets(bare.groupBy("part").agg(F.count("*").alias("before")), "part", ["before"])
+    keyed = parsed.select(*order, "row", "keys", "sizes", "may").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    keyed = written(keyed.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "keyed")
+    before = offsets(keyed.groupBy("part").agg(F.count("*").alias("before")), "part", ["before"])
     # A row for each partition is joined, so the plan is the same however many there are.
-    ranked = bare.join(F.broadcast(before), "part").withColumn("rank", F.col("at").bitwiseAND(2**33 - 1) + F.col("before"))
+    ranked = keyed.join(F.broadcast(before), "part").withColumn("rank", F.col("at").bitwiseAND(2**33 - 1) + F.col("before"))
     home = F.floor(F.col("rank") / chunk)
     around = F.array_distinct(F.array(F.floor((F.col("rank") - 1) / chunk), F.col("home"), F.floor((F.col("rank") + 1) / chunk)))
     dealt = ranked.withColumn("home", home).withColumn("chunk", F.explode(around)).repartition(n, "chunk").sortWithinPartitions("chunk", "rank")
-    told = parsed.where("loose is null").select("id", "url", "text").unionByName(dealt.select("id", "url", "host", "loose", "home", "chunk").mapInPandas(pair, f"id {kind}, url string, text string"))
-    return told.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    gone = dealt.select("row", "host", "keys", "sizes", "may", "home", "chunk").mapInPandas(pair, "row long, gone array<int>")
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    # Texts meet the places only where a line can go.
+    can = F.coalesce(F.array_max("may"), F.lit(-1)) >= 0
+    some = parsed.where(can).select("row", "id", "url", "lines").join(gone, "row", "left").select("id", "url", left.alias("lines"))
+    whole = parsed.where(~can).select("id", "url", "lines").unionByName(some).withColumn("text", F.array_join("lines", "\n"))
+    return whole.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

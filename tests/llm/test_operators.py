@@ -373,3 +373,11 @@ def test_bare_pages_over_many_partitions(spark):
         got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
         spark.conf.set("spark.sql.shuffle.partitions", before)
         assert got == dict(enumerate(text)), n
+
+
+def test_links_that_framed_pages_share(spark):
+    # Within an article no name tells the site's links: neighbours do. A licence line that they share stays.
+    page = '<article><h1>Title {0}</h1><p>Text of page {0}, <a href="/x">with a link</a>, and more of it than what the site adds to it.</p><p>Free to copy.</p><p><a href="/top">Back to top</a></p><p><a href="/{0}">Own link {0}</a></p></article>'
+    rows = [(i, f"http://h/{i:02}", page.format(i)) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), chunk=7).collect()}
+    assert got == {i: f"Title {i}\nText of page {i}, with a link, and more of it than what the site adds to it.\nFree to copy.\nOwn link {i}" for i in range(30)}
