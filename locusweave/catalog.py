@@ -398,7 +398,7 @@ def j_feature_merge(t):
 
 @query("""WITH h AS (SELECT DISTINCT l_partkey, l_orderkey, l_suppkey FROM lineitem), s AS (SELECT a.l_orderkey, b.s_nationkey, count(DISTINCT a.l_suppkey) AS n FROM h a JOIN supplier b ON a.l_suppkey = b.s_suppkey GROUP BY ALL HAVING count(DISTINCT a.l_suppkey) >= 2) SELECT l_orderkey, min(s_nationkey)::BIGINT AS s_nationkey FROM s GROUP BY 1""")
 def j_overlap_assignment(t):
-    left = t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("item")).distinct()
+    left = t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("item"))
     right = t("supplier").select(F.col("s_suppkey").alias("item"), "s_nationkey")
     return rel.overlap_assignment(left, right, "item", "l_orderkey", "s_nationkey").select("l_orderkey", F.col("s_nationkey").cast("long").alias("s_nationkey"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, dealt
 from .ranking import quantiles
 
 
@@ -103,8 +103,9 @@ def contains_join(a: DataFrame, b: DataFrame, text: str, part: str, priority: li
 
 
 def overlap_assignment(left: DataFrame, right: DataFrame, item: str, left_key: str, right_key: str, least: int = 2) -> DataFrame:
-    """Per left key the first right key (by name) that shares at least `least` items."""
-    shared = left.join(right, item).groupBy(left_key, right_key).agg(F.count_distinct(item).alias("n")).where(F.col("n") >= least)
+    """Per left key the first right key (by name) that shares at least `least` items. A left key's items meet in one task, once."""
+    met = dealt(left.join(right, item).select(left_key, right_key, item), [left_key], left.count()).distinct()
+    shared = met.groupBy(left_key, right_key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return best_per_key(shared, [left_key], [F.col(right_key)])
 
 
