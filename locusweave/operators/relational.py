@@ -161,6 +161,6 @@ def coalesced_outer(left: DataFrame, right: DataFrame, keys: list[str], same: li
 
 def pairs_within(df: DataFrame, group: list[str], item: str) -> DataFrame:
     """(group, a, b) of the distinct items of each group, a before b. The output is square in a group's size by definition,
-    so this is for groups of a few items, such as the genes of one candidate; the join spreads groups and splits large ones."""
-    one = df.select(*group, item).distinct()
+    so this is for groups of a few items, such as the genes of one candidate; a group is in one task, and a task has its share of the rows."""
+    one = dealt(df.select(*group, item), group, df.count()).distinct()
     return one.withColumnRenamed(item, "a").join(one.withColumnRenamed(item, "b"), group).where("a < b")
