@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..shared import cut, dealt
 from .ranking import numbered, numbered_within
 
 
@@ -116,11 +117,14 @@ def random_groups(df: DataFrame, part: list[str], item: str, size: int, n: int,
     """(part, items, draw): n groups of `size` different rows' items per part, all of them if it has fewer; equal groups
     stay once, under their first draw. A draw looks up `size` places, however many rows the part has."""
     placed, sizes = _places(df.select(*part, item), part, [F.col(item)])
+    sizes = cut(sizes)
+    rows = n * (sizes.agg(F.sum(F.least(F.lit(size), F.col("_n")))).first()[0] or 0)
     draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
     names = [f"_g{k}" for k in range(len(part))]
     slots = draws.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), F.col("_n").cast("int")) - 1)))
     drawn = slots.select(*names, "draw", moved(F.col("_slot").cast("long"), F.col("_n"), F.xxhash64(F.lit(seed), "draw", *names)).alias("_place"))
     met = drawn.join(placed.withColumnRenamed("_place", "_at"), [*_same(part), F.col("_place") == F.col("_at")])
+    met = dealt(met.select(*part, "draw", item), part, rows)  # a part's draws are told apart in one task
     sets = met.groupBy(*part, "draw").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return sets.groupBy(*part, "items").agg(F.min("draw").alias("draw"))
 
