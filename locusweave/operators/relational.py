@@ -28,6 +28,9 @@ def composite(bits: str, identity: str, coverage: str) -> Column:
     return 0.4 * F.col(bits) + 0.3 * F.col(identity) + 0.3 * F.col(coverage)
 
 
+#: Scopes up to which their ends are broadcast, so that no row moves to meet them.
+FEW = 100_000
+
 #: Stands for an e-value of 0; fixed value.
 LEAST_EVALUE = 1e-180
 
@@ -45,7 +48,8 @@ def product_score(df: DataFrame, scope: list[str], *, evalue: str = "evalue", bi
     def joined(rows: DataFrame, told: DataFrame) -> DataFrame:
         if not scope:
             return rows.crossJoin(F.broadcast(told))  # one row
-        return rows.join(told, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(scope, names)]).drop(*names)
+        told = cut(told)
+        return rows.join(F.broadcast(told) if told.count() <= FEW else told.hint("merge"), [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(scope, names)]).drop(*names)
 
     e = F.when(F.col(evalue) == 0, LEAST_EVALUE).otherwise(F.col(evalue))
     query = F.col(end) - F.col(start) + 1
