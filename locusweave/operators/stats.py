@@ -24,14 +24,37 @@ def corr_with_target(df: DataFrame, features: list[str], target: str, method: st
     if method == "kendall":
         return kendall(df, features, target).drop("z")
     long = df.unpivot([target], features, "feature", "v").where(F.col("v").isNotNull() & F.col(target).isNotNull()).withColumnRenamed(target, "t")
-    x, y = "v", "t"
     if method == "spearman":
-        for c in (x, y):
-            ranks = running_total(long.groupBy("feature", c).agg(F.count("*").alias("_k")), [F.col("feature"), F.col(c)], F.col("_k"), "_upto")
-            # Places count from the table's first row on; a feature's own offset does not change a correlation.
-            long = long.join(ranks.select("feature", c, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(f"r{c}")), ["feature", c])
-        x, y = "rv", "rt"
-    return long.groupBy("feature").agg(F.count("*").alias("n"), pearson(x, y).alias("r")).where("n >= 3")
+        return spearman(long)
+    return long.groupBy("feature").agg(F.count("*").alias("n"), pearson("v", "t").alias("r")).where("n >= 3")
+
+
+#: Ranked values up to which the ranks are broadcast.
+FEW = 100_000
+
+
+def spearman(long: DataFrame) -> DataFrame:
+    """(feature, n, r) of rows (feature, v, t): correlation of the average ranks of both sides, features with three or more rows.
+
+    Rows meet the ranks of v only, and are summed for each t at once; what a t adds is its rank times the ranks that
+    meet it. Ranks are less their mean, halves of whole numbers.
+    """
+
+    def centred(counts: DataFrame, value: str, name: str) -> DataFrame:
+        run = running_total(counts, [F.col("feature"), F.col(value)], F.col("_k"), "_upto")
+        # A row for each feature: its places lie between `_first`, excluded, and `_first` + `_all`.
+        ends = run.groupBy("feature").agg(F.min(F.col("_upto") - F.col("_k")).alias("_first"), F.sum("_k").alias("_all"))
+        rank = F.col("_upto") - (F.col("_k") - 1) / 2 - F.col("_first") - (F.col("_all") + 1) / 2
+        return run.join(F.broadcast(ends), "feature").withColumn(name, rank)
+
+    ranks = centred(long.groupBy("feature", "v").agg(F.count("*").alias("_k")), "v", "_rv")
+    own = ranks.groupBy("feature").agg(F.sum(F.col("_k") * F.col("_rv") * F.col("_rv")).alias("_vv"))
+    told = ranks.select("feature", "v", "_rv")
+    met = long.join(F.broadcast(told) if ranks.count() <= FEW else told.hint("merge"), ["feature", "v"])
+    per = centred(met.groupBy("feature", "t").agg(F.count("*").alias("_k"), F.sum("_rv").alias("_rv")), "t", "_rt")
+    both = per.groupBy("feature").agg(F.sum("_k").alias("n"), F.sum(F.col("_rt") * F.col("_rv")).alias("_vt"), F.sum(F.col("_k") * F.col("_rt") * F.col("_rt")).alias("_tt"))
+    r = F.try_divide("_vt", F.sqrt("_vv") * F.sqrt("_tt"))
+    return both.where("n >= 3").join(F.broadcast(own), "feature").select("feature", "n", r.alias("r"))
 
 
 def inversions(order: np.ndarray, values: np.ndarray, weights: np.ndarray) -> int:
@@ -133,6 +156,7 @@ def correlation_report(df: DataFrame, features: list[str], target: str, methods:
     out = told[0]
     for other in told[1:]:
         out = out.unionByName(other)
+    out = cut(out)  # read twice
     adjusted = bh(out.where("p is not null"), "p", ["method"]).unionByName(out.where("p is null").withColumn("q", F.lit(None).cast("double")))
     effect = F.when(F.col("r").isNull(), None)
     for least, word in EFFECTS:
