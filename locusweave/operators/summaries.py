@@ -45,11 +45,11 @@ def length_comparison(df: DataFrame, group: str, length: str, against: str, gene
     return out.withColumns({k: F.try_divide(*v) for k, v in ratios.items()}).drop("_mean", "_p50", "_max")
 
 
-def genome_statistics(df: DataFrame, genome: str, chromosome: str, start: str, end: str, label: str) -> DataFrame:
+def genome_statistics(df: DataFrame, genome: str, chromosome: str, start: str, end: str, label: str, median: bool = True) -> DataFrame:
     """Per genome: genes, annotated, annotation_rate, span (last end - first start), mean_length, median_length, chromosomes (null is
     none), per_chromosome (map), density (genes a base of the span) and genes_per_mb.
 
-    Genes are counted per chromosome first; a map entry stands for a chromosome.
+    Genes are counted per chromosome first; a map entry stands for a chromosome. The median sorts all lengths; without `median` it is left out.
     """
     long = F.col(end) - F.col(start) + 1
     per = df.groupBy(genome, chromosome).agg(F.count("*").alias("n"), F.count(label).alias("a"), F.sum(long).alias("l"), F.count(long).alias("m"), F.min(start).alias("s"), F.max(end).alias("e"))
@@ -58,10 +58,11 @@ def genome_statistics(df: DataFrame, genome: str, chromosome: str, start: str, e
         F.sum("n").alias("genes"), F.sum("a").alias("annotated"), (F.max("e") - F.min("s")).alias("span"), F.try_divide(F.sum("l"), F.sum("m")).alias("mean_length"),
         F.count(chromosome).alias("chromosomes"), F.map_from_entries(F.array_sort(named)).alias("per_chromosome"),
     )
-    out = with_quantiles(out, genome, quantiles(df, [genome], {"_l": long}, [0.5])).withColumnRenamed("_l_0", "median_length")
+    if median:
+        out = with_quantiles(out, genome, quantiles(df, [genome], {"_l": long}, [0.5])).withColumnRenamed("_l_0", "median_length")
     rate, density = F.try_divide("annotated", "genes"), F.try_divide("genes", "span")
     return out.withColumns({"annotation_rate": rate, "density": density, "genes_per_mb": density * 1e6}).select(
-        genome, "genes", "annotated", "annotation_rate", "span", "mean_length", "median_length", "chromosomes", "per_chromosome", "density", "genes_per_mb"
+        genome, "genes", "annotated", "annotation_rate", "span", "mean_length", *(["median_length"] if median else []), "chromosomes", "per_chromosome", "density", "genes_per_mb"
     )
 
 

@@ -14,14 +14,21 @@ from ..shared import cut
 MEASURES = ("genes", "annotated", "annotation_rate", "span", "mean_length", "median_length", "chromosomes", "genes_per_mb", "n_codes", "code_rate", "n_labels")
 
 
-def genome_table(genes: DataFrame, clusters: DataFrame, *, genome: str, chromosome: str, start: str, end: str, label: str, codes: str, pattern: str, cluster_label: str, length: str, size: str) -> DataFrame:
+def genome_table(genes: DataFrame, clusters: DataFrame, *, genome: str, chromosome: str, start: str, end: str, label: str, codes: str, pattern: str, cluster_label: str, length: str, size: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each genome that has genes: genome_statistics() of its genes, rate and number of the codes in `codes`, and cluster_stats()
-    of its clusters, 0 clusters and nulls where it has none. Genomes of clusters without genes are left out."""
-    base = summaries.genome_statistics(genes, genome, chromosome, start, end, label)
-    coded = reports.code_rates(genes, genome, codes, pattern).select(F.col(genome).alias("_c"), F.col("rate").alias("code_rate"), "n_codes")
-    found = summaries.cluster_stats(clusters, genome, cluster_label, length, size).withColumnRenamed(genome, "_g")
-    found = found.withColumnsRenamed({f"{m}_{c}": f"cluster_{m}_{k}" for c, k in ((length, "length"), (size, "size")) for m in ("mean", "median", "sd", "min", "max")})
-    told = base.join(coded, F.col(genome).eqNullSafe(F.col("_c")), "left").join(found, F.col(genome).eqNullSafe(F.col("_g")), "left").drop("_c", "_g")
+    of its clusters, 0 clusters and nulls where it has none. Genomes of clusters without genes are left out. With `columns`, medians, codes and
+    measures of clusters that are not among them are not computed."""
+    wants = lambda *names: columns is None or any(c in columns for c in names)
+    told = summaries.genome_statistics(genes, genome, chromosome, start, end, label, median=wants("median_length"))
+    if wants("code_rate", "n_codes"):
+        coded = reports.code_rates(genes, genome, codes, pattern).select(F.col(genome).alias("_c"), F.col("rate").alias("code_rate"), "n_codes")
+        told = told.join(coded, F.col(genome).eqNullSafe(F.col("_c")), "left").drop("_c")
+    names = {f"{m}_{c}": f"cluster_{m}_{k}" for c, k in ((length, "length"), (size, "size")) for m in ("mean", "median", "sd", "min", "max")}
+    if wants(*names.values()):
+        found = summaries.cluster_stats(clusters, genome, cluster_label, length, size).withColumnRenamed(genome, "_g").withColumnsRenamed(names)
+    else:
+        found = clusters.groupBy(F.col(genome).alias("_g")).agg(F.count("*").alias("n_clusters"), F.count_distinct(cluster_label).alias("n_labels"))
+    told = told.join(found, F.col(genome).eqNullSafe(F.col("_g")), "left").drop("_g")
     return told.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_clusters", "n_labels")})
 
 
