@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from ..shared import cut
 from . import folds
@@ -115,38 +115,91 @@ def first_per_set(df: DataFrame, set_col: str, scope: list[str], order: list[str
     return df.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
 
 
-def drop_strict_subsets(df: DataFrame, key: str, set_col: str, *, earlier: str | None = None, depth: int = 4) -> DataFrame:
+def _without_one(level: DataFrame, k: int) -> DataFrame:
+    """(r, p): the sets `r` of k elements, arrays or bits, without each one of their elements."""
+    if level.schema["r"].dataType != LongType():
+        return level.select("r", "p", F.explode("r").alias("e")).select(F.array_remove("r", F.col("e")).alias("r"), "p")
+    left = level.select("r", "p", F.col("r").alias("_0"))
+    for i in range(1, k + 1):  # the lowest bit goes
+        left = left.withColumn(f"_{i}", F.col(f"_{i - 1}").bitwiseAND(F.col(f"_{i - 1}") - 1))
+    return left.select(F.explode(F.array(*[F.col("r").bitwiseXOR(F.col(f"_{i - 1}")).bitwiseXOR(F.col(f"_{i}")) for i in range(1, k + 1)])).alias("r"), "p")
+
+
+def _held_sets(sets: DataFrame, top: int) -> DataFrame:
+    """(r, p): the sets `r` that others of up to `top` elements (`n`) hold, with the least order `o` of those.
+
+    A level takes one element off what the level above holds and puts equal ones together, so a subset that many sets share
+    is gone through once, and no pair of sets is formed.
+    """
+    none, held, level = F.lit(None).cast(sets.schema["o"].dataType), [], None
+    for k in range(top, 0, -1):
+        rows = sets.where(F.col("n") == k).select("r", F.col("o").alias("own"), none.alias("p"))
+        if level is not None:
+            less = _without_one(level.select("r", F.least("own", "p").alias("p")).where("p is not null"), k + 1)
+            rows = rows.unionByName(less.select("r", none.alias("own"), "p"))
+        level = cut(rows.groupBy("r").agg(F.min("own").alias("own"), F.min("p").alias("p")))
+        held.append(level.where("own is not null and p is not null").select("r", "p"))
+    return reduce(DataFrame.unionAll, held)
+
+
+def drop_strict_subsets(df: DataFrame, key: str, set_col: str, *, earlier: str | None = None, depth: int = 4, listed: int = 256) -> DataFrame:
     """Rows whose set is no strict subset of another row's (`earlier`: no subset of an earlier one's).
 
-    Distinct sets, in order of rising element frequency, make prefixes of up to `depth` elements. Every set looks up
-    which of these prefixes it holds, one element at a time, so no pair of sets is formed before `depth` rare
+    A set is an array, or a long whose lower 63 bits are its elements. The subsets of distinct sets are listed, level by level, up to the size at which
+    they stay within `listed` for each set on average (8 elements or more, by default). Larger sets, in order of rising element frequency, look up
+    which prefixes of up to `depth` elements of all sets they hold, one element at a time, so no pair of sets is formed before `depth` rare
     elements agree; sets of up to `depth` elements are settled by the least order of what holds them. Empty sets stay.
     """
-    sets = df.select(F.array_sort(F.array_distinct(set_col)).alias("s"), F.col(earlier or key).alias("o"))
-    sets = sets.groupBy("s").agg(F.min("o").alias("o"))
-    items = sets.select("s", F.explode("s").alias("e"), "o")
+    if df.schema[set_col].dataType == LongType():
+        keyed = df.withColumns({"_s": F.col(set_col), "_r": F.col(set_col), "_n": F.bit_count(set_col)})
+    else:
+        keyed = df.withColumn("_s", F.array_sort(F.array_distinct(set_col))).withColumn("_r", F.array_compact("_s")).withColumn("_n", F.size("_r"))
+    keyed = keyed.withColumn("_h", F.xxhash64("_s"))  # sorted by hash first, sets are seldom compared
+    columns = [F.col("_s").alias("s"), F.col("_r").alias("r"), F.col("_n").alias("n")]
+    if earlier:  # of equal sets the earliest alone can stay; the rows are computed once
+        keyed = cut(first_per_set(keyed, "_s", ["_h"], [earlier]))
+        sets = keyed.where("_s is not null").select(*columns, F.col(earlier).alias("o"))
+    else:
+        sets = cut(keyed.where("_s is not null").select(*columns).distinct().withColumn("o", F.lit(0)))
+    sizes = sorted((r["n"], r["count"]) for r in sets.groupBy("n").count().collect())
+    top, room = 0, listed * sum(c for _, c in sizes)
+    for n, c in sizes:
+        if (room := room - (c << n)) < 0:
+            break
+        top = n
+    kept = keyed.withColumn("_h", F.xxhash64("_r"))
+    if top > 1:
+        held = _held_sets(sets.where(F.col("n") <= top), top).select(F.xxhash64("r").alias("_hh"), F.col("r").alias("_hr"), F.col("p").alias("_hp"))
+        same = (F.col("_h") == F.col("_hh")) & (F.col("_r") == F.col("_hr"))
+        kept = kept.join(held, same & (F.col("_hp") < F.col(earlier)) if earlier else same, "left_anti")
+    if sizes and sizes[-1][0] > top:
+        gone = _held_prefixes(sets, earlier is not None, depth, top).withColumnRenamed("s", "_gone")
+        kept = kept.join(gone, F.col("_s") == F.col("_gone"), "left_anti")
+    return kept.drop("_s", "_r", "_n", "_h")
+
+
+def _held_prefixes(sets: DataFrame, earlier: bool, depth: int, small: int) -> DataFrame:
+    """Sets `s` that a set of over `small` elements holds (`earlier`: one of lesser order `o`)."""
+    if sets.schema["r"].dataType == LongType():
+        sets = sets.withColumn("r", F.expr("filter(sequence(0, 62), i -> (r & shiftleft(1L, i)) <> 0)"))
+    items = sets.select("s", F.explode("r").alias("e"), "o")
     often = items.groupBy("e").agg(F.count("*").alias("f"))
     ranked = items.join(often, "e").groupBy("s", "o").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("r"))
     ranked = cut(ranked.select("s", "o", F.transform("r", lambda x: x["e"]).alias("r")))
-    before = (lambda mine, theirs: F.col(theirs) < F.col(mine)) if earlier else lambda mine, theirs: F.lit(True)
-    held = ranked.select("r", "o", F.lit(0).alias("last"), F.slice("r", 1, 0).alias("prefix"))
+    before = F.col("p") < F.col("o") if earlier else F.lit(True)
+    held = ranked.where(F.size("r") > small).select("r", "o", F.lit(0).alias("last"), F.slice("r", 1, 0).alias("prefix"))
     covered = []
     for k in range(1, depth + 1):
         wanted = ranked.where(F.size("r") >= k).select(F.slice("r", 1, k).alias("prefix")).distinct()
         step = held.where(F.col("last") < F.size("r")).withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.size("r"))))
         held = step.withColumn("prefix", F.concat("prefix", F.array(F.element_at("r", F.col("last"))))).join(wanted, "prefix", "left_semi")
         over = held.where(F.size("r") > k).groupBy("prefix").agg(F.min("o").alias("p"))
-        covered.append(ranked.where(F.size("r") == k).join(over, ranked["r"] == over["prefix"]).where(before("o", "p")).select("s"))
+        covered.append(ranked.where(F.size("r") == k).join(over, ranked["r"] == over["prefix"]).where(before).select("s"))
     rest = ranked.where(F.size("r") > depth).withColumn("prefix", F.slice("r", 1, depth))
     other = held.select("prefix", F.col("r").alias("t"), F.col("o").alias("p"))
     inside = (F.size("r") < F.size("t")) & (F.size(F.array_except("r", "t")) == 0)
-    covered.append(rest.join(other, "prefix").where(inside & before("o", "p")).select("s").distinct())
-    gone = reduce(DataFrame.unionAll, covered)
-    keyed = df.withColumn("_s", F.array_sort(F.array_distinct(set_col)))
-    kept = keyed.join(gone, keyed["_s"] == gone["s"], "left_anti")
-    if earlier:
-        kept = first_per_set(kept, "_s", [], [earlier])
-    return kept.drop("_s")
+    covered.append(rest.join(other, "prefix").where(inside & before).select("s").distinct())
+    return reduce(DataFrame.unionAll, covered)
 
 
 def merge_overlaps(df: DataFrame, part: list[str], order: list[str], label: str, items: str, end: str, *, overlap: int = 2) -> DataFrame:

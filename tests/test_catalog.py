@@ -153,6 +153,19 @@ def test_subsets_by_brute_force(spark, depth):
     assert windows.drop_strict_subsets(df.limit(0), "k", "s").count() == 0
 
 
+@pytest.mark.parametrize("listed", [0, 30, 256])
+@pytest.mark.parametrize("bits", [False, True])
+def test_larger_subsets_by_brute_force(spark, listed, bits):
+    rnd = random.Random(20)
+    sets = [frozenset(rnd.choices(range(12), k=rnd.choice((0, 1, 2, 3, 4, 5, 9, 14)))) for _ in range(120)]
+    kept = lambda earlier: [i for i, s in enumerate(sets) if not any(s and s < o for o in (sets[:i] if earlier else sets)) and not (earlier and s in sets[:i])]
+    rows = [(i, sum(1 << x for x in s) if bits else list(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, f"k int, s {'long' if bits else 'array<int>'}")
+    for earlier in (None, "k"):
+        got = windows.drop_strict_subsets(df, "k", "s", earlier=earlier, listed=listed)
+        assert got.columns == ["k", "s"] and sorted(r["k"] for r in got.collect()) == kept(earlier)
+
+
 def test_numbered(spark):
     from locusweave.operators import ranking
 
