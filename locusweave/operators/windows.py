@@ -202,6 +202,21 @@ def _held_prefixes(sets: DataFrame, earlier: bool, depth: int, small: int) -> Da
     return reduce(DataFrame.unionAll, covered)
 
 
+def drop_near_subsets(df: DataFrame, part: list[str], at: str, set_col: str, reach: int, *, stretch: int = 10_000) -> DataFrame:
+    """W8 for sets of positions from `at` to `reach` on: rows whose set is no strict subset of another row's of the part.
+
+    What holds a set lies within `reach` of it, so a row is compared with its neighbours only. A long part is cut into stretches that
+    overlap by the reach on both sides, as in index_windows().
+    """
+    stretch = max(stretch, reach + 1)
+    place = lambda p: F.floor(p / stretch)
+    seen = F.array_distinct(F.array(*[place(F.col(at) + d) for d in (-reach, 0, reach)]))
+    frame = Window.partitionBy(*part, "_stretch").orderBy(at).rangeBetween(-reach, reach)
+    near = df.withColumn("_stretch", F.explode(seen)).withColumn("_near", F.collect_list(set_col).over(frame))
+    held = F.exists("_near", lambda t: (F.size(t) > F.size(set_col)) & (F.size(F.array_except(set_col, t)) == 0))
+    return near.where((F.col("_stretch") == place(F.col(at))) & ~held).drop("_stretch", "_near")
+
+
 def merge_overlaps(df: DataFrame, part: list[str], order: list[str], label: str, items: str, end: str, *, overlap: int = 2) -> DataFrame:
     """(part, label, items, end) after folding each part's matches in order; one joins the open match
     if the label agrees and its first `overlap` items are the open one's last.

@@ -48,9 +48,7 @@ def scan_genomes(genomes: DataFrame | dict[str, DataFrame] | list[DataFrame], pa
         genomes = reduce(DataFrame.unionByName, [g.withColumn(file, F.lit(name)) for name, g in named])
     scope = [file, *part]
     found = find_clusters(genomes, scope, order, ident, label, width=width, least=least)
-    home = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in scope]
-    named = found.withColumn("_home", F.concat_ws("\x1f", *home)).withColumn("_set", F.transform("hits", lambda h: F.concat_ws("\x1f", F.col("_home"), h.cast("string"))))
-    return windows.drop_strict_subsets(named, "anchor", "_set").drop("_set", "_home")
+    return windows.drop_near_subsets(found, scope, "at", "hits", width)
 
 
 def compare_homologs(hits: DataFrame, query: str, organism: str, place: str, subject: str, score: str, start: str, end: str) -> DataFrame:

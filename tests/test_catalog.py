@@ -166,6 +166,15 @@ def test_larger_subsets_by_brute_force(spark, listed, bits):
         assert got.columns == ["k", "s"] and sorted(r["k"] for r in got.collect()) == kept(earlier)
 
 
+@pytest.mark.parametrize("stretch", [5, 10_000])
+def test_near_subsets_by_brute_force(spark, stretch):
+    rnd = random.Random(23)
+    rows = [(None if c == 2 else c, at, sorted({at + rnd.randrange(5) for _ in range(rnd.randrange(1, 6))})) for c in range(3) for at in range(1, 60)]
+    told = [(c, at) for c, at, s in rows if not any(set(s) < set(o) for d, _, o in rows if c == d)]
+    got = windows.drop_near_subsets(spark.createDataFrame(rows, "c int, at long, s array<long>"), ["c"], "at", "s", 4, stretch=stretch)
+    assert got.columns == ["c", "at", "s"] and sorted(((r["c"], r["at"]) for r in got.collect()), key=str) == sorted(told, key=str)
+
+
 def test_numbered(spark):
     from locusweave.operators import ranking
 
