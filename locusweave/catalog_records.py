@@ -43,10 +43,11 @@ def s_gff3_ids(t):
 @query("""WITH c AS (SELECT l_orderkey AS g, l_orderkey || '.' || (l_suppkey % 3) AS tr, sum(l_quantity + 1)::BIGINT AS n, min(l_partkey) AS s, max(l_partkey + l_quantity)::BIGINT AS e FROM lineitem GROUP BY ALL)
   SELECT 'g' || g AS gene, tr AS transcript, n AS cds_length, s AS cds_start, e AS cds_end FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, tr DESC) AS rk FROM c) WHERE rk = 1""")
 def s_canonical_transcripts(t):
-    li = t("lineitem").withColumn("tr", F.concat_ws(".", "l_orderkey", F.col("l_suppkey") % 3))
+    li = t("lineitem").withColumn("form", F.col("l_suppkey") % 3)
+    tr = F.concat_ws(".", "l_orderkey", "form")
     row = lambda kind, start, end, tags: F.concat_ws("\t", F.lit("c"), F.lit("s"), F.lit(kind), start, end, F.lit("."), F.lit("+"), F.lit("."), tags)
-    cds = li.select(row("CDS", F.col("l_partkey"), (F.col("l_partkey") + F.col("l_quantity")).cast("long"), F.concat(F.lit("Parent=transcript:"), "tr")).alias("value"))
-    mrna = li.select("l_orderkey", "tr").distinct().select(row("mRNA", F.lit(1), F.lit(2), F.concat(F.lit("ID=transcript:"), "tr", F.lit(";Parent=gene:g"), "l_orderkey")).alias("value"))
+    cds = li.select(row("CDS", F.col("l_partkey"), (F.col("l_partkey") + F.col("l_quantity")).cast("long"), F.concat(F.lit("Parent=transcript:"), tr)).alias("value"))
+    mrna = li.select("l_orderkey", "form").distinct().select(row("mRNA", F.lit(1), F.lit(2), F.concat(F.lit("ID=transcript:"), tr, F.lit(";Parent=gene:g"), "l_orderkey")).alias("value"))
     path = _file(cds.unionByName(mrna), F.col("value"), "transcripts")
     return readers.canonical_transcripts(readers.read_gff3(li.sparkSession, path, kind=None))
 

@@ -42,7 +42,9 @@ def canonical_transcripts(features: DataFrame) -> DataFrame:
     """(gene, transcript, cds_length, cds_start, cds_end): the transcript with the longest summed CDS, last id on ties."""
     cds = features.where("type = 'cds'").groupBy("parent").agg(F.sum(F.col("end") - F.col("start") + 1).alias("cds_length"), F.min("start").alias("cds_start"), F.max("end").alias("cds_end"))
     m = features.where("type = 'mrna'").select(F.regexp_replace("id", "(?i)^transcript:", "").alias("transcript"), F.col("parent").alias("gene"))
-    return m.join(cds, m["transcript"] == cds["parent"]).groupBy("gene").agg(F.max_by(F.struct("transcript", "cds_length", "cds_start", "cds_end"), F.struct("cds_length", "transcript")).alias("t")).select("gene", "t.*")
+    # Few transcripts of a gene share a task before the exchange, so maxima there would sort all rows once more and send each key twice.
+    met = m.join(cds, m["transcript"] == cds["parent"]).drop("parent").repartition("gene")
+    return met.groupBy("gene").agg(F.max_by(F.struct("transcript", "cds_length", "cds_start", "cds_end"), F.struct("cds_length", "transcript")).alias("t")).select("gene", "t.*")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

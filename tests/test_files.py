@@ -112,3 +112,10 @@ def test_mixed_files(spark, tmp_path):
     assert sorted((r["id"], r["start"], r["name"], r["source_file"]) for r in got.collect()) == [("1", "2", None, "a.csv"), ("7", None, "n", "b.csv"), ("8", "9", None, "c.csv"), ("x,y", "6", None, "a.csv")]
     bad = readers.read_csvs(spark, str(tmp_path), bad="line").where("line is not null").collect()
     assert sorted(r["line"] for r in bad) == ["3,4,5", "short"]
+
+
+def test_canonical_transcripts_sort_genes_once(spark, tmp_path):
+    p = write(tmp_path / "t.gff3", "".join(f"c\ts\tmRNA\t1\t2\t.\t+\t.\tID=transcript:t{i};Parent=gene:g\nc\ts\tCDS\t1\t{9 - i % 2}\t.\t+\t.\tParent=transcript:t{i}\n" for i in range(4)))
+    got = readers.canonical_transcripts(readers.read_gff3(spark, p, kind=None))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [gene") == 1
+    assert [tuple(r) for r in got.collect()] == [("g", "t2", 9, 1, 9)]
