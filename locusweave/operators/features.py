@@ -14,10 +14,11 @@ def pair_score_features(df: DataFrame, cluster: str, a: str, b: str, score: str,
     """Statistics of pair scores; mean and median leave out self pairs unless there are no others.
 
     strong: share of all rows under it; weak: share at or over it; enrichment: mean / baseline; z: distance
-    of the mean from the baseline in deviations (1 where there is no deviation).
+    of the mean from the baseline in deviations (1 where there is no deviation). Equal scores have none, which their
+    extremes tell: merged partial sums may leave a deviation of 1e-16.
     """
     other = F.when(F.col(a) != F.col(b), F.col(score))
-    sd = F.stddev_samp(score) if ddof else F.stddev_pop(score)
+    sd = F.when(F.min(score) != F.max(score), F.stddev_samp(score) if ddof else F.stddev_pop(score))
     out = df.groupBy(cluster).agg(
         F.count("*").alias("n"), F.coalesce(F.avg(other), F.avg(score)).alias("mean"), F.max(score).alias("max"), (F.count_if(F.col(score) < strong) / F.count("*")).alias("strong"),
         (F.count_if(F.col(score) >= weak) / F.count("*")).alias("weak"), F.coalesce(F.when(sd > 0, sd), F.lit(1.0)).alias("sd"),

@@ -64,3 +64,26 @@ def test_no_table_of_candidates_is_broadcast(spark):
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["candidate"]: r["codes_level2"] for r in found.collect()} == {"a": 2, "b": 1}
     assert {r["candidate"]: r["n"] for r in told["structure"].collect()} == {"a": 2, "b": 1}
+
+
+def test_equal_scores_have_no_deviation(spark):
+    """Also when they are summed in parts: x / 3 * 3 is not 0.43."""
+    from locusweave.operators import features
+
+    pairs = spark.range(0, 12, 1, 4).selectExpr("'c' AS c", "id AS a", "id + 1 AS b", "0.43D AS score")
+    got = features.pair_score_features(pairs, "c", "a", "b", "score", baseline=0.3, strong=0.3, weak=0.7).first()
+    assert got["sd"] == 1.0 and got["z"] == pytest.approx(0.13)
+
+
+def test_halves_of_the_sixth_place_round_up(spark, tmp_path):
+    """Events whose consistency is a number of 128ths."""
+    from locusweave import catalog, catalog_flows  # noqa: F401
+
+    told = {0.226563: [[174317, 175173, 177090], [292537, 294244, 294978, 296898]], 0.367188: [[220946, 223106, 223954], [373359, 376923, 378500, 378571]], 0.507813: [[347718, 348401, 357559], [3566, 6666, 11452, 12627, 12980]]}
+    sets = [(share, genes) for share, of in told.items() for genes in of]
+    rows = [(e, u, "view", 1.0, e) for u, (_, genes) in enumerate(sets) for e in genes]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, s long")
+    events.selectExpr("event_id", "CAST(timestamp_seconds(s) AS TIMESTAMP_NTZ) AS ts", "user_id", "event_type", "value", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["o1_candidate_scores"](spark, str(tmp_path)).select("user_id", "genes", "profile_consistency").collect()
+    whole = {",".join(map(str, genes)): share for share, genes in sets}
+    assert {r["genes"]: r["profile_consistency"] for r in got if r["genes"] in whole} == whole
