@@ -87,12 +87,16 @@ def s_blast_xml(t):
     first = tag("Hsp", tag("Hsp_bit-score", text("l_extendedprice")), tag("Hsp_evalue", text("l_tax")), tag("Hsp_identity", text("l_linenumber")), tag("Hsp_align-len", F.col("l_quantity").cast("long").cast("string")))
     second = F.lit("<Hsp><Hsp_bit-score>1</Hsp_bit-score><Hsp_evalue>9</Hsp_evalue><Hsp_identity>1</Hsp_identity><Hsp_align-len>1</Hsp_align-len></Hsp>")
     hit = tag("Hit", tag("Hit_def", _lit("s", "l_suppkey")), tag("Hit_hsps", first, second))
-    per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*XML_ORDER.split(", "), hit.alias("hit")))).alias("hits"))
+    # Some 50,000 hits to a file, for a file costs as much as many hits. Lines are dealt to the files as numbers, and written as text there.
+    rows = li.count()
+    files = rows // 50_000 + 1
+    lines = li.select(F.pmod(F.xxhash64("l_orderkey"), F.lit(files)).alias("file"), "l_orderkey", *XML_ORDER.split(", "), "l_quantity", "l_tax")
+    per = dealt(lines, ["file"], rows).groupBy("file", "l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*XML_ORDER.split(", "), hit.alias("hit")))).alias("hits"))
     one = tag("Iteration", tag("Iteration_query-def", _lit("q", "l_orderkey")), F.lit("<Iteration_query-len>200</Iteration_query-len>"), tag("Iteration_hits", F.array_join(F.transform("hits", lambda h: h["hit"]), "")))
     path = _away(li, "xml")
-    # Some 50,000 hits to a file, for a file costs as much as many hits.
-    whole = per.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(li.count() // 50_000 + 1)).alias("file")).agg(tag("BlastOutput", tag("BlastOutput_iterations", F.array_join(F.collect_list(one), "\n"))).alias("value"))
-    whole.write.partitionBy("file").text(path)
+    whole = per.groupBy("file").agg(tag("BlastOutput", tag("BlastOutput_iterations", F.array_join(F.collect_list(one), "\n"))).alias("value"))
+    # Tags are most of the text, so many files are packed.
+    whole.write.partitionBy("file").text(path, compression="gzip" if files > 1 else "none")
     got = readers.read_blast_xml(li.sparkSession, path)
     return got.withColumns({"hit_no": F.col("hit_no").cast("long"), "identity": r6("identity"), "coverage": r6("coverage")})
 

@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from locusweave.operators import relational, stats
 
@@ -68,6 +69,18 @@ def test_files_hold_many_documents(spark, tmp_path, monkeypatch):
     assert all(len(list(p.rglob("part-*.txt"))) == 1 for p in map(type(tmp_path), found))
 
 
+def test_many_files_are_packed(spark, tmp_path, monkeypatch):
+    """Tags are most of the text of a hit, some 370 bytes; files hold far less on disk, and all hits are read again in order."""
+    from locusweave import catalog_records as records
+
+    monkeypatch.setattr(records, "_away", lambda df, name: str(tmp_path / name))
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    got = records.s_blast_xml(lambda name: lines)
+    assert got.count() == lines.count() and got.agg(F.max("hit_no")).first() == lines.groupBy("l_orderkey").count().agg(F.max("count") - 1).first()
+    files = list(tmp_path.rglob("part-*"))
+    assert len(files) == 2 and sum(p.stat().st_size for p in files) < 40 * lines.count()
+
+
 def test_keys_of_long_texts_by_brute_force(spark):
     """Keys over the borders of stretches, longer than one, and in a text whose places could not each be sought from its start."""
     from locusweave.operators import genome
