@@ -1,12 +1,13 @@
 """The predictor: candidates, families, missing families and both kinds of model."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from locusweave.operators import combined
-from locusweave.plans import predictor
+from locusweave.operators import combined, features, motifs
+from locusweave.plans import flows, predictor
 
 GENES = [("f", "c1", i, f"g{i}", "A" if i in (1, 2, 3) else "B" if i in (8, 9) else None, 10 * i, 10 * i + 5) for i in range(1, 11)] + [("h", "c1", 1, "x1", "A", 1, 2), ("h", "c1", 2, "x2", "A", 3, 9)]
 
@@ -68,8 +69,6 @@ def test_no_table_of_candidates_is_broadcast(spark):
 
 def test_equal_scores_have_no_deviation(spark):
     """Also when they are summed in parts: x / 3 * 3 is not 0.43."""
-    from locusweave.operators import features
-
     pairs = spark.range(0, 12, 1, 4).selectExpr("'c' AS c", "id AS a", "id + 1 AS b", "0.43D AS score")
     got = features.pair_score_features(pairs, "c", "a", "b", "score", baseline=0.3, strong=0.3, weak=0.7).first()
     assert got["sd"] == 1.0 and got["z"] == pytest.approx(0.13)
@@ -87,3 +86,48 @@ def test_halves_of_the_sixth_place_round_up(spark, tmp_path):
     got = catalog.QUERIES["o1_candidate_scores"](spark, str(tmp_path)).select("user_id", "genes", "profile_consistency").collect()
     whole = {",".join(map(str, genes)): share for share, genes in sets}
     assert {r["genes"]: r["profile_consistency"] for r in got if r["genes"] in whole} == whole
+
+
+def test_families_move_rows_to_candidates_once(spark):
+    """All families of a candidate meet where its rows were dealt to: two exchanges for a join on genes, one to the candidates; structure is read twice."""
+    genes = spark.range(40).selectExpr("id DIV 20 AS p", "id", "concat('t', id % 3) AS label", "id AS s")
+    pairs = spark.range(40).selectExpr("id AS a", "id + 3 AS b", "id * 1.5D AS score")
+    clades, codes = spark.range(40).selectExpr("id AS gene", "id / 40 AS score", "id % 5 + 1 AS size"), spark.range(40).selectExpr("id AS gene", "concat('1.', id % 4, '.1.1') AS code")
+    promoters = spark.range(120).selectExpr("id % 40 AS gene", "if(id < 60, 'proximal', 'distal') AS region", "concat('m', id % 7) AS motif")
+    got = predictor.predict(genes, ["p"], ["id"], "id", "label", "s", "s", width=6, least=2, model=({}, 0.0), docking=pairs, structure=pairs, clades=clades, codes=codes, promoters=promoters)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 1 + 3 * 6
+    assert got.count() > 20 and got.where("families_missing > 0").count() == 0
+
+
+def test_candidates_are_the_clusters_found(spark):
+    """Numbering all genes at once and choosing in the window tell the same as find_clusters(), null parts and labels included."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(60), i, rnd.choice(["x", "y", "z", None]), rnd.choice([None, i])) for i in range(200)]
+    genes = spark.createDataFrame(rows, "part string, at int, gene long, label string, s long")
+    args = (genes, ["part"], ["at", "gene"], "gene", "label")
+    found, members = predictor.candidates(*args, "s", "s", width=4, least=2)
+    told = flows.find_clusters(*args, width=4, least=2).select("part", "anchor", "label", "n").collect()
+    key = lambda part, anchor, label: f"{part or ''}:{anchor}:{label}"
+    assert sorted((r["candidate"], r["n_genes"]) for r in found.collect()) == sorted((key(*r[:3]), r[3]) for r in told)
+    label_of, start_of = {g: x for _, _, g, x, _ in rows}, {g: x for _, _, g, _, x in rows}
+    for r in found.collect():
+        starts = [start_of[g] for g in r["genes"] if start_of[g] is not None]
+        assert {label_of[g] for g in r["genes"]} == {r["label"]} and (r["start"], r["end"]) == (min(starts, default=None), max(starts, default=None))
+    assert sorted(g for r in found.collect() for g in r["genes"]) == sorted(r["gene"] for r in members.collect())
+
+
+def test_small_groups_tell_what_large_ones_do(spark):
+    """Families of windows equal the operators that hold no group in a task."""
+    rnd = random.Random(5)
+    scores = spark.createDataFrame([(rnd.randrange(6), rnd.randrange(4), rnd.randrange(4), rnd.choice([None, -60.0, 0.5, 0.7, 3.25])) for _ in range(90)], "c int, a int, b int, s double")
+    codes = spark.createDataFrame([(rnd.randrange(6), rnd.choice([None, "1.1.1.1", "1.1.2.1", "EC 2.1.1.1", "bad", "2.1.1.1"])) for _ in range(60)], "c int, code string")
+    hits = [(c, g, rnd.choice(["proximal", "distal", "else"]), rnd.choice(["x", "y", "z", None])) for c in range(6) for g in range(c) for _ in range(rnd.randrange(1, 6))]
+    plain = spark.createDataFrame([(10 * c + g, r, m) for c, g, r, m in hits], "g int, r string, m string")
+    members = spark.createDataFrame(sorted({(c, 10 * c + g) for c, g, *_ in hits}), "c int, g int")
+    rows = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.fillna(-9).select(sorted(d.columns)).collect())
+    for held in (False, True):
+        told = features.pair_score_features(scores, "c", "a", "b", "s", baseline=0.3, strong=0.3, weak=0.7, held=held), features.code_levels(codes, "c", "code", held=held)
+        few = motifs.window_similarity(members, plain, "c", "g", "r", "m", 15, 5) if held else motifs.promoter_similarity(members.join(plain, "g"), "c", "g", "r", "m")
+        found = [rows(d) for d in (*told, few)]
+        last = found if not held else last
+        assert found == last and all(found)
